@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.session import ensure_checkpoint_dir
 from tagloom.schema import ALGORITHM_MARKERS, HISTORY_COLUMNS, METADATA_KEYS, MODEL_MARKERS, UNKNOWN_INSTANCE
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
@@ -161,13 +162,17 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num
     partition, then ``monotonically_increasing_id`` gives (partition, position).
     A tiny per-partition count table (one row per partition, a proven bound)
     turns positions into global ids through a broadcast join. No single-task
-    window over raw rows. The order key must be unique for ids to be stable
-    across task retries (recomputation re-derives the same ranges).
+    window over raw rows. The order key must be unique so positions inside a
+    partition are well defined.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # Range bounds are sampled with a seed that differs per job, so the layout
+    # is fixed once by a reliable checkpoint: the count job and the id job then
+    # read identical partitions (and a lost executor re-reads, not re-samples).
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).checkpoint(eager=True)
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_part", F.shiftright(F.col("_mid"), 33)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))

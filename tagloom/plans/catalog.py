@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators import ingest as I
 from tagloom.operators import query as Q
-from tagloom.sources.history import events_history
+from tagloom.operators import series as S
+from tagloom.sources.history import LINEITEM_TAGS, events_history, table, wide_from_lineitem
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -214,4 +216,137 @@ QUERIES: dict[str, QueryFn] = {
     "page_slice": page_slice,
     "page_slice_clamped": page_slice_clamped,
 }
+
+
+# --- ingest (S2-S9) -----------------------------------------------------------
+
+def ingest_unpivot(spark: SparkSession, sf: str) -> DataFrame:
+    wide = wide_from_lineitem(table(spark, sf, "lineitem"))
+    return I.snapshots_to_history(wide, "timestamp", id_columns=["l_orderkey", "l_linenumber"])
+
+
+def ingest_allow_list(spark: SparkSession, sf: str) -> DataFrame:
+    wide = wide_from_lineitem(table(spark, sf, "lineitem"))
+    long = I.snapshots_to_history(wide, "timestamp", stored_variables=["pump.price", "pid.tax", "pump.flag"], id_columns=["l_orderkey", "l_linenumber"])
+    return long.select("l_orderkey", "l_linenumber", "param_name", "param_value", "instance_name", "param_type")
+
+
+def assign_ids(spark: SparkSession, sf: str) -> DataFrame:
+    wide = wide_from_lineitem(table(spark, sf, "lineitem"))
+    long = I.snapshots_to_history(wide, "timestamp", id_columns=["l_orderkey", "l_linenumber"])
+    start = I.max_id(events_history(spark, sf)) + 1
+    ided = I.assign_ids(long, ["timestamp", "l_orderkey", "l_linenumber", "param_name"], start=start)
+    return ided.select("id", "l_orderkey", "l_linenumber", "param_name")
+
+
+# --- per-series windows (W1-W6) ------------------------------------------------
+
+def _recorded(spark: SparkSession, sf: str, gaps: bool = False) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    if gaps:
+        ev = ev.withColumn("value", F.when(F.col("value") > 50, F.lit(None).cast("double")).otherwise(F.col("value")))
+    return ev
+
+
+def _spec(df: DataFrame) -> S.SeriesSpec:
+    # one chunk per day of each event type: carries cross ~30 chunk borders at every scale
+    return S.series_spec(df, ["event_type"], ["ts", "event_id"], chunk_size=86400)
+
+
+def lag_default(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    return S.lag(ev, _spec(ev), "value", 3, default=0.0, out="lag3").select("event_id", "event_type", "value", "lag3")
+
+
+def lag_one(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    return S.lag(ev, _spec(ev), "value", -1, default=0.0, out="lag1").select("event_id", "event_type", "lag1")
+
+
+def lag_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    return S.lag(ev, _spec(ev), "value", 4, default=0.0, out="lagx", inclusive=True, initial=-1.0).select("event_id", "event_type", "lagx")
+
+
+def hold_last(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf, gaps=True)
+    return S.hold_last(ev, _spec(ev), "value", initial=0.0, out="held").select("event_id", "event_type", "value", "held")
+
+
+def integral(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    out = S.running_sum(ev, _spec(ev), F.col("value") * F.lit(0.5), "integral")
+    return out.select("event_id", "event_type", F.round("integral", 4).alias("integral"))
+
+
+def pid_response(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    out = S.pid_response(ev, _spec(ev), pv="value", sv=50.0, cycle_time=0.5)
+    return out.select(
+        "event_id",
+        "event_type",
+        F.round("error", 6).alias("error"),
+        F.round("integral", 4).alias("integral"),
+        F.round("mv", 6).alias("mv"),
+    )
+
+
+def _unpivot_sql() -> str:
+    parts = []
+    for tag, src in LINEITEM_TAGS:
+        inst = tag.split(".", 1)[0]
+        parts.append(
+            f"SELECT l_shipdate AS timestamp, '{tag}' AS param_name, CAST({src} AS DOUBLE) AS param_value, '{inst}' AS instance_name, "
+            "CAST(l_orderkey AS INTEGER) AS cycle_count, CAST(l_orderkey * 0.5 AS DOUBLE) AS sim_time, l_orderkey, l_linenumber "
+            f"FROM lineitem WHERE {src} IS NOT NULL"
+        )
+    body = " UNION ALL ".join(parts)
+    return (
+        "SELECT timestamp, param_name, param_value, instance_name, "
+        "CASE WHEN regexp_matches(lower(instance_name), 'pid|controller|algorithm') THEN 'algorithm' "
+        "WHEN regexp_matches(lower(instance_name), 'tank|valve|model') THEN 'model' ELSE 'variable' END AS param_type, "
+        f"cycle_count, sim_time, l_orderkey, l_linenumber FROM ({body})"
+    )
+
+
+_W = "(PARTITION BY event_type ORDER BY ts, event_id)"
+_WR = "(PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+ORACLE.update(
+    {
+        "ingest_unpivot": _unpivot_sql(),
+        "ingest_allow_list": f"SELECT l_orderkey, l_linenumber, param_name, param_value, instance_name, param_type FROM ({_unpivot_sql()}) "
+        "WHERE param_name IN ('pump.price', 'pid.tax')",
+        "assign_ids": _with(
+            "SELECT (SELECT coalesce(max(id), 0) FROM history) + row_number() OVER (ORDER BY timestamp, l_orderkey, l_linenumber, param_name) AS id, "
+            f"l_orderkey, l_linenumber, param_name FROM ({_unpivot_sql()})"
+        ),
+        "lag_default": f"SELECT event_id, event_type, value, lag(value, 3, 0.0) OVER {_W} AS lag3 FROM events",
+        "lag_one": f"SELECT event_id, event_type, lag(value, 1, 0.0) OVER {_W} AS lag1 FROM events",
+        "lag_seeded": "SELECT event_id, event_type, CASE WHEN rn > 3 THEN lg WHEN rn = 3 THEN -1.0 ELSE 0.0 END AS lagx FROM "
+        f"(SELECT event_id, event_type, lag(value, 3) OVER {_W} AS lg, row_number() OVER {_W} AS rn FROM events)",
+        "hold_last": "SELECT event_id, event_type, value, coalesce(last_value(value IGNORE NULLS) OVER "
+        f"{_WR}, 0.0) AS held FROM (SELECT event_id, ts, event_type, CASE WHEN value > 50 THEN NULL ELSE value END AS value FROM events)",
+        "integral": f"SELECT event_id, event_type, round(sum(value * 0.5) OVER {_WR}, 4) AS integral FROM events",
+        "pid_response": "SELECT event_id, event_type, round(e, 6) AS error, round(integral, 4) AS integral, "
+        "round(greatest(0.0, least(100.0, 12.0 * e + 12.0 / 30.0 * integral + 12.0 * 0.15 * (e - e_prev) / 0.5)), 6) AS mv FROM ("
+        f"SELECT event_id, event_type, e, sum(e * 0.5) OVER {_WR} AS integral, lag(e, 1, 0.0) OVER {_W} AS e_prev "
+        "FROM (SELECT event_id, ts, event_type, 50.0 - value AS e FROM events))",
+    }
+)
+
+QUERIES.update(
+    {
+        "ingest_unpivot": ingest_unpivot,
+        "ingest_allow_list": ingest_allow_list,
+        "assign_ids": assign_ids,
+        "lag_default": lag_default,
+        "lag_one": lag_one,
+        "lag_seeded": lag_seeded,
+        "hold_last": hold_last,
+        "integral": integral,
+        "pid_response": pid_response,
+    }
+)
+
 FLAGSHIP = "history_query"
