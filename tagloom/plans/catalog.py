@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import ingest as I
 from tagloom.operators import query as Q
+from tagloom.operators import clock as C
+from tagloom.operators import sampling as P
 from tagloom.operators import series as S
 from tagloom.sources.history import LINEITEM_TAGS, events_history, table, wide_from_lineitem
 
@@ -349,4 +351,90 @@ QUERIES.update(
     }
 )
 
-FLAGSHIP = "history_query"
+
+# --- greedy interval sampling (P1-P3, A4, J1) ----------------------------------
+
+def sampled_query(spark: SparkSession, sf: str) -> DataFrame:
+    h = events_history(spark, sf)
+    return P.query_sampled(h, start_time=RANGE_START, end_time=RANGE_END, sample_interval=3600.0, limit=1000)
+
+
+def sampled_instance(spark: SparkSession, sf: str) -> DataFrame:
+    h = events_history(spark, sf)
+    return P.query_sampled(h, instance_name=ONE_INSTANCE, sample_interval=3600.0, limit=1000)
+
+
+def sampled_global(spark: SparkSession, sf: str) -> DataFrame:
+    h = events_history(spark, sf)
+    return P.query_sampled(h, sample_interval=600.0, limit=None)
+
+
+def sampled_passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    h = events_history(spark, sf)
+    return P.query_sampled(h, param_name=ONE_TAG, sample_interval=0.0, limit=1000)
+
+
+def _sampled_sql(where: str, interval_s: int, limit: str) -> str:
+    return (
+        "WITH RECURSIVE " + HISTORY_SQL.strip() + ",\n"
+        f"ts AS (SELECT DISTINCT timestamp AS t FROM history WHERE {where}),\n"
+        "chain(t) AS (SELECT min(t) FROM ts UNION ALL "
+        f"SELECT (SELECT min(ts.t) FROM ts WHERE ts.t >= chain.t + INTERVAL {interval_s} SECOND) FROM chain WHERE chain.t IS NOT NULL)\n"
+        f"SELECT {HISTORY_COLS_SQL} FROM history WHERE {where} AND timestamp IN (SELECT t FROM chain WHERE t IS NOT NULL) "
+        f"ORDER BY timestamp DESC, id DESC {limit}"
+    )
+
+
+# --- clock-derived columns (F5, F6, F9, P3) ------------------------------------
+
+CLOCK_START = 1733479200.0  # 2024-12-06 10:00:00 UTC
+
+
+def cycle_sample(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select((F.col("event_id") + 1).cast("int").alias("cycle_count"), "value")
+    kept = P.stride_sample(ev, "cycle_count", cycle_time=0.5, sample_interval=5.0)
+    st = C.sim_time("cycle_count", 0.5, CLOCK_START)
+    return kept.select(
+        "cycle_count",
+        st.alias("sim_time"),
+        C.time_text(st, "%Y-%m-%d %H:%M:%S").alias("time_str"),
+        C.time_text(st).alias("time_iso"),
+        "value",
+    )
+
+
+def overrun_flags(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", *C.overrun_flags(F.col("value") / F.lit(1000.0), cycle_time=0.5))
+
+
+ORACLE.update(
+    {
+        "sampled_query": _sampled_sql(f"timestamp >= TIMESTAMP '{RANGE_START}' AND timestamp <= TIMESTAMP '{RANGE_END}'", 3600, "LIMIT 1000"),
+        "sampled_instance": _sampled_sql(f"instance_name = '{ONE_INSTANCE}'", 3600, "LIMIT 1000"),
+        "sampled_global": _sampled_sql("TRUE", 600, ""),
+        "sampled_passthrough": _with(
+            f"SELECT {HISTORY_COLS_SQL} FROM history WHERE param_name = '{ONE_TAG}' ORDER BY timestamp DESC, id DESC LIMIT 1000"
+        ),
+        "cycle_sample": "SELECT cycle_count, sim_time, strftime(make_timestamp(CAST(floor(sim_time * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS time_str, "
+        "CASE WHEN CAST(floor(sim_time * 1000000) AS BIGINT) % 1000000 = 0 THEN strftime(make_timestamp(CAST(floor(sim_time * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S') "
+        "ELSE strftime(make_timestamp(CAST(floor(sim_time * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') END AS time_iso, value FROM ("
+        f"SELECT CAST(event_id + 1 AS INTEGER) AS cycle_count, {CLOCK_START} + CAST(event_id + 1 AS DOUBLE) * 0.5 AS sim_time, value FROM events "
+        "WHERE (event_id + 1) % 10 = 0)",
+        "overrun_flags": "SELECT event_id, least(value / 1000.0 / 0.5, 1.0) AS exec_ratio, value / 1000.0 > 0.5 * 0.6 AS warn, "
+        "value / 1000.0 >= 0.5 AS overrun FROM events",
+    }
+)
+
+QUERIES.update(
+    {
+        "sampled_query": sampled_query,
+        "sampled_instance": sampled_instance,
+        "sampled_global": sampled_global,
+        "sampled_passthrough": sampled_passthrough,
+        "cycle_sample": cycle_sample,
+        "overrun_flags": overrun_flags,
+    }
+)
+
+FLAGSHIP = "sampled_query"
