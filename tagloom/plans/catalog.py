@@ -17,6 +17,9 @@ from tagloom.operators import query as Q
 from tagloom.operators import clock as C
 from tagloom.operators import sampling as P
 from tagloom.operators import series as S
+from tagloom.functions import math as M
+from tagloom.functions.formula import formula_columns as _formulas
+from tagloom.sources import generate as G
 from tagloom.sources.history import LINEITEM_TAGS, events_history, table, wide_from_lineitem
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -437,4 +440,141 @@ QUERIES.update(
     }
 )
 
+
+# --- waveform datasets over a table-derived cycle index (G1-G5) ---------------
+
+WAVE_CT = 0.5
+WAVE_PERIOD = 7.3  # 14.6 cycles per period: not an integer
+WAVE_LIST = ((10.0, 5.0), (20.0, 3.0), (0.0, 2.0), (7.0, 0.2))  # 10, 6, 4 and 1 cycles
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("i"))
+
+
+def wave_sine(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).select("i", F.round(G.sine("i", 100.0, WAVE_PERIOD, 0.3, WAVE_CT), 9).alias("out"))
+
+
+def wave_square(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).select("i", G.square("i", 5.0, WAVE_PERIOD, 0.25, WAVE_CT).alias("out"))
+
+
+def wave_triangle(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).select("i", F.round(G.triangle("i", 100.0, WAVE_PERIOD, -0.1, WAVE_CT), 9).alias("out"))
+
+
+def wave_list(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).select("i", G.list_wave("i", WAVE_LIST, WAVE_CT).alias("out"))
+
+
+def wave_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    waves = {
+        "sin1": G.Wave("sine", 100.0, WAVE_PERIOD, 0.3),
+        "sq1": G.Wave("square", 5.0, WAVE_PERIOD, 0.25),
+        "lw1": G.Wave("list", wave_list=WAVE_LIST),
+    }
+    wide = G.waves_over_index(_index(spark, sf), waves, "i", cycle_time=WAVE_CT, start_time=CLOCK_START, sample_interval=5.0, time_format="%Y/%m/%d %H:%M:%S")
+    # Bare instance names mean their .out tag inside formulas
+    wide = _formulas(wide, [("combo", "sin1 + sq1 * lw1")])
+    return wide.select(
+        "cycle_count",
+        "need_sample",
+        "time_str",
+        "sim_time",
+        F.round(F.col("`sin1.out`"), 9).alias("sin1_out"),
+        F.col("`sq1.period`").alias("sq1_period"),
+        F.round("combo", 9).alias("combo"),
+    )
+
+
+# --- math functions and formula columns (M1-M18) ------------------------------
+
+def math_functions(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    r = lambda c, name, d=9: F.round(c, d).alias(name)
+    return table(spark, sf, "events").select(
+        "event_id",
+        r(M.abs_(v - 250), "m_abs"),
+        r(M.sqrt(v), "m_sqrt"),
+        r(M.sin(v), "m_sin"),
+        r(M.cos(v), "m_cos"),
+        r(M.tan(v), "m_tan", 6),
+        r(M.log(v), "m_ln"),
+        r(M.log(v, 10), "m_log10"),
+        r(M.exp(v / 100), "m_exp"),
+        r(M.fabs(250 - v), "m_fabs"),
+        r(M.asin(v / 500), "m_asin"),
+        r(M.acos(v / 500), "m_acos"),
+        r(M.atan(v), "m_atan"),
+        M.floor(v * 1.5).alias("m_floor"),
+        M.ceil(v * 1.5).alias("m_ceil"),
+        M.min_(v, 100.0, v / 2 + 60).alias("m_min"),
+        M.max_(v, 100.0).alias("m_max"),
+        r(M.power(v, 0.5), "m_pow"),
+        M.floordiv(v, 7.0).alias("m_floordiv"),
+        r(M.pymod(v - 250, 7.0), "m_mod"),
+        M.neg(v).alias("m_neg"),
+    )
+
+
+def formula_columns(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    out = _formulas(
+        ev,
+        [("y1", "sqrt(value) + `value[-2]` * 0.5"), ("y2", "y1 * 2 - least(value, 10.0)")],
+        spec=_spec(ev),
+        lags={"value": [2]},
+    )
+    return out.select("event_id", "event_type", F.round("y1", 9).alias("y1"), F.round("y2", 9).alias("y2"))
+
+
+def _pmod(x: str, m: str) -> str:
+    return f"(((({x}) % ({m})) + ({m})) % ({m}))"
+
+
+_P = "CAST(14.6 AS DOUBLE)"
+_I = "CAST(event_id AS DOUBLE)"
+_POS = f"({_pmod(_I, _P)} / {_P})"
+_SQPOS = _pmod(f"{_POS} + 0.25", "1.0")
+_TRPOS = _pmod(f"{_POS} + -0.1", "1.0")
+_LIST_CASE = "CAST(CASE WHEN event_id % 21 < 10 THEN 10.0 WHEN event_id % 21 < 16 THEN 20.0 WHEN event_id % 21 < 20 THEN 0.0 ELSE 7.0 END AS DOUBLE)"
+_SIN = f"100.0 * sin(2 * pi() * {_POS} + 0.3)"
+_SQ = f"CAST(CASE WHEN {_SQPOS} < 0.5 THEN 5.0 ELSE -5.0 END AS DOUBLE)"
+
+ORACLE.update(
+    {
+        "wave_sine": f"SELECT event_id AS i, round({_SIN}, 9) AS out FROM events",
+        "wave_square": f"SELECT event_id AS i, {_SQ} AS out FROM events",
+        "wave_triangle": f"SELECT event_id AS i, round(CASE WHEN {_TRPOS} < 0.5 THEN -100.0 + 400.0 * {_TRPOS} "
+        f"ELSE 100.0 - 400.0 * ({_TRPOS} - 0.5) END, 9) AS out FROM events",
+        "wave_list": f"SELECT event_id AS i, {_LIST_CASE} AS out FROM events",
+        "wave_dataset": "SELECT CAST(event_id + 1 AS INTEGER) AS cycle_count, (event_id + 1) % 10 = 0 AS need_sample, "
+        f"strftime(make_timestamp(CAST(floor(({CLOCK_START} + CAST(event_id + 1 AS DOUBLE) * 0.5) * 1000000) AS BIGINT)), '%Y/%m/%d %H:%M:%S') AS time_str, "
+        f"{CLOCK_START} + CAST(event_id + 1 AS DOUBLE) * 0.5 AS sim_time, round({_SIN}, 9) AS sin1_out, CAST(7.3 AS DOUBLE) AS sq1_period, "
+        f"round({_SIN} + ({_SQ}) * ({_LIST_CASE}), 9) AS combo FROM events",
+        "math_functions": "SELECT event_id, round(abs(value - 250), 9) AS m_abs, round(sqrt(value), 9) AS m_sqrt, round(sin(value), 9) AS m_sin, "
+        "round(cos(value), 9) AS m_cos, round(tan(value), 6) AS m_tan, round(ln(value), 9) AS m_ln, round(ln(value) / ln(10.0), 9) AS m_log10, "
+        "round(exp(value / 100), 9) AS m_exp, round(abs(250 - value), 9) AS m_fabs, round(asin(value / 500), 9) AS m_asin, "
+        "round(acos(value / 500), 9) AS m_acos, round(atan(value), 9) AS m_atan, CAST(floor(value * 1.5) AS DOUBLE) AS m_floor, "
+        "CAST(ceil(value * 1.5) AS DOUBLE) AS m_ceil, least(value, 100.0, value / 2 + 60) AS m_min, greatest(value, 100.0) AS m_max, "
+        "round(pow(value, 0.5), 9) AS m_pow, CAST(floor(value / 7.0) AS DOUBLE) AS m_floordiv, "
+        "round((value - 250) - 7.0 * floor((value - 250) / 7.0), 9) AS m_mod, -value AS m_neg FROM events",
+        "formula_columns": "SELECT event_id, event_type, round(y1, 9) AS y1, round(y1 * 2 - least(value, 10.0), 9) AS y2 FROM ("
+        f"SELECT event_id, event_type, value, sqrt(value) + lag(value, 2, 0.0) OVER {_W} * 0.5 AS y1 FROM events)",
+    }
+)
+
+QUERIES.update(
+    {
+        "wave_sine": wave_sine,
+        "wave_square": wave_square,
+        "wave_triangle": wave_triangle,
+        "wave_list": wave_list,
+        "wave_dataset": wave_dataset,
+        "math_functions": math_functions,
+        "formula_columns": formula_columns,
+    }
+)
+
 FLAGSHIP = "sampled_query"
