@@ -19,6 +19,8 @@ from tagloom.operators import sampling as P
 from tagloom.operators import series as S
 from tagloom.functions import math as M
 from tagloom.functions.formula import formula_columns as _formulas
+from tagloom.sources import csv_template as CSV
+from tagloom.sources import envelope as J
 from tagloom.sources import generate as G
 from tagloom.sources.history import LINEITEM_TAGS, events_history, table, wide_from_lineitem
 
@@ -577,4 +579,85 @@ QUERIES.update(
     }
 )
 
+
+# --- template CSV and JSON envelope (S11-S17) ---------------------------------
+
+def _wide_export(spark: SparkSession, sf: str) -> DataFrame:
+    return wide_from_lineitem(table(spark, sf, "lineitem")).drop("timestamp")
+
+
+def export_projection(spark: SparkSession, sf: str) -> DataFrame:
+    proj = CSV.export_projection(_wide_export(spark, sf), CSV.load_template("ai_loop_tuning"), exclude=["l_orderkey", "l_linenumber"])
+    return proj.drop("_order")
+
+
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-export-{uuid.uuid4().hex}"
+    CSV.export_csv(_wide_export(spark, sf), path, "prediction", exclude=["l_orderkey", "l_linenumber"])
+    back = CSV.read_template_csv(spark, path, "prediction")
+    return back.select("time", *[F.col(f"`{c}`") for c in back.columns if c not in ("time", "time_text")])
+
+
+def _events_wide(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    k = J.decode_fields(ev, "k bigint", value="props", keep=["event_id", "ts", "value"])
+    return k.select(
+        (F.col("event_id") + 1).cast("int").alias("cycle_count"),
+        ((F.col("event_id") + 1) * F.lit(0.5)).alias("sim_time"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time_str"),
+        F.col("value").alias("pump.value"),
+        F.col("k").cast("double").alias("pump.k"),
+    )
+
+
+def json_decode(spark: SparkSession, sf: str) -> DataFrame:
+    return J.decode_fields(table(spark, sf, "events"), "k bigint", value="props", keep=["event_id"])
+
+
+def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    texts = J.encode_envelope(_events_wide(spark, sf))
+    good, _ = J.decode_envelope(texts)
+    return good.select("cycle_count", "sim_time", "datetime", "param_name", "param_value", "instance_name", "param_type")
+
+
+def notification(spark: SparkSession, sf: str) -> DataFrame:
+    return J.notification(_events_wide(spark, sf), keep=["cycle_count"])
+
+
+_TXT = lambda c: f"CAST({c} AS VARCHAR)"
+_SIM = "CAST(l_orderkey * 0.5 AS DOUBLE)"
+
+ORACLE.update(
+    {
+        "export_projection": "SELECT strftime(make_timestamp(CAST(floor(" + _SIM + " * 1000000) AS BIGINT)), '%Y/%m/%d %H:%M:%S') AS \"Timestamp\", "
+        + ", ".join(f"{_TXT(src)} AS \"{tag.upper()}\"" for tag, src in LINEITEM_TAGS)
+        + ", l_returnflag AS \"PUMP.FLAG\" FROM lineitem",
+        "csv_roundtrip": "SELECT make_timestamp(CAST(floor(" + _SIM + ") * 1000000 AS BIGINT)) AS time, "
+        + ", ".join(f"CAST({src} AS DOUBLE) AS \"{tag.upper()}\"" for tag, src in LINEITEM_TAGS)
+        + ", CAST(NULL AS DOUBLE) AS \"PUMP.FLAG\" FROM lineitem",
+        "json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+        "json_roundtrip": "SELECT cycle_count, sim_time, datetime, param_name, param_value, 'pump' AS instance_name, 'variable' AS param_type FROM ("
+        "SELECT CAST(event_id + 1 AS INTEGER) AS cycle_count, CAST((event_id + 1) * 0.5 AS DOUBLE) AS sim_time, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, "
+        "'pump.value' AS param_name, value AS param_value FROM events UNION ALL "
+        "SELECT CAST(event_id + 1 AS INTEGER), CAST((event_id + 1) * 0.5 AS DOUBLE), strftime(ts, '%Y-%m-%d %H:%M:%S'), 'pump.k', "
+        "CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS DOUBLE) FROM events)",
+        "notification": "SELECT CAST(event_id + 1 AS INTEGER) AS cycle_count, '{\"timestamp\":' || CAST(CAST((event_id + 1) * 0.5 AS DOUBLE) AS VARCHAR) "
+        "|| ',\"cycle_count\":' || CAST(event_id + 1 AS VARCHAR) || '}' AS value FROM events",
+    }
+)
+
+QUERIES.update(
+    {
+        "export_projection": export_projection,
+        "csv_roundtrip": csv_roundtrip,
+        "json_decode": json_decode,
+        "json_roundtrip": json_roundtrip,
+        "notification": notification,
+    }
+)
+
 FLAGSHIP = "sampled_query"
