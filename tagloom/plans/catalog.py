@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import ingest as I
 from tagloom.operators import query as Q
 from tagloom.operators import clock as C
+from tagloom.operators import fold as R
 from tagloom.operators import sampling as P
 from tagloom.operators import series as S
 from tagloom.functions import math as M
@@ -660,4 +661,29 @@ QUERIES.update(
     }
 )
 
+
+# --- rate-limited recurrences (R1, R2) -------------------------------------------
+
+def slew_limit(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    out = R.slew_limit(ev, _spec(ev), "value", 0.0, 100.0, full_travel_time=10.0, cycle_time=0.5, initial_opening=0.0, out="opening")
+    return out.select("event_id", "event_type", F.round("opening", 9).alias("opening"))
+
+
+def rand_walk(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    return R.random_walk(ev, _spec(ev), 0.0, 100.0, max_step=3.0, seed=11, out="out").select("event_id", "event_type", "out")
+
+
+ORACLE["slew_limit"] = (
+    "WITH RECURSIVE r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, "
+    "greatest(CAST(0.0 AS DOUBLE), least(CAST(100.0 AS DOUBLE), value)) AS t FROM events),\n"
+    "s(event_type, rn, c) AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE) FROM r UNION ALL "
+    "SELECT s.event_type, s.rn + 1, greatest(CAST(0.0 AS DOUBLE), least(CAST(100.0 AS DOUBLE), CASE WHEN abs(r.t - s.c) <= 5.0 THEN r.t "
+    "WHEN r.t - s.c > 0 THEN s.c + 5.0 ELSE s.c - 5.0 END)) FROM s JOIN r ON r.event_type = s.event_type AND r.rn = s.rn + 1)\n"
+    "SELECT r.event_id, r.event_type, round(s.c, 9) AS opening FROM s JOIN r ON r.event_type = s.event_type AND r.rn = s.rn"
+)
+
+QUERIES.update({"slew_limit": slew_limit, "rand_walk": rand_walk})
+
 FLAGSHIP = "sampled_query"
