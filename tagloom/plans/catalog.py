@@ -23,7 +23,7 @@ from tagloom.functions.formula import formula_columns as _formulas
 from tagloom.sources import csv_template as CSV
 from tagloom.sources import envelope as J
 from tagloom.sources import generate as G
-from tagloom.sources.history import LINEITEM_TAGS, events_history, table, wide_from_lineitem
+from tagloom.sources.history import LINEITEM_TAGS, events_history, history_from_events, table, wide_from_lineitem
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -686,4 +686,125 @@ ORACLE["slew_limit"] = (
 
 QUERIES.update({"slew_limit": slew_limit, "rand_walk": rand_walk})
 
+
+# --- Structured Streaming (T1-T5): availableNow runs over the events table ------
+
+def _stream_paths(spark: SparkSession, tag: str) -> tuple[str, str]:
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/ckpt"
+
+
+def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
+    from tagloom.streaming.ingest import read_table_stream
+
+    return read_table_stream(spark, sf, "events")
+
+
+def _stream_wide(ev: DataFrame) -> DataFrame:
+    return ev.select(
+        F.col("ts").alias("timestamp"),
+        (F.col("event_id") + 1).cast("int").alias("cycle_count"),
+        ((F.col("event_id") + 1) * F.lit(0.5)).alias("sim_time"),
+        ((F.col("event_id") + 1) % 2 == 0).alias("need_sample"),
+        F.col("value").alias("pump.value"),
+        F.col("user_id").alias("valve1.user"),
+        F.col("event_type").alias("pump.kind"),
+    )
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    from tagloom.streaming.ingest import start_history_ingest
+
+    out, ckpt = _stream_paths(spark, "ingest")
+    start_history_ingest(_stream_wide(_events_stream(spark, sf)), out, ckpt, timestamp="timestamp").awaitTermination()
+    return spark.read.parquet(out).select(*[c for c in ("id", "timestamp", "param_name", "param_value", "instance_name", "param_type", "cycle_count", "sim_time")])
+
+
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    from tagloom.streaming.ingest import current_state, run_available
+
+    out, ckpt = _stream_paths(spark, "latest")
+    h = history_from_events(_events_stream(spark, sf))
+    return run_available(current_state(h), out, ckpt, mode="complete").select("param_name", "param_value", "timestamp")
+
+
+def stream_new_tags(spark: SparkSession, sf: str) -> DataFrame:
+    from tagloom.streaming.ingest import new_tags, run_available
+
+    out, ckpt = _stream_paths(spark, "newtags")
+    h = history_from_events(_events_stream(spark, sf))
+    return run_available(new_tags(h), out, ckpt).select("param_name", "instance_name", "param_type")
+
+
+def stream_notification(spark: SparkSession, sf: str) -> DataFrame:
+    from tagloom.streaming.ingest import notifications, run_available
+
+    out, ckpt = _stream_paths(spark, "notify")
+    ev = _events_stream(spark, sf).select((F.col("event_id") + 1).cast("int").alias("cycle_count"), ((F.col("event_id") + 1) * F.lit(0.5)).alias("sim_time"))
+    return run_available(notifications(ev), out, ckpt)
+
+
+def _keyed(spark: SparkSession, sf: str, tag: str, prog: str, inputs: dict, params: dict, outputs: dict | None = None) -> DataFrame:
+    from tagloom.operators.sampling import micros
+    from tagloom.streaming.ingest import keyed_state, run_available
+
+    out, ckpt = _stream_paths(spark, tag)
+    ev = _events_stream(spark, sf).withColumn("us", micros("ts"))
+    res = keyed_state(ev, prog, ["event_type"], "us", inputs, params, passthrough=["event_id"], output_types=outputs)
+    return run_available(res, out, ckpt)
+
+
+def stream_slew(spark: SparkSession, sf: str) -> DataFrame:
+    res = _keyed(spark, sf, "slew", "VALVE", {"target": "value"}, {"full_travel_time": 10.0, "cycle_time": 0.5})
+    return res.select("event_id", "event_type", F.round("current_opening", 9).alias("opening"))
+
+
+def stream_lag(spark: SparkSession, sf: str) -> DataFrame:
+    res = _keyed(spark, sf, "lag", "LAG", {"value": "value"}, {"n": 3, "default": 0.0})
+    return res.select("event_id", "event_type", F.col("lagged").alias("lag3"))
+
+
+def stream_sampler(spark: SparkSession, sf: str) -> DataFrame:
+    res = _keyed(spark, sf, "sampler", "SAMPLER", {}, {"interval_us": 3600 * 1_000_000}, {"kept": "boolean"})
+    return res.filter("kept").select("event_id", "event_type")
+
+
+ORACLE.update(
+    {
+        "stream_ingest": "SELECT row_number() OVER (ORDER BY timestamp, param_name) AS id, timestamp, param_name, param_value, split_part(param_name, '.', 1) AS instance_name, "
+        "CASE WHEN param_name LIKE 'valve%' THEN 'model' ELSE 'variable' END AS param_type, cycle_count, sim_time FROM (SELECT ts AS timestamp, 'pump.value' AS param_name, value AS param_value, "
+        "CAST(event_id + 1 AS INTEGER) AS cycle_count, CAST((event_id + 1) * 0.5 AS DOUBLE) AS sim_time FROM events WHERE (event_id + 1) % 2 = 0 "
+        "UNION ALL SELECT ts, 'valve1.user', CAST(user_id AS DOUBLE), CAST(event_id + 1 AS INTEGER), CAST((event_id + 1) * 0.5 AS DOUBLE) "
+        "FROM events WHERE (event_id + 1) % 2 = 0) u",
+        "stream_latest": _with(
+            "SELECT param_name, param_value, timestamp FROM (SELECT param_name, param_value, timestamp, row_number() OVER "
+            "(PARTITION BY param_name ORDER BY timestamp DESC, id DESC) AS rn FROM history) WHERE rn = 1"
+        ),
+        "stream_new_tags": _with("SELECT DISTINCT param_name, instance_name, param_type FROM history"),
+        "stream_notification": ORACLE["notification"],
+        "stream_slew": ORACLE["slew_limit"],
+        "stream_lag": ORACLE["lag_default"].replace("event_id, event_type, value, lag(", "event_id, event_type, lag("),
+        "stream_sampler": "WITH RECURSIVE s(event_type, t) AS (SELECT event_type, min(ts) FROM events GROUP BY event_type UNION ALL "
+        "SELECT s.event_type, (SELECT min(e.ts) FROM events e WHERE e.event_type = s.event_type AND e.ts >= s.t + INTERVAL 3600 SECOND) "
+        "FROM s WHERE s.t IS NOT NULL)\n"
+        "SELECT e.event_id, e.event_type FROM events e JOIN s ON e.event_type = s.event_type AND e.ts = s.t",
+    }
+)
+
+QUERIES.update(
+    {
+        "stream_ingest": stream_ingest,
+        "stream_latest": stream_latest,
+        "stream_new_tags": stream_new_tags,
+        "stream_notification": stream_notification,
+        "stream_slew": stream_slew,
+        "stream_lag": stream_lag,
+        "stream_sampler": stream_sampler,
+    }
+)
+
 FLAGSHIP = "sampled_query"
