@@ -10,8 +10,9 @@ Plan (every Python group is one ``(series, chunk)``, never a whole series):
 1. prepare the rows (held, clamped target; chunk key) and checkpoint them;
 2. per chunk, fold from both ends ``lo`` and ``hi``; once the two paths meet,
    every entry state gives the same path, so the chunk exit is known;
-3. chunks whose paths never met get their exit from the exact entry (the
-   previous chunk's exit) in a few rounds over just those chunks;
+3. runs of consecutive chunks whose paths never met fold from the run's known
+   entry in one group (row count checked against a cap); runs over the cap
+   resolve chunk by chunk from the previous chunk's exit;
 4. final pass: each chunk folds from its exact entry and emits its rows.
 
 The per-row loop is a small Python helper inside ``applyInPandas``.
@@ -62,12 +63,30 @@ def _summary_fn(by, order, lo, hi, dist):
         met = a == b
         exit_ = _walk(ts[k:], a, lo, hi, dist) if met else None
         row = {c: [pdf[c].iloc[0]] for c in by}
-        row.update({"_chunk": [int(pdf["_chunk"].iloc[0])], "_met": [bool(met)], "_exit": [exit_], "_init": [float(pdf["_init"].iloc[0])]})
+        row.update({"_chunk": [int(pdf["_chunk"].iloc[0])], "_met": [bool(met)], "_exit": [exit_], "_init": [float(pdf["_init"].iloc[0])], "_n": [len(ts)]})
         return pd.DataFrame(row)
 
     return run
 
 
+def _run_fn(by, order, lo, hi, dist):
+    """Fold a run of consecutive unresolved chunks from the run entry; one exit per chunk."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _sorted(pdf, ["_chunk", *order])
+        c = float(pdf["_entry"].iloc[0])
+        chunks, exits = [], []
+        for ch, part in pdf.groupby("_chunk", sort=True):
+            c = _walk(part["_T"].tolist(), c, lo, hi, dist)
+            chunks.append(int(ch))
+            exits.append(c)
+        out = {col: [pdf[col].iloc[0]] * len(chunks) for col in by}
+        out.update({"_chunk": chunks, "_new": exits})
+        return pd.DataFrame(out)
+
+    return run
+
+
 def _exit_fn(by, order, lo, hi, dist):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf, order)
@@ -99,7 +118,7 @@ def _chunk_table(summary: DataFrame, by: Sequence[str], reset_first: bool = Fals
     argument does not hold, so they always take the exact path.
     """
     w = Window.partitionBy(*by).orderBy("_chunk")
-    t = summary.select(*by, "_chunk", "_met", "_exit", "_init", (F.row_number().over(w) == 1).alias("_first"))
+    t = summary.select(*by, "_chunk", "_met", "_exit", "_init", "_n", (F.row_number().over(w) == 1).alias("_first"))
     if reset_first:
         t = t.withColumn("_exit", F.when(F.col("_first"), F.lit(None).cast("double")).otherwise(F.col("_exit")))
     return t.withColumn("_prev_exit", F.lag("_exit").over(w))
@@ -119,6 +138,7 @@ def chunked_fold(
     initial: Column,
     out: str,
     max_rounds: int = 10_000,
+    max_run_rows: int = 1 << 22,
 ) -> DataFrame:
     """Exact per-series fold of the limited step over ``target`` (already held and clamped)."""
     spark = df.sparkSession
@@ -128,11 +148,31 @@ def chunked_fold(
     prep = df.withColumn("_chunk", spec.chunk.cast("long")).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
     prep = prep.checkpoint(eager=True)
     schema_by = [prep.schema[c] for c in by]
-    summ_schema = T.StructType(schema_by + [T.StructField("_chunk", T.LongType()), T.StructField("_met", T.BooleanType()), T.StructField("_exit", T.DoubleType()), T.StructField("_init", T.DoubleType())])
+    summ_schema = T.StructType(
+        schema_by
+        + [T.StructField("_chunk", T.LongType()), T.StructField("_met", T.BooleanType()), T.StructField("_exit", T.DoubleType()), T.StructField("_init", T.DoubleType()), T.StructField("_n", T.LongType())]
+    )
     keys = [*by, "_chunk"]
     summary = prep.select(*keys, *order, "_T", "_init").groupBy(*keys).applyInPandas(_summary_fn(by, order, lo, hi, dist), summ_schema)
     table = _chunk_table(summary, by, reset_first=True).checkpoint(eager=True)
     exit_schema = T.StructType(schema_by + [T.StructField("_chunk", T.LongType()), T.StructField("_new", T.DoubleType())])
+    # Runs of consecutive unresolved chunks (each starts after a resolved chunk or
+    # at the series start, so its entry is known) fold in one group when the
+    # run holds at most ``max_run_rows`` rows; longer runs go chunk by chunk below.
+    w = Window.partitionBy(*by).orderBy("_chunk")
+    unres = F.col("_exit").isNull()
+    runs = table.withColumn("_start", F.when(unres & (F.col("_first") | F.col("_prev_exit").isNotNull()), F.col("_chunk")))
+    runs = runs.withColumn("_run", F.when(unres, F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    runs = runs.filter(F.col("_run").isNotNull())
+    wr = Window.partitionBy(*by, "_run")
+    runs = runs.withColumn("_run_rows", F.sum("_n").over(wr)).withColumn(
+        "_entry", F.first(F.when(F.col("_chunk") == F.col("_run"), _entry()), ignorenulls=True).over(wr)
+    )
+    small = runs.filter(F.col("_run_rows") <= max_run_rows).select(*keys, "_run", "_entry")
+    run_rows = prep.select(*keys, *order, "_T").join(small, keys)
+    solved = run_rows.groupBy(*by, "_run").applyInPandas(_run_fn(by, order, lo, hi, dist), exit_schema)
+    merged = table.drop("_first", "_prev_exit").join(solved, keys, "left").withColumn("_exit", F.coalesce("_exit", "_new")).drop("_new")
+    table = _chunk_table(merged, by).checkpoint(eager=True)
     for _ in range(max_rounds):
         ready = table.filter(F.col("_exit").isNull() & (F.col("_first") | F.col("_prev_exit").isNotNull())).select(*keys, _entry().alias("_entry"))
         if ready.isEmpty():

@@ -173,10 +173,10 @@ def lag(
 
 
 def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
-    """``max(lo, min(hi, x))``."""
+    """``max(lo, min(hi, x))``; NULL stays NULL (Spark's least/greatest would skip it)."""
     lo = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi = hi if isinstance(hi, Column) else F.lit(float(hi))
-    return F.greatest(lo, F.least(hi, x))
+    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(lo, F.least(hi, x)))
 
 
 # PID defaults.
