@@ -167,7 +167,7 @@ def keyed_state(
     passthrough: Sequence[str] = (),
     output_types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """T5: run a registered program per series key on a stream (or a static frame).
+    """T5: run a registered program per series key on a stream (streaming frames only).
 
     ``order_col`` must be a BIGINT event-time key (e.g. epoch microseconds).
     ``inputs`` maps program input names to columns. Output: key, passthrough
