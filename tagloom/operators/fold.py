@@ -7,7 +7,7 @@ starts between two others stays between them.
 
 Plan (every Python group is one ``(series, chunk)``, never a whole series):
 
-1. prepare the rows (held, clamped target; chunk key) and checkpoint them;
+1. prepare the rows (held, clamped target; chunk key) and persist them;
 2. per chunk, fold from both ends ``lo`` and ``hi``; once the two paths meet,
    every entry state gives the same path, so the chunk exit is known;
 3. runs of consecutive chunks whose paths never met fold from the run's known
@@ -24,6 +24,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,7 +147,7 @@ def chunked_fold(
     by, order = list(spec.by), list(spec.order)
     keep = list(df.columns)
     prep = df.withColumn("_chunk", spec.chunk.cast("long")).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
-    prep = prep.checkpoint(eager=True)
+    prep = prep.persist(StorageLevel.MEMORY_AND_DISK)
     schema_by = [prep.schema[c] for c in by]
     summ_schema = T.StructType(
         schema_by

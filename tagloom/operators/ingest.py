@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,21 +114,48 @@ def snapshots_to_history(
     # rename and the real names come back from a literal array lookup.
     renamed = base.select(*ids, *[_q(t).alias(f"_t{i}") for i, t in enumerate(tags)])
     long = renamed.unpivot(ids, [f"_t{i}" for i in range(len(tags))], "_slot", "param_value")
-    names = F.array(*[F.lit(t) for t in tags])
-    slot = F.substr(F.col("_slot"), F.lit(3)).cast("int")
-    long = long.filter(F.col("param_value").isNotNull()).withColumn("param_name", F.element_at(names, slot + 1))
+    # instance and type are functions of the tag name: derive them once per tag
+    # (a literal array lookup per row) instead of string work on every row.
+    names, insts, kinds = _tag_tables(base.sparkSession, tags)
+    slot = F.substr(F.col("_slot"), F.lit(3)).cast("int") + 1
+    long = long.filter(F.col("param_value").isNotNull())
     return long.select(
         "timestamp",
-        "param_name",
+        F.element_at(names, slot).alias("param_name"),
         "param_value",
-        instance_of("param_name").alias("instance_name"),
-        classify_instance(instance_of("param_name")).alias("param_type"),
+        F.element_at(insts, slot).alias("instance_name"),
+        F.element_at(kinds, slot).alias("param_type"),
         "cycle_count",
         "sim_time",
         *id_columns,
     )
 
 
+def tag_instance(tag: str) -> str:
+    """Driver-side twin of :func:`instance_of` for literal tag names."""
+    return tag.split(".", 1)[0] if "." in tag else UNKNOWN_INSTANCE
+
+
+def tag_type(instance: str) -> str:
+    """Driver-side twin of :func:`classify_instance` for literal instance names."""
+    low = instance.lower()
+    if any(m in low for m in ALGORITHM_MARKERS):
+        return "algorithm"
+    if any(m in low for m in MODEL_MARKERS):
+        return "model"
+    return "variable"
+
+
+def _tag_tables(spark, tags: Sequence[str]) -> tuple[Column, Column, Column]:
+    """Literal arrays of tag name, instance and type for the unpivot slots."""
+
+    def lit_arr(vals):
+        return F.array(*[F.lit(v) for v in vals])
+
+    insts = [tag_instance(t) for t in tags]
+    return lit_arr(tags), lit_arr(insts), lit_arr([tag_type(i) for i in insts])
+
+
 def map_snapshots_to_history(df: DataFrame, params: str = "params", timestamp: str | Column = "timestamp") -> DataFrame:
     """Map form of ingest: ``params MAP<STRING, ?>`` exploded, values ``try_cast`` to double, bad ones dropped."""
     ts_col = F.col(timestamp) if isinstance(timestamp, str) else timestamp
@@ -163,17 +191,18 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num
     A tiny per-partition count table (one row per partition, a proven bound)
     turns positions into global ids through a broadcast join. No single-task
     window over raw rows. The order key must be unique so positions inside a
-    partition are well defined.
+    partition are well defined. The sorted frame stays persisted (MEMORY_AND_DISK)
+    for the returned plan; ``unpersist`` it after writing.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds are sampled with a seed that differs per job, so the layout
-    # is fixed once by a reliable checkpoint: the count job and the id job then
-    # read identical partitions (and a lost executor re-reads, not re-samples).
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).checkpoint(eager=True)
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    # Range bounds are sampled per physical plan (a new seed per job). Persisting
+    # the sorted frame makes both jobs below use one plan, hence one set of bounds;
+    # a lost block is recomputed through the same fixed partitioner.
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     tagged = tagged.withColumn("_part", F.shiftright(F.col("_mid"), 33)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )

@@ -10,8 +10,8 @@ Let ``s(t)`` be the first timestamp ``>= t + I``; the kept set is the chain
 ``t0, s(t0), s(s(t0)), ...``.
 
 1. Distinct timestamps (partial aggregation first) are range-partitioned and
-   sorted once, then written with a reliable checkpoint so both passes below
-   see identical partitions (range bounds are re-sampled per job otherwise).
+   sorted once and persisted, so both passes below run on one physical plan and
+   see identical partitions (range bounds are re-sampled per plan otherwise).
 2. Pass A, per partition (``mapInPandas``, numpy): ``s`` by ``searchsorted``
    and, by pointer doubling inside the partition, where each chain leaves the
    partition. The chain can only *enter* a partition at one of its first
@@ -33,7 +33,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +188,9 @@ def greedy_kept_micros(rows: DataFrame, interval_seconds: float, ts_col: str = "
     step = interval_micros(interval_seconds)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.select(micros(ts_col).alias("us")).filter(F.col("us").isNotNull()).distinct()
-    ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").checkpoint(eager=True)
+    # one physical plan (hence one set of range bounds) for both passes; recomputation
+    # of a lost block goes through the same fixed partitioner
+    ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").persist(StorageLevel.MEMORY_AND_DISK)
     cands = ranged.mapInPandas(_candidates_fn(step), "part long, pmin long, pmax long, cand long, exit long")
     n_cands = cands.count()
     if n_cands <= DRIVER_CANDIDATE_LIMIT:

@@ -183,6 +183,23 @@ def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
 PID_DEFAULTS = {"PB": 12.0, "TI": 30.0, "TD": 0.15, "H": 100.0, "L": 0.0, "PV": 0.0, "SV": 0.0}
 
 
+def hold_last_many(df: DataFrame, spec: SeriesSpec, cols: dict[str, tuple[str, float | None]]) -> DataFrame:
+    """W2 for several columns in one chunked pass: ``{out: (col, initial)}``."""
+    d, w = _chunked(df, spec)
+    frame = w.rowsBetween(Window.unboundedPreceding, 0)
+    for out, (col, _) in cols.items():
+        d = d.withColumn(f"_in_{out}", F.last(F.col(col), ignorenulls=True).over(frame))
+    lasts = d.groupBy(*spec.by, "_chunk").agg(
+        *[F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*spec.order_cols()))).alias(f"_last_{out}") for out, (col, _) in cols.items()]
+    )
+    prev = _chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*spec.by, "_chunk", *[F.last(f"_last_{out}", ignorenulls=True).over(prev).alias(f"_c_{out}") for out in cols])
+    res = d.join(carry, [*spec.by, "_chunk"])
+    for out, (_, init) in cols.items():
+        res = res.withColumn(out, F.coalesce(F.col(f"_in_{out}"), F.col(f"_c_{out}"), F.lit(init).cast("double")))
+    return res.drop("_chunk", *[f"_in_{o}" for o in cols], *[f"_c_{o}" for o in cols])
+
+
 def pid_response(
     df: DataFrame,
     spec: SeriesSpec,
@@ -203,17 +220,33 @@ def pid_response(
     sum of e * dt (W3); rate = (e - e_prev) / dt with e_prev = 0 first (W4);
     MV = clamp(PB*e + PB/TI*integral + PB*TD*rate, L, H) (W5). The clamped MV
     never feeds back, so the controller is an exact window composition.
+    Two chunked passes: held PV/SV, then integral and previous error together.
     Adds ``error``, ``integral``, ``derivative``, ``mv``.
     """
-    d = hold_last(df, spec, pv, initial=PV0, out="_pv")
+    holds = {"_pv": (pv, PV0)}
     if isinstance(sv, str):
-        d = hold_last(d, spec, sv, initial=SV0, out="_sv")
-    else:
+        holds["_sv"] = (sv, SV0)
+    d = hold_last_many(df, spec, holds)
+    if not isinstance(sv, str):
         d = d.withColumn("_sv", F.lit(float(sv)))
     d = d.withColumn("error", F.col("_sv") - F.col("_pv"))
-    d = running_sum(d, spec, F.col("error") * F.lit(cycle_time), "integral")
-    d = previous_value(d, spec, "error", default=0.0, out="_eprev")
+    # pass 2: running sum of e*dt and previous e, sharing one window and one chunk table
+    d, w = _chunked(d, spec)
+    d = d.withColumn("_v", F.col("error") * F.lit(cycle_time))
+    d = d.withColumn("_in", F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_lag", F.lag("error", 1).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    summ = d.groupBy(*spec.by, "_chunk").agg(F.sum("_v").alias("_tot"), F.max_by("error", F.struct(*spec.order_cols())).alias("_last"))
+    cw = _chunk_window(spec)
+    carry = summ.select(
+        *spec.by,
+        "_chunk",
+        F.coalesce(F.sum("_tot").over(cw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_carry"),
+        F.coalesce(F.lag("_last", 1).over(cw), F.lit(0.0)).alias("_plast"),
+    )
+    d = d.join(carry, [*spec.by, "_chunk"])
+    d = d.withColumn("integral", F.col("_in") + F.col("_carry"))
+    d = d.withColumn("_eprev", F.when(F.col("_first"), F.col("_plast")).otherwise(F.col("_lag")))
     d = d.withColumn("derivative", (F.col("error") - F.col("_eprev")) / F.lit(cycle_time))
     i_term = F.lit(PB / TI) * F.col("integral") if TI > 0 else F.lit(0.0)
     raw = F.lit(PB) * F.col("error") + i_term + F.lit(PB * TD) * F.col("derivative")
-    return d.withColumn("mv", clamp(raw, L, H)).drop("_pv", "_sv", "_eprev")
+    return d.withColumn("mv", clamp(raw, L, H)).drop("_pv", "_sv", "_eprev", "_v", "_in", "_lag", "_first", "_carry", "_plast", "_chunk")

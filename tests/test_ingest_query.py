@@ -58,6 +58,7 @@ def test_tag_split_and_type(spark, tag, inst, kind):
         I.instance_of("t").alias("i"), I.classify_instance(I.instance_of("t")).alias("k"), I.attribute_of("t").alias("a")
     ).first()
     assert (r.i, r.k) == (inst, kind)
+    assert (I.tag_instance(tag), I.tag_type(I.tag_instance(tag))) == (inst, kind)
     assert r.a == (tag.split(".", 1)[1] if "." in tag else tag)
 
 
