@@ -25,6 +25,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # fall back from whole-stage codegen when a generated method is too large
+        # for the JIT (8000 bytes); wide projections (36+ waves/tags) otherwise
+        # run as interpreted bytecode, ~4x slower
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )

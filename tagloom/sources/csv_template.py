@@ -73,15 +73,15 @@ def template_exists(name: str) -> bool:
     return name in TEMPLATES
 
 
-def py_double_text(x: Column) -> Column:
-    """Python ``str(float)`` text of a double, built from Java's digits (JVM only).
+def py_text_from_java(s: Column) -> Column:
+    """Python ``str(float)`` text from Java's double text ``s`` (JVM only).
 
     Python prints plain decimals for 1e-4 <= |x| < 1e16 and ``d.ddde+XX``
-    outside; Java switches at 1e-3 and 1e7. The digits are taken from Java's
-    text and re-laid out (Java 17 can, in rare cases, print one digit more than
-    the shortest round-trip form).
+    outside; Java switches at 1e-3 and 1e7, and spells NaN / Infinity
+    differently. Java text without an exponent is already Python's; the rest is
+    re-laid out from Java's digits (Java 17 can, in rare cases, print one digit
+    more than the shortest round-trip form).
     """
-    s = x.cast("string")
     pat = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
     sign = F.regexp_extract(s, pat, 1)
     d0 = F.regexp_extract(s, pat, 2)
@@ -99,19 +99,20 @@ def py_double_text(x: Column) -> Column:
     mant = F.when(F.length(frac) == 0, d0).otherwise(F.concat(d0, F.lit("."), frac))
     exp_txt = F.concat(F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
     sci = F.concat(sign, mant, F.lit("e"), exp_txt)
-    is_sci = s.rlike(pat)
     return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), F.lit("nan"))
-        .when(x == float("inf"), F.lit("inf"))
-        .when(x == float("-inf"), F.lit("-inf"))
-        .when(~is_sci, s)
+        F.when(s.isNull(), F.lit(None).cast("string"))
+        .when(F.instr(s, "E") == 0, F.when(s == "NaN", F.lit("nan")).when(s == "Infinity", F.lit("inf")).when(s == "-Infinity", F.lit("-inf")).otherwise(s))
         .when((e >= 7) & (e < 16), big)
         .when(e == -4, small)
         .otherwise(sci)
     )
 
 
+def py_double_text(x: Column) -> Column:
+    """Python ``str(float)`` text of a double column."""
+    return py_text_from_java(x.cast("double").cast("string"))
+
+
 def value_text(col: Column, dtype: T.DataType) -> Column:
     """``str(value)`` as Python writes it into the CSV; NULL -> empty field."""
     if isinstance(dtype, T.BooleanType):
@@ -129,62 +130,74 @@ def export_columns(wide: DataFrame, extra_excluded: Sequence[str] = ()) -> list[
     return [c for c in wide.columns if c not in skip]
 
 
-def export_projection(wide: DataFrame, template: ExportTemplate, exclude: Sequence[str] = ()) -> DataFrame:
-    """S11 rows as text: sampled rows only (missing/NULL ``need_sample`` = false), time first.
-
-    Returns columns ``[time_column_name, TAG1, TAG2, ...]`` (header names upper-cased
-    when the template says so) plus ``_order`` (the sim time) for ordering.
-    """
+def _sampled_rows(wide: DataFrame, template: ExportTemplate, exclude: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Sampled rows (missing/NULL ``need_sample`` = false) with the tag columns and ``_order`` = sim time."""
     if "need_sample" in wide.columns:
         rows = wide.filter(F.coalesce(F.col("need_sample").cast("boolean"), F.lit(False)))
     else:
         rows = wide.filter(F.lit(False))
     tags = export_columns(wide, exclude)
-    sim = F.coalesce(F.col("sim_time").cast("double"), F.lit(0.0)) if "sim_time" in wide.columns else F.lit(0.0)
     names = [t.upper() if template.uppercase_column_names else t for t in tags]
     if len(set(names)) != len(names):
         raise ValueError("export column names collide after upper-casing")
-    cols = [F.date_format(seconds_to_ntz(sim), strftime_to_java(template.time_format)).alias(template.time_column_name)]
+    sim = F.coalesce(F.col("sim_time").cast("double"), F.lit(0.0)) if "sim_time" in wide.columns else F.lit(0.0)
+    return rows.select(*[F.col(f"`{t}`") for t in tags], sim.alias("_order")), tags, names
+
+
+def _text_rows(rows: DataFrame, types: dict, tags: list[str], names: list[str], template: ExportTemplate) -> DataFrame:
+    """Text projection: time column first, then one text column per tag, plus ``_order``."""
+    cols = [F.date_format(seconds_to_ntz(F.col("_order")), strftime_to_java(template.time_format)).alias(template.time_column_name)]
     # Doubles are formatted by one lambda over an array of all double tags: the
-    # text rule exists once in the plan whatever the tag count (36 inlined
-    # copies exceed the generated-method size limit and fall back slowly).
-    doubles = [t for t in tags if isinstance(wide.schema[t].dataType, (T.DoubleType, T.FloatType))]
+    # text rule exists once in the plan whatever the tag count. Inlined per
+    # column it exceeds the generated-method size limit (slow fallback), and
+    # per-column lambdas cost a row copy each (measured: 1.5x slower).
+    doubles = [t for t in tags if isinstance(types[t], (T.DoubleType, T.FloatType))]
     pos = {t: i for i, t in enumerate(doubles)}
-    texts = F.transform(F.array(*[F.col(f"`{t}`").cast("double") for t in doubles]), py_double_text) if doubles else None
-    staged = rows.select(*[F.col(f"`{t}`") for t in tags], sim.alias("_order"), *([texts.alias("_dtxt")] if doubles else []))
+    staged = rows
+    if doubles:
+        java_text = F.array(*[F.col(f"`{t}`").cast("double") for t in doubles]).cast("array<string>")  # compiled
+        staged = rows.withColumn("_dtxt", F.transform(java_text, py_text_from_java))
     for t, n in zip(tags, names):
         if t in pos:
             cols.append(F.element_at(F.col("_dtxt"), pos[t] + 1).alias(n))
         else:
-            cols.append(value_text(F.col(f"`{t}`"), wide.schema[t].dataType).alias(n))
-    cols[0] = F.date_format(seconds_to_ntz(F.col("_order")), strftime_to_java(template.time_format)).alias(template.time_column_name)
+            cols.append(value_text(F.col(f"`{t}`"), types[t]).alias(n))
     return staged.select(*cols, "_order")
 
 
+def export_projection(wide: DataFrame, template: ExportTemplate, exclude: Sequence[str] = ()) -> DataFrame:
+    """S11 rows as text, time first (columns ``[time_column_name, TAG1, ...]`` + ``_order``)."""
+    rows, tags, names = _sampled_rows(wide, template, exclude)
+    return _text_rows(rows, {t: wide.schema[t].dataType for t in tags}, tags, names, template)
+
+
 def export_csv(wide: DataFrame, path: str, template: ExportTemplate | str, single_file: bool = False, exclude: Sequence[str] = (), num_partitions: int | None = None) -> int:
-    """Write the template CSV under ``path``; returns 0 when there is nothing to export (no file), else 1."""
+    """Write the template CSV under ``path``; returns 0 when there is nothing to export (no file), else 1.
+
+    Plan: sampled raw rows are range-partitioned and sorted by sim time (the
+    range sampling job only evaluates the cheap raw rows); text is built after
+    the exchange, once. The header rows are a one-partition frame unioned in
+    front: a union keeps its children's partition order, so part files in
+    name order concatenate into the CSV (header first). ``single_file`` merges
+    the ordered partitions into one writer task.
+    """
     template = load_template(template) if isinstance(template, str) else template
-    proj = export_projection(wide, template, exclude).withColumn("_rank", F.lit(0))
-    if proj.isEmpty():
+    rows, tags, names = _sampled_rows(wide, template, exclude)
+    if rows.isEmpty():
         return 0
     spark = wide.sparkSession
-    header_names = [c for c in proj.columns if c not in ("_order", "_rank")]
-    header = [tuple(header_names)]
+    n = 1 if single_file else (num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartition(1) if n == 1 else rows.repartitionByRange(n, "_order")
+    text = _text_rows(ordered.sortWithinPartitions("_order"), {t: wide.schema[t].dataType for t in tags}, tags, names, template).drop("_order")
+    header = [tuple([template.time_column_name, *names])]
     if template.header_rows == 2:
-        header.append(tuple([DEFAULT_TIME_DESCRIPTION] + [DEFAULT_PARAM_DESCRIPTION] * (len(header_names) - 1)))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header_names))] + [T.StructField("_order", T.DoubleType()), T.StructField("_rank", T.IntegerType())])
-    hdr = spark.createDataFrame([h + (float("-inf"), -len(header) + k) for k, h in enumerate(header)], schema)
-    body = proj.toDF(*[f"c{i}" for i in range(len(header_names))], "_order", "_rank")
-    allrows = hdr.unionByName(body)
+        header.append(tuple([DEFAULT_TIME_DESCRIPTION] + [DEFAULT_PARAM_DESCRIPTION] * len(names)))
+    hdr = spark.createDataFrame(header, text.schema).coalesce(1)
+    allrows = hdr.union(text)
     if single_file:
-        # text built in parallel by the map tasks; the one writer task sorts (no range-sampling job)
-        ordered = allrows.repartition(1).sortWithinPartitions("_order", "_rank")
-    else:
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = allrows.repartitionByRange(n, "_order", "_rank").sortWithinPartitions("_order", "_rank")
+        allrows = allrows.coalesce(1)
     (
-        ordered.drop("_order", "_rank")
-        .write.mode("overwrite")
+        allrows.write.mode("overwrite")
         .option("header", False)
         .option("escape", '"')
         .option("emptyValue", "")
