@@ -151,9 +151,11 @@ def lag(
     that already holds the current value (``n - 1`` back). ``initial`` seeds
     one value before the first row (the cycle-0 value).
 
-    n = 1 uses the chunk carry (no extra shuffle of the data); n > 1 joins the
-    series to itself on its dense row number (equi-join on (series, rn),
-    spread evenly whatever the series sizes).
+    n = 1 uses the chunk carry. n > 1 uses a halo: rows past the first n of
+    their chunk take the in-chunk lag; the first n rows of each chunk (heads)
+    look up their value among the last n rows of every chunk (tails) by dense
+    per-series row number. Heads and tails are at most n rows per chunk, so the
+    only full-data shuffle is the chunk window's.
     """
     out = out or f"{col}_lag{abs(n)}"
     k = abs(int(n)) - (1 if inclusive else 0)
@@ -161,15 +163,36 @@ def lag(
         return df.withColumn(out, F.col(col).cast("double"))
     if k == 1 and initial is None:
         return previous_value(df, spec, col, default=default, out=out)
-    numbered = row_numbers(df, spec, "_rn")
-    src = numbered.select(*[F.col(b).alias(f"_s_{b}") for b in spec.by], (F.col("_rn") + k).alias("_s_rn"), F.col(col).alias("_s_v"))
-    cond = [F.col(b) == F.col(f"_s_{b}") for b in spec.by] + [F.col("_rn") == F.col("_s_rn")]
-    j = numbered.join(src, cond, "left")
+    d, w = _chunked(df, spec)
+    d = d.withColumn("_i", F.row_number().over(w)).withColumn("_in", F.lag(F.col(col), k).over(w))
+    counts = d.groupBy(*spec.by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select(
+        *spec.by,
+        "_chunk",
+        "_n",
+        F.coalesce(F.sum("_n").over(_chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+    )
+    d = d.join(offs, [*spec.by, "_chunk"]).withColumn("_rn", F.col("_off") + F.col("_i"))
+    helpers = ["_i", "_in", "_n", "_off", "_rn", "_chunk"]
+    body = d.filter(F.col("_i") > k).withColumn(out, F.col("_in").cast("double"))
+    heads = d.filter(F.col("_i") <= k)
+    # last k rows per chunk via a descending row_number filter: Spark plans it as
+    # a group limit below the shuffle, so only k rows per chunk and task move
+    wd = Window.partitionBy(*spec.by, "_chunk").orderBy(*[c.desc() for c in spec.order_cols()])
+    tails = df.withColumn("_chunk", spec.chunk).withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= k)
+    tails = tails.join(offs, [*spec.by, "_chunk"]).select(
+        *[F.col(b).alias(f"_s_{b}") for b in spec.by],
+        (F.col("_off") + F.col("_n") - F.col("_r") + 1).alias("_s_rn"),
+        F.col(col).cast("double").alias("_s_v"),
+    )
+    cond = [F.col(b) == F.col(f"_s_{b}") for b in spec.by] + [(F.col("_rn") - k) == F.col("_s_rn")]
+    hj = heads.join(tails, cond, "left")
     fallback = F.lit(default).cast("double")
     if initial is not None:
         fallback = F.when(F.col("_rn") == k, F.lit(initial).cast("double")).otherwise(fallback)
-    j = j.withColumn(out, F.when(F.col("_s_rn").isNotNull(), F.col("_s_v").cast("double")).otherwise(fallback))
-    return j.drop(*[f"_s_{b}" for b in spec.by], "_s_rn", "_s_v", "_rn")
+    hj = hj.withColumn(out, F.when(F.col("_s_rn").isNotNull(), F.col("_s_v")).otherwise(fallback))
+    hj = hj.drop(*[f"_s_{b}" for b in spec.by], "_s_rn", "_s_v")
+    return body.drop(*helpers).unionByName(hj.drop(*helpers))
 
 
 def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
