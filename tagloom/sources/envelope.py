@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.operators.ingest import classify_instance, instance_of, tag_columns
 from tagloom.schema import ENVELOPE_SCHEMA, NOTIFICATION_SCHEMA
@@ -55,16 +56,26 @@ def notification(wide: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+_DECODE_SCHEMA = T.StructType(
+    [f if f.name != "params" else T.StructField("params", T.MapType(T.StringType(), T.StringType())) for f in ENVELOPE_SCHEMA.fields]
+    + [T.StructField("_corrupt", T.StringType())]
+)
+
+
 def decode_envelope(texts: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """``(good, rejected)``. ``good`` has one row per tag of each valid envelope.
+    """``(good, rejected)``. ``good`` has one row per numeric tag of each valid envelope.
 
-    Rejected rows keep the raw text and a reason: ``malformed`` (not an
-    envelope object) or ``no_params`` (missing or empty ``params``).
+    One PERMISSIVE parse per row: text that is not a JSON object lands in the
+    corrupt-record column (``malformed``); objects without params, or with an
+    empty map, are ``no_params``. Param values are read as text and
+    ``try_cast`` to double, so a non-numeric tag is dropped (S8) without
+    rejecting the whole envelope.
     """
-    parsed = texts.select(*keep, F.col(value).alias("_raw"), F.from_json(F.col(value), ENVELOPE_SCHEMA, {"mode": "PERMISSIVE"}).alias("env"))
-    ok_obj = F.col("_raw").isNotNull() & F.col("_raw").rlike(r"^\s*\{") & F.col("env").isNotNull() & F.expr("try_parse_json(_raw) IS NOT NULL")
-    has_params = F.col("env.params").isNotNull() & (F.size("env.params") > 0)
-    reason = F.when(~ok_obj | ok_obj.isNull(), F.lit("malformed")).when(~has_params, F.lit("no_params"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = texts.select(*keep, F.col(value).alias("_raw"), F.from_json(F.col(value), _DECODE_SCHEMA, opts).alias("env"))
+    malformed = F.col("_raw").isNull() | F.col("env").isNull() | F.col("env._corrupt").isNotNull()
+    no_params = F.col("env.params").isNull() | (F.size("env.params") == 0)
+    reason = F.when(malformed, F.lit("malformed")).when(no_params, F.lit("no_params"))
     tagged = parsed.withColumn("_reason", reason)
     rejected = tagged.filter(F.col("_reason").isNotNull()).select(*keep, F.col("_raw").alias(value), F.col("_reason").alias("reason"))
     good = tagged.filter(F.col("_reason").isNull()).select(
@@ -73,8 +84,9 @@ def decode_envelope(texts: DataFrame, value: str = "value", keep: Sequence[str]
         F.col("env.datetime").alias("datetime"),
         F.col("env.cycle_count").alias("cycle_count"),
         F.col("env.sim_time").alias("sim_time"),
-        F.explode("env.params").alias("param_name", "param_value"),
+        F.explode("env.params").alias("param_name", "_text"),
     )
+    good = good.withColumn("param_value", F.col("_text").try_cast("double")).filter(F.col("param_value").isNotNull()).drop("_text")
     good = good.withColumn("instance_name", instance_of("param_name")).withColumn("param_type", classify_instance(instance_of("param_name")))
     return good, rejected
 

@@ -79,10 +79,14 @@ def test_time_parse_fallback(spark):
 def test_envelope_roundtrip_and_rejects(spark):
     wide = spark.createDataFrame([(1, 0.5, "t0", 50.5, 30.0)], "cycle_count int, sim_time double, time_str string, `tank1.level` double, `pid1.mv` double")
     texts = J.encode_envelope(wide)
-    bad = spark.createDataFrame([("{",), (None,), ('{"params":{}}',), ('{"timestamp": 1}',)], "value string")
+    bad = spark.createDataFrame([("{",), (None,), ('{"params":{}}',), ('{"timestamp": 1}',), ("[1,2]",), ('{"params":{"v1.x":"abc","v2.y":7}}',)], "value string")
     good, rejected = J.decode_envelope(texts.unionByName(bad))
-    assert sorted((r.param_name, r.param_value, r.param_type) for r in good.collect()) == [("pid1.mv", 30.0, "algorithm"), ("tank1.level", 50.5, "model")]
-    assert sorted(r.reason for r in rejected.collect()) == ["malformed", "malformed", "no_params", "no_params"]
+    assert sorted((r.param_name, r.param_value, r.param_type) for r in good.collect()) == [
+        ("pid1.mv", 30.0, "algorithm"),
+        ("tank1.level", 50.5, "model"),
+        ("v2.y", 7.0, "variable"),
+    ]
+    assert sorted(r.reason for r in rejected.collect()) == ["malformed", "malformed", "malformed", "no_params", "no_params"]
     note = J.notification(wide).first().value
     assert note == '{"timestamp":0.5,"cycle_count":1}'
 
