@@ -23,7 +23,7 @@ from tagloom.functions.formula import formula_columns as _formulas
 from tagloom.sources import csv_template as CSV
 from tagloom.sources import envelope as J
 from tagloom.sources import generate as G
-from tagloom.sources.history import LINEITEM_TAGS, events_history, history_from_events, table, wide_from_lineitem
+from tagloom.sources.history import LINEITEM_TAGS, events_history, history_from_events, read_history, table, wide_from_lineitem, write_history
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -807,4 +807,35 @@ QUERIES.update(
     }
 )
 
+
+# --- history table sink/scan (S1, S10) and tag selection (F7) ----------------------
+
+def history_table_query(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    write_history(events_history(spark, sf), path, mode="append")
+    h = read_history(spark, path)
+    return Q.query_history(h, instance_name=ONE_INSTANCE, start_time=RANGE_START, end_time=RANGE_END, limit=1000)
+
+
+def tag_selection(spark: SparkSession, sf: str) -> DataFrame:
+    wide = wide_from_lineitem(table(spark, sf, "lineitem"))
+    return Q.select_tags(wide, ["pump.price", "no.such_tag", "pid.tax"], time_column="timestamp").toDF("timestamp", "pump_price", "pid_tax")
+
+
+ORACLE.update(
+    {
+        "history_table_query": _with(
+            f"SELECT {HISTORY_COLS_SQL} FROM history WHERE instance_name = '{ONE_INSTANCE}' AND timestamp >= TIMESTAMP '{RANGE_START}' "
+            f"AND timestamp <= TIMESTAMP '{RANGE_END}' ORDER BY timestamp DESC, id DESC LIMIT 1000"
+        ),
+        "tag_selection": "SELECT l_shipdate AS timestamp, l_extendedprice AS pump_price, l_tax AS pid_tax FROM lineitem",
+    }
+)
+
+QUERIES.update({"history_table_query": history_table_query, "tag_selection": tag_selection})
+
 FLAGSHIP = "sampled_query"

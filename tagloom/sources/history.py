@@ -53,6 +53,13 @@ def events_tag(event_type: F.Column, user_id: F.Column) -> F.Column:
     return F.when(event_type == "error", F.lit("error")).otherwise(F.concat(inst, F.lit("."), event_type))
 
 
+def _truncate_hour(ts: F.Column) -> F.Column:
+    """Zone-free hour truncation of a TIMESTAMP_NTZ (``date_trunc`` would go through the session zone)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestampdiff("MICROSECOND", epoch, ts)
+    return F.timestamp_add("MICROSECOND", F.floor(us / F.lit(3_600_000_000)) * F.lit(3_600_000_000), epoch)
+
+
 def history_from_events(events: DataFrame, hour_ties: bool = False) -> DataFrame:
     """History view over the driver ``events`` table (the fixture every query key uses).
 
@@ -61,7 +68,7 @@ def history_from_events(events: DataFrame, hour_ties: bool = False) -> DataFrame
     truncates timestamps to the hour (the tie fixture).
     """
     tag = events_tag(F.col("event_type"), F.col("user_id"))
-    ts = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz") if hour_ties else F.col("ts")
+    ts = _truncate_hour(F.col("ts")) if hour_ties else F.col("ts")
     return events.select(
         (F.col("event_id") + 1).cast("long").alias("id"),
         ts.alias("timestamp"),
