@@ -18,11 +18,12 @@ from tagloom.schema import HISTORY_COLUMNS
 
 
 def _lit_ts(value) -> Column:
+    """A zone-less timestamp literal: text -> TIMESTAMP_NTZ never goes through the session zone."""
     if isinstance(value, Column):
         return value
     if isinstance(value, str):
         value = _dt.datetime.fromisoformat(value)
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def history_filter(

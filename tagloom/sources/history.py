@@ -56,7 +56,7 @@ def events_tag(event_type: F.Column, user_id: F.Column) -> F.Column:
 def _truncate_hour(ts: F.Column) -> F.Column:
     """Zone-free hour truncation of a TIMESTAMP_NTZ (``date_trunc`` would go through the session zone)."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    us = F.timestampdiff("MICROSECOND", epoch, ts)
+    us = F.timestamp_diff("MICROSECOND", epoch, ts)
     return F.timestamp_add("MICROSECOND", F.floor(us / F.lit(3_600_000_000)) * F.lit(3_600_000_000), epoch)
 
 

@@ -171,3 +171,15 @@ def test_sampling_plan_has_no_single_partition(spark):
     h = events_history(spark, SF)
     q = P.query_sampled(h, sample_interval=600.0, limit=None)
     assert "SinglePartition" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["history_query", "distinct_times", "cycle_sample", "sampled_query"])
+def test_results_do_not_depend_on_session_zone(spark, name):
+    fn = catalog.QUERIES[name]
+    base = sorted(tuple(r) for r in fn(spark, SF).collect())
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        other = sorted(tuple(r) for r in fn(spark, SF).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert base == other
