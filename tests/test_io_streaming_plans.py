@@ -183,3 +183,17 @@ def test_results_do_not_depend_on_session_zone(spark, name):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert base == other
+
+
+# Python runs only in P1 (numpy passes), R1/R2 chunk folds and T5 programs.
+_PYTHON_KEYS = {"sampled_query", "sampled_instance", "sampled_global", "slew_limit", "rand_walk"}
+_SIDE_EFFECT_KEYS = {"csv_roundtrip", "history_table_query"}
+
+
+def test_builtin_operators_have_no_python_in_plan(spark):
+    py_nodes = ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonMapInArrow")
+    for name, fn in catalog.QUERIES.items():
+        if name in _PYTHON_KEYS or name in _SIDE_EFFECT_KEYS or name.startswith("stream_"):
+            continue
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not any(n in plan for n in py_nodes), name
