@@ -183,6 +183,13 @@ def max_id(history: DataFrame | None) -> Column | int:
 
 
 def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num_partitions: int | None = None, id_col: str = "id") -> DataFrame:
+    """Dense sequential ids in ``order`` (see :func:`assign_ids_cached`)."""
+    return assign_ids_cached(df, order, start, num_partitions, id_col)[0]
+
+
+def assign_ids_cached(
+    df: DataFrame, order: Sequence[str | Column], start: int = 1, num_partitions: int | None = None, id_col: str = "id"
+) -> tuple[DataFrame, DataFrame]:
     """Dense sequential ids ``start, start+1, ...`` in ``order``.
 
     Plan: one range exchange on the order key (sampled bounds keep partitions
@@ -191,8 +198,9 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num
     A tiny per-partition count table (one row per partition, a proven bound)
     turns positions into global ids through a broadcast join. No single-task
     window over raw rows. The order key must be unique so positions inside a
-    partition are well defined. The sorted frame stays persisted (MEMORY_AND_DISK)
-    for the returned plan; ``unpersist`` it after writing.
+    partition are well defined. Returns ``(with_ids, cached)``: the sorted frame
+    stays persisted (MEMORY_AND_DISK) for the returned plan; ``cached.unpersist()``
+    once the result is written.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -213,7 +221,7 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num
         running += int(row["_n"])
     off_df = spark.createDataFrame(offsets or [(0, start)], "_part long, _off long")
     out = tagged.join(F.broadcast(off_df), "_part").withColumn(id_col, F.col("_off") + F.col("_pos"))
-    return out.drop("_mid", "_part", "_pos", "_off")
+    return out.drop("_mid", "_part", "_pos", "_off"), tagged
 
 
 def to_history(df: DataFrame, order: Sequence[str | Column] = ("timestamp", "param_name"), start: int = 1) -> DataFrame:

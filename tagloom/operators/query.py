@@ -138,15 +138,27 @@ def distinct_timestamps(history: DataFrame) -> DataFrame:
     return history.select("timestamp").distinct().orderBy("timestamp")
 
 
+# Deepest page served by a top-k plan; deeper pages use exact global ordinals.
+TOPK_PAGE_LIMIT = 1_000_000
+
+
 def page_slice(df: DataFrame, start: int, n: int = 1000, order: tuple = ("timestamp", "id")) -> DataFrame:
     """F8: ordinal rows ``[start, min(start+n, total))`` with start clamped to ``total - n``.
 
-    One ``count()`` decides the clamp; the slice itself is a global sort with
-    OFFSET/LIMIT (Spark plans it as a top-k of ``start + n`` rows).
+    One ``count()`` decides the clamp. Shallow pages are OFFSET/LIMIT over a
+    top-k plan (each task keeps ``start + n`` rows). Deeper pages would make
+    every task hold that many rows, so they take global ordinals from the
+    range-partitioned layout of :func:`assign_ids` (``order`` must be unique)
+    and filter the slice: no task holds more than its own partition.
     """
     total = df.count()
     start = max(0, min(int(start), total - n))
-    return df.orderBy(*order).offset(start).limit(n)
+    if start + n <= TOPK_PAGE_LIMIT:
+        return df.orderBy(*order).offset(start).limit(n)
+    from tagloom.operators.ingest import assign_ids
+
+    pos = assign_ids(df, list(order), start=0, id_col="_ordinal")
+    return pos.filter((F.col("_ordinal") >= start) & (F.col("_ordinal") < start + n)).orderBy("_ordinal").drop("_ordinal")
 
 
 def select_tags(df: DataFrame, tags, time_column: str | None = None) -> DataFrame:

@@ -122,8 +122,13 @@ def test_latest_ties_highest_id(spark):
     assert Q.latest_values(df).first().param_value == 2.0
 
 
-def test_page_slice_clamp(spark):
+def test_page_slice_clamp(spark, monkeypatch):
     h = _hist(spark)
+    expect = [r.id for r in h.orderBy("timestamp", "id").collect()[300:310]]
+    assert [r.id for r in Q.page_slice(h, 300, n=10).collect()] == expect
+    monkeypatch.setattr(Q, "TOPK_PAGE_LIMIT", 5)  # force the ordinal path
+    assert [r.id for r in Q.page_slice(h, 300, n=10).collect()] == expect
+    monkeypatch.undo()
     assert [r.id for r in Q.page_slice(h, 10**9, n=10).collect()] == [r.id for r in h.orderBy("timestamp", "id").collect()[-10:]]
     assert Q.page_slice(h, 0, n=5000).count() == h.count()
 
