@@ -9,7 +9,8 @@ Plan (every Python group is one ``(series, chunk)``, never a whole series):
 
 1. prepare the rows (held, clamped target; chunk key) and persist them;
 2. per chunk, fold from both ends ``lo`` and ``hi``; once the two paths meet,
-   every entry state gives the same path, so the chunk exit is known;
+   every entry state gives the same path, so the chunk exit is known (a
+   series' first chunk folds exactly from the initial value instead);
 3. runs of consecutive chunks whose paths never met fold from the run's known
    entry in one group (row count checked against a cap); runs over the cap
    resolve chunk by chunk from the previous chunk's exit;
@@ -56,13 +57,17 @@ def _summary_fn(by, order, lo, hi, dist):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf, order)
         ts = pdf["_T"].tolist()
-        a, b, k = lo, hi, 0
-        while k < len(ts) and a != b:
-            a = _walk((ts[k],), a, lo, hi, dist)
-            b = _walk((ts[k],), b, lo, hi, dist)
-            k += 1
-        met = a == b
-        exit_ = _walk(ts[k:], a, lo, hi, dist) if met else None
+        if bool(pdf["_is_first"].iloc[0]):
+            # a series' first chunk has a known entry (the initial value): fold it exactly
+            met, exit_ = True, _walk(ts, float(pdf["_init"].iloc[0]), lo, hi, dist)
+        else:
+            a, b, k = lo, hi, 0
+            while k < len(ts) and a != b:
+                a = _walk((ts[k],), a, lo, hi, dist)
+                b = _walk((ts[k],), b, lo, hi, dist)
+                k += 1
+            met = a == b
+            exit_ = _walk(ts[k:], a, lo, hi, dist) if met else None
         row = {c: [pdf[c].iloc[0]] for c in by}
         row.update({"_chunk": [int(pdf["_chunk"].iloc[0])], "_met": [bool(met)], "_exit": [exit_], "_init": [float(pdf["_init"].iloc[0])], "_n": [len(ts)]})
         return pd.DataFrame(row)
@@ -147,6 +152,9 @@ def chunked_fold(
     by, order = list(spec.by), list(spec.order)
     keep = list(df.columns)
     prep = df.withColumn("_chunk", spec.chunk.cast("long")).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
+    # first chunk of every series: a per-series minimum (partial aggregation, one row per series)
+    firsts = prep.groupBy(*by).agg(F.min("_chunk").alias("_first_chunk"))
+    prep = prep.join(firsts, by).withColumn("_is_first", F.col("_chunk") == F.col("_first_chunk")).drop("_first_chunk")
     prep = prep.persist(StorageLevel.MEMORY_AND_DISK)
     schema_by = [prep.schema[c] for c in by]
     summ_schema = T.StructType(
@@ -154,8 +162,10 @@ def chunked_fold(
         + [T.StructField("_chunk", T.LongType()), T.StructField("_met", T.BooleanType()), T.StructField("_exit", T.DoubleType()), T.StructField("_init", T.DoubleType()), T.StructField("_n", T.LongType())]
     )
     keys = [*by, "_chunk"]
-    summary = prep.select(*keys, *order, "_T", "_init").groupBy(*keys).applyInPandas(_summary_fn(by, order, lo, hi, dist), summ_schema)
-    table = _chunk_table(summary, by, reset_first=True).checkpoint(eager=True)
+    summary = prep.select(*keys, *order, "_T", "_init", "_is_first").groupBy(*keys).applyInPandas(_summary_fn(by, order, lo, hi, dist), summ_schema)
+    table = _chunk_table(summary, by).checkpoint(eager=True)
+    if table.filter(F.col("_exit").isNull()).isEmpty():  # common case: every exit known after one pass
+        return _final_pass(prep, table, keys, keep, order, lo, hi, dist, out)
     exit_schema = T.StructType(schema_by + [T.StructField("_chunk", T.LongType()), T.StructField("_new", T.DoubleType())])
     # Runs of consecutive unresolved chunks (each starts after a resolved chunk or
     # at the series start, so its entry is known) fold in one group when the
@@ -184,6 +194,11 @@ def chunked_fold(
         table = _chunk_table(merged, by).checkpoint(eager=True)
     else:
         raise RuntimeError("chunked_fold did not converge")
+    return _final_pass(prep, table, keys, keep, order, lo, hi, dist, out)
+
+
+def _final_pass(prep, table, keys, keep, order, lo, hi, dist, out) -> DataFrame:
+    """Each chunk folds from its exact entry (initial value or previous chunk's exit)."""
     entries = table.select(*keys, _entry().alias("_entry"))
     out_schema = T.StructType([prep.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
     data = prep.join(entries, keys)
