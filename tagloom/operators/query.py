@@ -108,27 +108,42 @@ def records_per_tag(history: DataFrame) -> DataFrame:
     return history.groupBy("param_name").agg(F.count(F.lit(1)).alias("records"))
 
 
+_ID_SPAN = "10000000000000000000"  # 10^19 > any non-negative BIGINT id
+
+
+def time_id_key(ts: str = "timestamp", id_col: str = "id") -> Column:
+    """Lexicographic (timestamp, id) as one ``DECIMAL(38,0)``: ``epoch_us * 10^19 + id``.
+
+    Exact for ids in ``[0, 10^19)``. Unlike a struct, a decimal ordering keeps
+    ``max_by``/``min_by`` in a hash aggregate (a struct buffer forces a sort
+    aggregate, i.e. a sort of every map task's rows).
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", epoch, F.col(ts)).cast("decimal(38,0)")
+    return us * F.lit(_ID_SPAN).cast("decimal(38,0)") + F.col(id_col).cast("decimal(38,0)")
+
+
 def latest_values(history: DataFrame, instance_name: str | None = None) -> DataFrame:
     """Latest value per tag (optionally within one instance).
 
     The correlated ``timestamp = (SELECT MAX ...)`` becomes a single
-    ``max_by`` aggregate: no join, partial aggregation per task. Ties on the
-    latest timestamp resolve deterministically to the highest id.
+    ``max_by`` hash aggregate: no join, partial aggregation per task. Ties on
+    the latest timestamp resolve deterministically to the highest id.
     """
     rows = history_filter(history, instance_name=instance_name)
     return rows.groupBy("param_name").agg(
-        F.max_by("param_value", F.struct("timestamp", "id")).alias("param_value"),
+        F.max_by("param_value", time_id_key()).alias("param_value"),
         F.max("timestamp").alias("timestamp"),
     )
 
 
 def tag_catalog(history: DataFrame) -> DataFrame:
     """First sighting of every tag with its initial value, instance and type."""
-    return history.groupBy("param_name").agg(
+    # instance and type are functions of the tag: grouping keys, not first() over
+    # strings (string buffers would force a sort aggregate)
+    return history.groupBy("param_name", "instance_name", "param_type").agg(
         F.min("timestamp").alias("first_seen"),
-        F.min_by("param_value", F.struct("timestamp", "id")).alias("initial_value"),
-        F.first("instance_name").alias("instance_name"),
-        F.first("param_type").alias("param_type"),
+        F.min_by("param_value", time_id_key()).alias("initial_value"),
         F.count(F.lit(1)).alias("records"),
     )
 
@@ -166,10 +181,3 @@ def select_tags(df: DataFrame, tags, time_column: str | None = None) -> DataFram
     present = [t for t in tags if t in df.columns]
     cols = ([time_column] if time_column else []) + present
     return df.select(*[F.col(f"`{c}`") for c in cols])
-
-
-def sampled_rows(history: DataFrame, kept_timestamps: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Rows at kept timestamps (semi-join; the kept set grows with the data, so no literal IN list)."""
-    rows = history.join(kept_timestamps.select("timestamp"), "timestamp", "left_semi").select(*HISTORY_COLUMNS)
-    rows = rows.orderBy(F.desc("timestamp"), F.desc("id"))
-    return rows.limit(limit) if limit is not None else rows

@@ -44,10 +44,15 @@ class SeriesSpec:
     by: tuple[str, ...]
     order: tuple[str, ...]
     chunk: Column
+    key: Column | None = None  # fixed-width ordering key (see series_spec)
 
     def order_cols(self) -> list[Column]:
         return [F.col(c) for c in self.order]
 
+    def order_key(self) -> Column:
+        """Ordering for max_by/min_by: a fixed-width key keeps the aggregate hash-based."""
+        return self.key if self.key is not None else F.struct(*self.order_cols())
+
 
 def series_spec(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_size: float | int = 1 << 16) -> SeriesSpec:
     """Build a spec; the chunk is ``floor(first order column / chunk_size)``.
@@ -63,7 +68,39 @@ def series_spec(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_si
         chunk = F.floor(micros / F.lit(float(chunk_size) * 1e6))
     else:
         chunk = F.floor(F.col(first) / F.lit(chunk_size))
-    return SeriesSpec(tuple(by), tuple(order), chunk)
+    return SeriesSpec(tuple(by), tuple(order), chunk, _fixed_width_key(df, order))
+
+
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _as_long(df: DataFrame, c: str) -> Column | None:
+    dtype = df.schema[c].dataType
+    if isinstance(dtype, _INTEGRAL):
+        return F.col(c).cast("long")
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+    return None
+
+
+def _fixed_width_key(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """One numeric key with the lexicographic order of ``order`` when possible.
+
+    One numeric/timestamp column: itself. Two columns (integral/timestamp, then
+    a non-negative integral tie-breaker below 10^19): ``a * 10^19 + b`` as
+    DECIMAL(38,0). Otherwise None (struct ordering, sort aggregate).
+    """
+    if len(order) == 1:
+        dtype = df.schema[order[0]].dataType
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            return F.col(order[0])
+        return _as_long(df, order[0])
+    if len(order) == 2 and isinstance(df.schema[order[1]].dataType, _INTEGRAL):
+        a = _as_long(df, order[0])
+        if a is not None:
+            span = F.lit("10000000000000000000").cast("decimal(38,0)")
+            return a.cast("decimal(38,0)") * span + F.col(order[1]).cast("decimal(38,0)")
+    return None
 
 
 def _chunked(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, Window]:
@@ -97,7 +134,7 @@ def hold_last(df: DataFrame, spec: SeriesSpec, col: str, initial: float | None =
     d, w = _chunked(df, spec)
     d = d.withColumn("_in", F.last(F.col(col), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last_in_chunk = d.groupBy(*spec.by, "_chunk").agg(
-        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*spec.order_cols()))).alias("_last")
+        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), spec.order_key())).alias("_last")
     )
     carry = last_in_chunk.select(
         *spec.by,
@@ -113,27 +150,13 @@ def previous_value(df: DataFrame, spec: SeriesSpec, col: str, default: float = 0
     """Value of ``col`` on the previous row of the series (``default`` on the first row)."""
     d, w = _chunked(df, spec)
     d = d.withColumn("_in", F.lag(F.col(col), 1).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    last_in_chunk = d.groupBy(*spec.by, "_chunk").agg(F.max_by(F.col(col), F.struct(*spec.order_cols())).alias("_last"))
+    last_in_chunk = d.groupBy(*spec.by, "_chunk").agg(F.max_by(F.col(col), spec.order_key()).alias("_last"))
     carry = last_in_chunk.select(*spec.by, "_chunk", F.lag("_last", 1).over(_chunk_window(spec)).alias("_carry"), F.lag("_chunk", 1).over(_chunk_window(spec)).alias("_pc"))
     res = d.join(carry, [*spec.by, "_chunk"])
     val = F.when(F.col("_first"), F.when(F.col("_pc").isNull(), F.lit(default)).otherwise(F.col("_carry"))).otherwise(F.col("_in"))
     return res.withColumn(out, val).drop("_in", "_first", "_carry", "_pc", "_chunk")
 
 
-def row_numbers(df: DataFrame, spec: SeriesSpec, out: str = "_rn") -> DataFrame:
-    """Dense 1-based position of each row inside its series (chunk offsets + in-chunk row_number)."""
-    d, w = _chunked(df, spec)
-    d = d.withColumn("_i", F.row_number().over(w))
-    counts = d.groupBy(*spec.by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select(
-        *spec.by,
-        "_chunk",
-        F.coalesce(F.sum("_n").over(_chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    )
-    res = d.join(offs, [*spec.by, "_chunk"]).withColumn(out, F.col("_off") + F.col("_i"))
-    return res.drop("_i", "_off", "_chunk")
-
-
 def lag(
     df: DataFrame,
     spec: SeriesSpec,
@@ -213,7 +236,7 @@ def hold_last_many(df: DataFrame, spec: SeriesSpec, cols: dict[str, tuple[str, f
     for out, (col, _) in cols.items():
         d = d.withColumn(f"_in_{out}", F.last(F.col(col), ignorenulls=True).over(frame))
     lasts = d.groupBy(*spec.by, "_chunk").agg(
-        *[F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*spec.order_cols()))).alias(f"_last_{out}") for out, (col, _) in cols.items()]
+        *[F.max_by(F.col(col), F.when(F.col(col).isNotNull(), spec.order_key())).alias(f"_last_{out}") for out, (col, _) in cols.items()]
     )
     prev = _chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(*spec.by, "_chunk", *[F.last(f"_last_{out}", ignorenulls=True).over(prev).alias(f"_c_{out}") for out in cols])
@@ -258,7 +281,7 @@ def pid_response(
     d = d.withColumn("_v", F.col("error") * F.lit(cycle_time))
     d = d.withColumn("_in", F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("_lag", F.lag("error", 1).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    summ = d.groupBy(*spec.by, "_chunk").agg(F.sum("_v").alias("_tot"), F.max_by("error", F.struct(*spec.order_cols())).alias("_last"))
+    summ = d.groupBy(*spec.by, "_chunk").agg(F.sum("_v").alias("_tot"), F.max_by("error", spec.order_key()).alias("_last"))
     cw = _chunk_window(spec)
     carry = summ.select(
         *spec.by,

@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tagloom.functions.registry import Program, program
 from tagloom.operators.ingest import assign_ids_cached, snapshots_to_history
+from tagloom.operators.query import time_id_key
 from tagloom.schema import HISTORY_COLUMNS
 from tagloom.sources.envelope import notification
 from tagloom.streaming import programs as _builtin  # noqa: F401  (registers VALVE, LAG, SAMPLER, PID)
@@ -108,7 +109,7 @@ def start_history_ingest(
 def current_state(history: DataFrame) -> DataFrame:
     """Latest value per tag (highest (timestamp, id) wins); run in complete or update mode."""
     return history.groupBy("param_name").agg(
-        F.max_by("param_value", F.struct("timestamp", "id")).alias("param_value"),
+        F.max_by("param_value", time_id_key()).alias("param_value"),
         F.max("timestamp").alias("timestamp"),
     )
 

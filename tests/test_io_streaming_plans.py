@@ -154,6 +154,9 @@ def test_plans_stay_jvm_and_push_filters(spark):
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
     stats = Q.statistics_by_tag(h)._jdf.queryExecution().executedPlan().toString()
     assert "partial_" in stats  # map-side partial aggregation before the shuffle
+    for q in (Q.latest_values(h), Q.tag_catalog(h)):
+        p = q._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in p and "partial_" in p  # hash aggregate, no per-task sort
     read = spark.read.parquet(f"{SF}/events.parquet").filter("value > 3").select("event_id")
     rp = read._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,3.0)]" in rp and "ReadSchema: struct<event_id:bigint,value:double>" in rp
@@ -173,11 +176,12 @@ def test_sampling_plan_has_no_single_partition(spark):
     assert "SinglePartition" not in q._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["history_query", "distinct_times", "cycle_sample", "sampled_query"])
-def test_results_do_not_depend_on_session_zone(spark, name):
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/New_York"])
+@pytest.mark.parametrize("name", ["history_query", "distinct_times", "cycle_sample", "sampled_query", "latest_ties"])
+def test_results_do_not_depend_on_session_zone(spark, name, zone):
     fn = catalog.QUERIES[name]
     base = sorted(tuple(r) for r in fn(spark, SF).collect())
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         other = sorted(tuple(r) for r in fn(spark, SF).collect())
     finally:
@@ -197,3 +201,10 @@ def test_builtin_operators_have_no_python_in_plan(spark):
             continue
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not any(n in plan for n in py_nodes), name
+
+
+def test_series_summaries_hash_aggregate(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    spec = S.series_spec(ev, ["event_type"], ["ts", "event_id"], chunk_size=86400)
+    for df in (S.hold_last(ev, spec, "value"), S.lag(ev, spec, "value", 1), S.pid_response(ev, spec, "value", 50.0)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
