@@ -22,7 +22,8 @@ Let ``s(t)`` be the first timestamp ``>= t + I``; the kept set is the chain
    above it, the same composition runs as pointer doubling with Spark joins
    over the candidate table (log2(partitions) rounds, checkpointed).
 4. Pass B, per partition: starting at its entry element, walk the chain and
-   emit kept timestamps. Rows at kept timestamps come back with a semi-join.
+   emit kept timestamps, written with a reliable checkpoint (the persisted
+   layout is then released). Rows at kept timestamps come back with a semi-join.
 
 Nothing of size proportional to the data reaches the driver or one task.
 """
@@ -197,7 +198,12 @@ def greedy_kept_micros(rows: DataFrame, interval_seconds: float, ts_col: str = "
         entries = _compose_on_driver(cands.toPandas())
     else:
         entries = _compose_distributed(cands.checkpoint(eager=True))
-    return ranged.mapInPandas(_emit_fn(step, entries), "us long")
+    # The kept set (at most the distinct timestamps) is written with a reliable
+    # checkpoint, so the returned plan no longer depends on the persisted layout
+    # (entries are keyed by its partition ids), which is then released.
+    kept = ranged.mapInPandas(_emit_fn(step, entries), "us long").checkpoint(eager=True)
+    ranged.unpersist()
+    return kept
 
 
 def greedy_kept_timestamps(rows: DataFrame, interval_seconds: float, ts_col: str = "timestamp") -> DataFrame:

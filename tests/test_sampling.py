@@ -81,3 +81,11 @@ def test_sample_flag_rules(spark):
         P.sample_flag("c", 0.5, 0.2)
     with pytest.raises(ValueError):
         P.sample_flag("c", 0.0, None)
+
+
+def test_result_survives_cache_clear(spark):
+    h = events_history(spark, "/root/testdata/sf0.001")
+    q = P.query_sampled(h, sample_interval=1800.0, limit=None)
+    spark.catalog.clearCache()  # the returned plan must not depend on a cached layout
+    kept = set(sequential([r.timestamp for r in h.collect()], 1800.0))
+    assert {r.timestamp for r in q.collect()} == kept
