@@ -200,7 +200,9 @@ def assign_ids_cached(
     window over raw rows. The order key must be unique so positions inside a
     partition are well defined. Returns ``(with_ids, cached)``: the sorted frame
     stays persisted (MEMORY_AND_DISK) for the returned plan; ``cached.unpersist()``
-    once the result is written.
+    once the result is written. A lost executor's blocks are recomputed through
+    the same partitioner, so ids survive executor loss; do not clear the cache
+    before the result is written (a new plan would re-sample the range bounds).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
