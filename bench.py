@@ -15,7 +15,6 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from tagloom.plans import catalog  # noqa: E402
 from tagloom.session import ensure_checkpoint_dir, local_session  # noqa: E402
