@@ -193,11 +193,14 @@ def greedy_kept_micros(rows: DataFrame, interval_seconds: float, ts_col: str = "
     # of a lost block goes through the same fixed partitioner
     ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").persist(StorageLevel.MEMORY_AND_DISK)
     cands = ranged.mapInPandas(_candidates_fn(step), "part long, pmin long, pmax long, cand long, exit long")
+    # persisted between the size check and the collect: the Python pass runs once
+    cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
     n_cands = cands.count()
     if n_cands <= DRIVER_CANDIDATE_LIMIT:
         entries = _compose_on_driver(cands.toPandas())
     else:
         entries = _compose_distributed(cands.checkpoint(eager=True))
+    cands.unpersist()
     # The kept set (at most the distinct timestamps) is written with a reliable
     # checkpoint, so the returned plan no longer depends on the persisted layout
     # (entries are keyed by its partition ids), which is then released.
