@@ -208,3 +208,27 @@ def test_series_summaries_hash_aggregate(spark):
     spec = S.series_spec(ev, ["event_type"], ["ts", "event_id"], chunk_size=86400)
     for df in (S.hold_last(ev, spec, "value"), S.lag(ev, spec, "value", 1), S.pid_response(ev, spec, "value", 50.0)):
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strftime_translation_quotes_literals():
+    from tagloom.operators.clock import strftime_to_java
+
+    assert strftime_to_java("%Y-%m-%d %H:%M:%S") == "yyyy-MM-dd HH:mm:ss"
+    assert strftime_to_java("%Y/%m/%d") == "yyyy/MM/dd"
+    assert strftime_to_java("day %d at %H") == "'day 'dd' at 'HH"
+    assert strftime_to_java("%y%m") == "yyMM"
+    with pytest.raises(ValueError):
+        strftime_to_java("%j")
+
+
+def test_export_keeps_case_and_scan_falls_back_to_first_column(spark, tmp_path):
+    tpl = CSV.ExportTemplate("lower", time_column_name="t", time_format="%H:%M:%S", header_rows=1, uppercase_column_names=False)
+    out = str(tmp_path / "lower")
+    CSV.export_csv(_wide(spark), out, tpl, single_file=True)
+    lines = _read_all(out).split("\r\n")
+    assert lines[0] == "t,tank1.level,pid1.mv,s.txt" and lines[1].startswith("00:00:00,")
+    # a template whose time column is absent: the first column is the time column
+    other = CSV.ExportTemplate("other", time_column_name="absent")
+    back = CSV.read_template_csv(spark, out, other)
+    assert back.columns == ["time", "time_text", "tank1.level", "pid1.mv", "s.txt"]
+    assert back.count() == 2 and back.filter("time IS NULL").count() == 2  # HH:mm:ss alone is not a full timestamp
