@@ -68,9 +68,9 @@ def time_text(seconds: Column, time_format: str | None = None) -> Column:
     ts = seconds_to_ntz(seconds)
     if time_format:
         return F.date_format(ts, strftime_to_java(time_format))
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    frac = F.date_format(ts, "SSSSSS")
-    return F.when(frac == "000000", whole).otherwise(F.concat(whole, F.lit("."), frac))
+    # whole seconds decided arithmetically: one date_format per row, not two
+    whole_second = F.pmod(F.floor(seconds * F.lit(1_000_000)).cast("long"), F.lit(1_000_000)) == 0
+    return F.when(whole_second, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def overrun_flags(exec_seconds: Column, cycle_time: float = DEFAULT_CYCLE_TIME) -> list[Column]:
