@@ -94,9 +94,17 @@ def register_model(program: Program) -> Program:
     return _register("model", program)
 
 
+def _load_builtins() -> None:
+    # built-in programs (VALVE, LAG, SAMPLER, PID) register on import; imported
+    # lazily because that module itself imports this registry
+    import tagloom.streaming.programs  # noqa: F401
+
+
 def program(name: str) -> Program:
+    _load_builtins()
     return _PROGRAMS[name.upper()]
 
 
 def programs() -> list[str]:
+    _load_builtins()
     return sorted(_PROGRAMS)
