@@ -75,9 +75,11 @@ def query_history(
 def iso_timestamp(col: str | Column = "timestamp") -> Column:
     """ISO-8601 text (``YYYY-MM-DDTHH:MM:SS[.ffffff]``, fraction omitted when zero)."""
     c = F.col(col) if isinstance(col, str) else col
-    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    frac = F.date_format(c, "SSSSSS")
-    return F.when(frac == "000000", whole).otherwise(F.concat(whole, F.lit("."), frac))
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    # whole seconds decided arithmetically: one date_format per row
+    return F.when(F.pmod(us, F.lit(1_000_000)) == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    )
 
 
 def statistics(history: DataFrame, param_name: str, start_time=None, end_time=None) -> DataFrame:
