@@ -1,0 +1,392 @@
+"""Text operators against brute force, on odd rows and on the driver's documents."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tagloom.llm import language_crf, piece_codec, pivot_simhash, queries, secret_automata, span_compaction, token_mix, vector_packing
+from tagloom.llm.graph import components
+from tests.conftest import SF01
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# --- SentencePiece ------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+
+
+def test_pieces_equal_the_library(spark, library):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    for r in queries.op3_piece_codec(spark, SF01).collect():
+        ids = library.encode(docs[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab T▁ \n\r\té中😀\u0000　<s>0x0A"), max_size=40), max_size=5))
+def test_chunk_table_equals_the_library_on_any_text(library, texts):
+    table = test_chunk_table_equals_the_library_on_any_text.__dict__.setdefault("table", piece_codec.ChunkTable(piece_codec.default_model(), max_chunks=50))
+    ids, offsets = table.encode(texts)
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == library.encode(text)
+
+
+def test_pieces_on_odd_rows(odd_docs, no_docs, library):
+    out = rows_of(piece_codec.decode(piece_codec.encode(odd_docs, keep=["doc_id", "text", "ids"]), keep=["doc_id", "text", "ids"]))
+    assert len(out) == odd_docs.count()
+    for r in out:
+        ids = library.encode(r["text"] or "")
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids)
+    assert piece_codec.encode(no_docs).count() == 0
+
+
+# --- language -------------------------------------------------------------------
+
+
+def brute_marginals(potentials, transition):
+    """All label sequences."""
+    from itertools import product
+
+    n, k = potentials.shape
+    total = np.zeros((n, k))
+    for path in product(range(k), repeat=n):
+        weight = transition[:, path[0]].sum() * potentials[0, path[0]]
+        for t in range(1, n):
+            weight *= transition[path[t - 1], path[t]] * potentials[t, path[t]]
+        for t, label in enumerate(path):
+            total[t, label] += weight
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_forward_backward_equals_enumeration(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(language_crf, "BLOCK", 2)
+    lengths = [0, 1, 2, 5, 7, 0, 4]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    potentials, transition = rng.random((bounds[-1], 3)) + 0.01, rng.random((3, 3)) + 0.01
+    got = language_crf.marginals(potentials, bounds, transition)
+    for a, b in zip(bounds, bounds[1:]):
+        if a < b:
+            assert np.allclose(got[a:b], brute_marginals(potentials[a:b], transition))
+
+
+def test_language_accuracy_on_the_held_out_fold(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang", "text")
+    out = queries.op1_language_crf(spark, SF01)
+    rows = out.join(docs, "doc_id").collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    tested = [r for r in rows if r.held_out and r.lang and any(c.isalpha() for c in r.text or "")]
+    assert len(tested) > 200 and np.mean([r.lang == r.lang_pred for r in tested]) >= 0.97
+
+
+def test_language_spans_of_switched_text(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = language_crf.learn(docs)
+    pick = {lang: next(" ".join(r.text.split()[:30]) for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(5).collect() if len(r.text.split()) > 40) for lang in ("de", "fr")}
+    mixed = spark.createDataFrame([(1, pick["de"] + " " + pick["fr"])], "doc_id long, text string")
+    runs = language_crf.predict(mixed, model, runs_out="runs").first().runs
+    n_de = sum(r.n_words for r in runs if r.lang == "de")
+    n_fr = sum(r.n_words for r in runs if r.lang == "fr")
+    assert min(n_de, n_fr) > 20 and runs[0].lang == "de" and runs[-1].lang == "fr"
+
+
+def test_language_on_odd_rows(odd_docs, no_docs):
+    model = language_crf.learn(odd_docs)
+    out = rows_of(language_crf.predict(odd_docs, model, keep=["doc_id", "text", "score"]))
+    assert len(out) == odd_docs.count()
+    for r in out:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["score"] <= 1
+    empty = language_crf.learn(no_docs)
+    assert [r["lang_pred"] for r in rows_of(language_crf.predict(odd_docs, empty))] == ["und"] * odd_docs.count()
+    assert language_crf.predict(no_docs, model).count() == 0
+
+
+# --- secrets ----------------------------------------------------------------------
+
+
+def base_spans(text):
+    rules = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    ]
+    found = [(m.start(), i, m.end()) for i, (_, rule, good) in enumerate(rules) for m in rule.finditer(text or "") if good(m)]
+    return [(rules[i][0], a, b) for a, i, b in sorted(found)]
+
+
+def test_base_spans_equal_the_rules(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
+    for r in queries.op2_secret_automata(spark, SF01).collect():
+        spans = base_spans(docs[r.doc_id])
+        counts = Counter(s[0] for s in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == (counts["assign"], counts["access"], counts["hex"])
+        assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+        assert set(",".join(f"{k}:{a}:{b}" for k, a, b in spans).split(",")) <= set(r.spans.split(","))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("tokens=: \"'aAKIZ09fé\n.TOKEN"), max_size=120))
+def test_scan_equals_the_rules_on_any_text(text):
+    text = text.replace("\n", "\n")
+    model = secret_automata.SecretModel({k: [] for k in secret_automata.KINDS}, [])
+    got = [(secret_automata.KINDS[k], a, b) for a, k, b, _ in secret_automata._spans_of([None, text, text], model)[2]]
+    assert got == base_spans(text)
+
+
+def test_automata_generalise_the_format():
+    rng = np.random.default_rng(0)
+    make = lambda: "ghq_" + "".join(rng.choice(list("0123456789ABCDEF"), 20))
+    model = secret_automata.SecretModel({"assign": [make() for _ in range(200)], "access": [], "hex": []}, [f"www{i}.example-host{i % 7}.com" for i in range(300)])
+    assert len(model.automata["assign"].next) > 1
+    fresh = [make() for _ in range(100)]
+    assert sum(model.score(v) >= model.least for v in fresh) >= 80
+    assert not any(model.score(f"mail{i}.server.example.com") >= model.least for i in range(50))
+
+
+def test_secrets_on_odd_rows(odd_docs, no_docs):
+    model = secret_automata.learn(odd_docs)
+    out = rows_of(secret_automata.find_spans(odd_docs, model, keep=["doc_id", "text", "spans"], out_col="spans"))
+    for r in out:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "format"] == base_spans(r["text"])
+    clean = rows_of(secret_automata.redact(odd_docs, model))
+    assert len(clean) == odd_docs.count() and not any(base_spans(r["text"]) for r in clean)
+    assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in clean)
+    assert secret_automata.report(secret_automata.find_spans(no_docs, secret_automata.learn(no_docs))).count() == 0
+
+
+# --- SimHash --------------------------------------------------------------------------
+
+
+def brute_print(text):
+    import xxhash
+
+    words = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    counts = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if counts[b] * 2 > len(shingles))
+
+
+def brute_components(prints, ids, bits=3):
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= bits:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(len(prints)):
+        least.setdefault(find(i), []).append(ids[i])
+    return [min((x for x in least[find(i)] if x is not None), default=None) for i in range(len(prints))]
+
+
+def test_simhash_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").orderBy("doc_id").collect()
+    prints = [brute_print(r.text) for r in docs]
+    want = dict(zip([r.doc_id for r in docs], zip(prints, brute_components(prints, [r.doc_id for r in docs]))))
+    got = queries.op9_pivot_simhash(spark, SF01).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert (int(r.fingerprint, 16), r.component_id) == want[r.doc_id]
+
+
+def test_links_of_dense_and_salted_buckets(spark):
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 1 << 62))
+    prints = {0, (1 << 64) - 1, *(centre ^ sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 6), replace=False)) for _ in range(300)), *(int(x) for x in rng.integers(0, 1 << 63, 200))}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = spark.createDataFrame([(s,) for s in signed], "fingerprint long")
+    want = brute_components(prints, signed)
+    for bucket_rows in (40, 4096):
+        found = {r.node: r.root for r in components(pivot_simhash.links(rows, bucket_rows=bucket_rows), "t").collect()}
+        assert [found.get(s, s) for s in signed] == want
+
+
+def test_simhash_on_odd_rows(odd_docs, no_docs):
+    rows = odd_docs.collect()
+    prints = [brute_print(r.text) for r in rows]
+    want = Counter(zip([r.doc_id for r in rows], prints, brute_components(prints, [r.doc_id for r in rows])))
+    got = rows_of(pivot_simhash.near_duplicates(odd_docs))
+    assert Counter((r["doc_id"], r["fingerprint"] % (1 << 64), r["component_id"]) for r in got) == want
+    left = rows_of(pivot_simhash.one_of_each(odd_docs))
+    assert sorted(r["doc_id"] for r in left) == sorted({c for _, _, c in want})
+    assert pivot_simhash.near_duplicates(no_docs).count() == 0 and pivot_simhash.one_of_each(no_docs).count() == 0
+
+
+def test_components_of_long_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(0, 120)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7)]
+    rows = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in components(rows, "t").collect()}
+    assert got == {i: 0 for i in range(121)} | {500 + i: 500 for i in range(60)}
+
+
+# --- repeated spans -------------------------------------------------------------------
+
+
+def brute_repeats(docs, window=50):
+    first = {}
+    for doc, text in docs:
+        words = words_of(text)
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            if doc is not None:
+                first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, text in docs:
+        words = words_of(text)
+        gone = set()
+        for i in range(len(words) - window + 1):
+            if doc is not None and first[tuple(words[i : i + window])] < doc:
+                gone.update(range(i, i + window))
+        out.append((doc, len(words), len(gone), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
+    return out
+
+
+def test_repeats_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()]
+    got = [tuple(r) for r in queries.op5_span_compaction(spark, SF01).collect()]
+    assert Counter(got) == Counter(brute_repeats(docs)) and any(r[2] for r in got)
+
+
+def test_repeats_on_odd_rows(odd_docs, no_docs):
+    want = Counter(brute_repeats([(r.doc_id, r.text) for r in odd_docs.collect()]))
+    out = rows_of(span_compaction.remove_repeats(odd_docs))
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept_text"])) for r in out) == want
+    assert span_compaction.remove_repeats(no_docs).count() == 0
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=30), min_size=1, max_size=6))
+def test_small_windows_equal_brute_force(spark, docs):
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    out = span_compaction.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=6, anchor_words=2, bitmap_bits=1 << 15)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept_text"])) for r in rows_of(out))
+    assert got == Counter(brute_repeats(rows, 6))
+
+
+# --- sharding and mixing -------------------------------------------------------------
+
+
+def check_packing(rows, docs, shards=8):
+    assert Counter(r["doc_id"] for r in rows) == Counter(d for d, _ in docs)
+    texts = {d: t for d, t in docs}
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and 0 <= r["shard"] < shards
+    for s in range(shards):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_packing_balances(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()]
+    rows = rows_of(vector_packing.pack(spark.read.parquet(f"{SF01}/documents.parquet")))
+    check_packing(rows, docs)
+    for what in ("size", "tokens"):
+        loads = np.bincount([r["shard"] for r in rows], [r[what] for r in rows], 8)
+        assert loads.max() / loads.mean() < 1.02, (what, loads)
+
+
+def test_packing_on_odd_rows(spark, odd_docs, no_docs):
+    check_packing(rows_of(vector_packing.pack(odd_docs)), [(r.doc_id, r.text) for r in odd_docs.collect()])
+    assert vector_packing.pack(no_docs).count() == 0
+    copies = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same text here").alias("text"))
+    loads = Counter(r["shard"] for r in rows_of(vector_packing.pack(copies)))
+    assert len(loads) == 8 and max(loads.values()) < 1.1 * 500
+
+
+def brute_targets(sizes):
+    """Share by weight, stop at twice the size, share the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > 2 * sizes[s]}
+        if not over:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        left, free = left - sum(target[s] for s in over), free - over
+    return target
+
+
+def check_mix(rows, docs):
+    sizes, taken = Counter(), Counter()
+    source = {d: s for d, _, s in docs}
+    for d, t, s in docs:
+        sizes[s] += len(words_of(t))
+    want = brute_targets(sizes)
+    longest = Counter()
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6
+        assert r["taken"] <= 2 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+        longest[s] = max(longest[s], r["size"])
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= longest[s] / 2 + 1e-6
+    return taken
+
+
+def test_mix_meets_its_targets(spark):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()]
+    rows = rows_of(queries.op10_token_mix(spark, SF01))
+    assert len(rows) == len(docs)
+    check_mix(rows, docs)
+    assert Counter(map(str, rows)) == Counter(map(str, rows_of(queries.op10_token_mix(spark, SF01))))
+
+
+def test_mix_on_odd_rows(spark, odd_docs, no_docs):
+    rows = rows_of(token_mix.mix(odd_docs.where("doc_id is not null and doc_id <> 5")))
+    check_mix(rows, [(r.doc_id, r.text, r.source) for r in odd_docs.where("doc_id is not null and doc_id <> 5").collect()])
+    assert len(rows_of(token_mix.mix(odd_docs))) == odd_docs.count()
+    applied = token_mix.apply_mix(odd_docs)
+    assert applied.columns == odd_docs.columns
+    assert token_mix.mix(no_docs).count() == 0 and token_mix.apply_mix(no_docs).count() == 0
+    bad = spark.createDataFrame([(1, float("nan")), (2, -1.0), (3, None), (4, 2.0), (4, 1.0)], "doc_id long, weight double")
+    assert len(rows_of(token_mix.mix(odd_docs, weights=bad))) == odd_docs.count()
+
+
+def test_quality_weights_draw_more(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    weights = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("weight"))
+    rows = rows_of(token_mix.mix(docs, weights=weights))
+    even, odd = (np.mean([r["copies"] for r in rows if r["doc_id"] % 2 == k]) for k in (0, 1))
+    assert even > odd + 0.3 and sum(r["taken"] for r in rows) == 9000
