@@ -37,23 +37,26 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternating large-star and small-star steps, each a grouped minimum and a
     join; a hot node is pre-aggregated on its map side and its join is one that
-    AQE can split. Links that have become stars no longer change, so the loop
-    ends when the set of links stays the same. Null nodes are left out.
+    AQE can split. The loop ends when the links are stars: no node hangs on two
+    others, and none that hangs on another has nodes hanging on it. Null nodes
+    are left out.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     links = materialize(links, f"{name}-links")
-    seen = None
-    while True:
-        mark = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen or mark[0] == 0:
-            break
-        seen = tuple(mark)
+    while not _are_stars(links):
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = materialize(large, f"{name}-large")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi")
-        star = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo")))
+        star = small.select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("l")).select("l.hi", "l.lo")
         links = materialize(star.where("hi <> lo").distinct(), f"{name}-links")
     roots = links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _are_stars(links: DataFrame) -> bool:
+    ends = links.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    odd = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)")
+    return odd.isEmpty()

@@ -89,7 +89,7 @@ def _masks(max_bits: int) -> list[int]:
 
 
 def _forest_of(table: pa.Table, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the fingerprints of one task, whose rows are sorted by bucket."""
+    """Spanning links of the fingerprints of one task, whose rows are sorted by bucket and value: a tree's root is its smallest value."""
     bucket = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
     prints = table.column(3).to_numpy()
     n = len(prints)
@@ -131,7 +131,7 @@ def links(prints: DataFrame, *, print_col: str = "fingerprint", max_bits: int =
     pair = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda s: s != own), lambda s: F.least(s, own) * F.col("salts") + F.greatest(s, own))
     rows = rows.join(hot, ["m", "k", "d"], "left")
     rows = rows.withColumn("s", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)))
-    rows = rows.select("m", "k", "s", "f").repartition("m", "k", "s").sortWithinPartitions("m", "k", "s")
+    rows = rows.select("m", "k", "s", "f").repartition("m", "k", "s").sortWithinPartitions("m", "k", "s", "f")
 
     def run(batches):
         if batches := list(batches):
