@@ -35,8 +35,8 @@ from tagloom.llm.common import materialize, ref
 from tagloom.llm.graph import Forest, components
 from tagloom.llm.vectors import blocks, doubles, parse
 
-THRESHOLD, SPREAD = 0.9, 3.5
-SAMPLE_ROWS, CELL_ROWS, MAX_CELLS, BLOCK_ROWS, QUERY_ROWS, ROUNDS = 16_384, 512, 1024, 2048, 512, 8
+THRESHOLD, SPREAD = 0.9, 2.5
+SAMPLE_ROWS, CELL_ROWS, MAX_CELLS, BLOCK_ROWS, QUERY_ROWS, ROUNDS = 16_384, 1024, 1024, 2048, 512, 8
 
 
 def spherical_kmeans(units: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:

@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-Every vector is coded around the mean of all vectors: the signs of its rotated
-residual as packed bits, with two correction scalars, the residual's length and
-the cosine between the residual and its code. A code gives an unbiased estimate
-of the inner product with any query and a bound on its error that holds with high
-probability (``ERROR_SPREAD`` standard deviations).
+Every vector is coded around the mean of all vectors, once for each of
+``ROTATIONS`` random rotations: the signs of its rotated residual as packed bits,
+with two correction scalars, the residual's length and the cosine between the
+residual and its code. The codes give an unbiased estimate of the inner product
+with any query and a bound on its error that holds with high probability
+(``ERROR_SPREAD`` standard deviations).
 
 Queries are not broadcast and vectors not paired: vectors are dealt by hash into
 blocks of about ``BLOCK_ROWS``, the queries visit every block in batches, and a
@@ -33,34 +34,38 @@ from pyspark.sql.window import Window as W
 from tagloom.llm.common import materialize, ref
 from tagloom.llm.vectors import blocks, doubles, parse
 
-NEIGHBOURS, ERROR_SPREAD, BLOCK_ROWS, QUERY_ROWS = 20, 4.0, 4096, 256
+NEIGHBOURS, ROTATIONS, ERROR_SPREAD, BLOCK_ROWS, QUERY_ROWS = 20, 4, 3.0, 4096, 256
 
 
-def rotation(dims: int, seed: int = 17) -> np.ndarray:
+def rotation(dims: int, seed: int = 0) -> np.ndarray:
     """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
+    q, r = np.linalg.qr(np.random.default_rng((17, seed)).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
 
 
 class Codes:
-    """One-bit codes of a block of vectors around a centre."""
+    """One-bit codes of a block of vectors around a centre, one for each of several random rotations."""
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+    def __init__(self, vectors: np.ndarray, centre: np.ndarray, turns: list[np.ndarray]):
         rest = vectors - centre
         self.length = np.linalg.norm(rest, axis=1)
-        turned = (rest / np.maximum(self.length, 1e-300)[:, None]) @ turn
-        self.dims = vectors.shape[1]
-        self.bits = np.packbits(turned >= 0, axis=1)
-        self.cosine = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(self.dims), 1e-12)
-        self.centre, self.turn = centre, turn
-
-    def estimate(self, queries: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products (queries x vectors) and the bound on their errors."""
-        signs = np.unpackbits(self.bits, axis=1, count=self.dims).astype(np.float64) * 2 - 1
-        scale = self.length / (self.cosine * np.sqrt(self.dims))
-        guess = (queries @ self.turn) @ signs.T * scale + (queries @ self.centre)[:, None]
-        loose = self.length * np.sqrt(np.maximum(0.0, 1 - self.cosine**2)) / self.cosine * spread / np.sqrt(max(1, self.dims - 1))
-        return guess, np.linalg.norm(queries, axis=1)[:, None] * loose + 1e-9 * np.abs(guess) + 1e-12
+        self.dims, self.turns, self.centre = vectors.shape[1], turns, centre
+        rest /= np.maximum(self.length, 1e-300)[:, None]
+        turned = [rest @ turn for turn in turns]
+        self.bits = [np.packbits(t >= 0, axis=1) for t in turned]
+        self.cosine = [np.maximum(np.abs(t).sum(axis=1) / np.sqrt(self.dims), 1e-6) for t in turned]
+        # what estimates are made of: the signs, scaled by the correction scalars, of all rotations side by side
+        signs = [np.unpackbits(b, axis=1, count=self.dims).astype(np.float32) * 2 - 1 for b in self.bits]
+        scales = [self.length / (c * np.sqrt(self.dims) * len(turns)) for c in self.cosine]
+        self.scaled = np.concatenate([s * x[:, None].astype(np.float32) for s, x in zip(signs, scales)], axis=1)
+        spread = np.mean([(1 - np.minimum(c, 1.0) ** 2) / c**2 for c in self.cosine], axis=0)
+        self.loose = self.length * np.sqrt(spread / (len(turns) * max(1, self.dims - 1)))
+
+    def estimate(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Estimated inner products (queries x vectors), and the two factors of their standard errors: of queries and of vectors."""
+        turned = np.concatenate([queries @ turn for turn in self.turns], axis=1).astype(np.float32)
+        guess = turned @ self.scaled.T + (queries @ self.centre).astype(np.float32)[:, None]
+        return guess, np.linalg.norm(queries, axis=1), self.loose
 
 
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -72,23 +77,36 @@ def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def block_search(codes: Codes, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block the best k of every query: query number, vector number, product."""
-    guess, loose = codes.estimate(queries, spread)
-    own = query_ids[:, None] == ids[None, :]
-    guess[own] = -np.inf
+    """Of one block the best k of every query: query number, vector number, product.
+
+    ``codes`` and all that chooses work on the vectors and queries divided by
+    their largest component, so no magnitude overflows; the products that come
+    out are those of the originals.
+    """
+    small = vectors / np.abs(vectors).max()
+    asked = queries / np.abs(queries).max(axis=1, keepdims=True)
+    guess, by_query, by_vector = codes.estimate(asked)
+    own_query, own_vector = np.nonzero(query_ids[:, None] == ids[None, :])
+    guess[own_query, own_vector] = -np.inf
     first = min(k, len(ids))
-    top = np.argpartition(-guess, first - 1, axis=1)[:, :first]
-    q = np.repeat(np.arange(len(queries)), first)
-    products = _exact(queries[q], vectors[top.ravel()]).reshape(len(queries), first)
-    products[np.take_along_axis(own, top, axis=1)] = -np.inf
-    floor = products.min(axis=1)  # the k-th exact product so far; -inf keeps everything
-    q, v = np.nonzero((guess + loose >= floor[:, None]) & ~own)
-    score = _exact(queries[q], vectors[v])
-    order = np.lexsort((ids[v], -score, q))
-    q, v, score = q[order], v[order], score[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    best = rank < k
-    return q[best], v[best], score[best]
+    top = np.argpartition(guess, len(ids) - first, axis=1)[:, len(ids) - first :]
+    reach = guess + (spread * by_query).astype(np.float32)[:, None] * by_vector.astype(np.float32)
+    found_query, found_vector, found_score = [], [], []
+    for i, query in enumerate(queries):
+        sure = top[i][guess[i, top[i]] > -np.inf]
+        floor = (small[sure] @ asked[i]).min() if len(sure) == first == k else -np.inf  # the k-th exact product so far
+        slack = 1e-6 * (1 + abs(floor)) if floor > -np.inf else 0.0  # estimates are single precision
+        chosen = np.flatnonzero((reach[i] >= floor - slack) & (guess[i] > -np.inf))
+        rough = small[chosen] @ asked[i]
+        if len(chosen) > k:
+            kth = np.partition(rough, len(rough) - k)[len(rough) - k]
+            chosen = chosen[rough >= kth - 1e-12 * (1 + np.abs(rough).max())]
+        score = _exact(np.broadcast_to(query, (len(chosen), len(query))), vectors[chosen])
+        best = np.lexsort((ids[chosen], -score))[:k]
+        found_query.append(np.full(len(best), i))
+        found_vector.append(chosen[best])
+        found_score.append(score[best])
+    return np.concatenate(found_query).astype(np.int64), np.concatenate(found_vector).astype(np.int64), np.concatenate(found_score)
 
 
 def _parsed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -144,7 +162,8 @@ def search(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_co
     def met(key, targets, asked):
         d = key[0]
         vectors, ids = doubles(targets.column(2)), targets.column(0).to_numpy(zero_copy_only=False)
-        codes = Codes(vectors, centres[d], rotation(d))
+        largest = np.abs(vectors).max()
+        codes = Codes(vectors / largest, np.nan_to_num(centres[d] / largest), [rotation(d, seed) for seed in range(ROTATIONS)])
         for part in asked:
             query_ids = part.column(0).to_numpy(zero_copy_only=False)
             q, v, score = block_search(codes, vectors, ids, doubles(part.column(2)), query_ids, k, spread)
