@@ -23,7 +23,6 @@ Repeated rows are treated alike.
 from __future__ import annotations
 
 import re
-import zlib
 from itertools import chain
 
 import numpy as np
@@ -51,18 +50,46 @@ def words_of(text: str | None) -> list[str]:
     return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word's features: the word itself (lexicon), affixes of 1 to 4, and 2- and 3-grams with its borders."""
-    marked = f"^{word}$"
-    names = ["w" + word, *("p" + word[:n] for n in (1, 2, 3, 4)), *("s" + word[-n:] for n in (1, 2, 3, 4))]
-    names += [marked[i : i + 2] for i in range(len(marked) - 1)] + [marked[i : i + 3] for i in range(len(marked) - 2)]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' features, and the number of the word each belongs to.
+
+    The word itself (lexicon), affixes of 1 to 4 letters, and 2- and 3-grams with
+    the word's borders; all words' code points are hashed in one go.
+    """
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in words])
+    word = np.repeat(np.arange(len(words)), sizes + 2)
+    first = np.cumsum(sizes + 2) - sizes - 1  # of the letters, after the border
+    last = first + sizes - 1
+    out, owners = [], []
+
+    def add(kind: int, columns: list[np.ndarray], owner: np.ndarray) -> None:
+        total = np.full(len(owner), kind, np.uint64)
+        for column in columns:
+            total = (total ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(29)
+        out.append((total % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner)
+
+    everyone = np.arange(len(words))
+    none = np.uint64(0)
+    for n in range(1, 5):
+        add(n, [np.where(i < sizes, codes[np.minimum(first + i, last)], none) for i in range(n)], everyone)
+        add(4 + n, [np.where(i < sizes, codes[np.maximum(last - i, first)], none) for i in range(n)], everyone)
+    for n in (2, 3):
+        inside = np.flatnonzero(word[: len(word) - n + 1] == word[n - 1 :])
+        add(8 + n, [codes[inside + i] for i in range(n)], word[inside])
+    place = np.arange(len(codes)) - first[word]
+    letters = (codes + (place + 2).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+    letters ^= letters >> np.uint64(31)
+    add(20, [np.add.reduceat(letters, first - 1)], everyone)
+    return np.concatenate(out), np.concatenate(owners)
 
 
 def _emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
-    flat = [features(w) for w in words]
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in flat])])[:-1]
-    return np.add.reduceat(weights[np.fromiter(chain.from_iterable(flat), np.int64)], starts, axis=0)
+    ids, owner = features(words)
+    found = weights[ids]
+    return np.stack([np.bincount(owner, found[:, j], len(words)) for j in range(weights.shape[1])], axis=1)
 
 
 def marginals(potentials: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -145,10 +172,7 @@ class LanguageModel:
         tokens = np.fromiter(chain.from_iterable(pieces[i][1] for i in order), np.int64)
         gold = np.repeat([pieces[i][0] for i in order], [len(pieces[i][1]) for i in order])
         bounds = np.unique(np.append(np.arange(0, len(tokens), SEQUENCE_WORDS), len(tokens)))
-        flat = [features(w) for w in vocabulary]
-        ids = np.fromiter(chain.from_iterable(flat), np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(f) for f in flat])])[:-1]
-        word = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+        ids, word = features(list(vocabulary))
         used, ids = np.unique(ids, return_inverse=True)
         params = [np.zeros((len(used), count)), np.zeros((count, count))]
         first = np.zeros(len(tokens), bool)
@@ -157,13 +181,13 @@ class LanguageModel:
         np.add.at(pairs, (gold[:-1][~first[1:]], gold[1:][~first[1:]]), 1)
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
         for step in range(1, steps + 1):
-            scores = np.add.reduceat(params[0][ids], starts, axis=0)[tokens]
+            scores = np.stack([np.bincount(word, params[0][ids, j], len(vocabulary)) for j in range(count)], axis=1)[tokens]
             potentials = np.exp(scores - scores.max(axis=1, keepdims=True))
             matrix = np.exp(params[1])
             post = marginals(potentials, bounds, matrix)
             miss = -post
             miss[np.arange(len(tokens)), gold] += 1
-            by_word = np.stack([np.bincount(tokens, miss[:, j], len(flat)) for j in range(count)], axis=1)
+            by_word = np.stack([np.bincount(tokens, miss[:, j], len(vocabulary)) for j in range(count)], axis=1)
             grads = [np.stack([np.bincount(ids, by_word[word, j], len(used)) for j in range(count)], axis=1) - 0.1 * params[0]]
             grads.append(pairs - _pair_marginals(potentials, bounds, matrix) - 0.1 * params[1])
             for p, g, m in zip(params, grads, moments):

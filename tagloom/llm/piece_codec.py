@@ -33,8 +33,8 @@ from tagloom.llm.common import kept_columns, ref, schema_of, text_slices, with_a
 
 MARKER = "▁"
 _CHUNK = re.compile(r"\n| *[^ \n]+| +")
-#: Decoding goes through the library in runs of about so many ids.
-MAX_CHUNKS = 200_000
+#: entries of a task's table, and chunks segmented in one call
+MAX_CHUNKS, JOINED_CHUNKS = 300_000, 512
 
 
 def default_model() -> str:
@@ -61,6 +61,7 @@ class ChunkTable:
             raise ValueError(f"pieces cross whitespace markers or line feeds, e.g. {crossing[:3]}")
         #: what a line feed in front of a chunk adds: the model's own leading marker, and the line feed
         self.lead = len(self.model.encode("\n"))
+        self.feed = self.model.encode("\n")[-1]
         if self.model.encode("\na")[: self.lead] != self.model.encode("\n") or self.model.encode(" a")[:1] == self.model.encode("a"):
             raise ValueError("the model normalises texts; only identity models with a leading marker can be cut into chunks")
 
@@ -70,16 +71,31 @@ class ChunkTable:
         self.bounds = np.zeros(1 << 12, np.int64)
 
     def _add(self, chunks: list[str]) -> None:
-        ids = [x[self.lead :] for x in self.model.encode(["\n" + c for c in chunks], num_threads=1)]
-        n, used = len(self.rows), int(self.bounds[len(self.rows)])
-        ends = used + np.cumsum([len(x) for x in ids])
+        """Segment new chunks; many at a time, with line feeds between them, which no piece can cross."""
+        parts, sizes = [], []
+        for a in range(0, len(chunks), JOINED_CHUNKS):
+            group = ["" if c == "\n" else c for c in chunks[a : a + JOINED_CHUNKS]]
+            ids = np.array(self.model.encode("\n" + "\n".join(group) + "\n"), np.int32)
+            cuts = np.flatnonzero(ids == self.feed)
+            if len(cuts) != len(group) + 1:
+                raise ValueError("a chunk holds a line feed's id")
+            keep = ids != self.feed
+            keep[: self.lead] = False
+            counts = np.diff(cuts) - 1
+            if "" in group:  # a line feed is its own chunk
+                feeds = np.flatnonzero([c == "" for c in group])
+                keep[cuts[feeds]], counts[feeds] = True, 1
+            parts.append(ids[keep])
+            sizes.append(counts)
+        ids, n, used = np.concatenate(parts), len(self.rows), int(self.bounds[len(self.rows)])
+        ends = used + np.cumsum(np.concatenate(sizes))
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while len(self.bounds) <= n + len(ids):
+        while len(self.bounds) <= n + len(ends):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.flat[used : ends[-1]] = list(chain.from_iterable(ids))
-        self.bounds[n + 1 : n + 1 + len(ids)] = ends
-        self.rows.update(zip(chunks, range(n, n + len(ids))))
+        self.flat[used : ends[-1]] = ids
+        self.bounds[n + 1 : n + 1 + len(ends)] = ends
+        self.rows.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of the texts in it."""
