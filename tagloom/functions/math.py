@@ -110,14 +110,18 @@ def power(a, b) -> Column:
 
 
 def floordiv(a, b) -> Column:
-    """``a // b``: floor of the true quotient."""
-    return F.floor(_c(a) / _c(b)).cast("double")
+    """``a // b`` as Python has it: what is left after the remainder, divided exactly."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    q = (a - pymod(a, b)) / b
+    down = floor(q)
+    return F.when(q - down > 0.5, down + 1).otherwise(down)
 
 
 def pymod(a, b) -> Column:
-    """``a % b`` with the sign of the divisor (Python), unlike Spark's ``%``."""
-    a, b = _c(a), _c(b)
-    return a - b * F.floor(a / b)
+    """``a % b`` with the sign of the divisor (Python): Spark's remainder, moved by one divisor where the signs differ."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    r = a % b
+    return F.when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 
 def neg(a) -> Column:

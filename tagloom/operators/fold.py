@@ -5,7 +5,7 @@ by at most ``d`` (snap when within ``d``), then clamp to ``[lo, hi]``. This
 map is continuous and non-decreasing in the state, so every trajectory that
 starts between two others stays between them.
 
-Plan (every Python group is one ``(series, chunk)``, never a whole series):
+Plan (Python groups are one ``(series, chunk)``, or a run of them as said in step 3):
 
 1. prepare the rows (held, clamped target; chunk key) and persist them;
 2. per chunk, fold from both ends ``lo`` and ``hi``; once the two paths meet,
@@ -22,7 +22,9 @@ The per-row loop is a small Python helper inside ``applyInPandas``.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -30,23 +32,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.series import SeriesSpec, clamp, hold_last
+from tagloom.operators.series import SeriesSpec, clamp, hold_last, lay_out
 from tagloom.session import ensure_checkpoint_dir
 
 
+def travel_per_cycle(lo: float, hi: float, full_travel_time: float, cycle_time: float) -> float:
+    """Longest move of one cycle; a range or travel time that is not positive sets no limit."""
+    return cycle_time * (hi - lo) / full_travel_time if full_travel_time > 0 and hi > lo else math.inf
+
+
+def limited_step(c: float, target: float, lo: float, hi: float, dist: float) -> float:
+    """The point of the reachable interval ``[c - dist, c + dist]`` nearest to the target, kept in ``[lo, hi]``."""
+    near = min(max(target, c - dist), c + dist)
+    return min(max(near, lo), hi)
+
+
 def _walk(targets, c: float, lo: float, hi: float, dist: float, out: list | None = None) -> float:
-    for t in targets:
-        diff = t - c
-        if abs(diff) <= dist:
-            c = t
-        elif diff > 0:
-            c = c + dist
-        else:
-            c = c - dist
-        c = max(lo, min(hi, c))
-        if out is not None:
-            out.append(c)
-    return c
+    path = accumulate(targets, lambda at, t: limited_step(at, t, lo, hi, dist), initial=c)
+    if out is None:
+        return deque(path, maxlen=1)[0]
+    next(path)
+    out.extend(path)
+    return out[-1] if out else c
 
 
 def _sorted(pdf: pd.DataFrame, order: Sequence[str]) -> pd.DataFrame:
@@ -116,17 +123,10 @@ def _rows_fn(order, lo, hi, dist, out_col, columns):
     return run
 
 
-def _chunk_table(summary: DataFrame, by: Sequence[str], reset_first: bool = False) -> DataFrame:
-    """Chunk table with ``_first`` and the previous chunk's exit.
-
-    ``reset_first`` forgets the both-ends exit of first chunks: their entry
-    (the initial value) may lie outside ``[lo, hi]``, where the sandwich
-    argument does not hold, so they always take the exact path.
-    """
+def _chunk_table(summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Chunk table with ``_first`` and the previous chunk's exit."""
     w = Window.partitionBy(*by).orderBy("_chunk")
     t = summary.select(*by, "_chunk", "_met", "_exit", "_init", "_n", (F.row_number().over(w) == 1).alias("_first"))
-    if reset_first:
-        t = t.withColumn("_exit", F.when(F.col("_first"), F.lit(None).cast("double")).otherwise(F.col("_exit")))
     return t.withColumn("_prev_exit", F.lag("_exit").over(w))
 
 
@@ -150,8 +150,8 @@ def chunked_fold(
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     by, order = list(spec.by), list(spec.order)
-    keep = list(df.columns)
-    prep = df.withColumn("_chunk", spec.chunk.cast("long")).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
+    keep = [c for c in df.columns if c != "_chunk"]
+    prep = lay_out(df, spec).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
     # first chunk of every series: a per-series minimum (partial aggregation, one row per series)
     firsts = prep.groupBy(*by).agg(F.min("_chunk").alias("_first_chunk"))
     prep = prep.join(firsts, by).withColumn("_is_first", F.col("_chunk") == F.col("_first_chunk")).drop("_first_chunk")
@@ -221,9 +221,8 @@ def slew_limit(
     Travel per cycle = (max - min) / full_travel_time * cycle_time; non-positive
     travel time or range means instantaneous moves.
     """
-    rng = max_opening - min_opening
-    dist = rng / full_travel_time * cycle_time if full_travel_time > 0 and rng > 0 else math.inf
-    d = df.withColumn("_tc", clamp(F.col(target_col).cast("double"), min_opening, max_opening))
+    dist = travel_per_cycle(min_opening, max_opening, full_travel_time, cycle_time)
+    d = lay_out(df, spec).withColumn("_tc", clamp(F.col(target_col).cast("double"), min_opening, max_opening))
     d = hold_last(d, spec, "_tc", initial=initial_opening, out="_held")
     res = chunked_fold(d, spec, F.col("_held"), min_opening, max_opening, dist, F.lit(float(initial_opening)), out)
     return res.drop("_tc", "_held")

@@ -61,15 +61,16 @@ def query_history(
     instance_name: str | None = None,
     start_time=None,
     end_time=None,
-    limit: int = 1000,
+    limit: int | None = 1000,
 ) -> DataFrame:
-    """filtered rows, newest first, at most ``limit`` (ties broken by id, newest first).
+    """filtered rows, newest first, at most ``limit`` (None: all; ties broken by id, newest first).
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each task keeps
     its own top n, only n rows per task reach the final merge.
     """
     rows = history_filter(history, param_name, instance_name, start_time, end_time)
-    return rows.select(*HISTORY_COLUMNS).orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    ordered = rows.select(*HISTORY_COLUMNS).orderBy(F.desc("timestamp"), F.desc("id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def iso_timestamp(col: str | Column = "timestamp") -> Column:
@@ -155,27 +156,29 @@ def distinct_timestamps(history: DataFrame) -> DataFrame:
     return history.select("timestamp").distinct().orderBy("timestamp")
 
 
-# Deepest page served by a top-k plan; deeper pages use exact global ordinals.
-TOPK_PAGE_LIMIT = 1_000_000
-
-
 def page_slice(df: DataFrame, start: int, n: int = 1000, order: tuple = ("timestamp", "id")) -> DataFrame:
     """F8: ordinal rows ``[start, min(start+n, total))`` with start clamped to ``total - n``.
 
-    One ``count()`` decides the clamp. Shallow pages are OFFSET/LIMIT over a
-    top-k plan (each task keeps ``start + n`` rows). Deeper pages would make
-    every task hold that many rows, so they take global ordinals from the
-    range-partitioned layout of :func:`assign_ids` (``order`` must be unique)
-    and filter the slice: no task holds more than its own partition.
+    Rows are counted per day of the first order column (a few thousand counts
+    for a decade), so only the days that hold the wanted ordinals are read, and a
+    page however deep is a top-k inside those days. The first order column must
+    be a timestamp. Null times form a day of their own, in front.
     """
-    total = df.count()
+    day = F.to_date(F.col(order[0]))
+    counts = sorted(((r[0], r[1]) for r in df.groupBy(day.alias("d")).count().collect()), key=lambda r: (r[0] is not None, r[0]))
+    total = sum(c for _, c in counts)
     start = max(0, min(int(start), total - n))
-    if start + n <= TOPK_PAGE_LIMIT:
-        return df.orderBy(*order).offset(start).limit(n)
-    from tagloom.operators.ingest import assign_ids
-
-    pos = assign_ids(df, list(order), start=0, id_col="_ordinal")
-    return pos.filter((F.col("_ordinal") >= start) & (F.col("_ordinal") < start + n)).orderBy("_ordinal").drop("_ordinal")
+    before, days, skip = 0, [], 0
+    for d, c in counts:
+        if before < start + n and before + c > start:
+            skip = skip if days else start - before
+            days.append(d)
+        before += c
+    known = [d for d in days if d is not None]
+    inside = F.lit(False) if not days else day.between(F.lit(min(known)), F.lit(max(known))) if known else F.lit(False)
+    if None in days:
+        inside = inside | day.isNull()
+    return df.filter(inside).orderBy(*order).offset(skip).limit(n)
 
 
 def select_tags(df: DataFrame, tags, time_column: str | None = None) -> DataFrame:

@@ -43,9 +43,6 @@ from tagloom.schema import HISTORY_COLUMNS
 from tagloom.session import ensure_checkpoint_dir
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
-# Candidate rows composed on the driver at most; beyond this, Spark joins compose them.
-DRIVER_CANDIDATE_LIMIT = 2_000_000
-
 
 def micros(col: str = "timestamp") -> Column:
     return F.expr(MICROS.format(c=f"`{col}`"))
@@ -115,28 +112,6 @@ def _emit_fn(step: int, entries: dict[int, int]):
     return run
 
 
-def _compose_on_driver(cands: pd.DataFrame) -> dict[int, int]:
-    """Walk the entry chain across partitions (at most one step per partition)."""
-    entries: dict[int, int] = {}
-    if cands.empty:
-        return entries
-    cands = cands.sort_values(["pmin", "cand"])
-    groups = [g for _, g in cands.groupby("pmin", sort=True)]
-    pmax = np.array([int(g["pmax"].iloc[0]) for g in groups])
-    k, theta = 0, None
-    while k < len(groups):
-        g = groups[k]
-        c = g["cand"].to_numpy()
-        j = 0 if theta is None else int(np.searchsorted(c, theta, side="left"))
-        if j >= len(c):
-            raise AssertionError("greedy chain entered a partition outside its candidate set")
-        entries[int(g["part"].iloc[0])] = int(c[j])
-        theta = int(g["exit"].to_numpy()[j])
-        # the chain leaves partition k (its max < theta); next partition holding a value >= theta
-        k = int(np.searchsorted(pmax, theta, side="left"))
-    return entries
-
-
 def _locate_fn(bounds: np.ndarray):
     """Pandas UDF body: index of the first partition whose max is >= value (bounded array)."""
 
@@ -147,7 +122,7 @@ def _locate_fn(bounds: np.ndarray):
 
 
 def _compose_distributed(cands: DataFrame) -> dict[int, int]:
-    """Same composition as :func:`_compose_on_driver`, with Spark joins (large candidate tables).
+    """Entry of the greedy chain into each partition, composed with Spark joins.
 
     Node = candidate; edge = first candidate ``>= exit``. Each exit is routed to
     the partition that can hold its successor (a searchsorted against the
@@ -163,7 +138,8 @@ def _compose_distributed(cands: DataFrame) -> dict[int, int]:
     locate = F.pandas_udf(_locate_fn(pmax), "long")
     probes = cands.select(F.col("cand").alias("src"), F.col("exit").alias("key"), F.lit(1).alias("kind"))
     data = cands.select(F.lit(None).cast("long").alias("src"), F.col("cand").alias("key"), F.lit(0).alias("kind"))
-    u = probes.unionByName(data).withColumn("q", locate(F.col("key")))
+    # a probe past the last maximum has no successor; kept in, all of them would share one window partition
+    u = probes.unionByName(data).withColumn("q", locate(F.col("key"))).filter(F.col("q") < len(pmax))
     w = Window.partitionBy("q").orderBy(F.col("key"), F.col("kind").desc()).rowsBetween(0, Window.unboundedFollowing)
     nxt = u.withColumn("dst", F.first(F.when(F.col("kind") == 0, F.col("key")), ignorenulls=True).over(w))
     jump = nxt.filter("kind = 1").select("src", "dst").checkpoint(eager=True)
@@ -193,14 +169,7 @@ def greedy_kept_micros(rows: DataFrame, interval_seconds: float, ts_col: str = "
     # of a lost block goes through the same fixed partitioner
     ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").persist(StorageLevel.MEMORY_AND_DISK)
     cands = ranged.mapInPandas(_candidates_fn(step), "part long, pmin long, pmax long, cand long, exit long")
-    # persisted between the size check and the collect: the Python pass runs once
-    cands = cands.persist(StorageLevel.MEMORY_AND_DISK)
-    n_cands = cands.count()
-    if n_cands <= DRIVER_CANDIDATE_LIMIT:
-        entries = _compose_on_driver(cands.toPandas())
-    else:
-        entries = _compose_distributed(cands.checkpoint(eager=True))
-    cands.unpersist()
+    entries = _compose_distributed(cands.checkpoint(eager=True))
     # The kept set (at most the distinct timestamps) is written with a reliable
     # checkpoint, so the returned plan no longer depends on the persisted layout
     # (entries are keyed by its partition ids), which is then released.
@@ -228,7 +197,7 @@ def query_sampled(
     ``sample_interval`` None or <= 0 falls back to the plain history query (P2).
     """
     if sample_interval is None or sample_interval <= 0:
-        return query_history(history, param_name, instance_name, start_time, end_time, limit=limit if limit is not None else 2**31 - 1)
+        return query_history(history, param_name, instance_name, start_time, end_time, limit=limit)
     rows = history_filter(history, param_name, instance_name, start_time, end_time)
     kept = greedy_kept_micros(rows, sample_interval)
     joined = rows.withColumn("_us", micros("timestamp")).join(kept.withColumnRenamed("us", "_us"), "_us", "left_semi")
@@ -239,11 +208,11 @@ def query_sampled(
 def sample_flag(cycle: str | Column, cycle_time: float, sample_interval: float | None) -> Column:
     """``cycle % k == 0`` with ``k = max(1, int(sample_interval / cycle_time))`` (None: every cycle)."""
     if cycle_time <= 0:
-        raise ValueError(f"cycle_time must be positive, got {cycle_time}")
+        raise ValueError(f"a cycle must last longer than zero seconds: {cycle_time}")
     if sample_interval is not None and sample_interval <= 0:
-        raise ValueError(f"sample_interval must be positive, got {sample_interval}")
+        raise ValueError(f"no sampling every {sample_interval} seconds")
     if sample_interval is not None and sample_interval < cycle_time:
-        raise ValueError(f"sample_interval ({sample_interval}) must be >= cycle_time ({cycle_time})")
+        raise ValueError(f"sampling every {sample_interval} s is finer than the cycle of {cycle_time} s")
     k = 1 if sample_interval is None else max(1, int(sample_interval / cycle_time))
     c = F.col(cycle) if isinstance(cycle, str) else cycle
     return (c % F.lit(k)) == 0

@@ -1,12 +1,15 @@
 """Per-series ordered operators: lag, hold-last, integral, first difference, clamp, PID.
 
-Skew-proof layout
------------------
+Layout
+------
 A naive ``Window.partitionBy(series)`` puts a whole series in one task, so a
 tag holding a third of the table would run on one core. Every operator here
-instead cuts each series into *chunks* of its order key (``chunk`` is a
-monotone, coarse function of the order, e.g. ``floor(cycle / 65536)`` or the
-day of the timestamp), so a window partition never exceeds one chunk:
+instead cuts each series into *chunks* along its order. Chunks are cut by the
+data: rows are range-partitioned by (series, order) into parts of about
+``CHUNK_ROWS`` rows, checkpointed in the shared folder, and the part is the
+chunk, so neither a hot series nor a dense day makes a large group. (A spec
+with an explicit ``chunk_size`` cuts by fixed width instead, without a layout;
+its groups then grow with the data.)
 
 1. the window runs per ``(series, chunk)`` (a bounded group, spread by hash
    over all tasks);
@@ -30,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.session import ensure_checkpoint_dir
+
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
 
 
@@ -38,12 +43,12 @@ class SeriesSpec:
     """Series key, total order inside a series, and the chunk key.
 
     ``order`` must be unique inside a series (add an id as tie-breaker).
-    ``chunk`` must be non-decreasing along ``order`` within a series.
+    ``chunk`` must be non-decreasing along ``order`` within a series; None cuts by the data.
     """
 
     by: tuple[str, ...]
     order: tuple[str, ...]
-    chunk: Column
+    chunk: Column | None
     key: Column | None = None  # fixed-width ordering key (see series_spec)
 
     def order_cols(self) -> list[Column]:
@@ -54,12 +59,13 @@ class SeriesSpec:
         return self.key if self.key is not None else F.struct(*self.order_cols())
 
 
-def series_spec(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_size: float | int = 1 << 16) -> SeriesSpec:
-    """Build a spec; the chunk is ``floor(first order column / chunk_size)``.
+def series_spec(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_size: float | int | None = None) -> SeriesSpec:
+    """Build a spec whose chunks are cut by the data, or by ``floor(first order column / chunk_size)``.
 
-    Timestamps chunk on epoch microseconds (``chunk_size`` in seconds), numbers
-    on their value. Pick ``chunk_size`` so a chunk holds ~1M rows of one series.
+    Timestamps chunk on epoch microseconds (``chunk_size`` in seconds), numbers on their value.
     """
+    if chunk_size is None:
+        return SeriesSpec(tuple(by), tuple(order), None, _fixed_width_key(df, order))
     first = order[0]
     dtype = df.schema[first].dataType
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
@@ -103,8 +109,31 @@ def _fixed_width_key(df: DataFrame, order: Sequence[str]) -> Column | None:
     return None
 
 
+#: rows of a chunk cut by the data, about
+CHUNK_ROWS = 500_000
+
+
+def lay_out(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """``df`` with its ``_chunk``; a frame that has one keeps it, so several operators can share a layout.
+
+    Runs a count, a sampling job and the checkpoint while the plan is built.
+    """
+    if "_chunk" in df.columns:
+        return df
+    if spec.chunk is not None:
+        return df.withColumn("_chunk", spec.chunk.cast("long"))
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [F.col(c) for c in (*spec.by, *spec.order)]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CHUNK_ROWS))
+    return df.repartitionByRange(parts, *keys).withColumn("_chunk", F.spark_partition_id().cast("long")).checkpoint()
+
+
+def _without_layout(out: DataFrame, df: DataFrame) -> DataFrame:
+    return out if "_chunk" in df.columns else out.drop("_chunk")
+
+
 def _chunked(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, Window]:
-    d = df.withColumn("_chunk", spec.chunk)
+    d = lay_out(df, spec)
     w = Window.partitionBy(*spec.by, "_chunk").orderBy(*spec.order_cols())
     return d, w
 
@@ -125,7 +154,7 @@ def running_sum(df: DataFrame, spec: SeriesSpec, value: Column, out: str) -> Dat
         F.coalesce(F.sum("_tot").over(_chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_carry"),
     )
     res = d.join(carry, [*spec.by, "_chunk"]).withColumn(out, F.col("_in") + F.col("_carry"))
-    return res.drop("_v", "_in", "_carry", "_chunk")
+    return _without_layout(res.drop("_v", "_in", "_carry"), df)
 
 
 def hold_last(df: DataFrame, spec: SeriesSpec, col: str, initial: float | None = 0.0, out: str | None = None) -> DataFrame:
@@ -143,7 +172,7 @@ def hold_last(df: DataFrame, spec: SeriesSpec, col: str, initial: float | None =
     )
     init = F.lit(initial).cast("double") if initial is not None else F.lit(None).cast("double")
     res = d.join(carry, [*spec.by, "_chunk"]).withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"), init))
-    return res.drop("_in", "_carry", "_chunk")
+    return _without_layout(res.drop("_in", "_carry"), df)
 
 
 def previous_value(df: DataFrame, spec: SeriesSpec, col: str, default: float = 0.0, out: str = "_prev") -> DataFrame:
@@ -154,7 +183,7 @@ def previous_value(df: DataFrame, spec: SeriesSpec, col: str, default: float = 0
     carry = last_in_chunk.select(*spec.by, "_chunk", F.lag("_last", 1).over(_chunk_window(spec)).alias("_carry"), F.lag("_chunk", 1).over(_chunk_window(spec)).alias("_pc"))
     res = d.join(carry, [*spec.by, "_chunk"])
     val = F.when(F.col("_first"), F.when(F.col("_pc").isNull(), F.lit(default)).otherwise(F.col("_carry"))).otherwise(F.col("_in"))
-    return res.withColumn(out, val).drop("_in", "_first", "_carry", "_pc", "_chunk")
+    return _without_layout(res.withColumn(out, val).drop("_in", "_first", "_carry", "_pc"), df)
 
 
 def lag(
@@ -174,48 +203,53 @@ def lag(
     that already holds the current value (``n - 1`` back). ``initial`` seeds
     one value before the first row (the cycle-0 value).
 
-    n = 1 uses the chunk carry. n > 1 uses a halo: rows past the first n of
-    their chunk take the in-chunk lag; the first n rows of each chunk (heads)
-    look up their value among the last n rows of every chunk (tails) by dense
-    per-series row number. Heads and tails are at most n rows per chunk, so the
-    only full-data shuffle is the chunk window's.
     """
-    out = out or f"{col}_lag{abs(n)}"
-    k = abs(int(n)) - (1 if inclusive else 0)
-    if k <= 0:
-        return df.withColumn(out, F.col(col).cast("double"))
-    if k == 1 and initial is None:
-        return previous_value(df, spec, col, default=default, out=out)
+    return lag_many(df, spec, [(col, n, out or f"{col}_lag{abs(n)}")], default, inclusive, initial)
+
+
+def lag_many(
+    df: DataFrame,
+    spec: SeriesSpec,
+    lags: Sequence[tuple[str, int, str]],
+    default: float = 0.0,
+    inclusive: bool = False,
+    initial: float | None = None,
+) -> DataFrame:
+    """W1 for several ``(column, n, name)`` in one chunked pass, whatever their number.
+
+    Rows past the first n of their chunk take the in-chunk lag. The chunk table
+    carries the last rows of each chunk (as many as the longest lag); the rows
+    before a chunk come from the tails of as many chunks before it, so a chunk
+    may be shorter than the lag.
+    """
+    plan = [(col, abs(int(n)) - (1 if inclusive else 0), out) for col, n, out in lags]
+    deep = max((k for _, k, _ in plan), default=0)
+    for col, _, out in (p for p in plan if p[1] <= 0):
+        df = df.withColumn(out, F.col(f"`{col}`").cast("double"))
+    plan = [p for p in plan if p[1] > 0]
+    if not plan:
+        return df
     d, w = _chunked(df, spec)
-    d = d.withColumn("_i", F.row_number().over(w)).withColumn("_in", F.lag(F.col(col), k).over(w))
-    counts = d.groupBy(*spec.by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select(
-        *spec.by,
-        "_chunk",
-        "_n",
-        F.coalesce(F.sum("_n").over(_chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    )
-    d = d.join(offs, [*spec.by, "_chunk"]).withColumn("_rn", F.col("_off") + F.col("_i"))
-    helpers = ["_i", "_in", "_n", "_off", "_rn", "_chunk"]
-    body = d.filter(F.col("_i") > k).withColumn(out, F.col("_in").cast("double"))
-    heads = d.filter(F.col("_i") <= k)
-    # last k rows per chunk via a descending row_number filter: Spark plans it as
-    # a group limit below the shuffle, so only k rows per chunk and task move
-    wd = Window.partitionBy(*spec.by, "_chunk").orderBy(*[c.desc() for c in spec.order_cols()])
-    tails = df.withColumn("_chunk", spec.chunk).withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= k)
-    tails = tails.join(offs, [*spec.by, "_chunk"]).select(
-        *[F.col(b).alias(f"_s_{b}") for b in spec.by],
-        (F.col("_off") + F.col("_n") - F.col("_r") + 1).alias("_s_rn"),
-        F.col(col).cast("double").alias("_s_v"),
-    )
-    cond = [F.col(b) == F.col(f"_s_{b}") for b in spec.by] + [(F.col("_rn") - k) == F.col("_s_rn")]
-    hj = heads.join(tails, cond, "left")
-    fallback = F.lit(default).cast("double")
-    if initial is not None:
-        fallback = F.when(F.col("_rn") == k, F.lit(initial).cast("double")).otherwise(fallback)
-    hj = hj.withColumn(out, F.when(F.col("_s_rn").isNotNull(), F.col("_s_v")).otherwise(fallback))
-    hj = hj.drop(*[f"_s_{b}" for b in spec.by], "_s_rn", "_s_v")
-    return body.drop(*helpers).unionByName(hj.drop(*helpers))
+    sources = list(dict.fromkeys(col for col, _, _ in plan))
+    d = d.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*spec.by, "_chunk")))
+    d = d.withColumns({f"_in{j}": F.lag(F.col(f"`{col}`").cast("double"), k).over(w) for j, (col, k, _) in enumerate(plan)})
+    tail = F.struct("_i", *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(sources)])
+    tails = d.filter(F.col("_i") > F.col("_n") - deep).groupBy(*spec.by, "_chunk").agg(F.array_sort(F.collect_list(tail)).alias("_t"))
+    before = F.flatten(F.collect_list("_t").over(_chunk_window(spec).rowsBetween(-deep, -1)))
+    carry = tails.select(*spec.by, "_chunk", before.alias("_b"))
+    carry = carry.withColumn("_b", F.slice("_b", F.greatest(F.size("_b") - F.lit(deep - 1), F.lit(1)), deep))
+    res = d.join(carry, [*spec.by, "_chunk"])
+    held = F.size("_b")
+    outs = {}
+    for j, (col, k, out) in enumerate(plan):
+        back = F.lit(k + 1) - F.col("_i")  # the row wanted, counted from the end of what comes before the chunk
+        fallback = F.lit(default).cast("double")
+        if initial is not None:
+            fallback = F.when(back == held + 1, F.lit(initial).cast("double")).otherwise(fallback)
+        old = F.get("_b", held - back)[f"v{sources.index(col)}"]
+        outs[out] = F.when(F.col("_i") > k, F.col(f"_in{j}")).when(back <= held, old).otherwise(fallback)
+    res = res.withColumns(outs).drop("_i", "_n", "_b", *[f"_in{j}" for j in range(len(plan))])
+    return _without_layout(res, df)
 
 
 def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
@@ -243,7 +277,7 @@ def hold_last_many(df: DataFrame, spec: SeriesSpec, cols: dict[str, tuple[str, f
     res = d.join(carry, [*spec.by, "_chunk"])
     for out, (_, init) in cols.items():
         res = res.withColumn(out, F.coalesce(F.col(f"_in_{out}"), F.col(f"_c_{out}"), F.lit(init).cast("double")))
-    return res.drop("_chunk", *[f"_in_{o}" for o in cols], *[f"_c_{o}" for o in cols])
+    return _without_layout(res.drop(*[f"_in_{o}" for o in cols], *[f"_c_{o}" for o in cols]), df)
 
 
 def pid_response(
@@ -272,7 +306,7 @@ def pid_response(
     holds = {"_pv": (pv, PV0)}
     if isinstance(sv, str):
         holds["_sv"] = (sv, SV0)
-    d = hold_last_many(df, spec, holds)
+    d = hold_last_many(lay_out(df, spec), spec, holds)
     if not isinstance(sv, str):
         d = d.withColumn("_sv", F.lit(float(sv)))
     d = d.withColumn("error", F.col("_sv") - F.col("_pv"))
@@ -295,4 +329,4 @@ def pid_response(
     d = d.withColumn("derivative", (F.col("error") - F.col("_eprev")) / F.lit(cycle_time))
     i_term = F.lit(PB / TI) * F.col("integral") if TI > 0 else F.lit(0.0)
     raw = F.lit(PB) * F.col("error") + i_term + F.lit(PB * TD) * F.col("derivative")
-    return d.withColumn("mv", clamp(raw, L, H)).drop("_pv", "_sv", "_eprev", "_v", "_in", "_lag", "_first", "_carry", "_plast", "_chunk")
+    return d.withColumn("mv", clamp(raw, L, H)).drop("_pv", "_sv", "_eprev", "_v", "_in", "_lag", "_first", "_carry", "_plast", *([] if "_chunk" in df.columns else ["_chunk"]))

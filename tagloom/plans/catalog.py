@@ -23,7 +23,7 @@ from tagloom.functions.formula import formula_columns as _formulas
 from tagloom.sources import csv_template as CSV
 from tagloom.sources import envelope as J
 from tagloom.sources import generate as G
-from tagloom.sources.history import LINEITEM_TAGS, events_history, history_from_events, read_history, table, wide_from_lineitem, write_history
+from tagloom.sources.history import LINEITEM_TAGS, events_history, history_from_events, append_history, read_history, table, wide_from_lineitem, write_history
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -257,8 +257,7 @@ def _recorded(spark: SparkSession, sf: str, gaps: bool = False) -> DataFrame:
 
 
 def _spec(df: DataFrame) -> S.SeriesSpec:
-    # one chunk per day of each event type: carries cross ~30 chunk borders at every scale
-    return S.series_spec(df, ["event_type"], ["ts", "event_id"], chunk_size=86400)
+    return S.series_spec(df, ["event_type"], ["ts", "event_id"])
 
 
 def lag_default(spark: SparkSession, sf: str) -> DataFrame:
@@ -532,6 +531,26 @@ def formula_columns(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "event_type", F.round("y1", 9).alias("y1"), F.round("y2", 9).alias("y2"))
 
 
+def formula_many_lags(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf).withColumn("pump.half", F.col("value") / 2)
+    out = _formulas(ev, [("y", "value[-1] - value[-2] + value[-5] * pump.half[-3]")], spec=_spec(ev), style="python")
+    return out.select("event_id", "event_type", F.round("y", 6).alias("y"))
+
+
+def formula_functions(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    out = _formulas(ev, [("a", "log(value, 10) + min(value, 3.0) + fabs(-value)"), ("b", "value % -7 + value // 7"), ("c", "max(a, b) ** 2")], style="python")
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in "abc"])
+
+
+def user_function(spark: SparkSession, sf: str) -> DataFrame:
+    from tagloom.functions.registry import register_function
+
+    register_function("twice_plus_one", lambda x: 2.0 * x + 1.0)
+    out = _formulas(_recorded(spark, sf), [("y", "twice_plus_one(value) - 1")], style="python")
+    return out.select("event_id", F.round("y", 9).alias("y"))
+
+
 def _pmod(x: str, m: str) -> str:
     return f"(((({x}) % ({m})) + ({m})) % ({m}))"
 
@@ -568,6 +587,18 @@ ORACLE.update(
     }
 )
 
+ORACLE["formula_many_lags"] = (
+    "SELECT event_id, event_type, round(l1 - l2 + l5 * h3, 6) AS y FROM (SELECT event_id, event_type, "
+    f"lag(value, 1, 0.0) OVER {_W} AS l1, lag(value, 2, 0.0) OVER {_W} AS l2, lag(value, 5, 0.0) OVER {_W} AS l5, lag(value / 2, 3, 0.0) OVER {_W} AS h3 FROM events)"
+)
+ORACLE["formula_functions"] = (
+    "SELECT event_id, round(a, 6) AS a, round(b, 6) AS b, round(greatest(a, b) * greatest(a, b), 6) AS c FROM ("
+    "SELECT event_id, log10(value) + least(value, 3.0) + value AS a, value + 7.0 * floor(value / -7.0) + floor(value / 7.0) AS b FROM events)"
+)
+ORACLE["user_function"] = "SELECT event_id, round(value + value, 9) AS y FROM events"
+
+QUERIES.update({"formula_many_lags": formula_many_lags, "formula_functions": formula_functions, "user_function": user_function})
+
 QUERIES.update(
     {
         "wave_sine": wave_sine,
@@ -670,11 +701,6 @@ def slew_limit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "event_type", F.round("opening", 9).alias("opening"))
 
 
-def rand_walk(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _recorded(spark, sf)
-    return R.random_walk(ev, _spec(ev), 0.0, 100.0, max_step=3.0, seed=11, out="out").select("event_id", "event_type", "out")
-
-
 ORACLE["slew_limit"] = (
     "WITH RECURSIVE r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, "
     "greatest(CAST(0.0 AS DOUBLE), least(CAST(100.0 AS DOUBLE), value)) AS t FROM events),\n"
@@ -684,7 +710,7 @@ ORACLE["slew_limit"] = (
     "SELECT r.event_id, r.event_type, round(s.c, 9) AS opening FROM s JOIN r ON r.event_type = s.event_type AND r.rn = s.rn"
 )
 
-QUERIES.update({"slew_limit": slew_limit, "rand_walk": rand_walk})
+QUERIES.update({"slew_limit": slew_limit})
 
 
 # --- Structured Streaming (T1-T5): availableNow runs over the events table ------
@@ -737,7 +763,7 @@ def stream_new_tags(spark: SparkSession, sf: str) -> DataFrame:
 
     out, ckpt = _stream_paths(spark, "newtags")
     h = history_from_events(_events_stream(spark, sf))
-    return run_available(new_tags(h), out, ckpt).select("param_name", "instance_name", "param_type")
+    return run_available(new_tags(h), out, ckpt, mode="complete").select("param_name", "instance_name", "param_type", "first_seen", "initial_value")
 
 
 def stream_notification(spark: SparkSession, sf: str) -> DataFrame:
@@ -754,7 +780,7 @@ def _keyed(spark: SparkSession, sf: str, tag: str, prog: str, inputs: dict, para
 
     out, ckpt = _stream_paths(spark, tag)
     ev = _events_stream(spark, sf).withColumn("us", micros("ts"))
-    res = keyed_state(ev, prog, ["event_type"], "us", inputs, params, passthrough=["event_id"], output_types=outputs)
+    res = keyed_state(ev, prog, ["event_type"], "us", inputs, params, passthrough=["event_id"], output_types=outputs, tie_break=["event_id"])
     return run_available(res, out, ckpt)
 
 
@@ -784,7 +810,7 @@ ORACLE.update(
             "SELECT param_name, param_value, timestamp FROM (SELECT param_name, param_value, timestamp, row_number() OVER "
             "(PARTITION BY param_name ORDER BY timestamp DESC, id DESC) AS rn FROM history) WHERE rn = 1"
         ),
-        "stream_new_tags": _with("SELECT DISTINCT param_name, instance_name, param_type FROM history"),
+        "stream_new_tags": _with("SELECT param_name, instance_name, param_type, min(timestamp) AS first_seen, arg_min(param_value, (timestamp, id)) AS initial_value FROM history GROUP BY ALL"),
         "stream_notification": ORACLE["notification"],
         "stream_slew": ORACLE["slew_limit"],
         "stream_lag": ORACLE["lag_default"].replace("event_id, event_type, value, lag(", "event_id, event_type, lag("),
@@ -821,6 +847,28 @@ def history_table_query(spark: SparkSession, sf: str) -> DataFrame:
     return Q.query_history(h, instance_name=ONE_INSTANCE, start_time=RANGE_START, end_time=RANGE_END, limit=1000)
 
 
+def history_tag_filter(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    write_history(events_history(spark, sf), path)
+    return Q.query_history(read_history(spark, path), param_name=ONE_TAG, limit=None)
+
+
+def append_two_batches(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/append-{uuid.uuid4().hex}"
+    rows = events_history(spark, sf).drop("id")
+    for late in (False, True):  # the second append goes on with the ids of the first
+        append_history(rows.filter((F.col("timestamp") >= F.lit(RANGE_END).cast("timestamp_ntz")) == late), path)
+    return read_history(spark, path).select("id", "timestamp", "param_name", "param_value")
+
+
 def tag_selection(spark: SparkSession, sf: str) -> DataFrame:
     wide = wide_from_lineitem(table(spark, sf, "lineitem"))
     return Q.select_tags(wide, ["pump.price", "no.such_tag", "pid.tax"], time_column="timestamp").toDF("timestamp", "pump_price", "pid_tax")
@@ -836,6 +884,9 @@ ORACLE.update(
     }
 )
 
-QUERIES.update({"history_table_query": history_table_query, "tag_selection": tag_selection})
+ORACLE["history_tag_filter"] = _with(f"SELECT {HISTORY_COLS_SQL} FROM history WHERE param_name = '{ONE_TAG}'")
+ORACLE["append_history"] = _with("SELECT row_number() OVER (ORDER BY timestamp, param_name, cycle_count) AS id, timestamp, param_name, param_value FROM history")
+
+QUERIES.update({"history_table_query": history_table_query, "tag_selection": tag_selection, "history_tag_filter": history_tag_filter, "append_history": append_two_batches})
 
 FLAGSHIP = "sampled_query"

@@ -11,7 +11,9 @@ task for small exports.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ class ExportTemplate:
 
     def __post_init__(self):
         if self.header_rows not in (1, 2):
-            raise ValueError(f"header_rows must be 1 or 2, got {self.header_rows}")
+            raise ValueError(f"a template has one header row or two, not {self.header_rows!r}")
 
 
 # The shipped templates.
@@ -44,19 +46,10 @@ TEMPLATES = {
     "pid_loop_tuning": ExportTemplate("pid_loop_tuning", "时间", "%Y-%m-%d %H:%M:%S", 1),
     "prediction": ExportTemplate("prediction", "timeStamp", "%Y-%m-%d %H:%M:%S", 2),
 }
-# Template keys from older configurations, accepted and ignored.
-OBSOLETE_TEMPLATE_KEYS = ("columns", "column_descriptions", "filter_sampled_only")
-
-
 def template_from_mapping(name: str, data: dict) -> ExportTemplate:
-    """Build a template from a parsed mapping; obsolete keys are ignored."""
-    return ExportTemplate(
-        name=name,
-        time_column_name=data.get("time_column_name", "timeStamp"),
-        time_format=data.get("time_format", "%Y/%m/%d %H:%M:%S"),
-        header_rows=data.get("header_rows", 1),
-        uppercase_column_names=data.get("uppercase_column_names", True),
-    )
+    """Template of a parsed mapping: its known settings, whatever else it holds; absent ones keep their defaults."""
+    known = {f.name for f in fields(ExportTemplate)} - {"name"}
+    return ExportTemplate(name, **{k: v for k, v in data.items() if k in known})
 
 
 def load_template(name: str) -> ExportTemplate:
@@ -141,7 +134,8 @@ def _sampled_rows(wide: DataFrame, template: ExportTemplate, exclude: Sequence[s
     if len(set(names)) != len(names):
         raise ValueError("export column names collide after upper-casing")
     sim = F.coalesce(F.col("sim_time").cast("double"), F.lit(0.0)) if "sim_time" in wide.columns else F.lit(0.0)
-    return rows.select(*[F.col(f"`{t}`") for t in tags], sim.alias("_order")), tags, names
+    cycle = F.col("cycle_count").cast("long") if "cycle_count" in wide.columns else F.lit(0).cast("long")
+    return rows.select(*[F.col(f"`{t}`") for t in tags], sim.alias("_order"), cycle.alias("_tie")), tags, names
 
 
 def _text_rows(rows: DataFrame, types: dict, tags: list[str], names: list[str], template: ExportTemplate) -> DataFrame:
@@ -168,7 +162,7 @@ def _text_rows(rows: DataFrame, types: dict, tags: list[str], names: list[str],
 def export_projection(wide: DataFrame, template: ExportTemplate, exclude: Sequence[str] = ()) -> DataFrame:
     """S11 rows as text, time first (columns ``[time_column_name, TAG1, ...]`` + ``_order``)."""
     rows, tags, names = _sampled_rows(wide, template, exclude)
-    return _text_rows(rows, {t: wide.schema[t].dataType for t in tags}, tags, names, template)
+    return _text_rows(rows.drop("_tie"), {t: wide.schema[t].dataType for t in tags}, tags, names, template)
 
 
 def export_csv(wide: DataFrame, path: str, template: ExportTemplate | str, single_file: bool = False, exclude: Sequence[str] = (), num_partitions: int | None = None) -> int:
@@ -187,8 +181,8 @@ def export_csv(wide: DataFrame, path: str, template: ExportTemplate | str, singl
         return 0
     spark = wide.sparkSession
     n = 1 if single_file else (num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartition(1) if n == 1 else rows.repartitionByRange(n, "_order")
-    text = _text_rows(ordered.sortWithinPartitions("_order"), {t: wide.schema[t].dataType for t in tags}, tags, names, template).drop("_order")
+    ordered = rows.repartition(1) if n == 1 else rows.repartitionByRange(n, "_order", "_tie")
+    text = _text_rows(ordered.sortWithinPartitions("_order", "_tie"), {t: wide.schema[t].dataType for t in tags}, tags, names, template).drop("_order")
     header = [tuple([template.time_column_name, *names])]
     if template.header_rows == 2:
         header.append(tuple([DEFAULT_TIME_DESCRIPTION] + [DEFAULT_PARAM_DESCRIPTION] * len(names)))
@@ -210,7 +204,7 @@ def export_csv(wide: DataFrame, path: str, template: ExportTemplate | str, singl
 
 
 # Time formats tried, in order, when reading a time column.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd", "yyyy/MM/dd")
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def parse_time(col: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
@@ -228,24 +222,27 @@ def read_template_csv(spark: SparkSession, path: str, template: ExportTemplate |
 
     Works for one file or a folder of ordered part files (Spark's ``header``
     option would drop the first line of *every* part): columns are named from
-    the first line of the first file, and header / description lines are
-    removed by predicate. The time column comes from the template if present
+    the first line of the first file; that line and, for a template with two
+    header rows, the second line of that file are left out whatever their text. The time column comes from the template if present
     in the header, else the first column. Returns ``time`` (TIMESTAMP_NTZ,
     NULL when unparseable), the time text as ``time_text``, then every tag as DOUBLE.
     """
     template = load_template(template) if isinstance(template, str) else template
     opts = {"header": False, "ignoreLeadingWhiteSpace": True, "encoding": "UTF-8", "inferSchema": False}
     raw = spark.read.options(**opts).csv(path)
-    files = sorted(raw.inputFiles())
-    if not files:
+    width = len(raw.columns)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    first = raw.agg(F.min("_file")).first()[0]
+    if first is None:
         raise FileNotFoundError(path)
-    names = [str(v).strip() if v is not None else f"_c{i}" for i, v in enumerate(spark.read.options(**opts).csv(files[0]).first())]
-    raw = raw.toDF(*names)
+    top = raw.filter((F.col("_file") == first) & (F.col("_block") == 0)).head(2)
+    names = [str(v).strip() if v is not None else f"_c{i}" for i, v in enumerate(top[0][:width])]
+    heads = top[: 2 if template is not None and template.header_rows == 2 else 1]
+    same = [reduce(and_, [F.col(raw.columns[i]).eqNullSafe(F.lit(row[i])) for i in range(width)]) for row in heads]
+    raw = raw.filter(~((F.col("_file") == first) & (F.col("_block") == 0) & reduce(or_, same)))
+    raw = raw.drop("_file", "_block").toDF(*names)
     time_col = template.time_column_name if template and template.time_column_name in names else names[0]
     tc = F.col(f"`{time_col}`")
-    raw = raw.filter(tc.isNull() | (tc != F.lit(time_col)))
-    if template is not None and template.header_rows == 2:
-        raw = raw.filter(tc.isNull() | (tc != F.lit(DEFAULT_TIME_DESCRIPTION)))
     tags = [c for c in names if c != time_col]
     return raw.select(
         parse_time(tc).alias("time"),

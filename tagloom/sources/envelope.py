@@ -65,14 +65,14 @@ _DECODE_SCHEMA = T.StructType(
 def decode_envelope(texts: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``(good, rejected)``. ``good`` has one row per numeric tag of each valid envelope.
 
-    One PERMISSIVE parse per row: text that is not a JSON object lands in the
+    One PERMISSIVE parse per row (behind a Generate, so that no filter repeats it): text that is not a JSON object lands in the
     corrupt-record column (``malformed``); objects without params, or with an
     empty map, are ``no_params``. Param values are read as text and
     ``try_cast`` to double, so a non-numeric tag is dropped (S8) without
     rejecting the whole envelope.
     """
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = texts.select(*keep, F.col(value).alias("_raw"), F.from_json(F.col(value), _DECODE_SCHEMA, opts).alias("env"))
+    parsed = texts.select(*keep, F.col(value).alias("_raw"), F.explode(F.array(F.from_json(F.col(value), _DECODE_SCHEMA, opts))).alias("env"))
     malformed = F.col("_raw").isNull() | F.col("env").isNull() | F.col("env._corrupt").isNotNull()
     no_params = F.col("env.params").isNull() | (F.size("env.params") == 0)
     reason = F.when(malformed, F.lit("malformed")).when(no_params, F.lit("no_params"))

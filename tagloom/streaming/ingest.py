@@ -10,7 +10,7 @@
 * T4 ``new_tags``: first sighting of each tag (``dropDuplicates``).
 * T5 ``keyed_state``: a registered step program per series with
   ``applyInPandasWithState``; rows inside a batch are applied in event-time
-  order; rows older than the last processed one are counted and dropped.
+  order; rows older than the last processed one come out flagged ``late``.
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ from tagloom.streaming import programs as _builtin  # noqa: F401  (registers VAL
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A driver table as a file stream (its folder, filtered to the one parquet file)."""
-    path = sf_dir.rstrip("/") + "/"
-    schema = schema or spark.read.parquet(f"{path}{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A driver table, one file or a folder of part files, as a file stream."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = schema or spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    path = path[:-1] + "[t]"  # as a glob the path may be a file as well as a folder
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path)
@@ -50,16 +51,19 @@ def _ledger_path(sink: str) -> str:
 
 
 def _next_id(spark: SparkSession, sink: str, epoch: int) -> int:
-    try:
-        led = spark.read.parquet(_ledger_path(sink))
-    except Exception:  # noqa: BLE001 - no ledger yet
-        return 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(_ledger_path(sink))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return 1  # no ledger yet; any other failure to read it is an error
+    led = spark.read.schema("first_id long, rows long, epoch long").parquet(_ledger_path(sink))
     row = led.filter(F.col("epoch") < epoch).agg(F.max(F.col("first_id") + F.col("rows")).alias("n")).first()
     return int(row["n"]) if row and row["n"] is not None else 1
 
 
-def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_name"), stored_variables=None, timestamp: str | None = "timestamp"):
-    """``foreachBatch`` body for T1 (usable on its own for replay tests)."""
+def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_name", "cycle_count", "sim_time", "param_value"), stored_variables=None, timestamp: str | None = "timestamp"):
+    """``foreachBatch`` body for T1 (usable on its own for replay tests).
+
+    The default order is unique but for equal rows, so a replay gives the same rows the same ids.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -73,8 +77,8 @@ def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_
         hist = with_ids.select(*HISTORY_COLUMNS)
         out = hist.withColumn("date", F.to_date("timestamp")).withColumn("epoch", F.lit(int(epoch)))
         (
-            out.repartition("date")
-            .sortWithinPartitions("param_name", "timestamp")
+            out.repartitionByRange("date", "param_name", "timestamp")
+            .sortWithinPartitions("date", "param_name", "timestamp")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("date", "epoch")
@@ -119,10 +123,16 @@ def notifications(snapshots: DataFrame) -> DataFrame:
     return notification(snapshots, keep=["cycle_count"] if "cycle_count" in snapshots.columns else [])
 
 
-def new_tags(history: DataFrame, watermark: str | None = None) -> DataFrame:
-    """T4: first sighting of each tag. State holds one key per tag (bounded by the tag count)."""
-    h = history.withWatermark("timestamp", watermark) if watermark else history
-    return h.dropDuplicates(["param_name"]).select("param_name", "instance_name", "param_type", F.col("timestamp").alias("first_seen"), F.col("param_value").alias("initial_value"))
+def new_tags(history: DataFrame) -> DataFrame:
+    """T4: first sighting of each tag in event time, whatever the order of arrival; run in complete or update mode.
+
+    State is one row per tag (bounded by the tag count).
+    """
+    key = time_id_key() if "id" in history.columns else F.struct("timestamp", "param_value")
+    return history.groupBy("param_name", "instance_name", "param_type").agg(
+        F.min("timestamp").alias("first_seen"),
+        F.min_by("param_value", key).alias("initial_value"),
+    )
 
 
 # --- T5 ----------------------------------------------------------------------------
@@ -130,32 +140,32 @@ def new_tags(history: DataFrame, watermark: str | None = None) -> DataFrame:
 _STATE_SCHEMA = "blob string"
 
 
-def _state_fn(prog: Program, params: Mapping[str, object], by: Sequence[str], order_col: str, inputs: Mapping[str, str], passthrough: Sequence[str], out_fields: Sequence[str]):
+def _state_fn(prog: Program, params: Mapping[str, object], by: Sequence[str], order_cols: Sequence[str], inputs: Mapping[str, str], passthrough: Sequence[str]):
     def fn(key, pdfs, state):
-        if state.exists:
-            st = json.loads(state.get[0])
-        else:
-            st = {"s": prog.init(params), "last": None, "late": 0}
+        st = json.loads(state.get[0]) if state.exists else {"s": prog.init(params), "last": None}
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
-        rows = pd.concat(frames).sort_values(order_col, kind="mergesort")
-        out = {c: [] for c in (*by, *passthrough, *out_fields)}
-        for rec in rows.to_dict("records"):
-            o = int(rec[order_col])
-            if st["last"] is not None and o < st["last"]:
-                st["late"] += 1
+        rows = pd.concat(frames).sort_values(list(order_cols), kind="mergesort")
+        times = rows[order_cols[0]].tolist()
+        # a null has its own flag column: pandas would turn it into NaN, which is a value
+        columns = {k: [None if gone else x for x, gone in zip(rows[v].tolist(), rows[f"_null_{k}"].tolist())] for k, v in inputs.items()}
+        late, outs = [], []
+        for i, at in enumerate(times):
+            behind = st["last"] is not None and at < st["last"]
+            late.append(behind)
+            if behind:
+                outs.append({})
                 continue
-            st["last"] = o
-            row = {k: (None if pd.isna(rec[v]) else rec[v]) for k, v in inputs.items()}
-            row["us"] = o
-            st["s"], res = prog.step(st["s"], row, params)
-            for c in (*by, *passthrough):
-                out[c].append(rec[c])
-            for c in out_fields:
-                out[c].append(res[c] if c in res else st["late"])
+            st["last"] = at
+            st["s"], res = prog.step(st["s"], {"us": at} | {k: v[i] for k, v in columns.items()}, params)
+            outs.append(res)
         state.update((json.dumps(st),))
-        yield pd.DataFrame(out)
+        out = rows[list(dict.fromkeys([*by, *passthrough]))].reset_index(drop=True)
+        for c in prog.outputs:
+            out[c] = pd.Series([o.get(c) for o in outs], dtype="object")
+        out["late"] = late
+        yield out
 
     return fn
 
@@ -169,25 +179,30 @@ def keyed_state(
     params: Mapping[str, object] | None = None,
     passthrough: Sequence[str] = (),
     output_types: Mapping[str, str] | None = None,
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """T5: run a registered program per series key on a stream (streaming frames only).
 
     ``order_col`` must be a BIGINT event-time key (e.g. epoch microseconds).
     ``inputs`` maps program input names to columns. Output: key, passthrough
-    columns, the program outputs, and ``late`` (rows dropped so far for the key).
+    columns, the program outputs, and ``late``: a row older than one already
+    applied to its key is kept, with ``late`` true and null outputs. Equal times
+    are applied in the order of ``tie_break``. A micro-batch's rows of one key
+    are sorted in one group: bound them with ``maxFilesPerTrigger``, or with a
+    finer key.
     """
     prog = program(program_name)
     p = prog.params(**(params or {}))
     types = dict(output_types or {})
     fields = [df.schema[c] for c in (*by, *passthrough)]
-    out_fields = list(prog.outputs) + ["late"]
     for name in prog.outputs:
         fields.append(T.StructField(name, T._parse_datatype_string(types.get(name, "double"))))
-    fields.append(T.StructField("late", T.LongType()))
+    fields.append(T.StructField("late", T.BooleanType()))
     schema = T.StructType(fields)
-    cols = list(dict.fromkeys([*by, order_col, *inputs.values(), *passthrough]))
-    return df.select(*cols).groupBy(*by).applyInPandasWithState(
-        _state_fn(prog, p, by, order_col, inputs, passthrough, out_fields), schema, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    cols = list(dict.fromkeys([*by, order_col, *tie_break, *inputs.values(), *passthrough]))
+    flags = [F.col(v).isNull().alias(f"_null_{k}") for k, v in inputs.items()]
+    return df.select(*cols, *flags).groupBy(*by).applyInPandasWithState(
+        _state_fn(prog, p, by, [order_col, *tie_break], inputs, passthrough), schema, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -6,32 +6,21 @@ series, rows in event-time order; state is JSON-serialisable.
 
 from __future__ import annotations
 
-import math
-
 from tagloom.functions.registry import Program, register_algorithm, register_model
-from tagloom.operators.series import PID_DEFAULTS
+from tagloom.operators.fold import limited_step, travel_per_cycle
 
 
 def _valve_init(p):
-    return {"current": p["initial_opening"], "target": p["initial_opening"]}
+    return [p["initial_opening"], p["initial_opening"]]
 
 
-def _valve_step(s, row, p):
+def _valve_step(state, row, p):
+    opening, goal = state
     lo, hi = p["min_opening"], p["max_opening"]
-    t = row.get("target")
-    if t is not None and not (isinstance(t, float) and math.isnan(t)):
-        s["target"] = max(lo, min(hi, t))
-    rng = hi - lo
-    dist = rng / p["full_travel_time"] * p["cycle_time"] if p["full_travel_time"] > 0 and rng > 0 else math.inf
-    diff = s["target"] - s["current"]
-    if abs(diff) <= dist:
-        c = s["target"]
-    elif diff > 0:
-        c = s["current"] + dist
-    else:
-        c = s["current"] - dist
-    s["current"] = max(lo, min(hi, c))
-    return s, {"current_opening": s["current"]}
+    if (wanted := row["target"]) is not None:
+        goal = hi if wanted != wanted else min(max(wanted, lo), hi)  # NaN is the largest value, as in the batch operator
+    opening = limited_step(opening, goal, lo, hi, travel_per_cycle(lo, hi, p["full_travel_time"], p["cycle_time"]))
+    return [opening, goal], {"current_opening": opening}
 
 
 # Valve defaults.
@@ -78,24 +67,3 @@ def _sampler_step(s, row, p):
 
 
 SAMPLER = register_algorithm(Program("SAMPLER", "algorithm", _sampler_step, _sampler_init, ("kept",), {"interval_us": 1_000_000}))
-
-
-def _pid_init(p):
-    return {"pv": p["PV"], "sv": p["SV"], "integral": 0.0, "last_error": 0.0}
-
-
-def _pid_step(s, row, p):
-    if row.get("pv") is not None:
-        s["pv"] = row["pv"]
-    if row.get("sv") is not None:
-        s["sv"] = row["sv"]
-    e = s["sv"] - s["pv"]
-    s["integral"] += e * p["cycle_time"]
-    i_term = p["PB"] / p["TI"] * s["integral"] if p["TI"] > 0 else 0.0
-    d_term = p["PB"] * p["TD"] * (e - s["last_error"]) / p["cycle_time"]
-    s["last_error"] = e
-    mv = max(p["L"], min(p["H"], p["PB"] * e + i_term + d_term))
-    return s, {"mv": mv}
-
-
-PID = register_algorithm(Program("PID", "algorithm", _pid_step, _pid_init, ("mv",), dict(PID_DEFAULTS, cycle_time=0.5), ("MV", "PV", "SV", "PB", "TI", "TD", "H", "L")))

@@ -84,3 +84,11 @@ def test_register_function(spark):
     assert spark.range(3).select(b(F.col("id").cast("double")).alias("y")).collect()[2].y == 4.0
     assert spark.sql("SELECT double_it(CAST(21 AS DOUBLE)) AS y").first().y == 42.0
     assert "sqrt" in REG.functions() and REG.program("valve").name == "VALVE"
+
+
+@pytest.mark.parametrize("a,b", [(1.0, 0.1), (5.0, 0.1), (1e300, 3.0), (1e19, 3.0), (7.0, -7.0), (-7.5, 7.0), (100.0, -7.0), (0.0, 3.0)])
+def test_floor_division_and_remainder_are_pythons(spark, a, b):
+    from tagloom.functions import math as M
+
+    r = spark.createDataFrame([(a, b)], "a double, b double").select(M.floordiv("a", "b").alias("q"), M.pymod("a", "b").alias("r")).first()
+    assert (r.q, r.r) == (a // b, a % b)

@@ -121,7 +121,7 @@ def test_stream_sampler_matches_sequential(spark):
     assert kept == exp
 
 
-def test_keyed_state_drops_late_rows(spark):
+def test_keyed_state_flags_late_rows_and_keeps_nan(spark):
     src, _ = _paths(spark, "late-src")
     out, ckpt = _paths(spark, "late")
     schema = "k string, us long, value double, rid int"
@@ -131,7 +131,22 @@ def test_keyed_state_drops_late_rows(spark):
     res = ST.run_available(ST.keyed_state(stream, "LAG", ["k"], "us", {"value": "value"}, {"n": 1}, passthrough=["rid"]), out, ckpt)
     got = sorted((r.rid, r.lagged, r.late) for r in res.collect())
     # batch 1 sorted by event time: rid 2 (us 3) then rid 1 (us 5); batch 2: rid 3 is late, rid 4 follows rid 1
-    assert got == [(1, 2.0, 0), (2, 0.0, 0), (4, 1.0, 1)]
+    assert got == [(1, 2.0, False), (2, 0.0, False), (3, None, True), (4, 1.0, False)]
+    src, _ = _paths(spark, "nan-src")
+    out, ckpt = _paths(spark, "nan")
+    rows = [("a", 1, 1.0, 1), ("a", 2, float("nan"), 2), ("a", 3, None, 3)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    res = ST.run_available(ST.keyed_state(stream, "VALVE", ["k"], "us", {"target": "value"}, {}, passthrough=["rid"]), out, ckpt)
+    assert [r.current_opening for r in res.orderBy("rid").collect()] == [1.0, 6.0, 11.0]
+
+
+def test_streams_read_folders_of_part_files(spark):
+    src, _ = _paths(spark, "parts")
+    spark.read.parquet(f"{SF}/events.parquet").repartition(4).write.parquet(f"{src}/events.parquet")
+    want = {tuple(r) for r in catalog.stream_new_tags(spark, SF).collect()}
+    assert {tuple(r) for r in catalog.stream_new_tags(spark, src).collect()} == want
+    assert {tuple(r) for r in catalog.stream_ingest(spark, src).collect()} == {tuple(r) for r in catalog.stream_ingest(spark, SF).collect()}
 
 
 def test_ingest_epoch_replay_is_idempotent(spark):
@@ -190,7 +205,7 @@ def test_results_do_not_depend_on_session_zone(spark, name, zone):
 
 
 # Python runs only in P1 (numpy passes), R1/R2 chunk folds and T5 programs.
-_PYTHON_KEYS = {"sampled_query", "sampled_instance", "sampled_global", "slew_limit", "rand_walk"}
+_PYTHON_KEYS = {"sampled_query", "sampled_instance", "sampled_global", "slew_limit", "user_function"}
 _SIDE_EFFECT_KEYS = {"csv_roundtrip", "history_table_query"}
 
 

@@ -32,11 +32,10 @@ def test_random_times_match_sequential(spark, interval):
     assert sorted(r.timestamp for r in kept) == sequential(times, interval)
 
 
-def test_distributed_composition_matches(spark, monkeypatch):
+def test_distributed_composition_matches(spark):
     rnd = random.Random(7)
     base = dt.datetime(2024, 1, 1)
     times = [base + dt.timedelta(seconds=rnd.randrange(0, 50000)) for _ in range(2000)]
-    monkeypatch.setattr(P, "DRIVER_CANDIDATE_LIMIT", 0)
     kept = P.greedy_kept_timestamps(_frame(spark, times), 30.0).collect()
     assert sorted(r.timestamp for r in kept) == sequential(times, 30.0)
 

@@ -3,12 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import fold as R
 from tagloom.operators import series as S
-from tagloom.streaming import programs as P
 
 
 def _frame(spark, n=400, series=3, gaps=False, seed=1):
@@ -77,11 +77,17 @@ def test_pid_equals_sequential_controller(spark):
     out = S.pid_response(df, _spec(df, 9), pv="v", sv="sv", cycle_time=0.5).collect()
     got = {(r.k, r.c): r.mv for r in out}
     for key, rows in _series(df).items():
-        params = P.PID.params(cycle_time=0.5)
-        st = P.PID.init(params)
+        # the discrete controller as its formula says: gain 100/PB folded in PB, one integral, one difference
+        pv, sv, area, before = 0.0, 0.0, 0.0, 0.0
+        d = S.PID_DEFAULTS
         for r in rows:
-            st, res = P.PID.step(st, {"pv": r.v, "sv": None if r.c % 50 else 60.0}, params)
-            assert got[(key, r.c)] == pytest.approx(res["mv"], abs=1e-9)
+            pv = pv if r.v is None else r.v
+            sv = sv if r.c % 50 else 60.0
+            error = sv - pv
+            area += 0.5 * error
+            want = d["PB"] * (error + area / d["TI"] + d["TD"] * (error - before) / 0.5)
+            before = error
+            assert got[(key, r.c)] == pytest.approx(float(np.clip(want, d["L"], d["H"])), abs=1e-9)
 
 
 def test_clamp_nan_is_largest(spark):
@@ -115,14 +121,31 @@ def test_slew_limit_sequential(spark, travel, initial):
         assert [got[(key, r.c)] for r in rows] == pytest.approx(exp, abs=1e-12)
 
 
-def test_random_walk_bounds_and_steps(spark):
-    df = _frame(spark, seed=5)
-    res = R.random_walk(df, _spec(df, 23), 10.0, 20.0, max_step=0.5, seed=3).collect()
-    by = {}
-    for r in res:
-        by.setdefault(r.k, []).append((r.c, r.out))
-    for vals in by.values():
-        vals.sort()
-        outs = [v for _, v in vals]
-        assert all(10.0 <= v <= 20.0 for v in outs)
-        assert all(abs(b - a) <= 0.5 + 1e-12 for a, b in zip(outs, outs[1:]))
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") + df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_scan_count_does_not_follow_the_lags(spark):
+    df = _frame(spark)
+    spec = S.series_spec(df, ["k"], ["c"])
+    one = S.lag_many(df, spec, [("v", 1, "a")])
+    four = S.lag_many(df, spec, [("v", n, f"a{n}") for n in (1, 2, 7, 40)])
+    assert _scans(one) == _scans(four)
+
+
+@pytest.mark.parametrize("size", [None, 3])
+def test_lags_longer_than_chunks(spark, size):
+    df = _frame(spark)
+    spec = S.series_spec(df, ["k"], ["c"], chunk_size=size)
+    got = {(r.k, r.c): (r.a, r.b, r.d) for r in S.lag_many(df, spec, [("v", 1, "a"), ("v", 2, "b"), ("v", 25, "d")], default=-1.0).collect()}
+    for key, rows in _series(df).items():
+        values = [r.v for r in rows]
+        for i, r in enumerate(rows):
+            assert got[(key, r.c)] == tuple(values[i - n] if i >= n else -1.0 for n in (1, 2, 25))
+
+
+def test_chunks_are_cut_by_the_data(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_ROWS", 500)
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.when(F.col("id") < 18_000, F.lit(0)).otherwise(F.col("id")).alias("day"), F.col("id").alias("c"))
+    laid = S.lay_out(df, S.series_spec(df, ["k"], ["day", "c"]))
+    assert laid.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 1500
