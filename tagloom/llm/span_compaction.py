@@ -14,8 +14,10 @@ single windows compared: a second scan emits their digests, narrowed by a bitmap
 of fixed size (``BITMAP_BITS``) that lets through all branching anchors and some
 others, which costs time but changes nothing.
 
-All digests are 128 bits, two independent polynomial lanes. ``verify`` checks
-the spans on the words at the source's coordinates.
+All digests are 128 bits, two independent polynomial lanes, taken from the words
+at the coordinates of both sides. ``repeated_spans(..., sources=True)`` adds the
+source's coordinates and ``verify`` compares the words themselves there; that
+moves both texts, so it is an audit beside the main path (see README).
 
 Defined results: a null text has no words; a document with fewer words than a
 window loses none; a window repeated only within its own document, or only in
@@ -25,6 +27,7 @@ told apart by their text; windows are judged on the input.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -199,12 +202,13 @@ def _bitmap(anchors: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, bitmap_bits: int = BITMAP_BITS, sources: bool = False) -> DataFrame:
     """(doc, tag, start, end) of words covered by windows that also start in a smaller document.
 
     ``tag`` tells rows with the same id apart; ends are exclusive. Spans of a
-    document may overlap and touch. Two scans of the documents, jobs run while
-    the plan is built.
+    document may overlap and touch. With ``sources`` also (source, source_tag,
+    source_start) of the same words in the smallest document. Two scans of the
+    documents, jobs run while the plan is built.
     """
     docs = _input(df, id_col, text_col)
     paths = materialize(_paths(docs, window, anchor_words), "spans-paths")
@@ -212,13 +216,49 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     anchors = paths.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("h1") != F.max("h1")).alias("b1"), (F.min("h2") != F.max("h2")).alias("b2"))
     anchors = materialize(anchors.where("lo < hi").select("anchor", "lo", (F.col("b1") | F.col("b2")).alias("branches")), "spans-anchors")
     whole = paths.join(anchors.where("not branches").select("anchor", "lo"), "anchor").where("doc > lo")
-    whole = whole.select("doc", "tag", F.col("first").alias("start"), (F.col("first") + F.col("count") + (window - 1)).alias("end"))
+    names = ["doc", "tag", F.col("first").alias("start"), (F.col("first") + F.col("count") + (window - 1)).alias("end")]
+    if sources:
+        whole = whole.join(_sources(paths, ["anchor"]), ["anchor", "lo"])
+        names += [F.col("lo").alias("source"), F.col("at.tag").alias("source_tag"), F.col("at.first").alias("source_start")]
+    whole = whole.select(*names)
     bitmap = df.sparkSession.sparkContext.broadcast(_bitmap(anchors.where("branches"), bitmap_bits))
     windows = materialize(_branch_windows(docs, bitmap, bitmap_bits, window, anchor_words), "spans-windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     parts = windows.join(materialize(least, "spans-least"), ["h1", "h2"]).where("doc > lo")
-    parts = parts.select("doc", "tag", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
-    return whole.unionByName(parts)
+    names[3] = (F.col("first") + window).alias("end")
+    if sources:
+        parts = parts.join(_sources(windows, ["h1", "h2"]), ["h1", "h2", "lo"])
+    return whole.unionByName(parts.select(*names))
+
+
+def _sources(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One place of each key in each document."""
+    return rows.groupBy(*keys, F.col("doc").alias("lo")).agg(F.min(F.struct("first", "tag")).alias("at"))
+
+
+def verify(spans: DataFrame, df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans (with sources) and ``equal``: whether the words at both coordinates are the same.
+
+    Each side's words are cut out where its text is and only digests of them
+    meet; a span without its document is not equal.
+    """
+    spans = materialize(spans.withColumn("span", F.monotonically_increasing_id()), "spans-verify")
+    asked = spans.select(F.explode(F.array(F.struct("doc", "tag", "start", "end", "span"), F.struct(F.col("source").alias("doc"), F.col("source_tag").alias("tag"), F.col("source_start").alias("start"), (F.col("source_start") + F.col("end") - F.col("start")).alias("end"), "span"))).alias("a")).select("a.*")
+    asked = asked.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end", "span")).alias("cuts"))
+    docs = _input(df, id_col, text_col).dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]).select("_tl_text", "cuts")
+
+    def run(batches):
+        for batch, texts in text_slices(batches, "_tl_text"):
+            numbers, digests = [], []
+            for text, cuts in zip(texts, batch.column(1).to_pylist()):
+                words = text.split()
+                for cut in cuts:
+                    numbers.append(cut["span"])
+                    digests.append(hashlib.sha256(b" ".join(words[cut["start"] : cut["end"]])).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(digests, pa.binary())], names=["span", "digest"])
+
+    found = docs.mapInArrow(run, "span long, digest binary").groupBy("span").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("same"))
+    return spans.join(found, "span", "left").withColumn("equal", F.coalesce((F.col("n") == 2) & F.col("same"), F.lit(False))).drop("span", "n", "same")
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:

@@ -284,6 +284,15 @@ def test_repeats_equal_brute_force(spark):
     assert Counter(got) == Counter(brute_repeats(docs)) and any(r[2] for r in got)
 
 
+def test_words_at_the_sources_coordinates_are_equal(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    spans = span_compaction.repeated_spans(docs, sources=True)
+    out = span_compaction.verify(spans, docs)
+    assert out.count() > 100 and out.where("not equal or source >= doc").count() == 0
+    wrong = spans.limit(50).withColumn("source_start", F.col("source_start") + 1)
+    assert span_compaction.verify(wrong, docs).where("equal").count() < 50
+
+
 def test_repeats_on_odd_rows(odd_docs, no_docs):
     want = Counter(brute_repeats([(r.doc_id, r.text) for r in odd_docs.collect()]))
     out = rows_of(span_compaction.remove_repeats(odd_docs))
