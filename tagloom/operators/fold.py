@@ -7,7 +7,7 @@ starts between two others stays between them.
 
 Plan (Python groups are one ``(series, chunk)``, or a run of them as said in step 3):
 
-1. prepare the rows (held, clamped target; chunk key) and persist them;
+1. prepare the rows (held, clamped target; chunk key) and checkpoint them;
 2. per chunk, fold from both ends ``lo`` and ``hi``; once the two paths meet,
    every entry state gives the same path, so the chunk exit is known (a
    series' first chunk folds exactly from the initial value instead);
@@ -27,7 +27,6 @@ from collections.abc import Sequence
 from itertools import accumulate
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +154,7 @@ def chunked_fold(
     # first chunk of every series: a per-series minimum (partial aggregation, one row per series)
     firsts = prep.groupBy(*by).agg(F.min("_chunk").alias("_first_chunk"))
     prep = prep.join(firsts, by).withColumn("_is_first", F.col("_chunk") == F.col("_first_chunk")).drop("_first_chunk")
-    prep = prep.persist(StorageLevel.MEMORY_AND_DISK)
+    prep = prep.checkpoint()  # in the shared folder: nothing stays on executors when the result is gone
     schema_by = [prep.schema[c] for c in by]
     summ_schema = T.StructType(
         schema_by

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,21 +197,18 @@ def assign_ids_cached(
     A tiny per-partition count table (one row per partition, a proven bound)
     turns positions into global ids through a broadcast join. No single-task
     window over raw rows. The order key must be unique so positions inside a
-    partition are well defined. Returns ``(with_ids, cached)``: the sorted frame
-    stays persisted (MEMORY_AND_DISK) for the returned plan; ``cached.unpersist()``
-    once the result is written. A lost executor's blocks are recomputed through
-    the same partitioner, so ids survive executor loss; do not clear the cache
-    before the result is written (a new plan would re-sample the range bounds).
+    partition are well defined. Returns ``(with_ids, layout)``: the sorted frame
+    is checkpointed in the shared folder, so the ids survive lost executors and
+    no block stays on them.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds are sampled per physical plan (a new seed per job). Persisting
-    # the sorted frame makes both jobs below use one plan, hence one set of bounds;
-    # a lost block is recomputed through the same fixed partitioner.
+    # Range bounds are sampled per physical plan (a new seed per job). The
+    # checkpoint of the sorted frame gives both jobs below one set of bounds.
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
     tagged = tagged.withColumn("_part", F.shiftright(F.col("_mid"), 33)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )

@@ -7,7 +7,9 @@ created for ``local[...]`` masters (tests, laptops) when the setting is unset.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by all executors")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once a context, so that jobs started from any folder can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tagloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tagloom-package-"), "tagloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in (n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    sc._tagloom_shipped = True
