@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import kept_columns, ref, schema_of, text_slices, with_arrays
+from tagloom.llm.common import kept_columns, materialize, ref, schema_of, text_slices, with_arrays
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -215,7 +215,7 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
             rows = sorted({(k, v[:LEARN_CHARS]) for k, v in rows})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["kind", "value"])
 
-    found = sample.mapInArrow(values, schema).distinct()
+    found = materialize(sample.mapInArrow(values, schema).distinct(), "secrets-sample")
     picked: dict[str, list[str]] = {}
     rows = None
     for kind in (*KINDS[:3], "ordinary"):
