@@ -62,9 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give Python workers this package, once a context, so that jobs started from any folder can import it."""
+    """Give the Python workers of a local session this package, once a context, so that jobs can start from any folder.
+
+    On a cluster the package is installed, or passed with ``--py-files``.
+    """
     sc = spark.sparkContext
-    if getattr(sc, "_tagloom_shipped", False):
+    if getattr(sc, "_tagloom_shipped", False) or not sc.master.startswith("local["):
         return
     package = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="tagloom-package-"), "tagloom.zip")
