@@ -59,6 +59,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLI
             size += int(n)
         if begin < len(lengths):
             yield batch.slice(begin), texts.slice(begin).to_pylist()
+        pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def with_arrays(batch: pa.RecordBatch, keep: list[str], schema: T.StructType, arrays: list[pa.Array]) -> pa.RecordBatch:

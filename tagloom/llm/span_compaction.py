@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from tagloom.llm.common import materialize, ref, schema_of, text_slices
 
 WINDOW, ANCHOR_WORDS, BITMAP_BITS = 50, 12, 1 << 26
+#: hashing takes some dozens of bytes a character, so slices are short here
+HASH_CHARS = 250_000
 _MASK = (1 << 64) - 1
 #: one page of Spark's bitmap functions
 _PAGE_BITS = 32768
@@ -163,7 +165,7 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     schema = schema_of(docs, ["doc", "tag"], new)
 
     def run(batches):
-        for batch, texts in text_slices(batches, "_tl_text"):
+        for batch, texts in text_slices(batches, "_tl_text", HASH_CHARS):
             p = _Paths(texts, window, anchor)
             owner = pa.array(p.owner)
             columns = [batch.column(0).take(owner), batch.column(1).take(owner), _signed(p.anchor), *map(_signed, p.digests), pa.array(p.first.astype(np.int32)), pa.array(p.count.astype(np.int32))]
@@ -179,7 +181,7 @@ def _branch_windows(docs: DataFrame, bitmap, bits: int, window: int, anchor: int
 
     def run(batches):
         marked = np.frombuffer(bitmap.value, np.uint8)
-        for batch, texts in text_slices(batches, "_tl_text"):
+        for batch, texts in text_slices(batches, "_tl_text", HASH_CHARS):
             p = _Paths(texts, window, anchor)
             bit = (p.anchor % np.uint64(bits)).astype(np.int64)
             path, offset, h1, h2 = p.windows(np.flatnonzero(marked[bit >> 3] >> (bit & 7) & 1), window)
@@ -248,7 +250,7 @@ def verify(spans: DataFrame, df: DataFrame, *, id_col: str = "doc_id", text_col:
     docs = _input(df, id_col, text_col).dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]).select("_tl_text", "cuts")
 
     def run(batches):
-        for batch, texts in text_slices(batches, "_tl_text"):
+        for batch, texts in text_slices(batches, "_tl_text", HASH_CHARS):
             numbers, digests = [], []
             for text, cuts in zip(texts, batch.column(1).to_pylist()):
                 words = text.split()
@@ -272,7 +274,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for batch, texts in text_slices(batches, "_tl_text"):
+        for batch, texts in text_slices(batches, "_tl_text", HASH_CHARS):
             lists = batch.column(batch.schema.get_field_index("spans"))
             n_words, n_removed, merged, kept = [], [], [], []
             for i, text in enumerate(texts):
