@@ -1,39 +1,54 @@
-"""Rate-limited recurrences per series, folded chunk by chunk.
-
-Step (valve travel / step-limited walk): move the state towards the target
-by at most ``d`` (snap when within ``d``), then clamp to ``[lo, hi]``. This
-map is continuous and non-decreasing in the state, so every trajectory that
-starts between two others stays between them.
-
-Plan (Python groups are one ``(series, chunk)``, or a run of them as said in step 3):
-
-1. prepare the rows (held, clamped target; chunk key) and checkpoint them;
-2. per chunk, fold from both ends ``lo`` and ``hi``; once the two paths meet,
-   every entry state gives the same path, so the chunk exit is known (a
-   series' first chunk folds exactly from the initial value instead);
-3. runs of consecutive chunks whose paths never met fold from the run's known
-   entry in one group (row count checked against a cap); runs over the cap
-   resolve chunk by chunk from the previous chunk's exit;
-4. final pass: each chunk folds from its exact entry and emits its rows.
-
-The per-row loop is a small Python helper inside ``applyInPandas``.
+"""Rate-limited recurrences per series, solved chunk by chunk.
+
+Step (valve travel / step-limited walk): move the state towards the target by
+at most ``d`` (snap when within ``d``), then clamp to ``[lo, hi]``. As a map of
+the state it is continuous and piecewise linear with slopes 0 and 1, and so is
+every composition of steps: what a chunk does to its entry state is an *exit
+map*, kept as its knots.
+
+Plan:
+
+1. rows get their held, clamped target and chunk, and are checkpointed;
+2. each chunk builds its exit map (two knots where the paths from both ends
+   meet, which is the usual case);
+3. maps of ``FAN`` consecutive chunks compose to the map of a block, blocks to
+   larger blocks, until one block covers a series;
+4. entries go back down: the entry of a block, walked through its children's
+   maps, gives theirs;
+5. each chunk steps through its rows once from its entry.
+
+Steps 3 and 4 take ``log(chunks)`` rounds to base ``FAN`` over the chunk table,
+whatever the targets do; no group holds more rows than a chunk, or more maps
+than ``FAN``. Sloped pieces of a map differ in displacement by a multiple of
+``d``, and a step adds two knots at most, so a map has no more than about
+``min(4 * (hi - lo) / d, 2 * rows)`` knots: a bound of the valve, not of the table.
+Entries may differ from step-by-step addition in the last bits.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.operators.series import SeriesSpec, clamp, hold_last, lay_out
 from tagloom.session import ensure_checkpoint_dir
 
+#: exit maps composed in one group
+FAN = 64
+
+#: rows whose map is built step by step before maps are composed
+_STRETCH = 1024
+
+ExitMap = tuple[np.ndarray, np.ndarray]  # knots: entry states, increasing, and the exit states there
+
 
 def travel_per_cycle(lo: float, hi: float, full_travel_time: float, cycle_time: float) -> float:
     """Longest move of one cycle; a range or travel time that is not positive sets no limit."""
@@ -46,162 +61,141 @@ def limited_step(c: float, target: float, lo: float, hi: float, dist: float) ->
     return min(max(near, lo), hi)
 
 
-def _walk(targets, c: float, lo: float, hi: float, dist: float, out: list | None = None) -> float:
-    path = accumulate(targets, lambda at, t: limited_step(at, t, lo, hi, dist), initial=c)
-    if out is None:
-        return deque(path, maxlen=1)[0]
-    next(path)
-    out.extend(path)
-    return out[-1] if out else c
-
-
-def _sorted(pdf: pd.DataFrame, order: Sequence[str]) -> pd.DataFrame:
-    return pdf.sort_values(list(order), kind="mergesort")
-
-
-def _summary_fn(by, order, lo, hi, dist):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf, order)
-        ts = pdf["_T"].tolist()
-        if bool(pdf["_is_first"].iloc[0]):
-            # a series' first chunk has a known entry (the initial value): fold it exactly
-            met, exit_ = True, _walk(ts, float(pdf["_init"].iloc[0]), lo, hi, dist)
+def compose(f: ExitMap, g: ExitMap) -> ExitMap:
+    """``g`` after ``f``: the knots of ``f`` and the entries that ``f`` takes to knots of ``g``."""
+    (fx, fy), (gx, gy) = f, g
+    inside = gx[(gx > fy[0]) & (gx < fy[-1])]
+    at = np.searchsorted(fy, inside)
+    x = np.unique(np.concatenate([fx, np.minimum(fx[at - 1] + (inside - fy[at - 1]), fx[at])]))
+    y = np.maximum.accumulate(np.interp(np.interp(x, fx, fy), gx, gy))
+    flat = np.diff(y) < np.diff(x) / 2
+    kept = np.ones(len(x), bool)
+    kept[1:-1] = flat[1:] != flat[:-1]
+    return x[kept], y[kept]
+
+
+def _stretch_map(targets: Sequence[float], low: float, high: float, lo: float, hi: float, dist: float) -> ExitMap:
+    """Exit map of consecutive steps on entries from ``low`` to ``high``."""
+    first = targets[0]
+    x = np.unique(np.clip([low, high, first - dist, first + dist, lo - dist, hi + dist], low, high))
+    y = np.array([limited_step(c, first, lo, hi, dist) for c in x])
+    for t in targets[1:]:
+        # exits below t - d rise, those above t + d fall, what lies between becomes a plateau at t
+        i, j = int(np.searchsorted(y, t - dist)), int(np.searchsorted(y, t + dist, "right"))
+        if i == len(y):
+            y = y + dist
+        elif j == 0:
+            y = y - dist
         else:
-            a, b, k = lo, hi, 0
-            while k < len(ts) and a != b:
-                a = _walk((ts[k],), a, lo, hi, dist)
-                b = _walk((ts[k],), b, lo, hi, dist)
-                k += 1
-            met = a == b
-            exit_ = _walk(ts[k:], a, lo, hi, dist) if met else None
-        row = {c: [pdf[c].iloc[0]] for c in by}
-        row.update({"_chunk": [int(pdf["_chunk"].iloc[0])], "_met": [bool(met)], "_exit": [exit_], "_init": [float(pdf["_init"].iloc[0])], "_n": [len(ts)]})
-        return pd.DataFrame(row)
-
-    return run
-
+            begin = x[i - 1] + (t - dist - y[i - 1]) if i else x[0]
+            end = x[j] - (y[j] - t - dist) if j < len(y) else x[-1]
+            x = np.concatenate([x[:i], [begin, max(begin, end)], x[j:]])
+            y = np.concatenate([y[:i] + dist, [t, t], y[j:] - dist])
+    return x, y
 
-def _run_fn(by, order, lo, hi, dist):
-    """Fold a run of consecutive unresolved chunks from the run entry; one exit per chunk."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf, ["_chunk", *order])
-        c = float(pdf["_entry"].iloc[0])
-        chunks, exits = [], []
-        for ch, part in pdf.groupby("_chunk", sort=True):
-            c = _walk(part["_T"].tolist(), c, lo, hi, dist)
-            chunks.append(int(ch))
-            exits.append(c)
-        out = {col: [pdf[col].iloc[0]] * len(chunks) for col in by}
-        out.update({"_chunk": chunks, "_new": exits})
-        return pd.DataFrame(out)
+def exit_map(targets: Sequence[float], lo: float, hi: float, dist: float, initial: float) -> ExitMap:
+    """Exit map of a chunk on entries from ``lo`` to ``hi``, and ``initial`` should it lie outside."""
+    low, high = min(lo, initial), max(hi, initial)
+    below, above = low, high
+    for t in targets:
+        below = limited_step(below, t, lo, hi, dist)
+        if above is not None:
+            above = limited_step(above, t, lo, hi, dist)
+            above = None if above == below else above  # every entry takes one path from here
+    if above is None:
+        return np.array([low, high]), np.array([below, below])
+    maps = [_stretch_map(targets[i : i + _STRETCH], low, high, lo, hi, dist) for i in range(0, len(targets), _STRETCH)]
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
-    return run
 
+def _head(table: pa.Table, columns: Sequence[str], n: int = 1) -> dict[str, pa.Array]:
+    """The columns' first value, ``n`` times."""
+    return {c: pa.array([table[c][0].as_py()] * n, table.schema.field(c).type) for c in columns}
 
-def _exit_fn(by, order, lo, hi, dist):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf, order)
-        c = _walk(pdf["_T"].tolist(), float(pdf["_entry"].iloc[0]), lo, hi, dist)
-        row = {col: [pdf[col].iloc[0]] for col in by}
-        row.update({"_chunk": [int(pdf["_chunk"].iloc[0])], "_new": [c]})
-        return pd.DataFrame(row)
 
-    return run
+def _map_row(head: dict[str, pa.Array], found: ExitMap) -> pa.Table:
+    return pa.table(head | {"_x": pa.array([found[0]], pa.list_(pa.float64())), "_y": pa.array([found[1]], pa.list_(pa.float64()))})
 
 
-def _rows_fn(order, lo, hi, dist, out_col, columns):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf, order)
-        vals: list[float] = []
-        _walk(pdf["_T"].tolist(), float(pdf["_entry"].iloc[0]), lo, hi, dist, vals)
-        res = pdf[list(columns)].copy()
-        res[out_col] = vals
-        return res
+def _stored_map(table: pa.Table, row: int) -> ExitMap:
+    return table["_x"][row].values.to_numpy(), table["_y"][row].values.to_numpy()
 
-    return run
 
+def _entries(maps: DataFrame, by: Sequence[str], chunks: int) -> DataFrame:
+    """``_at`` and ``_entry`` of every chunk of the series ``by``, by composing maps upwards and walking entries down.
 
-def _chunk_table(summary: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Chunk table with ``_first`` and the previous chunk's exit."""
-    w = Window.partitionBy(*by).orderBy("_chunk")
-    t = summary.select(*by, "_chunk", "_met", "_exit", "_init", "_n", (F.row_number().over(w) == 1).alias("_first"))
-    return t.withColumn("_prev_exit", F.lag("_exit").over(w))
-
+    Checkpoints a small table a level; the number of levels is the logarithm of ``chunks``.
+    """
+    fan = FAN  # workers get the value of the session
+    key_schema = [maps.schema[c] for c in by]
+    map_schema = T.StructType([*key_schema, *(maps.schema[c] for c in ("_at", "_init", "_x", "_y"))])
+    entry_schema = T.StructType([*key_schema, maps.schema["_at"], T.StructField("_entry", T.DoubleType())])
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        head = _head(table, [*by, "_init"]) | {"_at": pa.array([table["_at"][0].as_py() // fan], pa.int64())}
+        found = reduce(compose, (_stored_map(table, i) for i in range(len(table))))
+        return _map_row(head, found).select(map_schema.names)
+
+    def children(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        state, entries = table["_entry"][0].as_py(), []
+        for i in range(len(table)):
+            entries.append(state)
+            state = float(np.interp(state, *_stored_map(table, i)))
+        columns = [table[c] for c in (*by, "_at")] + [pa.array(entries, pa.float64())]
+        return pa.table(columns, names=entry_schema.names)
+
+    levels, span = [maps], fan
+    while span < chunks:
+        levels.append(levels[-1].groupBy(*by, F.floor(F.col("_at") / fan).alias("_block")).applyInArrow(lambda _, t: block(t), map_schema).checkpoint())
+        span *= fan
+    entries = None
+    for level in reversed(levels):
+        blocks = level.withColumn("_block", F.floor(F.col("_at") / fan))
+        if entries is None:  # one block a series, entered at its initial value
+            blocks = blocks.withColumn("_entry", F.col("_init"))
+        else:
+            blocks = blocks.join(entries.withColumnRenamed("_at", "_block"), [*by, "_block"])
+        entries = blocks.select(*by, "_block", "_at", "_x", "_y", "_entry").groupBy(*by, "_block").applyInArrow(lambda _, t: children(t), entry_schema).checkpoint()
+    return entries
 
-def _entry() -> Column:
-    return F.when(F.col("_first"), F.col("_init")).otherwise(F.col("_prev_exit"))
 
+def chunked_fold(df: DataFrame, spec: SeriesSpec, target: Column, lo: float, hi: float, dist: float, initial: Column, out: str) -> DataFrame:
+    """Per-series recurrence of the limited step over ``target`` (already held and clamped, never null).
 
-def chunked_fold(
-    df: DataFrame,
-    spec: SeriesSpec,
-    target: Column,
-    lo: float,
-    hi: float,
-    dist: float,
-    initial: Column,
-    out: str,
-    max_rounds: int = 10_000,
-    max_run_rows: int = 1 << 22,
-) -> DataFrame:
-    """Exact per-series fold of the limited step over ``target`` (already held and clamped)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    Runs its jobs up to the chunks' entries while the plan is built. Columns
+    that the step does not need travel through Arrow unchanged.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     by, order = list(spec.by), list(spec.order)
     keep = [c for c in df.columns if c != "_chunk"]
+    ascending = [(c, "ascending") for c in order]
     prep = lay_out(df, spec).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
-    # first chunk of every series: a per-series minimum (partial aggregation, one row per series)
-    firsts = prep.groupBy(*by).agg(F.min("_chunk").alias("_first_chunk"))
-    prep = prep.join(firsts, by).withColumn("_is_first", F.col("_chunk") == F.col("_first_chunk")).drop("_first_chunk")
     prep = prep.checkpoint()  # in the shared folder: nothing stays on executors when the result is gone
-    schema_by = [prep.schema[c] for c in by]
-    summ_schema = T.StructType(
-        schema_by
-        + [T.StructField("_chunk", T.LongType()), T.StructField("_met", T.BooleanType()), T.StructField("_exit", T.DoubleType()), T.StructField("_init", T.DoubleType()), T.StructField("_n", T.LongType())]
-    )
-    keys = [*by, "_chunk"]
-    summary = prep.select(*keys, *order, "_T", "_init", "_is_first").groupBy(*keys).applyInPandas(_summary_fn(by, order, lo, hi, dist), summ_schema)
-    table = _chunk_table(summary, by).checkpoint(eager=True)
-    if table.filter(F.col("_exit").isNull()).isEmpty():  # common case: every exit known after one pass
-        return _final_pass(prep, table, keys, keep, order, lo, hi, dist, out)
-    exit_schema = T.StructType(schema_by + [T.StructField("_chunk", T.LongType()), T.StructField("_new", T.DoubleType())])
-    # Runs of consecutive unresolved chunks (each starts after a resolved chunk or
-    # at the series start, so its entry is known) fold in one group when the
-    # run holds at most ``max_run_rows`` rows; longer runs go chunk by chunk below.
-    w = Window.partitionBy(*by).orderBy("_chunk")
-    unres = F.col("_exit").isNull()
-    runs = table.withColumn("_start", F.when(unres & (F.col("_first") | F.col("_prev_exit").isNotNull()), F.col("_chunk")))
-    runs = runs.withColumn("_run", F.when(unres, F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    runs = runs.filter(F.col("_run").isNotNull())
-    wr = Window.partitionBy(*by, "_run")
-    runs = runs.withColumn("_run_rows", F.sum("_n").over(wr)).withColumn(
-        "_entry", F.first(F.when(F.col("_chunk") == F.col("_run"), _entry()), ignorenulls=True).over(wr)
-    )
-    small = runs.filter(F.col("_run_rows") <= max_run_rows).select(*keys, "_run", "_entry")
-    run_rows = prep.select(*keys, *order, "_T").join(small, keys)
-    solved = run_rows.groupBy(*by, "_run").applyInPandas(_run_fn(by, order, lo, hi, dist), exit_schema)
-    merged = table.drop("_first", "_prev_exit").join(solved, keys, "left").withColumn("_exit", F.coalesce("_exit", "_new")).drop("_new")
-    table = _chunk_table(merged, by).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        ready = table.filter(F.col("_exit").isNull() & (F.col("_first") | F.col("_prev_exit").isNotNull())).select(*keys, _entry().alias("_entry"))
-        if ready.isEmpty():
-            break
-        rows = prep.select(*keys, *order, "_T").join(ready, keys)
-        new = rows.groupBy(*keys).applyInPandas(_exit_fn(by, order, lo, hi, dist), exit_schema)
-        merged = table.drop("_first", "_prev_exit").join(new, keys, "left").withColumn("_exit", F.coalesce("_exit", "_new")).drop("_new")
-        table = _chunk_table(merged, by).checkpoint(eager=True)
-    else:
-        raise RuntimeError("chunked_fold did not converge")
-    return _final_pass(prep, table, keys, keep, order, lo, hi, dist, out)
-
-
-def _final_pass(prep, table, keys, keep, order, lo, hi, dist, out) -> DataFrame:
-    """Each chunk folds from its exact entry (initial value or previous chunk's exit)."""
-    entries = table.select(*keys, _entry().alias("_entry"))
-    out_schema = T.StructType([prep.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
-    data = prep.join(entries, keys)
-    return data.groupBy(*keys).applyInPandas(_rows_fn(order, lo, hi, dist, out, keep), out_schema)
+    first, last = prep.agg(F.min("_chunk"), F.max("_chunk")).first()
+    first, last = first or 0, last or 0
+    prep = prep.withColumn("_at", F.col("_chunk") - F.lit(first))
+    knots = T.ArrayType(T.DoubleType())
+    map_schema = T.StructType([*(prep.schema[c] for c in (*by, "_at", "_init")), T.StructField("_x", knots), T.StructField("_y", knots)])
+    out_schema = T.StructType([*(prep.schema[c] for c in keep if c != out), T.StructField(out, T.DoubleType())])
+
+    def to_map(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ascending)
+        return _map_row(_head(table, [*by, "_at", "_init"]), exit_map(table["_T"].to_pylist(), lo, hi, dist, table["_init"][0].as_py()))
+
+    def to_rows(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ascending)
+        path = list(accumulate(table["_T"].to_pylist(), lambda at, t: limited_step(at, t, lo, hi, dist), initial=table["_entry"][0].as_py()))
+        return table.select(out_schema.names[:-1]).append_column(out, pa.array(path[1:], pa.float64()))
+
+    columns = list(dict.fromkeys([*by, "_at", *order, "_T", "_init"]))
+    maps = prep.select(*columns).groupBy(*by, "_at").applyInArrow(lambda _, t: to_map(t), map_schema).checkpoint()
+    entries = _entries(maps, by, last - first + 1)
+    return prep.join(entries, [*by, "_at"]).groupBy(*by, "_at").applyInArrow(lambda _, t: to_rows(t), out_schema)
 
 
 def slew_limit(

@@ -21,7 +21,8 @@ its groups then grow with the data.)
    moves.
 
 Results are exact for hold-last, lag and first difference; running sums add the
-same terms in a different order (last-bit float differences).
+same terms in a different order (last-bit float differences). A row without a series
+key belongs to no series and does not come out.
 """
 
 from __future__ import annotations

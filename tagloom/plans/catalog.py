@@ -710,7 +710,16 @@ ORACLE["slew_limit"] = (
     "SELECT r.event_id, r.event_type, round(s.c, 9) AS opening FROM s JOIN r ON r.event_type = s.event_type AND r.rn = s.rn"
 )
 
-QUERIES.update({"slew_limit": slew_limit})
+def slew_limit_slow(spark: SparkSession, sf: str) -> DataFrame:
+    """A valve that takes a million seconds: no chunk forgets its entry."""
+    ev = _recorded(spark, sf)
+    out = R.slew_limit(ev, _spec(ev), "value", 0.0, 100.0, full_travel_time=1e6, cycle_time=0.5, initial_opening=0.0, out="opening")
+    return out.select("event_id", "event_type", F.round("opening", 9).alias("opening"))
+
+
+ORACLE["slew_limit_slow"] = ORACLE["slew_limit"].replace("5.0", "CAST(0.00005 AS DOUBLE)")
+
+QUERIES.update({"slew_limit": slew_limit, "slew_limit_slow": slew_limit_slow})
 
 
 # --- Structured Streaming (T1-T5): availableNow runs over the events table ------

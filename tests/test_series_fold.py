@@ -121,6 +121,46 @@ def test_slew_limit_sequential(spark, travel, initial):
         assert [got[(key, r.c)] for r in rows] == pytest.approx(exp, abs=1e-12)
 
 
+def _targets(kind, n):
+    rng = np.random.default_rng(len(kind))
+    if kind == "ends":  # never brings two entries together
+        return np.where(np.arange(n) % 2 == 0, 0.0, 100.0).tolist()
+    return (rng.random(n) * 100 if kind == "random" else np.repeat(rng.integers(0, 101, n), 7)[:n].astype(float)).tolist()
+
+
+@pytest.mark.parametrize("kind", ["ends", "random", "steps"])
+@pytest.mark.parametrize("dist", [0.0, 5e-5, 0.37, 5.0, 40.0])
+def test_exit_map_equals_the_steps(kind, dist):
+    targets = _targets(kind, 3000)
+    x, y = R.exit_map(targets, 0.0, 100.0, dist, 120.0)
+    for c in [0.0, 1e-3, 7.7, 50.0, 99.99, 100.0, 113.0, 120.0]:
+        assert np.interp(c, x, y) == pytest.approx(_walk_seq(targets, c, 0.0, 100.0, dist)[-1], abs=1e-8)
+
+
+@pytest.mark.parametrize("kind", ["ends", "random"])
+@pytest.mark.parametrize("travel", [400.0, 1e6])
+def test_slow_valves_take_few_levels(spark, monkeypatch, kind, travel):
+    monkeypatch.setattr(R, "FAN", 3)
+    monkeypatch.setattr(S, "CHUNK_ROWS", 100)
+    targets = _targets(kind, 2000)
+    big = 9007199254740993
+    schema = "k string, c long, v double, tag long"
+    df = spark.createDataFrame([("hot", i, t, big if i % 2 else None) for i, t in enumerate(targets)] + [("still", i, 50.0, big) for i in range(5)], schema)
+    out = R.slew_limit(df, S.series_spec(df, ["k"], ["c"]), "v", full_travel_time=travel, initial_opening=30.0, out="o")
+    assert out.columns == ["k", "c", "v", "tag", "o"]
+    rows = out.collect()
+    got = {r.c: r for r in rows if r.k == "hot"}
+    want = _walk_seq(targets, 30.0, 0.0, 100.0, 100.0 / travel * 0.5)
+    assert len(rows) == 2005 and all(got[i].tag == (big if i % 2 else None) for i in got)
+    assert [got[i].o for i in range(2000)] == pytest.approx(want, abs=1e-8)
+    assert [r.o for r in sorted((r for r in rows if r.k == "still"), key=lambda r: r.c)] == pytest.approx(_walk_seq([50.0] * 5, 30.0, 0.0, 100.0, 100.0 / travel * 0.5))
+
+
+def test_fold_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k string, c long, v double")
+    assert R.slew_limit(df, S.series_spec(df, ["k"], ["c"]), "v", out="o").collect() == []
+
+
 def _scans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") + df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
 
