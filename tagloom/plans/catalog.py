@@ -18,6 +18,7 @@ from tagloom.operators import clock as C
 from tagloom.operators import fold as R
 from tagloom.operators import sampling as P
 from tagloom.operators import series as S
+from tagloom.operators.program import run_program
 from tagloom.functions import math as M
 from tagloom.functions.formula import formula_columns as _formulas
 from tagloom.sources import csv_template as CSV
@@ -646,12 +647,23 @@ def _events_wide(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _events_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshots with text tags, one of them of digits."""
+    kinds = table(spark, sf, "events").select((F.col("event_id") + 1).cast("int").alias("cycle_count"), F.col("event_type").alias("pump.kind"), F.col("user_id").cast("string").alias("pump.user"))
+    return _events_wide(spark, sf).join(kinds, "cycle_count")
+
+
+def envelope_tags(spark: SparkSession, sf: str) -> DataFrame:
+    tags, _ = J.decode_envelope(J.encode_envelope(_events_mixed(spark, sf)), numeric_only=False)
+    return J.discovered_tags(tags)
+
+
 def json_decode(spark: SparkSession, sf: str) -> DataFrame:
     return J.decode_fields(table(spark, sf, "events"), "k bigint", value="props", keep=["event_id"])
 
 
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    texts = J.encode_envelope(_events_wide(spark, sf))
+    texts = J.encode_envelope(_events_mixed(spark, sf))
     good, _ = J.decode_envelope(texts)
     return good.select("cycle_count", "sim_time", "datetime", "param_name", "param_value", "instance_name", "param_type")
 
@@ -677,6 +689,9 @@ ORACLE.update(
         "'pump.value' AS param_name, value AS param_value FROM events UNION ALL "
         "SELECT CAST(event_id + 1 AS INTEGER), CAST((event_id + 1) * 0.5 AS DOUBLE), strftime(ts, '%Y-%m-%d %H:%M:%S'), 'pump.k', "
         "CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS DOUBLE) FROM events)",
+        "envelope_tags": "SELECT t.param_name, 'pump' AS instance_name, 'variable' AS param_type, CAST((event_id + 1) * 0.5 AS DOUBLE) AS first_seen, "
+        "CASE t.param_name WHEN 'pump.value' THEN value WHEN 'pump.k' THEN CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS initial_value "
+        "FROM events, (VALUES ('pump.value'), ('pump.k'), ('pump.kind'), ('pump.user')) t(param_name) WHERE event_id = (SELECT min(event_id) FROM events)",
         "notification": "SELECT CAST(event_id + 1 AS INTEGER) AS cycle_count, '{\"timestamp\":' || CAST(CAST((event_id + 1) * 0.5 AS DOUBLE) AS VARCHAR) "
         "|| ',\"cycle_count\":' || CAST(event_id + 1 AS VARCHAR) || '}' AS value FROM events",
     }
@@ -688,6 +703,7 @@ QUERIES.update(
         "csv_roundtrip": csv_roundtrip,
         "json_decode": json_decode,
         "json_roundtrip": json_roundtrip,
+        "envelope_tags": envelope_tags,
         "notification": notification,
     }
 )
@@ -719,7 +735,16 @@ def slew_limit_slow(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE["slew_limit_slow"] = ORACLE["slew_limit"].replace("5.0", "CAST(0.00005 AS DOUBLE)")
 
-QUERIES.update({"slew_limit": slew_limit, "slew_limit_slow": slew_limit_slow})
+def step_program(spark: SparkSession, sf: str) -> DataFrame:
+    """U2 in batch: the registered valve, step by step on the series layout."""
+    ev = _recorded(spark, sf)
+    out = run_program(ev, _spec(ev), "valve", {"target": "value"}, {"full_travel_time": 10.0, "cycle_time": 0.5})
+    return out.select("event_id", "event_type", F.round("current_opening", 9).alias("opening"))
+
+
+ORACLE["step_program"] = ORACLE["slew_limit"]
+
+QUERIES.update({"slew_limit": slew_limit, "slew_limit_slow": slew_limit_slow, "step_program": step_program})
 
 
 # --- Structured Streaming (T1-T5): availableNow runs over the events table ------

@@ -91,6 +91,20 @@ def test_envelope_roundtrip_and_rejects(spark):
     assert note == '{"timestamp":0.5,"cycle_count":1}'
 
 
+def test_envelope_keeps_every_type(spark):
+    schema = "cycle_count int, sim_time double, `a.x` double, `a.text` string, `a.digits` string, `a.flag` boolean, `a.gone` double, `a.list` array<int>"
+    wide = spark.createDataFrame([(2, 1.0, float("nan"), "on", "12", True, None, [1]), (1, 0.5, 7.25, "off", "13", False, 3.0, [2])], schema)
+    texts = J.encode_envelope(wide)
+    assert '"a.text":"on","a.digits":"12","a.flag":true,"a.gone":null,"a.list":[1]' in texts.first().value
+    good, rejected = J.decode_envelope(texts)
+    assert rejected.count() == 0
+    assert sorted((r.param_name, str(r.param_value)) for r in good.collect()) == [("a.flag", "0.0"), ("a.flag", "1.0"), ("a.gone", "3.0"), ("a.x", "7.25"), ("a.x", "nan")]
+    found = J.discovered_tags(J.decode_envelope(texts, numeric_only=False)[0]).collect()
+    assert {r.param_name: (r.first_seen, r.initial_value) for r in found} == {
+        "a.x": (0.5, 7.25), "a.text": (0.5, 0.0), "a.digits": (0.5, 0.0), "a.flag": (0.5, 0.0), "a.gone": (0.5, 3.0), "a.list": (0.5, 0.0)
+    }
+
+
 def _paths(spark, tag):
     base = f"{spark.sparkContext.getCheckpointDir()}/test-{tag}-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/ckpt"

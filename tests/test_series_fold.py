@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import fold as R
 from tagloom.operators import series as S
+from tagloom.operators.program import run_program
 
 
 def _frame(spark, n=400, series=3, gaps=False, seed=1):
@@ -156,6 +157,19 @@ def test_slow_valves_take_few_levels(spark, monkeypatch, kind, travel):
     assert [r.o for r in sorted((r for r in rows if r.k == "still"), key=lambda r: r.c)] == pytest.approx(_walk_seq([50.0] * 5, 30.0, 0.0, 100.0, 100.0 / travel * 0.5))
 
 
+def test_step_program_carries_its_state_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_ROWS", 100)
+    targets = [None if i % 5 == 0 else float("nan") if i % 50 == 1 else t for i, t in enumerate(_targets("random", 900))]
+    df = spark.createDataFrame([("hot", i, t) for i, t in enumerate(targets)] + [("b", 0, 40.0)], "k string, c long, v double")
+    spec = S.series_spec(df, ["k"], ["c"])
+    out = run_program(df, spec, "valve", {"target": "v"}, {"full_travel_time": 400.0, "cycle_time": 0.5}).collect()
+    want = {(r.k, r.c): r.o for r in R.slew_limit(df, spec, "v", full_travel_time=400.0, out="o").collect()}
+    assert len(out) == 901 and {(r.k, r.c): r.current_opening for r in out} == pytest.approx(want, abs=1e-9)
+    lagged = run_program(df, spec, "lag", {"value": "c"}, {"n": 3, "default": -1.0}, {"lagged": "bigint"}).collect()
+    assert all(r.lagged == (r.c - 3 if r.c >= 3 else -1) for r in lagged)
+    assert run_program(df.limit(0), spec, "lag", {"value": "c"}).collect() == []
+
+
 def test_fold_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string, c long, v double")
     assert R.slew_limit(df, S.series_spec(df, ["k"], ["c"]), "v", out="o").collect() == []
