@@ -27,7 +27,7 @@ PATTERNS = {
     "partial_agg": r"Aggregate\(keys?=\[[^\]]*\], functions=\[partial_",
     "sort_agg": r"SortAggregate",
     "top_k": r"TakeOrderedAndProject",
-    "python": r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas",
+    "python": r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas|FlatMapGroupsInArrow",
 }
 
 
