@@ -20,6 +20,7 @@ other).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -33,6 +34,8 @@ from tagloom.llm.graph import Forest, components
 
 SHINGLE_WORDS, MAX_BITS, HASH_SEED = 3, 3, 42
 BLOCKS, PIVOTS, BUCKET_ROWS, DEAL = 6, 12, 4096, 32
+#: rows of whole buckets that are compared at a time in a task
+TABLE_ROWS = 1 << 18
 
 
 def fingerprint_of(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
@@ -134,13 +137,32 @@ def links(prints: DataFrame, *, print_col: str = "fingerprint", max_bits: int =
     rows = rows.select("m", "k", "s", "f").repartition("m", "k", "s").sortWithinPartitions("m", "k", "s", "f")
 
     def run(batches):
-        if batches := list(batches):
-            a, b = _forest_of(pa.Table.from_batches(batches), max_bits)
+        for table in _whole_buckets(batches):
+            a, b = _forest_of(table, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = TABLE_ROWS) -> Iterator[pa.Table]:
+    """Tables of whole buckets of about ``rows`` rows, so a task's memory does not follow its partition."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
+        others = np.flatnonzero((keys != keys[-1]).any(axis=1))  # the last bucket may go on in the next batch
+        if len(others):
+            last = int(others[-1]) + 1
+            yield table.slice(0, last)
+            held, size = table.slice(last).to_batches(), table.num_rows - last
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row a document: id, ``fingerprint`` (long) and ``component_id`` (smallest id that links reach)."""
     prints = fingerprints(df.select(ref(id_col).alias("_tl_id"), ref(text_col).alias("text")), keep=["_tl_id"], shingle_words=shingle_words)

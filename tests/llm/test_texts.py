@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,6 +250,17 @@ def test_simhash_on_odd_rows(odd_docs, no_docs):
     assert pivot_simhash.near_duplicates(no_docs).count() == 0 and pivot_simhash.one_of_each(no_docs).count() == 0
 
 
+def test_tables_hold_whole_buckets():
+    sizes = [1, 5, 2, 40, 3, 1, 1, 7]
+    keys = [i for i, n in enumerate(sizes) for _ in range(n)]
+    table = pa.table({"m": [0] * len(keys), "k": keys, "s": [0] * len(keys), "f": list(range(len(keys)))})
+    for step in (1, 4, 100):
+        cut = list(pivot_simhash._whole_buckets(iter(table.to_batches(max_chunksize=step)), rows=8))
+        assert pa.concat_tables(cut).equals(table)
+        buckets = [set(t.column("k").to_pylist()) for t in cut]
+        assert sum(map(len, buckets)) == len(set().union(*buckets)) and (step == 100 or len(buckets) > 2)
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 120)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7)]
     rows = spark.createDataFrame(links, "a long, b long")
