@@ -184,4 +184,8 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """The rows whose id names their component: one document of each group. Rows that repeat an id count as one document."""
     classes = near_duplicates(df, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits)
     chosen = classes.where(ref(id_col).eqNullSafe(F.col("component_id"))).select(ref(id_col).alias("_tl_id")).distinct()
-    return df.join(chosen, ref(id_col).eqNullSafe(F.col("_tl_id")), "left_semi").dropDuplicates([id_col])
+    # ids that are null apart: a plain key lets the texts move once, for the join and the repeats alike
+    named, unnamed = df.where(ref(id_col).isNotNull()), df.where(ref(id_col).isNull())
+    first = named.join(chosen.where("_tl_id is not null"), ref(id_col) == F.col("_tl_id"), "left_semi")
+    other = unnamed.dropDuplicates([id_col]).join(chosen.where("_tl_id is null"), ref(id_col).eqNullSafe(F.col("_tl_id")), "left_semi")
+    return first.dropDuplicates([id_col]).unionByName(other)

@@ -250,6 +250,12 @@ def test_simhash_on_odd_rows(odd_docs, no_docs):
     assert pivot_simhash.near_duplicates(no_docs).count() == 0 and pivot_simhash.one_of_each(no_docs).count() == 0
 
 
+def test_documents_without_an_id_count_as_one(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "one two three four five", "red green blue"]
+    rows = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (3, texts[1]), (4, texts[3]), (4, texts[3]), (None, texts[0])], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in pivot_simhash.one_of_each(rows).collect()) == [0, 3, 4]
+
+
 def test_tables_hold_whole_buckets():
     sizes = [1, 5, 2, 40, 3, 1, 1, 7]
     keys = [i for i, n in enumerate(sizes) for _ in range(n)]
