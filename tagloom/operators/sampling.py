@@ -9,21 +9,22 @@ Distributed plan
 Let ``s(t)`` be the first timestamp ``>= t + I``; the kept set is the chain
 ``t0, s(t0), s(s(t0)), ...``.
 
-1. Distinct timestamps (partial aggregation first) are range-partitioned and
-   sorted once and persisted, so both passes below run on one physical plan and
-   see identical partitions (range bounds are re-sampled per plan otherwise).
+1. Distinct timestamps (partial aggregation first) are range-partitioned into
+   parts of about ``CHUNK_ROWS`` (or as many as shuffle partitions, if that is
+   more), sorted and checkpointed, so both passes below see identical partitions
+   (range bounds are re-sampled per plan otherwise) and no block stays on executors.
 2. Pass A, per partition (``mapInPandas``, numpy): ``s`` by ``searchsorted``
    and, by pointer doubling inside the partition, where each chain leaves the
    partition. The chain can only *enter* a partition at one of its first
    elements (those below ``min + I``, plus one), so each partition emits just
    these entry candidates with their exit threshold.
-3. The candidate table is small (about density x I per partition). Under a
-   checked row bound it is composed on the driver (one step per partition);
-   above it, the same composition runs as pointer doubling with Spark joins
-   over the candidate table (log2(partitions) rounds, checkpointed).
+3. Candidates are composed across partitions by pointer doubling with Spark
+   joins: log2(partitions) rounds, known beforehand because the chain enters
+   each partition once at most. Only the entries (one a partition) are
+   broadcast, and collected at the end.
 4. Pass B, per partition: starting at its entry element, walk the chain and
-   emit kept timestamps, written with a reliable checkpoint (the persisted
-   layout is then released). Rows at kept timestamps come back with a semi-join.
+   emit kept timestamps, written with a reliable checkpoint. Rows at kept
+   timestamps come back with a semi-join.
 
 Nothing of size proportional to the data reaches the driver or one task.
 """
@@ -34,11 +35,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.query import history_filter, query_history
+from tagloom.operators.series import CHUNK_ROWS
 from tagloom.schema import HISTORY_COLUMNS
 from tagloom.session import ensure_checkpoint_dir
 
@@ -121,61 +123,52 @@ def _locate_fn(bounds: np.ndarray):
     return locate
 
 
-def _compose_distributed(cands: DataFrame) -> dict[int, int]:
+def _compose(cands: DataFrame) -> dict[int, int]:
     """Entry of the greedy chain into each partition, composed with Spark joins.
 
     Node = candidate; edge = first candidate ``>= exit``. Each exit is routed to
     the partition that can hold its successor (a searchsorted against the
     per-partition maxima, one value per partition), then the successor is a
-    window *per partition*. The reachable set from the global minimum comes
-    from pointer doubling (``R |= J(R); J = J o J``) with equi-joins and a
-    reliable checkpoint per round. Only one entry per partition reaches the driver.
+    window *per partition*. ``reach`` starts at the global minimum and doubles
+    with every round (``R |= J(R); J = J o J``); it has one entry per partition
+    at most, which bounds the rounds and the broadcast.
     """
-    bounds_pdf = cands.groupBy("part").agg(F.min("pmin").alias("pmin"), F.max("pmax").alias("pmax")).toPandas()
-    bounds_pdf = bounds_pdf.sort_values("pmin").reset_index(drop=True)
-    pmax = bounds_pdf["pmax"].to_numpy()
-    order_to_part = {i: int(p) for i, p in enumerate(bounds_pdf["part"])}
+    bounds = cands.groupBy("part").agg(F.min("pmin").alias("pmin"), F.max("pmax").alias("pmax")).toPandas().sort_values("pmin")
+    if bounds.empty:
+        return {}
+    pmax, parts = bounds["pmax"].to_numpy(), bounds["part"].tolist()
     locate = F.pandas_udf(_locate_fn(pmax), "long")
-    probes = cands.select(F.col("cand").alias("src"), F.col("exit").alias("key"), F.lit(1).alias("kind"))
-    data = cands.select(F.lit(None).cast("long").alias("src"), F.col("cand").alias("key"), F.lit(0).alias("kind"))
-    # a probe past the last maximum has no successor; kept in, all of them would share one window partition
-    u = probes.unionByName(data).withColumn("q", locate(F.col("key"))).filter(F.col("q") < len(pmax))
+    probes = cands.select(F.col("cand").alias("src"), F.col("exit").alias("key"), F.lit(1).alias("kind")).withColumn("q", locate(F.col("key")))
+    data = cands.select(F.lit(None).cast("long").alias("src"), F.col("cand").alias("key"), F.lit(0).alias("kind")).withColumn("q", locate(F.col("key")))
+    # a probe past the last maximum has no successor; in the window all of them would share one partition
     w = Window.partitionBy("q").orderBy(F.col("key"), F.col("kind").desc()).rowsBetween(0, Window.unboundedFollowing)
-    nxt = u.withColumn("dst", F.first(F.when(F.col("kind") == 0, F.col("key")), ignorenulls=True).over(w))
-    jump = nxt.filter("kind = 1").select("src", "dst").checkpoint(eager=True)
-    reach = cands.agg(F.min("cand").alias("n")).checkpoint(eager=True)
-    size = 1
-    while True:
-        stepped = reach.join(jump, reach["n"] == jump["src"]).select(F.col("dst").alias("n")).filter(F.col("n").isNotNull())
-        new_reach = reach.unionByName(stepped).distinct().checkpoint(eager=True)
-        new_size = new_reach.count()
-        if new_size == size:
-            break
-        reach, size = new_reach, new_size
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, F.col("a.dst") == F.col("b.src"), "left").select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).checkpoint(eager=True)
-    located = reach.withColumn("q", locate(F.col("n"))).groupBy("q").agg(F.min("n").alias("n")).collect()
-    return {order_to_part[int(r["q"])]: int(r["n"]) for r in located if int(r["q"]) in order_to_part}
+    dst = F.first(F.when(F.col("kind") == 0, F.col("key")), ignorenulls=True).over(w)
+    inside = probes.filter(F.col("q") < len(parts)).unionByName(data).withColumn("dst", dst).filter("kind = 1").select("src", "dst")
+    past = probes.filter(F.col("q") >= len(parts)).select("src", F.lit(None).cast("long").alias("dst"))
+    jump = inside.unionByName(past).checkpoint()
+    reach = cands.sparkSession.createDataFrame([(int(bounds["pmin"].iloc[0]),)], "n long")
+    rounds = max(1, (len(parts) - 1).bit_length())
+    for i in range(rounds):
+        step = jump.join(F.broadcast(reach), F.col("src") == F.col("n"))
+        reach = step.select(F.explode(F.array("n", "dst")).alias("n")).filter("n is not null")
+        if i + 1 < rounds:
+            a, b = jump.alias("a"), jump.alias("b")
+            jump = a.join(b, F.col("a.dst") == F.col("b.src"), "left").select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).checkpoint()
+    entries = sorted(r["n"] for r in reach.collect())
+    return {int(parts[np.searchsorted(pmax, n, side="left")]): int(n) for n in reversed(entries)}
 
 
 def greedy_kept_micros(rows: DataFrame, interval_seconds: float, ts_col: str = "timestamp", num_partitions: int | None = None) -> DataFrame:
-    """Kept timestamps (``us`` BIGINT, epoch microseconds) of the greedy interval rule over ``rows``."""
+    """Kept timestamps (``us`` BIGINT, epoch microseconds) of the greedy interval rule over ``rows``; runs jobs while the plan is built."""
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     step = interval_micros(interval_seconds)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = rows.select(micros(ts_col).alias("us")).filter(F.col("us").isNotNull()).distinct()
-    # one physical plan (hence one set of range bounds) for both passes; recomputation
-    # of a lost block goes through the same fixed partitioner
-    ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").persist(StorageLevel.MEMORY_AND_DISK)
+    distinct = rows.select(micros(ts_col).alias("us")).filter(F.col("us").isNotNull()).distinct().checkpoint()
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // CHUNK_ROWS))
+    ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").checkpoint()
     cands = ranged.mapInPandas(_candidates_fn(step), "part long, pmin long, pmax long, cand long, exit long")
-    entries = _compose_distributed(cands.checkpoint(eager=True))
-    # The kept set (at most the distinct timestamps) is written with a reliable
-    # checkpoint, so the returned plan no longer depends on the persisted layout
-    # (entries are keyed by its partition ids), which is then released.
-    kept = ranged.mapInPandas(_emit_fn(step, entries), "us long").checkpoint(eager=True)
-    ranged.unpersist()
-    return kept
+    entries = _compose(cands.checkpoint())
+    return ranged.mapInPandas(_emit_fn(step, entries), "us long").checkpoint()
 
 
 def greedy_kept_timestamps(rows: DataFrame, interval_seconds: float, ts_col: str = "timestamp") -> DataFrame:
