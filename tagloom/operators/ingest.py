@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.session import ensure_checkpoint_dir
+from tagloom.operators.series import CHUNK_ROWS
 from tagloom.schema import ALGORITHM_MARKERS, HISTORY_COLUMNS, METADATA_KEYS, MODEL_MARKERS, UNKNOWN_INSTANCE
+from tagloom.session import materialize
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
@@ -182,13 +183,6 @@ def max_id(history: DataFrame | None) -> Column | int:
 
 
 def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num_partitions: int | None = None, id_col: str = "id") -> DataFrame:
-    """Dense sequential ids in ``order`` (see :func:`assign_ids_cached`)."""
-    return assign_ids_cached(df, order, start, num_partitions, id_col)[0]
-
-
-def assign_ids_cached(
-    df: DataFrame, order: Sequence[str | Column], start: int = 1, num_partitions: int | None = None, id_col: str = "id"
-) -> tuple[DataFrame, DataFrame]:
     """Dense sequential ids ``start, start+1, ...`` in ``order``.
 
     Plan: one range exchange on the order key (sampled bounds keep partitions
@@ -197,18 +191,17 @@ def assign_ids_cached(
     A tiny per-partition count table (one row per partition, a proven bound)
     turns positions into global ids through a broadcast join. No single-task
     window over raw rows. The order key must be unique so positions inside a
-    partition are well defined. Returns ``(with_ids, layout)``: the sorted frame
-    is checkpointed in the shared folder, so the ids survive lost executors and
-    no block stays on them.
+    partition are well defined. The sorted frame is written to the shared folder
+    in parts of about ``CHUNK_ROWS`` rows while the plan is built, so the ids
+    survive lost executors and no block stays on them.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CHUNK_ROWS))
     # Range bounds are sampled per physical plan (a new seed per job). The
-    # checkpoint of the sorted frame gives both jobs below one set of bounds.
+    # written frame gives both jobs below one set of bounds.
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ids")
     tagged = tagged.withColumn("_part", F.shiftright(F.col("_mid"), 33)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )
@@ -219,7 +212,7 @@ def assign_ids_cached(
         running += int(row["_n"])
     off_df = spark.createDataFrame(offsets or [(0, start)], "_part long, _off long")
     out = tagged.join(F.broadcast(off_df), "_part").withColumn(id_col, F.col("_off") + F.col("_pos"))
-    return out.drop("_mid", "_part", "_pos", "_off"), tagged
+    return out.drop("_mid", "_part", "_pos", "_off")
 
 
 def to_history(df: DataFrame, order: Sequence[str | Column] = ("timestamp", "param_name"), start: int = 1) -> DataFrame:

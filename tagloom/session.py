@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tagloom") -> SparkSession:
@@ -61,6 +64,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by all executors")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the checkpoint folder as Parquet and read it back: a short lineage that outlives executors.
+
+    Later reads take only the columns they need. Columns of the type ``void``
+    are written as null strings, which Parquet can hold.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    void = [f.name for f in df.schema if f.dataType == NullType()]
+    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void}) if void else df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers of a local session this package, once a context, so that jobs can start from any folder.
 

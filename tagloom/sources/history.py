@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.ingest import assign_ids_cached, classify_instance, instance_of, max_id
+from tagloom.operators.ingest import assign_ids, classify_instance, instance_of, max_id
 from tagloom.schema import HISTORY_COLUMNS, HISTORY_SCHEMA
 
 
@@ -44,17 +44,13 @@ def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
 def append_history(rows: DataFrame, path: str, order: tuple = ("timestamp", "param_name", "cycle_count", "sim_time", "param_value")) -> None:
     """S9 and S10 in one call: number long rows after the ids already stored at ``path``, and append them.
 
-    The default order is unique but for equal rows. The layout that the ids come
-    from is released when the rows are written.
+    The default order is unique but for equal rows.
     """
     spark = rows.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    numbered, cached = assign_ids_cached(rows, list(order), start=max_id(read_history(spark, path) if there else None) + 1)
-    try:
-        write_history(numbered, path, mode="append")
-    finally:
-        cached.unpersist()
+    numbered = assign_ids(rows, list(order), start=max_id(read_history(spark, path) if there else None) + 1)
+    write_history(numbered, path, mode="append")
 
 
 def events_tag(event_type: F.Column, user_id: F.Column) -> F.Column:

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tagloom.functions.registry import Program, program
-from tagloom.operators.ingest import assign_ids_cached, snapshots_to_history
+from tagloom.operators.ingest import assign_ids, snapshots_to_history
 from tagloom.operators.query import time_id_key
 from tagloom.schema import HISTORY_COLUMNS
 from tagloom.sources.envelope import notification
@@ -73,7 +73,7 @@ def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_
         if n == 0:
             return
         start = _next_id(spark, sink, epoch)
-        with_ids, cached = assign_ids_cached(long, list(order), start=start)
+        with_ids = assign_ids(long, list(order), start=start)
         hist = with_ids.select(*HISTORY_COLUMNS)
         out = hist.withColumn("date", F.to_date("timestamp")).withColumn("epoch", F.lit(int(epoch)))
         (
@@ -87,7 +87,6 @@ def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_
         # one tiny ledger row per epoch: replays find the same first id
         ledger = spark.createDataFrame([(int(start), int(n))], "first_id long, rows long")
         ledger.write.mode("overwrite").parquet(f"{_ledger_path(sink)}/epoch={int(epoch)}")
-        cached.unpersist()  # one epoch's id layout; released so a long-running stream holds no old blocks
 
     return write
 
