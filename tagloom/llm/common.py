@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.session import ensure_checkpoint_dir
+from tagloom.session import materialize  # noqa: F401  (the operators take it from here)
 
 #: A word is a run of anything but these six ASCII characters (``bytes.split()`` uses the same six).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,13 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: a short lineage that outlives executors."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def kept_columns(df: DataFrame, keep: Iterable[str], new: Iterable[str]) -> list[str]:
     """Columns to carry through; one that has the name of a new column is replaced by it."""
     new = set(new)
