@@ -38,6 +38,12 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_digest(df: DataFrame, text_col: str = "text") -> Column:
+    """A digest of all columns, never null: rows have the same one if they are equal."""
+    columns = [F.sha2(ref(c).cast("binary"), 256).alias(c) if c == text_col else ref(c).alias(c) for c in df.columns]
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Zero-copy slices of the batches with the text column as Python strings, each of about ``chars`` characters."""
     for batch in batches:

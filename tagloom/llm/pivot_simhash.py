@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import kept_columns, materialize, ref, schema_of, text_slices, with_arrays
+from tagloom.llm.common import kept_columns, materialize, ref, row_digest, schema_of, text_slices, with_arrays
 from tagloom.llm.graph import Forest, components
 
 SHINGLE_WORDS, MAX_BITS, HASH_SEED = 3, 3, 42
@@ -181,11 +181,17 @@ def hex_of(fingerprint: Column) -> Column:
 
 
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows whose id names their component: one document of each group. Rows that repeat an id count as one document."""
-    classes = near_duplicates(df, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits)
-    chosen = classes.where(ref(id_col).eqNullSafe(F.col("component_id"))).select(ref(id_col).alias("_tl_id")).distinct()
-    # ids that are null apart: a plain key lets the texts move once, for the join and the repeats alike
-    named, unnamed = df.where(ref(id_col).isNotNull()), df.where(ref(id_col).isNull())
-    first = named.join(chosen.where("_tl_id is not null"), ref(id_col) == F.col("_tl_id"), "left_semi")
-    other = unnamed.dropDuplicates([id_col]).join(chosen.where("_tl_id is null"), ref(id_col).eqNullSafe(F.col("_tl_id")), "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(other)
+    """One row of each component: the one with the smallest id (rows without an id come last), fingerprint and digest of the row.
+
+    A component is known by its root fingerprint, so null ids and ids that are repeated with other texts are documents of their own.
+    """
+    rows = df.withColumn("_tl_row", row_digest(df, text_col))
+    prints = rows.select(ref(id_col).alias("_tl_id"), "_tl_row", ref(text_col).alias("text"))
+    prints = materialize(fingerprints(prints, keep=["_tl_id", "_tl_row"], shingle_words=shingle_words), "simhash")
+    least = F.min(F.struct(F.col("_tl_id").isNull().alias("unnamed"), "_tl_id", "fingerprint", "_tl_row"))
+    nodes = prints.groupBy("fingerprint").agg(least.alias("first"))
+    roots = materialize(components(links(nodes, max_bits=max_bits), "simhash"), "simhash-roots")
+    rooted = nodes.join(roots, nodes.fingerprint == roots.node, "left").select(F.coalesce("root", "fingerprint").alias("root"), "first")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._tl_row")
+    # equal rows first become one on the map side, then the texts lie where the join wants them
+    return rows.dropDuplicates(["_tl_row"]).join(chosen, "_tl_row", "left_semi").select(*[ref(c) for c in df.columns])

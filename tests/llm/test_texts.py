@@ -256,6 +256,15 @@ def test_documents_without_an_id_count_as_one(spark):
     assert sorted(r.doc_id or 0 for r in pivot_simhash.one_of_each(rows).collect()) == [0, 3, 4]
 
 
+def test_every_group_keeps_a_document_whatever_the_ids(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue", "sun moon stars sky", "north south east west"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[3]), (4, texts[2]), (None, texts[4]), (9, texts[3])]
+    want = [(None, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[3]), (None, texts[4])]
+    for order in (rows, rows[::-1]):
+        got = pivot_simhash.one_of_each(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_tables_hold_whole_buckets():
     sizes = [1, 5, 2, 40, 3, 1, 1, 7]
     keys = [i for i, n in enumerate(sizes) for _ in range(n)]
