@@ -1,13 +1,15 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced together.
 
 Documents with equal texts are a group. A group that holds more than a
-``1 / (shards x FINE)`` part of the bytes, tokens or rows is cut into pieces by
-the hash of the id; all other groups are gathered by hash into ``ATOMS`` atoms.
-Pieces and atoms, a number bounded by these parameters, are placed one after the
-other, largest first, on the shard whose residual capacity has the largest dot
-product with the item's (bytes, tokens, rows) vector. Rows then look up their
-atom; ranks within atoms and the atoms' offsets give gapless slots, so no shard
-is sorted in one task.
+``1 / (shards x FINE)`` part of the bytes, tokens or rows is dealt into pieces by
+the hash of the id; all other groups are gathered whole, by hash, into ``ATOMS``
+atoms. The pieces of a group are placed together, unless it holds more than a
+``1 / (shards x WHOLE)`` part, half a shard: only then each goes its own way.
+Groups, pieces and atoms, a number bounded by these parameters, are placed one
+after the other, largest first, on the shard whose residual capacity has the
+largest dot product with the item's (bytes, tokens, rows) vector. Rows then look
+up their piece or atom; ranks within these and their offsets give gapless slots,
+so neither a shard nor a large group is sorted in one task.
 
 Defined results: a null text has no bytes beside the one that every row counts,
 no tokens and CRC 0; repeated rows are rows of their own and get slots of their
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window as W
 from tagloom.llm.common import materialize, ref
 from tagloom.llm.token_mix import word_count
 
-SHARDS, ATOMS, FINE = 8, 8192, 64
+SHARDS, ATOMS, FINE, WHOLE = 8, 8192, 64, 2
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -38,6 +40,14 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def _units(keys: list[tuple[int, int]], loads: np.ndarray, most: list[float]) -> np.ndarray:
+    """The number of the item that each piece or atom (sorted keys; an atom's second is -1) is placed with: a group's pieces are one up to ``most``."""
+    group = np.cumsum([i > 0 and (k2 < 0 or keys[i - 1][1] < 0 or k1 != keys[i - 1][0]) for i, (k1, k2) in enumerate(keys)]).astype(np.int64)
+    held = np.stack([np.bincount(group, loads[:, j]) for j in range(loads.shape[1])], axis=1)
+    cut = (held > most).any(axis=1)[group] & np.array([k2 >= 0 for _, k2 in keys], bool)
+    return np.unique(np.where(cut, len(keys) + np.arange(len(keys)), group), return_inverse=True)[1]
+
+
 def pack(df: DataFrame, *, shards: int = SHARDS, atoms: int = ATOMS, fine: int = FINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size, text_crc32, tokens, shard and slot (gapless from 0 in each shard)."""
     spark, text = df.sparkSession, ref(text_col)
@@ -60,8 +70,10 @@ def pack(df: DataFrame, *, shards: int = SHARDS, atoms: int = ATOMS, fine: int =
     piece = F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces"))
     rows = rows.withColumn("k1", F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("g"), F.lit(atoms))).otherwise(F.col("g"))).withColumn("k2", F.coalesce(piece, F.lit(-1).cast("long")))
     sums = sorted(tuple(r) for r in rows.groupBy("k1", "k2").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect())
-    items = np.array([s[2:] for s in sums], np.float64).reshape(-1, 3)
-    shard = place(items, shards)
+    loads = np.array([s[2:] for s in sums], np.float64).reshape(-1, 3)
+    unit = _units([s[:2] for s in sums], loads, [max(1.0, (x or 0) / (shards * WHOLE)) for x in total])
+    items = np.stack([np.bincount(unit, loads[:, j]) for j in range(3)], axis=1)
+    shard = place(items, shards)[unit]
     filled, placed = [0] * shards, []
     for (k1, k2, _, _, n), s in zip(sums, shard.tolist()):
         placed.append((k1, k2, s, filled[s]))

@@ -367,6 +367,20 @@ def test_packing_on_odd_rows(spark, odd_docs, no_docs):
     assert len(loads) == 8 and max(loads.values()) < 1.1 * 500
 
 
+def test_equal_texts_below_half_a_shard_stay_together(spark):
+    tables = [spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text") for sf in ("sf0.001", "sf0.01", "sf0.1")]
+    # 6 % of the rows are copies of one text, every other text is there twice
+    text = F.when(F.col("id") % 50 < 3, "copied text of a few words").otherwise(F.concat(F.lit("text number "), (F.col("id") / 2).cast("long").cast("string")))
+    tables += [spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")) for n in (50, 20_000)]
+    for docs in tables:
+        rows = docs.join(vector_packing.pack(docs), "doc_id").withColumn("tl", F.coalesce("text", F.lit("")))
+        groups = rows.groupBy("tl").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count_distinct("shard").alias("shards"))
+        groups = groups.select("n", "b", "t", "shards").collect()
+        total = [sum(g[i] for g in groups) for i in range(3)]
+        below = [g for g in groups if g.n > 1 and all(g[i] <= total[i] / 16 for i in range(3))]
+        assert below and all(g.shards == 1 for g in below)
+
+
 def brute_targets(sizes):
     """Share by weight, stop at twice the size, share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
