@@ -6,16 +6,19 @@ water level: target = min(cap x size, level x weight), and the level is the
 largest quotient (budget left over) / (weight left over) in order of cap / weight.
 
 Selection: every document has the exponential key -ln(u) / quality, u from the
-digest of its id, so small keys are a weighted sample without replacement. A
+digest of its id, so small keys are a weighted sample without replacement. Where
+the id is null or repeated, u is from the id, the digest of the row and a rank
+among equal rows, so these rows are drawn independently too. A
 source first takes its complete epochs; the rest of its target is filled in key
 order. Keys are cut into ``KEY_BUCKETS`` ranges whose word sums are prefix-summed
 per source; only the range in which the target is reached is sorted by key, so no
-source's documents meet in one task. The outcome is one cut (range, key, id) a
-source, which every document is compared with.
+source's documents meet in one task. The outcome is one cut (range, key, id,
+row, rank) a source, which every document is compared with.
 
 Defined results: a null text has no words; a null source is a source, last in
-order; quality weights that are null or not positive count as 1; equal ids have
-equal keys and fare alike; a source without words has target 0.
+order; quality weights that are null or not positive count as 1; rows that repeat
+an id are documents of their own, and equal rows are interchangeable; a source
+without words has target 0.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import WORD, materialize, ref
+from tagloom.llm.common import WORD, materialize, ref, row_digest
 
 CYCLE, BUDGET, CAP, KEY_BUCKETS, SEED = (3, 1, 2), 1.5, 2.0, 1024, "mix"
+#: equal rows are ranked in parts of at most 2 ** PART_BITS rows
+PART_BITS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -54,19 +59,33 @@ def targets(sizes: DataFrame, *, cycle=CYCLE, budget: float = BUDGET, cap: float
     return shares.withColumn("level", (total - before) / still).withColumn("target", F.least(full, level * F.col("share"))).drop("level", "share")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rank``, from 0 among rows of the same ``row``: within a part by a window, over the parts by their counts."""
+    rank = F.row_number().over(W.partitionBy("row", "part").orderBy("part")) - 1
+    sizes = rows.groupBy("row", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("row").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.withColumn("before", before).where("before > 0").select("row", "part", "before")
+    rows = rows.withColumn("rank", rank).join(before, ["row", "part"], "left")
+    return rows.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0))).drop("part", "before")
+
+
 def plan(df: DataFrame, *, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle=CYCLE, budget: float = BUDGET, cap: float = CAP, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """Slim rows (id, size, source, key) written once, and per source its size, target, epochs and cut.
+    """Slim rows (id, row digest and rank, size, source, key) written once, and per source its size, target, epochs and cut.
 
     ``weights`` has ``id_col`` and ``weight``, the quality weight of a document (1 where it has none).
     """
-    rows = df.select(ref(id_col).alias("id"), ref(source_col).isNull().alias("no_source"), F.coalesce(ref(source_col), F.lit("")).alias("source"), word_count(ref(text_col)).alias("size"))
+    rows = df.select(ref(id_col).alias("id"), ref(source_col).isNull().alias("no_source"), F.coalesce(ref(source_col), F.lit("")).alias("source"), word_count(ref(text_col)).alias("size"), row_digest(df, text_col).alias("row"), F.shiftright(F.monotonically_increasing_id(), PART_BITS).alias("part"))
+    rows = materialize(rows, "mix-rows")
+    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("repeated"))
+    rows = _ranked(rows).join(repeated, "id", "left")
     weight = F.lit(1.0)
     if weights is not None:
         best = weights.groupBy(ref(id_col).alias("id")).agg(F.max("weight").alias("weight"))
         rows, weight = rows.join(best, "id", "left"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
-    key = -F.log(uniform(F.col("id"), seed)) / weight
+    own = F.concat_ws(":", F.col("id").cast("string"), "row", "rank")
+    key = -F.log(uniform(F.when(F.col("id").isNull() | F.col("repeated"), own).otherwise(F.col("id").cast("string")), seed)) / weight
     rows = rows.withColumn("key", key).withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("long"))
-    rows = materialize(rows.select("id", "no_source", "source", "size", "key", "bucket"), "mix")
+    rows = materialize(rows.select("id", "row", "rank", "no_source", "source", "size", "key", "bucket"), "mix")
     by = ["no_source", "source"]
     buckets = rows.groupBy(*by, "bucket").agg(F.sum("size").alias("words"))
     goal = targets(buckets.groupBy(*by).agg(F.sum("words").alias("source_size")), cycle=cycle, budget=budget, cap=cap)
@@ -76,16 +95,16 @@ def plan(df: DataFrame, *, weights: DataFrame | None = None, id_col: str = "doc_
     start = F.coalesce(F.sum("words").over(W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     reached = buckets.withColumn("start", start).join(goal.where("rest > 0"), by).where("start < rest and start + words >= rest")
     reached = materialize(reached.select(*by, "bucket", "start", "rest"), "mix-reached")
-    upto = F.col("start") + F.sum("size").over(W.partitionBy(*by, "bucket").orderBy("key", "id").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.col("start") + F.sum("size").over(W.partitionBy(*by, "bucket").orderBy("key", "id", "row", "rank").rowsBetween(W.unboundedPreceding, 0))
     # a document is taken if the middle of its words lies before the target
     inside = rows.join(reached, [*by, "bucket"]).withColumn("upto", upto).where("upto - size / 2 < rest")
-    last = inside.groupBy(*by).agg(F.max(F.struct("key", "id")).alias("cut"))
+    last = inside.groupBy(*by).agg(F.max(F.struct("key", "id", "row", "rank")).alias("cut"))
     cuts = reached.select(*by, F.col("bucket").alias("cut_bucket")).join(last, by, "left")
     return rows, materialize(goal.join(cuts, by, "left"), "mix-cuts")
 
 
 def _copies(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    chosen = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & (F.struct("key", "id") <= F.col("cut")))
+    chosen = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & (F.struct("key", "id", "row", "rank") <= F.col("cut")))
     return rows.join(goals, ["no_source", "source"]).withColumn("copies", F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long"))
 
 
@@ -98,6 +117,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 def apply_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed documents, all columns, each as often as the mix takes it."""
     rows, goals = plan(df, id_col=id_col, text_col=text_col, **options)
-    taken = _copies(rows, goals).where("copies > 0").groupBy("id").agg(F.max("copies").alias("_tl_copies"))
-    out = df.join(taken.withColumnRenamed("id", "_tl_id"), ref(id_col).eqNullSafe(F.col("_tl_id")))
+    # equal rows are one with the copies of all: which of them a copy comes from makes no difference
+    taken = _copies(rows, goals).groupBy("row").agg(F.sum("copies").alias("_tl_copies")).where("_tl_copies > 0").withColumnRenamed("row", "_tl_row")
+    out = df.withColumn("_tl_row", row_digest(df, text_col)).dropDuplicates(["_tl_row"]).join(taken, "_tl_row")
     return out.withColumn("_tl_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tl_copies")))).select(*[ref(c) for c in df.columns])

@@ -434,6 +434,34 @@ def test_mix_on_odd_rows(spark, odd_docs, no_docs):
     assert len(rows_of(token_mix.mix(odd_docs, weights=bad))) == odd_docs.count()
 
 
+def test_rows_without_an_id_of_their_own_meet_the_targets(spark):
+    # 900 rows of source x without an id, 300 of y with one id and 300 equal ones; z has ids and the id of y once more
+    rows = [(None, f"null id {i % 700}", "x") for i in range(900)] + [(7, f"one id {i}", "y") for i in range(300)] + [(7, "all the same", "y")] * 300
+    rows += [(1000 + i, f"own id {i}", "z") for i in range(900)] + [(7, "of z alone", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    goal = brute_targets({s: 3 * n for s, n in Counter(r[2] for r in rows).items()})
+    got = rows_of(token_mix.mix(docs))
+    taken = Counter()
+    for r in got:
+        taken["z" if r["doc_id"] and r["doc_id"] > 7 else "x" if r["doc_id"] is None else "of 7"] += r["taken"]
+    applied = Counter(map(tuple, token_mix.apply_mix(docs).collect()))
+    words = Counter()
+    for (_, _, source), n in applied.items():
+        words[source] += 3 * n
+    assert len(got) == len(rows) and all(abs(words[s] - t) <= 1.5 + 1e-6 for s, t in goal.items())
+    assert taken["x"] == words["x"] and sum(taken.values()) == sum(words.values())
+    held = Counter(rows)
+    epochs = {s: int(t // (3 * sum(r[2] == s for r in rows))) for s, t in goal.items()}
+    assert all(epochs[r[2]] * n <= applied[r] <= (epochs[r[2]] + 1) * n for r, n in held.items())
+    assert applied == Counter(map(tuple, token_mix.apply_mix(docs.repartition(3)).collect()))
+
+
+def test_equal_rows_are_ranked_over_parts(spark):
+    rows = spark.createDataFrame([(r, p) for r, n in (("a", 7), ("b", 1), ("c", 4)) for i in range(n) for p in [i % 3]], "row string, part long")
+    got = Counter((r.row, r["rank"]) for r in token_mix._ranked(rows).collect())
+    assert got == Counter((r, i) for r, n in (("a", 7), ("b", 1), ("c", 4)) for i in range(n))
+
+
 def test_quality_weights_draw_more(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
     weights = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("weight"))
