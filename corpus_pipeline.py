@@ -16,15 +16,15 @@ from tagloom.llm import language_crf, piece_codec, pivot_simhash, secret_automat
 from tagloom.llm.common import materialize, read_table
 from tagloom.llm.queries import quality_weights
 
-#: A text whose best language has a smaller mean marginal is in no language that was learned.
+#: A text that fits the learned languages less is in none of them, nor in a mix of them.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that fit no language."""
+    """Drops texts without a letter and texts that fit no language; how many languages a text mixes does not matter."""
     model = language_crf.learn(docs, ~language_crf.held_out())
-    found = language_crf.predict(docs, model, keep=docs.columns, lang_out="_tl_lang", score_out="_tl_score", words_out="_tl_words")
-    return found.where((F.col("_tl_lang") != language_crf.UNKNOWN) & (F.col("_tl_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = language_crf.predict(docs, model, keep=docs.columns, lang_out="_tl_lang", score_out="_tl_score", words_out="_tl_words", fit_out="_tl_fit")
+    return found.where((F.col("_tl_lang") != language_crf.UNKNOWN) & (F.col("_tl_fit") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

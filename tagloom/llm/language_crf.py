@@ -6,7 +6,9 @@ together by maximum likelihood with forward-backward. Training sequences are
 spliced from segments of several languages, so the transitions see switches
 inside a text. A document's language is the label with the largest mean word
 marginal, its score that mean; runs of the words' best labels are the spans of a
-code-switched text.
+code-switched text. How well a text fits the learned languages, however it mixes
+them, is another mean over its words: the largest marginal times the share of the
+word's features that training saw.
 
 Training is bounded: about ``SAMPLE_DOCS`` labelled documents a language, chosen
 by the hash of the id, one segment of ``SEGMENT_WORDS`` words from each; the
@@ -86,10 +88,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owners)
 
 
-def _emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
+def _emissions(weights: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (words x labels), and the share of each word's features that have weights."""
     ids, owner = features(words)
     found = weights[ids]
-    return np.stack([np.bincount(owner, found[:, j], len(words)) for j in range(weights.shape[1])], axis=1)
+    scores = np.stack([np.bincount(owner, found[:, j], len(words)) for j in range(weights.shape[1])], axis=1)
+    return scores, np.bincount(owner, found.any(axis=1), len(words)) / np.bincount(owner, minlength=len(words))
 
 
 def marginals(potentials: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -228,9 +232,10 @@ class _Predictor:
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.empty((1 << 14, len(self.model.labels)))
+        self.table = np.empty((1 << 14, len(self.model.labels) + 1))  # potentials, and the share of seen features
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marginals and shares of seen features of all words in a row, and the offsets of the texts."""
         words = [words_of(t) for t in texts]
         distinct = set(chain.from_iterable(words))
         if len(self.rows) + len(distinct) > MAX_WORDS_CACHED:
@@ -239,12 +244,13 @@ class _Predictor:
             n = len(self.rows)
             while len(self.table) < n + len(new):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            scores = _emissions(self.model.weights, new)
-            self.table[n : n + len(new)] = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-30
+            scores, seen = _emissions(self.model.weights, new)
+            self.table[n : n + len(new), :-1] = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-30
+            self.table[n : n + len(new), -1] = seen
             self.rows.update(zip(new, range(n, n + len(new))))
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64)
-        return marginals(self.table[rows], bounds, self.matrix), bounds
+        return marginals(self.table[rows, :-1], bounds, self.matrix), self.table[rows, -1], bounds
 
 
 def learn(df: DataFrame, trusted: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, segment_words: int = SEGMENT_WORDS) -> LanguageModel:
@@ -272,9 +278,9 @@ def learn(df: DataFrame, trusted: Column | None = None, *, id_col: str = "doc_id
     return LanguageModel.fit(found)
 
 
-def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep=("doc_id",), lang_out: str = "lang_pred", score_out: str = "score", words_out: str = "n_words", runs_out: str | None = None) -> DataFrame:
-    """``keep`` columns, the language, its score and the number of words; with ``runs_out`` also the runs of equally labelled words."""
-    new = [(lang_out, T.StringType()), (score_out, T.DoubleType()), (words_out, T.LongType())] + ([(runs_out, T.ArrayType(RUN))] if runs_out else [])
+def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep=("doc_id",), lang_out: str = "lang_pred", score_out: str = "score", words_out: str = "n_words", runs_out: str | None = None, fit_out: str | None = None) -> DataFrame:
+    """``keep`` columns, the language, its score and the number of words; with ``runs_out`` also the runs of equally labelled words, with ``fit_out`` how well the text fits the languages."""
+    new = [(lang_out, T.StringType()), (score_out, T.DoubleType()), (words_out, T.LongType())] + ([(runs_out, T.ArrayType(RUN))] if runs_out else []) + ([(fit_out, T.DoubleType())] if fit_out else [])
     keep = kept_columns(df, keep, [n for n, _ in new])
     schema = schema_of(df, keep, new)
     columns = [ref(c) for c in keep] + [ref(text_col).alias("_tl_text")]
@@ -284,27 +290,31 @@ def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text", keep
         predictor, labels = _Predictor(model), model.labels
         for batch, texts in text_slices(batches, "_tl_text"):
             if labels:
-                post, bounds = predictor(texts)
+                post, seen, bounds = predictor(texts)
             else:
-                post, bounds = np.zeros((0, 0)), np.zeros(len(texts) + 1, np.int64)
-            langs, scores, runs = [], [], []
+                post, seen, bounds = np.zeros((0, 0)), np.zeros(0), np.zeros(len(texts) + 1, np.int64)
+            langs, scores, runs, fits = [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if a == b:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     runs.append([])
+                    fits.append(0.0)
                     continue
                 mean = post[a:b].mean(axis=0)
                 best = int(np.argmax(mean))
                 langs.append(labels[best])
                 scores.append(round(min(1.0, float(mean[best])), 6))
+                if fit_out:
+                    fits.append(round(min(1.0, float(post[a:b].max(axis=1) @ seen[a:b]) / (b - a)), 6))
                 if runs_out:
                     best = post[a:b].argmax(axis=1)
                     cuts = np.flatnonzero(np.diff(best)) + 1
                     at = [0, *cuts.tolist(), b - a]
                     runs.append([{"lang": labels[best[x]], "first_word": x, "n_words": y - x} for x, y in zip(at[:-1], at[1:])])
             arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(np.diff(bounds), pa.int64())]
-            yield with_arrays(batch, keep, schema, arrays + ([pa.array(runs, run_type)] if runs_out else []))
+            arrays += ([pa.array(runs, run_type)] if runs_out else []) + ([pa.array(fits, pa.float64())] if fit_out else [])
+            yield with_arrays(batch, keep, schema, arrays)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -41,6 +41,24 @@ def test_language_stage_keeps_documents_with_letters(stages):
     assert len(kept) >= 0.99 * sum(bool(r.lang) and bool(re.search(r"[^\W\d_]", r.text or "")) for r in rows)
 
 
+def test_language_stage_judges_words_not_their_mix(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    samples: dict = {}
+    for r in docs.where("lang is not null and size(split(text, ' ')) > 60").orderBy("doc_id").collect():
+        samples.setdefault(r.lang, r.text.split()[:24])
+    langs = sorted(samples)
+    assert len(langs) >= 4
+    three, four = (" ".join(w for l in langs[:n] for w in samples[l]) for n in (3, 4))
+    turns = " ".join(w for i in range(0, 24, 8) for l in langs for w in samples[l][i : i + 8])
+    foreign = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"
+    probes = {-1: three, -2: four, -3: turns, -4: foreign}
+    more = docs.unionByName(spark.createDataFrame([(i, t) for i, t in probes.items()], "doc_id long, text string"), allowMissingColumns=True)
+    kept = corpus_pipeline.language_stage(spark, more, SF01)
+    assert {i for i in ids(kept) if i < 0} == {-1, -2, -3}
+
+
 def test_one_document_of_each_group_stays(stages):
     rows = stages["language_id"].collect()
     prints = [brute_print(r.text) for r in rows]
