@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import byte_fold, chat_hmm, cosine_cells, language_crf, piece_codec, pivot_simhash, rotated_codes, secret_automata, span_compaction, token_mix, vector_packing
+from tagloom.llm import byte_fold, chat_hmm, chat_repair, cosine_cells, language_crf, piece_codec, pivot_simhash, rotated_codes, secret_automata, span_compaction, token_mix, vector_packing
 from tagloom.llm.common import read_table
 
 
@@ -77,6 +77,12 @@ def op10_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read_table(spark, sf_dir, "conversations")
+    out = chat_repair.report(chats, chat_repair.repair(chat_repair.damage(chats)))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_byte_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_fold.encode(read_table(spark, sf_dir, "documents"))
     n_ids = 1 + max(byte_fold.load_ranks(byte_fold.default_ranks()).values())
@@ -96,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_crf, op2_secret_automata, op3_piece_codec, op4_chat_hmm, op5_span_compaction, op6_vector_packing, op7_cosine_cells, op8_rotated_codes, op9_pivot_simhash, op10_token_mix, op13_byte_fold, pipeline)
+    for f in (op1_language_crf, op2_secret_automata, op3_piece_codec, op4_chat_hmm, op5_span_compaction, op6_vector_packing, op7_cosine_cells, op8_rotated_codes, op9_pivot_simhash, op10_token_mix, op11_chat_repair, op13_byte_fold, pipeline)
 }
 
 ORACLE: dict[str, str] = {}
