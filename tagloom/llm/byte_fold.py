@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -225,7 +226,11 @@ class Splitter:
 
         self.find = regex.compile(pattern).findall
         self.apart = _letters_apart()
-        self.odd = regex.compile("[" + "".join(map(chr, self.apart)) + "]") if self.apart else None
+        points = sorted(self.apart)
+        starts = [p for p, q in zip(points, [None, *points]) if q is None or p != q + 1]
+        ends = [p for p, q in zip(points, [*points[1:], None]) if q is None or q != p + 1]
+        # the standard module holds a class of ranges as a bitmap: one look a character
+        self.odd = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]") if points else None
 
     def words(self, text: str) -> list[str]:
         if self.odd is None or text.isascii() or not self.odd.search(text):
