@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import byte_fold, chat_hmm, chat_repair, cosine_cells, language_crf, piece_codec, pivot_simhash, rotated_codes, secret_automata, span_compaction, token_mix, vector_packing
+from tagloom.llm import byte_fold, chat_hmm, chat_repair, cosine_cells, language_crf, piece_codec, pivot_simhash, prefix_tour, rotated_codes, secret_automata, span_compaction, token_mix, vector_packing
 from tagloom.llm.common import read_table
 
 
@@ -83,6 +83,14 @@ def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+def op12_prefix_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_tour.trie(read_table(spark, sf_dir, "conversations"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return out.select(
+        F.col("owner").alias("conv_id"), "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("parent_conv_id"), *[long(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], "ends_sha256",
+    )
+
+
 def op13_byte_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_fold.encode(read_table(spark, sf_dir, "documents"))
     n_ids = 1 + max(byte_fold.load_ranks(byte_fold.default_ranks()).values())
@@ -102,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_crf, op2_secret_automata, op3_piece_codec, op4_chat_hmm, op5_span_compaction, op6_vector_packing, op7_cosine_cells, op8_rotated_codes, op9_pivot_simhash, op10_token_mix, op11_chat_repair, op13_byte_fold, pipeline)
+    for f in (op1_language_crf, op2_secret_automata, op3_piece_codec, op4_chat_hmm, op5_span_compaction, op6_vector_packing, op7_cosine_cells, op8_rotated_codes, op9_pivot_simhash, op10_token_mix, op11_chat_repair, op12_prefix_tour, op13_byte_fold, pipeline)
 }
 
 ORACLE: dict[str, str] = {}
