@@ -810,12 +810,12 @@ def stream_notification(spark: SparkSession, sf: str) -> DataFrame:
 
 def _keyed(spark: SparkSession, sf: str, tag: str, prog: str, inputs: dict, params: dict, outputs: dict | None = None) -> DataFrame:
     from tagloom.operators.sampling import micros
-    from tagloom.streaming.ingest import keyed_state, run_available
+    from tagloom.streaming.ingest import keyed_state, run_available, with_closing
 
     out, ckpt = _stream_paths(spark, tag)
-    ev = _events_stream(spark, sf).withColumn("us", micros("ts"))
+    ev = with_closing(_events_stream(spark, sf).withColumn("us", micros("ts")), "us", f"{out}-closing")
     res = keyed_state(ev, prog, ["event_type"], "us", inputs, params, passthrough=["event_id"], output_types=outputs, tie_break=["event_id"])
-    return run_available(res, out, ckpt)
+    return run_available(res, out, ckpt, closing=("us", f"{out}-closing"))
 
 
 def stream_slew(spark: SparkSession, sf: str) -> DataFrame:

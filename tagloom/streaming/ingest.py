@@ -7,30 +7,25 @@
   on restart from the checkpoint).
 * T2 ``current_state``: latest value per tag, complete mode (state = tag count).
 * T3 ``notifications``: S17 projection of every snapshot.
-* T4 ``new_tags``: first sighting of each tag (``dropDuplicates``).
-* T5 ``keyed_state``: a registered step program per series with
-  ``applyInPandasWithState``; rows inside a batch are applied in event-time
-  order; rows older than the last processed one come out flagged ``late``.
+* T4 ``new_tags``: first sighting of each tag in event time (a grouped minimum).
+* T5 ``keyed_state`` (:mod:`tagloom.streaming.keyed`): a registered step program per series.
 """
 
 from __future__ import annotations
 
-import json
+import contextlib
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tagloom.functions.registry import Program, program
 from tagloom.operators.ingest import assign_ids, snapshots_to_history
 from tagloom.operators.query import time_id_key
 from tagloom.schema import HISTORY_COLUMNS
 from tagloom.sources.envelope import notification
-from tagloom.streaming import programs as _builtin  # noqa: F401  (registers VALVE, LAG, SAMPLER, PID)
+from tagloom.streaming.keyed import close, keyed_state, rocksdb, with_closing  # noqa: F401  (T5 is part of this module's interface)
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -134,87 +129,20 @@ def new_tags(history: DataFrame) -> DataFrame:
     )
 
 
-# --- T5 ----------------------------------------------------------------------------
-
-_STATE_SCHEMA = "blob string"
-
-
-def _state_fn(prog: Program, params: Mapping[str, object], by: Sequence[str], order_cols: Sequence[str], inputs: Mapping[str, str], passthrough: Sequence[str]):
-    def fn(key, pdfs, state):
-        st = json.loads(state.get[0]) if state.exists else {"s": prog.init(params), "last": None}
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values(list(order_cols), kind="mergesort")
-        times = rows[order_cols[0]].tolist()
-        # a null has its own flag column: pandas would turn it into NaN, which is a value
-        columns = {k: [None if gone else x for x, gone in zip(rows[v].tolist(), rows[f"_null_{k}"].tolist())] for k, v in inputs.items()}
-        late, outs = [], []
-        for i, at in enumerate(times):
-            behind = st["last"] is not None and at < st["last"]
-            late.append(behind)
-            if behind:
-                outs.append({})
-                continue
-            st["last"] = at
-            st["s"], res = prog.step(st["s"], {"us": at} | {k: v[i] for k, v in columns.items()}, params)
-            outs.append(res)
-        state.update((json.dumps(st),))
-        out = rows[list(dict.fromkeys([*by, *passthrough]))].reset_index(drop=True)
-        for c in prog.outputs:
-            out[c] = pd.Series([o.get(c) for o in outs], dtype="object")
-        out["late"] = late
-        yield out
-
-    return fn
-
-
-def keyed_state(
-    df: DataFrame,
-    program_name: str,
-    by: Sequence[str],
-    order_col: str,
-    inputs: Mapping[str, str],
-    params: Mapping[str, object] | None = None,
-    passthrough: Sequence[str] = (),
-    output_types: Mapping[str, str] | None = None,
-    tie_break: Sequence[str] = (),
-) -> DataFrame:
-    """T5: run a registered program per series key on a stream (streaming frames only).
-
-    ``order_col`` must be a BIGINT event-time key (e.g. epoch microseconds).
-    ``inputs`` maps program input names to columns. Output: key, passthrough
-    columns, the program outputs, and ``late``: a row older than one already
-    applied to its key is kept, with ``late`` true and null outputs. Equal times
-    are applied in the order of ``tie_break``. A micro-batch's rows of one key
-    are sorted in one group: bound them with ``maxFilesPerTrigger``, or with a
-    finer key.
-    """
-    prog = program(program_name)
-    p = prog.params(**(params or {}))
-    types = dict(output_types or {})
-    fields = [df.schema[c] for c in (*by, *passthrough)]
-    for name in prog.outputs:
-        fields.append(T.StructField(name, T._parse_datatype_string(types.get(name, "double"))))
-    fields.append(T.StructField("late", T.BooleanType()))
-    schema = T.StructType(fields)
-    cols = list(dict.fromkeys([*by, order_col, *tie_break, *inputs.values(), *passthrough]))
-    flags = [F.col(v).isNull().alias(f"_null_{k}") for k, v in inputs.items()]
-    return df.select(*cols, *flags).groupBy(*by).applyInPandasWithState(
-        _state_fn(prog, p, by, [order_col, *tie_break], inputs, passthrough), schema, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def run_available(df: DataFrame, path: str, checkpoint_location: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, path: str, checkpoint_location: str, mode: str = "append", closing: tuple[str, str] | None = None) -> DataFrame:
     """Drive a streaming frame to completion (availableNow) into parquet at ``path``; return it as a table.
 
     Append mode uses the file sink (exactly-once via its commit log); complete /
     update modes overwrite ``path`` with each epoch's result in ``foreachBatch``.
+    ``closing`` = (time column, folder) of :func:`with_closing`: the query runs a
+    second time after the closing row, which releases the rows that still wait.
     """
-    w = df.writeStream.option("checkpointLocation", checkpoint_location).trigger(availableNow=True)
-    if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", path).start()
-    else:
-        q = w.outputMode(mode).foreachBatch(lambda b, _e: b.write.mode("overwrite").parquet(path)).start()
-    q.awaitTermination()
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    w = df.writeStream.option("checkpointLocation", checkpoint_location).trigger(availableNow=True).outputMode(mode)
+    w = w.format("parquet").option("path", path) if mode == "append" else w.foreachBatch(lambda b, _e: b.write.mode("overwrite").parquet(path))
+    with rocksdb(spark) if closing else contextlib.nullcontext():
+        w.start().awaitTermination()
+        if closing:
+            close(spark, *closing)
+            w.start().awaitTermination()
+    return spark.read.parquet(path)
