@@ -1,5 +1,8 @@
 """Byte-level BPE encoding and decoding: ranked merges folded by Spark over the distinct words.
 
+0. Words that many documents of a sample (``SAMPLE_DOCS``) share are encoded first; they need
+   not travel. At most ``COMMON_WORDS`` of at most ``COMMON_BYTES`` bytes go to all
+   tasks, and no result depends on which.
 1. A pass over the texts cuts them into words (matches of the split pattern) and
    writes one row a document, with its words as numbers into the table of its
    *slice*, and one row a slice with that table. A slice is what one task met
@@ -34,11 +37,14 @@ import base64
 import json
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +55,8 @@ from tagloom.session import ensure_checkpoint_dir
 
 #: bounds of a slice's table of distinct words, and of the words of its documents
 SLICE_WORDS, SLICE_CHARS, SLICE_TOTAL = 400_000, 8_000_000, 16_000_000
+#: common words: how many at most and of how many bytes, and the sample they are found in
+COMMON_WORDS, COMMON_BYTES, COMMON_DOCS, SAMPLE_DOCS = 1 << 17, 64, 3, 1 << 14
 #: slots of the literal rank map (a power of two)
 SLOTS = 1 << 17
 #: from so many equal pairs on, a step merges all of them
@@ -134,27 +142,29 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_STATE = "struct<p:array<string>,r:array<int>,least:int>"
+def _state(pieces: Column, ranks: Column) -> Column:
+    return _bind(ranks, lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(_NONE)).alias("least")))
 
 
-def _state(pieces: Column, ranks: Column) -> Column:
-    return _bind(ranks, lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(_NONE)).alias("least")).cast(_STATE))
+def _present(array: Column) -> Column:
+    return F.filter(array, lambda x: x.isNotNull())
 
 
 def _merge_one(table: Column, s: Column) -> Column:
-    """Merge the first pair of least rank."""
+    """Merge the first pair of least rank. (Index lambdas: slices and their concatenation cost several times as much.)"""
     p, r = s["p"], s["r"]
 
-    def at(i: Column) -> Column:  # the place of the pair, from 1
-        def with_piece(x: Column) -> Column:
-            before = F.when(i > 1, F.array(_value(table, F.concat(F.get(p, i - 2), x)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(i < F.size(r), F.array(_value(table, F.concat(x, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
-            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r)))
-            return _state(F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p))), ranks)
+    def at(i: Column) -> Column:
+        def with_piece(merged: Column) -> Column:
+            pieces = F.transform(p, lambda x, j: F.when(j == i, merged).when(j == i + 1, F.lit(None)).otherwise(x))
+            before = lambda j: _value(table, F.concat(F.get(p, j), merged))
+            after = lambda j: _value(table, F.concat(merged, F.get(p, j + 1)))
+            ranks = F.transform(r, lambda x, j: F.when(j == i, F.lit(None)).when(j == i - 1, before(j)).when(j == i + 1, after(j)).otherwise(x))
+            return _state(_present(pieces), _present(ranks))
 
-        return _bind(F.concat(F.get(p, i - 1), F.get(p, i)), with_piece)
+        return _bind(F.concat(F.get(p, i), F.get(p, i + 1)), with_piece)
 
-    return _bind(F.array_position(r, s["least"]).cast("int"), at)
+    return _bind(F.array_position(r, s["least"]).cast("int") - 1, at)
 
 
 def _merge_all(table: Column, s: Column) -> Column:
@@ -172,8 +182,7 @@ def _merge_all(table: Column, s: Column) -> Column:
             fresh = F.when(F.get(pieces, after).isNotNull(), _value(table, F.concat(piece(i), piece(after))))
             return F.when(gone(i), F.lit(None)).when(here(i) | here(i + 1), fresh).otherwise(r)
 
-        merged = F.filter(F.transform(pieces, lambda _, i: F.when(~gone(i), piece(i))), lambda x: x.isNotNull())
-        return _state(merged, F.filter(F.transform(s["r"], rank), lambda x: x.isNotNull()))
+        return _state(_present(F.transform(pieces, lambda _, i: F.when(~gone(i), piece(i)))), _present(F.transform(s["r"], rank)))
 
     return _bind(F.split(F.replace(marked, F.lit("11"), F.lit("10")), ""), with_marks)
 
@@ -229,18 +238,18 @@ class Splitter:
         points = sorted(self.apart)
         starts = [p for p, q in zip(points, [None, *points]) if q is None or p != q + 1]
         ends = [p for p, q in zip(points, [*points[1:], None]) if q is None or q != p + 1]
-        # the standard module holds a class of ranges as a bitmap: one look a character
-        self.odd = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]") if points else None
+        # the standard module holds a class of ranges as a bitmap and runs over it in one loop
+        self.even = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]*").fullmatch if points else None
 
     def words(self, text: str) -> list[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
+        if self.even is None or text.isascii() or self.even(text):
             return self.find(text)
         ends = np.cumsum([0] + [len(w) for w in self.find(text.translate(self.apart))]).tolist()
         return [text[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 class _Numbers(dict):
-    """Numbers words by their first appearance, and counts their characters."""
+    """Numbers words that are new by their first appearance, and counts their characters."""
 
     chars = 0
 
@@ -259,8 +268,31 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _slices(df: DataFrame, text_col: str, keep: list[str], pattern: str) -> tuple[DataFrame, T.StructType]:
-    """One row a document (``_tl_refs``) and one a slice (``_tl_words``), as a table bucketed by ``_tl_slice``."""
+def common_words(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int]) -> dict[str, list[int]]:
+    """Ids of words that many documents of a sample of about ``SAMPLE_DOCS`` share, most frequent first: at most ``COMMON_WORDS``.
+
+    They only save moving: a word that is not among them goes the general way.
+    """
+    sample = df.select(ref(text_col).alias("text")).sample(min(1.0, SAMPLE_DOCS / max(1, df.count())), seed=7)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Splitter(pattern)
+        for _, texts in text_slices(batches, "text"):
+            seen = Counter(w for t in texts if t for w in set(split.words(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "docs"])
+
+    counts = sample.mapInArrow(run, "word binary, docs long").where(F.octet_length("word") <= COMMON_BYTES).groupBy("word").agg(F.sum("docs").alias("docs"))
+    top = counts.where(F.col("docs") >= COMMON_DOCS).orderBy(F.desc("docs"), "word").limit(COMMON_WORDS)
+    rows = top.select("word", "docs", fold_word(F.col("word"), ranks).alias("ids")).collect()
+    rows.sort(key=lambda r: (-r["docs"], bytes(r["word"])))
+    return {bytes(r["word"]).decode(): list(r["ids"]) for r in rows}
+
+
+def _slices(df: DataFrame, text_col: str, keep: list[str], pattern: str, common: list[str]) -> tuple[DataFrame, T.StructType]:
+    """One row a document (``_tl_refs``) and one a slice (``_tl_words``), as a table bucketed by ``_tl_slice``.
+
+    Numbers below ``len(common)`` are those of the common words, the others count the slice's own.
+    """
     spark = df.sparkSession
     schema = T.StructType([T.StructField("_tl_slice", T.LongType())] + [T.StructField(f.name, f.dataType) for f in schema_of(df, keep, [])] + [T.StructField("_tl_refs", T.BinaryType()), T.StructField("_tl_words", T.ArrayType(T.BinaryType()))])
     names = [f.name for f in schema.fields]
@@ -269,10 +301,11 @@ def _slices(df: DataFrame, text_col: str, keep: list[str], pattern: str) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern)
         first = TaskContext.get().partitionId() << 33
-        table, total, kinds = _Numbers(), 0, None
+        known = {w: i for i, w in enumerate(common)}
+        table, total, kinds = _Numbers(known), 0, None
 
         def table_row() -> pa.RecordBatch:
-            words = pa.array([[w.encode() for w in table]], nested)
+            words = pa.array([[w.encode() for w in islice(table, len(known), None)]], nested)
             return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *[pa.nulls(1, t) for t in kinds], pa.nulls(1, pa.binary()), words], names)
 
         for batch, texts in text_slices(batches, "_tl_text"):
@@ -284,10 +317,10 @@ def _slices(df: DataFrame, text_col: str, keep: list[str], pattern: str) -> tupl
                 total += len(found)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), first)), *columns, pa.array(refs, pa.binary()), pa.nulls(len(texts), nested)], names)
-            if len(table) > SLICE_WORDS or table.chars > SLICE_CHARS or total > SLICE_TOTAL:
+            if len(table) - len(known) > SLICE_WORDS or table.chars > SLICE_CHARS or total > SLICE_TOTAL:
                 yield table_row()
-                table, total, first = _Numbers(), 0, first + 1
-        if table:
+                table, total, first = _Numbers(known), 0, first + 1
+        if len(table) > len(known):
             yield table_row()
 
     rows = df.select(*[ref(c) for c in keep], ref(text_col).alias("_tl_text")).mapInArrow(run, schema)
@@ -306,24 +339,27 @@ def encode(df: DataFrame, *, ranks_path: str | None = None, pattern: str | None
     """``keep`` columns and ``ids_col`` (array of int). Writes the cut texts while the plan is built."""
     ranks = load_ranks(ranks_path or default_ranks())
     keep = kept_columns(df, keep, [ids_col])
-    table, schema = _slices(df, text_col, keep, pattern or default_pattern())
+    common = common_words(df, text_col, pattern or default_pattern(), ranks)
+    table, schema = _slices(df, text_col, keep, pattern or default_pattern(), list(common))
     words = table.where("_tl_words IS NOT NULL").select("_tl_slice", F.posexplode("_tl_words").alias("_tl_number", "_tl_word"))
     same = Window.partitionBy("_tl_word").orderBy("_tl_slice", "_tl_number")
     words = words.withColumn("_tl_nth", F.row_number().over(same))
-    words = words.withColumn("_tl_own", F.when(F.col("_tl_nth") == 1, fold_word(F.col("_tl_word"), ranks)))
+    width = 2 if max(ranks.values()) < 1 << 16 else 4  # bytes of an id on its way
+    packed = F.unhex(F.array_join(F.transform(fold_word(F.col("_tl_word"), ranks), lambda i: F.lpad(F.hex(i), 2 * width, "0")), ""))
+    words = words.withColumn("_tl_own", F.when(F.col("_tl_nth") == 1, packed))
     words = words.select("_tl_slice", "_tl_number", F.first("_tl_own").over(same).alias("_tl_ids"))
+    common_sizes = np.array([len(ids) for ids in common.values()], np.int64)
+    common_ids = np.array([i for ids in common.values() for i in ids], np.int32)
     docs = table.where("_tl_refs IS NOT NULL").drop("_tl_words")
     out = T.StructType([*[f for f in schema.fields if f.name in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in out.fields]
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        lists = right["_tl_ids"].combine_chunks()
-        numbers, flat = right["_tl_number"].to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = np.zeros(len(numbers), np.int64)
-        starts = np.zeros(len(numbers), np.int64)
-        offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
-        sizes[numbers], starts[numbers] = np.diff(offsets), offsets[:-1]
+        right = right.sort_by("_tl_number")
+        own = b"".join(right["_tl_ids"].to_pylist())
+        sizes = np.concatenate([common_sizes, pc.binary_length(right["_tl_ids"]).to_numpy().astype(np.int64) // width])
+        flat = np.concatenate([common_ids, np.frombuffer(own, f">u{width}").astype(np.int32)])
+        starts = np.cumsum(sizes) - sizes
         batches = []
         for batch in left.select([*keep, "_tl_refs"]).to_batches(max_chunksize=1000):
             found, counts = [], []

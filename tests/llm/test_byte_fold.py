@@ -58,6 +58,8 @@ def test_small_vocabulary_with_lower_ranks_of_longer_pieces(spark):
 def test_words_of_many_small_slices(spark, library, monkeypatch):
     texts = [f"word{i % 7} and {'x' * (i % 5)} again" for i in range(60)]
     monkeypatch.setattr(byte_fold, "SLICE_WORDS", 3)
+    monkeypatch.setattr(byte_fold, "COMMON_DOCS", 20)
+    monkeypatch.setattr(byte_fold, "SLICE_TOTAL", 50)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = encoded(df)
     assert all(got[i, t] == library.encode_ordinary(t) for i, t in enumerate(texts))
