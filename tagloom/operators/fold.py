@@ -6,23 +6,27 @@ the state it is continuous and piecewise linear with slopes 0 and 1, and so is
 every composition of steps: what a chunk does to its entry state is an *exit
 map*, kept as its knots.
 
-Plan:
-
-1. rows get their held, clamped target and chunk, and are checkpointed;
-2. each chunk builds its exit map (two knots where the paths from both ends
-   meet, which is the usual case);
-3. maps of ``FAN`` consecutive chunks compose to the map of a block, blocks to
-   larger blocks, until one block covers a series;
-4. entries go back down: the entry of a block, walked through its children's
+Plan (chunks are literal ranges of the order, so no row is written or moved but
+for the groups themselves):
+
+1. one aggregate carries the last target over chunk borders;
+2. each chunk walks the paths from both ends of the range. Maps are monotone, so
+   these bound its exits, and with that the entries of the next chunk. Where the
+   paths meet, the usual case, the map is a constant;
+3. the other chunks build their exit map, on the entries that can reach them only;
+4. maps of up to ``FAN`` consecutive chunks compose to the map of a block, blocks to
+   larger blocks, until one block covers a series; fewer, but two at least, where
+   maps are large, so that a group holds about ``KNOTS`` knots;
+5. entries go back down: the entry of a block, walked through its children's
    maps, gives theirs;
-5. each chunk steps through its rows once from its entry.
-
-Steps 3 and 4 take ``log(chunks)`` rounds to base ``FAN`` over the chunk table,
-whatever the targets do; no group holds more rows than a chunk, or more maps
-than ``FAN``. Sloped pieces of a map differ in displacement by a multiple of
-``d``, and a step adds two knots at most, so a map has no more than about
-``min(4 * (hi - lo) / d, 2 * rows)`` knots: a bound of the valve, not of the table.
-Entries may differ from step-by-step addition in the last bits.
+6. each chunk steps through its rows once from its entry.
+
+Steps 4 and 5 take a logarithmic number of rounds over the chunk table, whatever
+the targets do; no group holds more rows than a chunk. Sloped pieces of a map
+differ in displacement by a multiple of ``d``, and a step adds two knots at most,
+so a map has no more than about ``min(4 * width / d, 2 * rows)`` knots on the
+``width`` of its entries. Entries may differ from step-by-step addition in the
+last bits.
 """
 
 from __future__ import annotations
@@ -34,15 +38,15 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.series import SeriesSpec, clamp, hold_last, lay_out
-from tagloom.session import ensure_checkpoint_dir
+from tagloom.operators.series import SeriesSpec, clamp, lay_out
+from tagloom.session import materialize
 
-#: exit maps composed in one group
-FAN = 64
+#: exit maps composed in one group, and knots that they may have together
+FAN, KNOTS = 64, 1_000_000
 
 #: rows whose map is built step by step before maps are composed
 _STRETCH = 1024
@@ -94,16 +98,22 @@ def _stretch_map(targets: Sequence[float], low: float, high: float, lo: float, h
     return x, y
 
 
-def exit_map(targets: Sequence[float], lo: float, hi: float, dist: float, initial: float) -> ExitMap:
-    """Exit map of a chunk on entries from ``lo`` to ``hi``, and ``initial`` should it lie outside."""
-    low, high = min(lo, initial), max(hi, initial)
+def ends_of(targets: Sequence[float], lo: float, hi: float, dist: float, low: float, high: float) -> tuple[float, float]:
+    """Exits of a chunk from the entries ``low`` and ``high``."""
     below, above = low, high
-    for t in targets:
-        below = limited_step(below, t, lo, hi, dist)
-        if above is not None:
-            above = limited_step(above, t, lo, hi, dist)
-            above = None if above == below else above  # every entry takes one path from here
-    if above is None:
+    for i, t in enumerate(targets):
+        below, above = limited_step(below, t, lo, hi, dist), limited_step(above, t, lo, hi, dist)
+        if above == below:  # every entry takes one path from here
+            for u in targets[i + 1 :]:
+                below = limited_step(below, u, lo, hi, dist)
+            return below, below
+    return below, above
+
+
+def exit_map(targets: Sequence[float], lo: float, hi: float, dist: float, low: float, high: float) -> ExitMap:
+    """Exit map of a chunk on entries from ``low`` to ``high``."""
+    below, above = ends_of(targets, lo, hi, dist, low, high)
+    if below == above or low == high:
         return np.array([low, high]), np.array([below, below])
     maps = [_stretch_map(targets[i : i + _STRETCH], low, high, lo, hi, dist) for i in range(0, len(targets), _STRETCH)]
     while len(maps) > 1:
@@ -111,6 +121,11 @@ def exit_map(targets: Sequence[float], lo: float, hi: float, dist: float, initia
     return maps[0]
 
 
+def fan_for(most: int) -> int:
+    """Maps a group, if the largest has ``most`` knots."""
+    return max(2, min(FAN, KNOTS // max(1, most)))
+
+
 def _head(table: pa.Table, columns: Sequence[str], n: int = 1) -> dict[str, pa.Array]:
     """The columns' first value, ``n`` times."""
     return {c: pa.array([table[c][0].as_py()] * n, table.schema.field(c).type) for c in columns}
@@ -127,18 +142,20 @@ def _stored_map(table: pa.Table, row: int) -> ExitMap:
 def _entries(maps: DataFrame, by: Sequence[str], chunks: int) -> DataFrame:
     """``_at`` and ``_entry`` of every chunk of the series ``by``, by composing maps upwards and walking entries down.
 
-    Checkpoints a small table a level; the number of levels is the logarithm of ``chunks``.
+    Writes a small table a level; the number of levels is logarithmic in ``chunks``.
     """
-    fan = FAN  # workers get the value of the session
     key_schema = [maps.schema[c] for c in by]
     map_schema = T.StructType([*key_schema, *(maps.schema[c] for c in ("_at", "_init", "_x", "_y"))])
     entry_schema = T.StructType([*key_schema, maps.schema["_at"], T.StructField("_entry", T.DoubleType())])
 
-    def block(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_at")
-        head = _head(table, [*by, "_init"]) | {"_at": pa.array([table["_at"][0].as_py() // fan], pa.int64())}
-        found = reduce(compose, (_stored_map(table, i) for i in range(len(table))))
-        return _map_row(head, found).select(map_schema.names)
+    def block_of(fan: int):
+        def block(table: pa.Table) -> pa.Table:
+            table = table.sort_by("_at")
+            head = _head(table, [*by, "_init"]) | {"_at": pa.array([table["_at"][0].as_py() // fan], pa.int64())}
+            found = reduce(compose, (_stored_map(table, i) for i in range(len(table))))
+            return _map_row(head, found).select(map_schema.names)
+
+        return block
 
     def children(table: pa.Table) -> pa.Table:
         table = table.sort_by("_at")
@@ -149,53 +166,89 @@ def _entries(maps: DataFrame, by: Sequence[str], chunks: int) -> DataFrame:
         columns = [table[c] for c in (*by, "_at")] + [pa.array(entries, pa.float64())]
         return pa.table(columns, names=entry_schema.names)
 
-    levels, span = [maps], fan
-    while span < chunks:
-        levels.append(levels[-1].groupBy(*by, F.floor(F.col("_at") / fan).alias("_block")).applyInArrow(lambda _, t: block(t), map_schema).checkpoint())
-        span *= fan
+    levels, left = [], chunks
+    while True:
+        fan = fan_for(maps.agg(F.max(F.size("_x"))).first()[0] or 1)
+        levels.append((maps, fan))
+        left = -(-left // fan)
+        if left <= 1:
+            break
+        maps = materialize(maps.groupBy(*by, F.floor(F.col("_at") / fan).alias("_block")).applyInArrow(block_of(fan), map_schema), "fold-block")
     entries = None
-    for level in reversed(levels):
+    for level, fan in reversed(levels):
         blocks = level.withColumn("_block", F.floor(F.col("_at") / fan))
         if entries is None:  # one block a series, entered at its initial value
             blocks = blocks.withColumn("_entry", F.col("_init"))
         else:
             blocks = blocks.join(entries.withColumnRenamed("_at", "_block"), [*by, "_block"])
-        entries = blocks.select(*by, "_block", "_at", "_x", "_y", "_entry").groupBy(*by, "_block").applyInArrow(lambda _, t: children(t), entry_schema).checkpoint()
+        entries = materialize(blocks.select(*by, "_block", "_at", "_x", "_y", "_entry").groupBy(*by, "_block").applyInArrow(lambda _, t: children(t), entry_schema), "fold-entries")
     return entries
 
 
 def chunked_fold(df: DataFrame, spec: SeriesSpec, target: Column, lo: float, hi: float, dist: float, initial: Column, out: str) -> DataFrame:
-    """Per-series recurrence of the limited step over ``target`` (already held and clamped, never null).
+    """Per-series recurrence of the limited step over ``target``; a null holds the last one, at first ``initial``.
 
-    Runs its jobs up to the chunks' entries while the plan is built. Columns
-    that the step does not need travel through Arrow unchanged.
+    Runs its jobs up to the chunks' entries while the plan is built, on the keys,
+    the order and the target only. Columns that the step does not need travel
+    through Arrow unchanged.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     by, order = list(spec.by), list(spec.order)
     keep = [c for c in df.columns if c != "_chunk"]
     ascending = [(c, "ascending") for c in order]
-    prep = lay_out(df, spec).withColumn("_T", target.cast("double")).withColumn("_init", initial.cast("double"))
-    prep = prep.checkpoint()  # in the shared folder: nothing stays on executors when the result is gone
-    first, last = prep.agg(F.min("_chunk"), F.max("_chunk")).first()
-    first, last = first or 0, last or 0
-    prep = prep.withColumn("_at", F.col("_chunk") - F.lit(first))
+    laid = lay_out(df, spec).withColumnRenamed("_chunk", "_at").withColumns({"_T": target.cast("double"), "_init": initial.cast("double")})
+    # the chunk table: what each chunk holds at its start
+    chunks = laid.groupBy(*by, "_at").agg(F.max_by("_T", F.when(F.col("_T").isNotNull(), spec.order_key())).alias("_last"), F.min("_init").alias("_init"))
+    before = Window.partitionBy(*by).orderBy("_at")
+    carry = F.last("_last", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    chunks = materialize(chunks.select(*by, "_at", "_init", F.coalesce(carry, F.col("_init")).alias("_held")), "fold-chunks")
     knots = T.ArrayType(T.DoubleType())
-    map_schema = T.StructType([*(prep.schema[c] for c in (*by, "_at", "_init")), T.StructField("_x", knots), T.StructField("_y", knots)])
-    out_schema = T.StructType([*(prep.schema[c] for c in keep if c != out), T.StructField(out, T.DoubleType())])
+    key_schema = [laid.schema[c] for c in (*by, "_at", "_init")]
+    end_schema = T.StructType([*key_schema, T.StructField("_low", T.DoubleType()), T.StructField("_high", T.DoubleType())])
+    map_schema = T.StructType([*key_schema, T.StructField("_x", knots), T.StructField("_y", knots)])
+    out_schema = T.StructType([*(laid.schema[c] for c in keep if c != out), T.StructField(out, T.DoubleType())])
 
-    def to_map(table: pa.Table) -> pa.Table:
+    def held(table: pa.Table) -> tuple[pa.Table, list[float]]:
+        """The rows in order, and their targets with nulls held."""
         table = table.sort_by(ascending)
-        return _map_row(_head(table, [*by, "_at", "_init"]), exit_map(table["_T"].to_pylist(), lo, hi, dist, table["_init"][0].as_py()))
+        last, targets = table["_held"][0].as_py(), []
+        for t in table["_T"].to_pylist():
+            last = last if t is None else t
+            targets.append(last)
+        return table, targets
+
+    def to_ends(table: pa.Table) -> pa.Table:
+        table, targets = held(table)
+        init = table["_init"][0].as_py()
+        low, high = ends_of(targets, lo, hi, dist, min(lo, init), max(hi, init))
+        return pa.table(_head(table, [*by, "_at", "_init"]) | {"_low": pa.array([low]), "_high": pa.array([high])})
+
+    def to_map(table: pa.Table) -> pa.Table:
+        table, targets = held(table)
+        return _map_row(_head(table, [*by, "_at", "_init"]), exit_map(targets, lo, hi, dist, table["_elow"][0].as_py(), table["_ehigh"][0].as_py()))
 
     def to_rows(table: pa.Table) -> pa.Table:
-        table = table.sort_by(ascending)
-        path = list(accumulate(table["_T"].to_pylist(), lambda at, t: limited_step(at, t, lo, hi, dist), initial=table["_entry"][0].as_py()))
+        table, targets = held(table)
+        path = list(accumulate(targets, lambda at, t: limited_step(at, t, lo, hi, dist), initial=table["_entry"][0].as_py()))
         return table.select(out_schema.names[:-1]).append_column(out, pa.array(path[1:], pa.float64()))
 
-    columns = list(dict.fromkeys([*by, "_at", *order, "_T", "_init"]))
-    maps = prep.select(*columns).groupBy(*by, "_at").applyInArrow(lambda _, t: to_map(t), map_schema).checkpoint()
-    entries = _entries(maps, by, last - first + 1)
-    return prep.join(entries, [*by, "_at"]).groupBy(*by, "_at").applyInArrow(lambda _, t: to_rows(t), out_schema)
+    key = [*by, "_at"]
+    narrow = laid.select(*list(dict.fromkeys([*key, *order, "_T"]))).join(chunks, key)
+    ends = materialize(narrow.groupBy(*key).applyInArrow(lambda _, t: to_ends(t), end_schema), "fold-ends")
+    # a chunk is entered between the exits of the one before, the first one at the initial value
+    entered = {f"_e{c}": F.coalesce(F.lag(f"_{c}").over(before), F.col("_init")) for c in ("low", "high")}
+    ends = ends.withColumns(entered)
+    met = F.col("_low") == F.col("_high")
+    known = ends.where(met).select(*key, "_init", F.array("_elow", "_ehigh").alias("_x"), F.array("_low", "_low").alias("_y"))
+    wanted = ends.where(~met).select(*key, "_elow", "_ehigh")
+    built = narrow.join(wanted, key).groupBy(*key).applyInArrow(lambda _, t: to_map(t), map_schema)
+    maps = materialize(known.unionByName(built), "fold-maps")
+    # places without gaps a series, so that blocks are full
+    places = maps.select(*key, (F.row_number().over(before) - 1).cast("long").alias("_place"))
+    maps = maps.join(places, key).drop("_at").withColumnRenamed("_place", "_at").select(*map_schema.names)
+    most = places.agg(F.max("_place")).first()[0]
+    entries = _entries(maps, by, (most or 0) + 1).withColumnRenamed("_at", "_place").join(places, [*by, "_place"]).drop("_place")
+    info = entries.join(chunks.drop("_init"), key)
+    return laid.join(info, key).groupBy(*key).applyInArrow(lambda _, t: to_rows(t), out_schema)
 
 
 def slew_limit(
@@ -215,10 +268,8 @@ def slew_limit(
     travel time or range means instantaneous moves.
     """
     dist = travel_per_cycle(min_opening, max_opening, full_travel_time, cycle_time)
-    d = lay_out(df, spec).withColumn("_tc", clamp(F.col(target_col).cast("double"), min_opening, max_opening))
-    d = hold_last(d, spec, "_tc", initial=initial_opening, out="_held")
-    res = chunked_fold(d, spec, F.col("_held"), min_opening, max_opening, dist, F.lit(float(initial_opening)), out)
-    return res.drop("_tc", "_held")
+    target = clamp(F.col(target_col).cast("double"), min_opening, max_opening)
+    return chunked_fold(df, spec, target, min_opening, max_opening, dist, F.lit(float(initial_opening)), out)
 
 
 def uniform(seed: int, *cols: Column) -> Column:

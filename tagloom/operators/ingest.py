@@ -1,21 +1,20 @@
 """Wide snapshot -> long history ingest (tag split, classification, ids).
 
 Everything here is a narrow projection (``unpivot`` is an Expand node, no
-shuffle) except :func:`assign_ids`, which range-partitions once by the order
-key so that ids stay exact and balanced however skewed the tags are.
+shuffle) except :func:`assign_ids`, which numbers the rows within ranges of the
+order, so that ids stay exact and balanced however skewed the tags are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.series import CHUNK_ROWS
+from tagloom.operators.splits import split_points
 from tagloom.schema import ALGORITHM_MARKERS, HISTORY_COLUMNS, METADATA_KEYS, MODEL_MARKERS, UNKNOWN_INSTANCE
-from tagloom.session import materialize
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
@@ -182,40 +181,31 @@ def max_id(history: DataFrame | None) -> Column | int:
     return history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
 
 
-def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, num_partitions: int | None = None, id_col: str = "id") -> DataFrame:
-    """Dense sequential ids ``start, start+1, ...`` in ``order``.
+def assign_ids(df: DataFrame, order: Sequence[str], start: int = 1, num_partitions: int | None = None, id_col: str = "id") -> DataFrame:
+    """Dense sequential ids ``start, start+1, ...`` in ``order`` (ascending, nulls first).
 
-    Plan: one range exchange on the order key (sampled bounds keep partitions
-    balanced even when one tag or one instant dominates), a sort inside each
-    partition, then ``monotonically_increasing_id`` gives (partition, position).
-    A tiny per-partition count table (one row per partition, a proven bound)
-    turns positions into global ids through a broadcast join. No single-task
-    window over raw rows. The order key must be unique so positions inside a
-    partition are well defined. The sorted frame is written to the shared folder
-    in parts of about ``CHUNK_ROWS`` rows while the plan is built, so the ids
-    survive lost executors and no block stays on them.
+    Literal split points cut the order into ranges of about ``CHUNK_ROWS`` rows,
+    balanced even when one tag or one instant dominates. One aggregate counts the
+    ranges; the counts become the ranges' first ids, a literal array; a row's id is
+    that plus its place in its range. Only the counts leave the executors and
+    nothing is written: the bounds are constants, so the counting and the numbering
+    pass see the same ranges. The order must be unique but for equal rows, and
+    ``df`` must give the same rows whenever it is computed.
     """
-    spark = df.sparkSession
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CHUNK_ROWS))
-    # Range bounds are sampled per physical plan (a new seed per job). The
-    # written frame gives both jobs below one set of bounds.
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = materialize(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ids")
-    tagged = tagged.withColumn("_part", F.shiftright(F.col("_mid"), 33)).withColumn(
-        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    )
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()
-    offsets, running = [], start
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        offsets.append((int(row["_part"]), running))
-        running += int(row["_n"])
-    off_df = spark.createDataFrame(offsets or [(0, start)], "_part long, _off long")
-    out = tagged.join(F.broadcast(off_df), "_part").withColumn(id_col, F.col("_off") + F.col("_pos"))
-    return out.drop("_mid", "_part", "_pos", "_off")
-
-
-def to_history(df: DataFrame, order: Sequence[str | Column] = ("timestamp", "param_name"), start: int = 1) -> DataFrame:
+    points = split_points(df, list(order), num_partitions)
+    ranged = df.withColumn("_range", points.index())
+    counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    firsts, running = [], start - 1
+    for i in range(points.parts):
+        firsts.append(running)
+        running += counts.get(i, 0)
+    # text, as an array literal of its own for every bound would be slow to build
+    before = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<long>")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(f"`{c}`") for c in order]))
+    return ranged.withColumn(id_col, (place + F.get(before, F.col("_range").cast("int"))).cast("long")).drop("_range")
+
+
+def to_history(df: DataFrame, order: Sequence[str] = ("timestamp", "param_name"), start: int = 1) -> DataFrame:
     """Long rows (from :func:`snapshots_to_history`) -> full 8-column history with ids."""
     with_ids = assign_ids(df, order, start=start)
     return with_ids.select(*HISTORY_COLUMNS)

@@ -7,26 +7,23 @@ interval``. The anchor drifts, so it is not a tumbling window.
 Distributed plan
 ----------------
 Let ``s(t)`` be the first timestamp ``>= t + I``; the kept set is the chain
-``t0, s(t0), s(s(t0)), ...``.
-
-1. Distinct timestamps (partial aggregation first) are range-partitioned into
-   parts of about ``CHUNK_ROWS`` (or as many as shuffle partitions, if that is
-   more), sorted and checkpointed, so both passes below see identical partitions
-   (range bounds are re-sampled per plan otherwise) and no block stays on executors.
-2. Pass A, per partition (``mapInPandas``, numpy): ``s`` by ``searchsorted``
-   and, by pointer doubling inside the partition, where each chain leaves the
-   partition. The chain can only *enter* a partition at one of its first
-   elements (those below ``min + I``, plus one), so each partition emits just
-   these entry candidates with their exit threshold.
-3. Candidates are composed across partitions by pointer doubling with Spark
-   joins: log2(partitions) rounds, known beforehand because the chain enters
-   each partition once at most. Only the entries (one a partition) are
-   broadcast, and collected at the end.
-4. Pass B, per partition: starting at its entry element, walk the chain and
-   emit kept timestamps, written with a reliable checkpoint. Rows at kept
+``t0, s(t0), s(s(t0)), ...``. What a part of the time axis does to the chain is a
+step function: the *threshold* with which the chain comes in (last kept + I) goes to
+the threshold with which it leaves.
+
+1. Literal split points cut the distinct timestamps (partial aggregation first)
+   into parts of about ``CHUNK_ROWS``, or as many as shuffle partitions.
+2. One pass sorts each part (numpy) and writes a row a part: its timestamps, and
+   the step function, by pointer doubling inside the part. The chain can only enter
+   at an element below ``min + I`` or the next one, so only these are its steps.
+3. Up to ``FAN`` consecutive parts' functions compose in one group to that of a
+   block, until one block is left, and thresholds go back down: a logarithmic number
+   of rounds over one row a part, none of them if there are no more than ``FAN``.
+4. A second pass walks each part's chain from its threshold. Rows at kept
    timestamps come back with a semi-join.
 
-Nothing of size proportional to the data reaches the driver or one task.
+Nothing of size proportional to the data reaches the driver or one task; a group
+holds the steps of ``FAN`` parts.
 """
 
 from __future__ import annotations
@@ -34,18 +31,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.query import history_filter, query_history
-from tagloom.operators.series import CHUNK_ROWS
+from tagloom.operators.splits import split_points
 from tagloom.schema import HISTORY_COLUMNS
-from tagloom.session import ensure_checkpoint_dir
+from tagloom.session import materialize
+
+#: step functions composed in one group
+FAN = 16
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
 
+
 def micros(col: str = "timestamp") -> Column:
     return F.expr(MICROS.format(c=f"`{col}`"))
 
@@ -70,105 +70,94 @@ def _exit_of(a: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return s, g
 
 
-def _candidates_fn(step: int):
-    def run(batches):
-        parts = [b["us"].to_numpy() for b in batches]
-        if not parts:
-            return
-        a = np.unique(np.concatenate(parts))
-        if len(a) == 0:
-            return
-        pid = TaskContext.get().partitionId()
-        _, end = _exit_of(a, step)
-        m = min(int(np.searchsorted(a, a[0] + step, side="left")), len(a) - 1)
-        idx = np.arange(m + 1)
-        yield pd.DataFrame(
-            {
-                "part": np.full(m + 1, pid, dtype=np.int64),
-                "pmin": np.full(m + 1, a[0], dtype=np.int64),
-                "pmax": np.full(m + 1, a[-1], dtype=np.int64),
-                "cand": a[idx],
-                "exit": a[end[idx]] + step,
-            }
-        )
-
-    return run
-
-
-def _emit_fn(step: int, entries: dict[int, int]):
-    def run(batches):
-        parts = [b["us"].to_numpy() for b in batches]
-        pid = TaskContext.get().partitionId()
-        if not parts or pid not in entries:
-            return
-        a = np.unique(np.concatenate(parts))
-        n = len(a)
-        s = np.searchsorted(a, a + step, side="left").tolist()
-        i = int(np.searchsorted(a, entries[pid], side="left"))
-        kept = []
-        while i < n:
-            kept.append(i)
-            i = s[i]
-        yield pd.DataFrame({"us": a[np.asarray(kept, dtype=np.int64)]})
-
-    return run
-
-
-def _locate_fn(bounds: np.ndarray):
-    """Pandas UDF body: index of the first partition whose max is >= value (bounded array)."""
-
-    def locate(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, v.to_numpy(), side="left"), dtype="int64")
-
-    return locate
-
-
-def _compose(cands: DataFrame) -> dict[int, int]:
-    """Entry of the greedy chain into each partition, composed with Spark joins.
-
-    Node = candidate; edge = first candidate ``>= exit``. Each exit is routed to
-    the partition that can hold its successor (a searchsorted against the
-    per-partition maxima, one value per partition), then the successor is a
-    window *per partition*. ``reach`` starts at the global minimum and doubles
-    with every round (``R |= J(R); J = J o J``); it has one entry per partition
-    at most, which bounds the rounds and the broadcast.
-    """
-    bounds = cands.groupBy("part").agg(F.min("pmin").alias("pmin"), F.max("pmax").alias("pmax")).toPandas().sort_values("pmin")
-    if bounds.empty:
-        return {}
-    pmax, parts = bounds["pmax"].to_numpy(), bounds["part"].tolist()
-    locate = F.pandas_udf(_locate_fn(pmax), "long")
-    probes = cands.select(F.col("cand").alias("src"), F.col("exit").alias("key"), F.lit(1).alias("kind")).withColumn("q", locate(F.col("key")))
-    data = cands.select(F.lit(None).cast("long").alias("src"), F.col("cand").alias("key"), F.lit(0).alias("kind")).withColumn("q", locate(F.col("key")))
-    # a probe past the last maximum has no successor; in the window all of them would share one partition
-    w = Window.partitionBy("q").orderBy(F.col("key"), F.col("kind").desc()).rowsBetween(0, Window.unboundedFollowing)
-    dst = F.first(F.when(F.col("kind") == 0, F.col("key")), ignorenulls=True).over(w)
-    inside = probes.filter(F.col("q") < len(parts)).unionByName(data).withColumn("dst", dst).filter("kind = 1").select("src", "dst")
-    past = probes.filter(F.col("q") >= len(parts)).select("src", F.lit(None).cast("long").alias("dst"))
-    jump = inside.unionByName(past).checkpoint()
-    reach = cands.sparkSession.createDataFrame([(int(bounds["pmin"].iloc[0]),)], "n long")
-    rounds = max(1, (len(parts) - 1).bit_length())
-    for i in range(rounds):
-        step = jump.join(F.broadcast(reach), F.col("src") == F.col("n"))
-        reach = step.select(F.explode(F.array("n", "dst")).alias("n")).filter("n is not null")
-        if i + 1 < rounds:
-            a, b = jump.alias("a"), jump.alias("b")
-            jump = a.join(b, F.col("a.dst") == F.col("b.src"), "left").select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).checkpoint()
-    entries = sorted(r["n"] for r in reach.collect())
-    return {int(parts[np.searchsorted(pmax, n, side="left")]): int(n) for n in reversed(entries)}
+_STEPS = "part long, top long, cand array<long>, exit array<long>"
+
+
+def _steps_of(a: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that the chain may enter the sorted ``a`` by, and the threshold that it leaves with from each."""
+    _, end = _exit_of(a, step)
+    m = min(int(np.searchsorted(a, a[0] + step, side="left")), len(a) - 1)
+    return a[: m + 1], a[end[: m + 1]] + step
+
+
+def _through(thresholds: np.ndarray, top: int, cand: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Thresholds behind a part; those beyond its last element ``top`` pass."""
+    at = np.searchsorted(cand, thresholds, side="left")
+    return np.where(thresholds <= top, leave[np.minimum(at, len(leave) - 1)], thresholds)
+
+
+def _parts(table: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    table = table.sort_by("part")
+    return [(table["part"][i].as_py(), table["top"][i].as_py(), table["cand"][i].values.to_numpy(), table["exit"][i].values.to_numpy()) for i in range(len(table))]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.array(values, pa.list_(pa.int64()))
+
+
+def _thresholds(steps: DataFrame, parts: int, step: int) -> dict[int, int]:
+    """The chain's threshold before every part, composed over blocks of ``FAN`` parts and walked back down."""
+    names = ["part", "top", "cand", "exit"]
+
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        found = _parts(table)
+        inside = np.concatenate([cand for _, _, cand, _ in found])
+        first = found[0][2][0]
+        keep = inside[: int(np.searchsorted(inside, first + step, side="left")) + 1]
+        leave = keep
+        for _, top, cand, exits in found:
+            leave = _through(leave, top, cand, exits)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([found[-1][1]]), _lists([keep]), _lists([leave])], names=names)
+
+    def walk(before: dict[int, int]):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            found, out = _parts(table), []
+            at = np.array([before.get(key[0].as_py(), np.iinfo(np.int64).min)])
+            for _, top, cand, exits in found:
+                out.append(int(at[0]))
+                at = _through(at, top, cand, exits)
+            return pa.table([pa.array([p for p, *_ in found]), pa.array(out, pa.int64())], names=["part", "at"])
+
+        return run
+
+    levels, fan = [steps], FAN
+    while parts > fan:
+        parts = -(-parts // fan)
+        levels.append(materialize(levels[-1].groupBy(F.floor(F.col("part") / fan).cast("long").alias("block")).applyInArrow(block, _STEPS), "sampling-block"))
+    before: dict[int, int] = {}
+    for level in reversed(levels):
+        walked = level.groupBy(F.floor(F.col("part") / fan).cast("long").alias("block")).applyInArrow(walk(before), "part long, at long")
+        before = {r["part"]: r["at"] for r in walked.collect()}  # one number a part
+    return before
 
 
 def greedy_kept_micros(rows: DataFrame, interval_seconds: float, ts_col: str = "timestamp", num_partitions: int | None = None) -> DataFrame:
     """Kept timestamps (``us`` BIGINT, epoch microseconds) of the greedy interval rule over ``rows``; runs jobs while the plan is built."""
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
     step = interval_micros(interval_seconds)
-    distinct = rows.select(micros(ts_col).alias("us")).filter(F.col("us").isNotNull()).distinct().checkpoint()
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // CHUNK_ROWS))
-    ranged = distinct.repartitionByRange(n, "us").sortWithinPartitions("us").checkpoint()
-    cands = ranged.mapInPandas(_candidates_fn(step), "part long, pmin long, pmax long, cand long, exit long")
-    entries = _compose(cands.checkpoint())
-    return ranged.mapInPandas(_emit_fn(step, entries), "us long").checkpoint()
+    times = rows.select(micros(ts_col).alias("us")).where("us IS NOT NULL")
+    points = split_points(times, ["us"], num_partitions)
+    distinct = times.distinct().withColumn("part", points.index())
+
+    def to_steps(key: tuple, table: pa.Table) -> pa.Table:
+        a = np.sort(table["us"].to_numpy())
+        cand, leave = _steps_of(a, step)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([a[-1]]), _lists([cand]), _lists([leave]), _lists([a])], names=["part", "top", "cand", "exit", "us"])
+
+    parts = materialize(distinct.groupBy("part").applyInArrow(to_steps, _STEPS + ", us array<long>"), "sampling-parts")
+    before = _thresholds(parts.select("part", "top", "cand", "exit"), points.parts, step)
+
+    def emit(batches):
+        for batch in batches:
+            for part, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                a = values.values.to_numpy()
+                jump = np.searchsorted(a, a + step, side="left").tolist()
+                i, kept = int(np.searchsorted(a, before[part], side="left")), []
+                while i < len(a):
+                    kept.append(i)
+                    i = jump[i]
+                yield pa.RecordBatch.from_arrays([pa.array(a[np.asarray(kept, dtype=np.int64)])], ["us"])
+
+    return parts.select("part", "us").mapInArrow(emit, "us long")
 
 
 def greedy_kept_timestamps(rows: DataFrame, interval_seconds: float, ts_col: str = "timestamp") -> DataFrame:

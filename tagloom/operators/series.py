@@ -5,11 +5,11 @@ Layout
 A naive ``Window.partitionBy(series)`` puts a whole series in one task, so a
 tag holding a third of the table would run on one core. Every operator here
 instead cuts each series into *chunks* along its order. Chunks are cut by the
-data: rows are range-partitioned by (series, order) into parts of about
-``CHUNK_ROWS`` rows, checkpointed in the shared folder, and the part is the
-chunk, so neither a hot series nor a dense day makes a large group. (A spec
-with an explicit ``chunk_size`` cuts by fixed width instead, without a layout;
-its groups then grow with the data.)
+data: literal split points (:mod:`tagloom.operators.splits`) cut the order
+(series, order) into ranges of about ``CHUNK_ROWS`` rows, and the range is the
+chunk, so neither a hot series nor a dense day makes a large group. Nothing is
+written and no row moves for it. (A spec with an explicit ``chunk_size`` cuts by
+fixed width instead; its groups then grow with the data.)
 
 1. the window runs per ``(series, chunk)`` (a bounded group, spread by hash
    over all tasks);
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.session import ensure_checkpoint_dir
+from tagloom.operators.splits import CHUNK_ROWS, split_points  # noqa: F401  (the chunk size is part of this module's interface)
 
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
 
@@ -110,23 +110,16 @@ def _fixed_width_key(df: DataFrame, order: Sequence[str]) -> Column | None:
     return None
 
 
-#: rows of a chunk cut by the data, about
-CHUNK_ROWS = 500_000
-
-
 def lay_out(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """``df`` with its ``_chunk``; a frame that has one keeps it, so several operators can share a layout.
 
-    Runs a count, a sampling job and the checkpoint while the plan is built.
+    Counts the rows and sorts a sample of keys while the plan is built.
     """
     if "_chunk" in df.columns:
         return df
     if spec.chunk is not None:
         return df.withColumn("_chunk", spec.chunk.cast("long"))
-    ensure_checkpoint_dir(df.sparkSession)
-    keys = [F.col(c) for c in (*spec.by, *spec.order)]
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // CHUNK_ROWS))
-    return df.repartitionByRange(parts, *keys).withColumn("_chunk", F.spark_partition_id().cast("long")).checkpoint()
+    return df.withColumn("_chunk", split_points(df, [*spec.by, *spec.order]).index())
 
 
 def _without_layout(out: DataFrame, df: DataFrame) -> DataFrame:

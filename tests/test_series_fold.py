@@ -1,6 +1,8 @@
 """W1-W6 windows and R1/R2 folds against sequential pure-Python oracles, with tiny chunks."""
 
+import datetime as dt
 import math
+import os
 import random
 
 import numpy as np
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import fold as R
 from tagloom.operators import series as S
+from tagloom.operators import splits
+from tagloom.operators.ingest import assign_ids
 from tagloom.operators.program import run_program
 
 
@@ -133,7 +137,7 @@ def _targets(kind, n):
 @pytest.mark.parametrize("dist", [0.0, 5e-5, 0.37, 5.0, 40.0])
 def test_exit_map_equals_the_steps(kind, dist):
     targets = _targets(kind, 3000)
-    x, y = R.exit_map(targets, 0.0, 100.0, dist, 120.0)
+    x, y = R.exit_map(targets, 0.0, 100.0, dist, 0.0, 120.0)
     for c in [0.0, 1e-3, 7.7, 50.0, 99.99, 100.0, 113.0, 120.0]:
         assert np.interp(c, x, y) == pytest.approx(_walk_seq(targets, c, 0.0, 100.0, dist)[-1], abs=1e-8)
 
@@ -142,7 +146,7 @@ def test_exit_map_equals_the_steps(kind, dist):
 @pytest.mark.parametrize("travel", [400.0, 1e6])
 def test_slow_valves_take_few_levels(spark, monkeypatch, kind, travel):
     monkeypatch.setattr(R, "FAN", 3)
-    monkeypatch.setattr(S, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(splits, "CHUNK_ROWS", 100)
     targets = _targets(kind, 2000)
     big = 9007199254740993
     schema = "k string, c long, v double, tag long"
@@ -157,8 +161,44 @@ def test_slow_valves_take_few_levels(spark, monkeypatch, kind, travel):
     assert [r.o for r in sorted((r for r in rows if r.k == "still"), key=lambda r: r.c)] == pytest.approx(_walk_seq([50.0] * 5, 30.0, 0.0, 100.0, 100.0 / travel * 0.5))
 
 
+@pytest.mark.parametrize("low, high", [(0.0, 120.0), (40.0, 41.5), (55.0, 55.0)])
+def test_maps_are_built_on_the_entries_that_can_reach_them(low, high):
+    targets = _targets("ends", 3000)
+    x, y = R.exit_map(targets, 0.0, 100.0, 0.001, low, high)
+    for c in np.linspace(low, high, 9):
+        assert np.interp(c, x, y) == pytest.approx(_walk_seq(targets, c, 0.0, 100.0, 0.001)[-1], abs=1e-8)
+    assert len(x) <= 4 * (high - low) / 0.001 + 4
+
+
+def test_a_group_composes_few_large_maps():
+    assert R.fan_for(2) == R.FAN and R.fan_for(181_140) == 5 and R.fan_for(10**9) == 2
+    assert all(most * R.fan_for(most) <= max(R.KNOTS, 2 * most) for most in (2, 1000, 20_000, 300_000, 10**7))
+
+
+def test_split_points_are_literals_that_follow_the_order(spark):
+    rows = [(random.Random(i).choice([None, "a", "b", "ü'\\"]), [None, float("nan"), 1.5, -2.0][i % 4], i % 50 if i % 9 else None, dt.datetime(2024, 1, 1, 0, 0, i % 60, i), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s string, d double, n long, t timestamp_ntz, id long")
+    order = ["s", "d", "n", "t", "id"]
+    for parts in (2, 9, 60):
+        points = splits.split_points(df, order, parts)
+        marked = df.withColumn("part", points.index())
+        got = [r.part for r in marked.orderBy(*order).collect()]
+        assert got == sorted(got) and set(got) <= set(range(parts)) and len(set(got)) == parts
+        assert max(got.count(p) for p in set(got)) <= 3 * 3000 / parts + 60
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan  # nothing moves for it
+
+
+def test_numbering_writes_nothing(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = assign_ids(df, ["k"], start=1, num_partitions=9)
+    assert [r.id - r.k for r in out.collect()] == [1] * 5000 and set(os.listdir(folder)) == before
+
+
 def test_step_program_carries_its_state_over_chunks(spark, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(splits, "CHUNK_ROWS", 100)
     targets = [None if i % 5 == 0 else float("nan") if i % 50 == 1 else t for i, t in enumerate(_targets("random", 900))]
     df = spark.createDataFrame([("hot", i, t) for i, t in enumerate(targets)] + [("b", 0, 40.0)], "k string, c long, v double")
     spec = S.series_spec(df, ["k"], ["c"])
@@ -199,7 +239,7 @@ def test_lags_longer_than_chunks(spark, size):
 
 
 def test_chunks_are_cut_by_the_data(spark, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK_ROWS", 500)
+    monkeypatch.setattr(splits, "CHUNK_ROWS", 500)
     df = spark.range(20_000).select(F.lit("hot").alias("k"), F.when(F.col("id") < 18_000, F.lit(0)).otherwise(F.col("id")).alias("day"), F.col("id").alias("c"))
     laid = S.lay_out(df, S.series_spec(df, ["k"], ["day", "c"]))
     assert laid.groupBy("k", "_chunk").count().agg(F.max("count")).first()[0] <= 1500
