@@ -59,8 +59,8 @@ SLICE_WORDS, SLICE_CHARS, SLICE_TOTAL = 400_000, 8_000_000, 16_000_000
 COMMON_WORDS, COMMON_BYTES, COMMON_DOCS, SAMPLE_DOCS = 1 << 17, 64, 3, 1 << 14
 #: slots of the literal rank map (a power of two)
 SLOTS = 1 << 17
-#: from so many equal pairs on, a step merges all of them
-MANY = 16
+#: in words of more than ``LONG`` pieces, from so many equal pairs on, a step merges all of them
+LONG, MANY = 64, 16
 _NONE = 2**31 - 1
 
 
@@ -142,70 +142,88 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _state(pieces: Column, ranks: Column) -> Column:
-    return _bind(ranks, lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.coalesce(F.array_min(r), F.lit(_NONE)).alias("least")))
+# The state of a fold is one array of BIGINT, an entry a piece: the value of the piece with the one after it (``_NONE`` for
+# the last) in the high 32 bits, its start in the low ones. The least entry is thus the first pair of least rank.
+
+_LOW = (1 << 32) - 1
+
+
+def _entry(value: Column, start: Column) -> Column:
+    return F.shiftleft(value.cast("long"), 32).bitwiseOR(start)
+
+
+def _start(entries: Column, i: Column, size: Column) -> Column:
+    """Start of piece ``i``; behind the last one the word's size."""
+    return F.coalesce(F.get(entries, i).bitwiseAND(F.lit(_LOW)), size)
 
 
 def _present(array: Column) -> Column:
     return F.filter(array, lambda x: x.isNotNull())
 
 
-def _merge_one(table: Column, s: Column) -> Column:
+def _part(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def _merge_one(word: Column, entries: Column, least: Column) -> Column:
     """Merge the first pair of least rank. (Index lambdas: slices and their concatenation cost several times as much.)"""
-    p, r = s["p"], s["r"]
+    text, table, size = word["text"], word["table"], word["size"]
 
     def at(i: Column) -> Column:
-        def with_piece(merged: Column) -> Column:
-            pieces = F.transform(p, lambda x, j: F.when(j == i, merged).when(j == i + 1, F.lit(None)).otherwise(x))
-            before = lambda j: _value(table, F.concat(F.get(p, j), merged))
-            after = lambda j: _value(table, F.concat(merged, F.get(p, j + 1)))
-            ranks = F.transform(r, lambda x, j: F.when(j == i, F.lit(None)).when(j == i - 1, before(j)).when(j == i + 1, after(j)).otherwise(x))
-            return _state(_present(pieces), _present(ranks))
+        here, after = least.bitwiseAND(F.lit(_LOW)), _start(entries, i + 2, size)
+        own = F.when(after < size, _value(table, _part(text, here, _start(entries, i + 3, size)))).otherwise(F.lit(_NONE))
+        before = lambda e: _entry(_value(table, _part(text, e.bitwiseAND(F.lit(_LOW)), after)), e.bitwiseAND(F.lit(_LOW)))
+        return _present(F.transform(entries, lambda e, j: F.when(j == i, _entry(own, here)).when(j == i - 1, before(e)).when(j == i + 1, F.lit(None)).otherwise(e)))
 
-        return _bind(F.concat(F.get(p, i), F.get(p, i + 1)), with_piece)
+    return _bind(F.array_position(entries, least).cast("int") - 1, at)
 
-    return _bind(F.array_position(r, s["least"]).cast("int") - 1, at)
 
-
-def _merge_all(table: Column, s: Column) -> Column:
+def _merge_all(word: Column, entries: Column, rank: Column) -> Column:
     """Merge all pairs of least rank, of overlapping ones every second: 111 becomes 101."""
-    marked = F.array_join(F.transform(s["r"], lambda r: F.when(r == s["least"], "1").otherwise("0")), "")
+    text, table, size = word["text"], word["table"], word["size"]
+    marked = F.array_join(F.transform(entries, lambda e: F.when(F.shiftright(e, 32) == rank, "1").otherwise("0")), "")
 
     def with_marks(mark: Column) -> Column:
-        pieces = s["p"]
         here = lambda i: F.coalesce(F.get(mark, i) == "1", F.lit(False))
-        piece = lambda i: F.when(here(i), F.concat(F.get(pieces, i), F.get(pieces, i + 1))).otherwise(F.get(pieces, i))
-        gone = lambda i: (i > 0) & here(i - 1)
+        after = lambda i: F.when(here(i), i + 2).otherwise(i + 1)
 
-        def rank(r: Column, i: Column) -> Column:
-            after = F.when(here(i), i + 2).otherwise(i + 1)
-            fresh = F.when(F.get(pieces, after).isNotNull(), _value(table, F.concat(piece(i), piece(after))))
-            return F.when(gone(i), F.lit(None)).when(here(i) | here(i + 1), fresh).otherwise(r)
+        def merged(e: Column, i: Column) -> Column:
+            start, follows = e.bitwiseAND(F.lit(_LOW)), after(i)
+            value = F.when(F.get(entries, follows).isNull(), F.lit(_NONE)).otherwise(_value(table, _part(text, start, _start(entries, after(follows), size))))
+            return F.when((i > 0) & here(i - 1), F.lit(None)).when(here(i) | here(i + 1), _entry(value, start)).otherwise(e)
 
-        return _state(_present(F.transform(pieces, lambda _, i: F.when(~gone(i), piece(i)))), _present(F.transform(s["r"], rank)))
+        return _present(F.transform(entries, merged))
 
     return _bind(F.split(F.replace(marked, F.lit("11"), F.lit("10")), ""), with_marks)
 
 
-def _step(table: Column, s: Column) -> Column:
-    many = (F.size(s["r"]) > MANY) & (s["least"] % 2 == 0) & (F.size(s["r"]) - F.size(F.array_remove(s["r"], s["least"])) > MANY)
-    return F.when(s["least"] == _NONE, s).when(many, _merge_all(table, s)).otherwise(_merge_one(table, s))
+def _step(word: Column, entries: Column) -> Column:
+    def with_least(least: Column) -> Column:
+        rank = F.shiftright(least, 32)
+        hits = F.size(F.filter(entries, lambda e: F.shiftright(e, 32) == rank))
+        many = (F.size(entries) > LONG) & (rank % 2 == 0) & (hits > MANY)
+        return F.when(rank == _NONE, entries).when(many, _merge_all(word, entries, rank)).otherwise(_merge_one(word, entries, least))
+
+    return _bind(F.array_min(entries), with_least)
 
 
 def fold_word(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of one word (binary): its own if it is a piece, else those of the pieces that the fold of its bytes ends with."""
 
     def ids(known: Column) -> Column:
-        text, table = known["text"], known["table"]
+        text, table, size = known["text"], known["table"], known["size"]
 
-        def split(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: _value(table, F.concat(x, F.get(p, i + 1))))
-            return F.aggregate(F.sequence(F.lit(2), F.size(p)), _state(p, pairs), lambda s, _: _step(table, s))["p"]
+        def opening(chars: Column) -> Column:
+            pair = lambda c, i: F.when(i + 1 < size, _value(table, F.concat(c, F.get(chars, i + 1)))).otherwise(F.lit(_NONE))
+            return F.transform(chars, lambda c, i: _entry(pair(c, i), i))
 
-        pieces = F.transform(_bind(F.filter(F.split(text, ""), lambda c: c != ""), split), lambda p: F.shiftright(_value(table, p), 1))
+        start = _bind(F.filter(F.split(text, ""), lambda c: c != ""), opening)
+        done = F.aggregate(F.sequence(F.lit(2), size), start, lambda entries, _: _step(known, entries))
+        pieces = _bind(done, lambda e: F.transform(e, lambda x, i: F.shiftright(_value(table, _part(text, x.bitwiseAND(F.lit(_LOW)), _start(e, i + 1, size))), 1)))
         return _bind(_value(table, text), lambda whole: F.when(whole != _NONE, F.array(F.shiftright(whole, 1))).otherwise(pieces))
 
-    return _bind(F.struct(F.decode(word, "ISO-8859-1").alias("text"), rank_table(ranks).alias("table")), ids)
+    text = F.decode(word, "ISO-8859-1")
+    return _bind(F.struct(text.alias("text"), F.octet_length(word).alias("size"), rank_table(ranks).alias("table")), ids)
 
 
 # --- words ---------------------------------------------------------------------------
