@@ -1,12 +1,14 @@
 """S2-S9 ingest rules and F/A history queries on literal fixtures."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import ingest as I
 from tagloom.operators import query as Q
+from tagloom.schema import HISTORY_SCHEMA
 from tagloom.sources.history import events_history, read_history, write_history
 
 
@@ -143,3 +145,48 @@ def test_write_read_history_partitioned(spark, tmp_path):
     q = Q.query_history(back, start_time="2024-01-05 00:00:00", end_time="2024-01-06 00:00:00")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan
+
+
+def _page_plan_limit(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return int(re.search(r"TakeOrderedAndProject\(limit=(\d+)", plan)[1])
+
+
+def test_page_of_a_dense_day_and_a_dense_instant(spark):
+    """The top-k holds at most the page and the slack, wherever the rows lie."""
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [(i, t0 + dt.timedelta(days=i % 5)) for i in range(200)]
+    rows += [(1000 + i, t0 + dt.timedelta(days=2, seconds=i * 7, microseconds=i)) for i in range(3000)]  # one dense day
+    rows += [(10_000 + i, t0 + dt.timedelta(days=3, hours=5)) for i in range(3000)]  # one dense instant
+    rows += [(50_000 + i, None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz")
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or t0, r[0]))]
+    for start in (0, 3, 420, 490, 640, 1500, 3100, 3700, 3771, 5000, 6650, 10**9):
+        page = Q.page_slice(df, start, n=40, slack=50)
+        assert [r.id for r in page.collect()] == want[max(0, min(start, len(want) - 40)) :][:40], start
+        assert _page_plan_limit(page) <= 90
+    assert Q.page_slice(df.limit(0), 5, n=4).collect() == []
+
+
+def test_newest_rows_read_the_newest_dates_only(spark, tmp_path):
+    """Thirty days on disk: the plan of the last rows reads the dates that hold them."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=i), f"pid{i % 3}.mv", float(i), f"pid{i % 3}", "algorithm", i, i * 0.5) for i in range(30 * 24)]
+    path = str(tmp_path / "history")
+    write_history(spark.createDataFrame(rows, HISTORY_SCHEMA), path)
+    h = read_history(spark, path)
+
+    def files_read(df):
+        df.collect()
+        found = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return found.head().metrics().apply("numFiles").value()
+
+    assert len(Q.partition_dates(h)) == 30 and Q.partition_dates(h)[0] == dt.date(2024, 1, 30)
+    last = Q.query_history(h, limit=20)
+    assert [r.id for r in last.collect()] == list(range(719, 699, -1)) and files_read(last) <= 2
+    tag = Q.query_history(h, param_name="pid1.mv", limit=20)
+    assert [r.id for r in tag.collect()] == [i for i in range(719, -1, -1) if i % 3 == 1][:20] and files_read(tag) <= 6
+    bounded = Q.query_history(h, end_time="2024-01-10T12:00:00", limit=5)
+    assert [r.id for r in bounded.collect()] == list(range(228, 223, -1)) and files_read(bounded) <= 2
+    assert Q.query_history(h, param_name="none", limit=5).collect() == []
+    assert len(Q.query_history(h, limit=10**6).collect()) == 720
