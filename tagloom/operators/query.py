@@ -30,6 +30,10 @@ def _lit_ts(value) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def _micros_of(value) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _lit_ts(value))
+
+
 def history_filter(
     history: DataFrame,
     param_name: str | None = None,
@@ -40,22 +44,28 @@ def history_filter(
     """AND of the given predicates; a falsy argument (None, "") adds none. Bounds inclusive.
 
     When the table carries the ``date`` partition column, matching date bounds
-    are added so partition pruning applies as well as row-group skipping.
+    are added so that partitions are pruned; with ``epoch_us``, bounds that Parquet
+    can compare with those of a row group (it is null in files without it).
     """
     cond = F.lit(True)
     if param_name:
         cond = cond & (F.col("param_name") == F.lit(param_name))
     if instance_name:
         cond = cond & (F.col("instance_name") == F.lit(instance_name))
-    has_date = "date" in history.columns
+    has_date, has_us = "date" in history.columns, "epoch_us" in history.columns
+    us = F.col("epoch_us")
     if start_time:
         cond = cond & (F.col("timestamp") >= _lit_ts(start_time))
         if has_date:
             cond = cond & (F.col("date") >= F.to_date(_lit_ts(start_time)))
+        if has_us:
+            cond = cond & (us.isNull() | (us >= _micros_of(start_time)))
     if end_time:
         cond = cond & (F.col("timestamp") <= _lit_ts(end_time))
         if has_date:
             cond = cond & (F.col("date") <= F.to_date(_lit_ts(end_time)))
+        if has_us:
+            cond = cond & (us.isNull() | (us <= _micros_of(end_time)))
     return history.filter(cond)
 
 

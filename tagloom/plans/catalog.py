@@ -24,6 +24,7 @@ from tagloom.functions.formula import formula_columns as _formulas
 from tagloom.sources import csv_template as CSV
 from tagloom.sources import envelope as J
 from tagloom.sources import generate as G
+from tagloom.sources import rollup
 from tagloom.sources.history import LINEITEM_TAGS, events_history, history_from_events, append_history, read_history, table, wide_from_lineitem, write_history
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -887,10 +888,36 @@ def history_tag_filter(spark: SparkSession, sf: str) -> DataFrame:
     from tagloom.session import ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-    write_history(events_history(spark, sf), path)
+    write_history(events_history(spark, sf), path, cluster="curve")
     return Q.query_history(read_history(spark, path), param_name=ONE_TAG, limit=None)
 
 
+def _appended(spark: SparkSession, sf: str) -> str:
+    """History written by two appends, which keep the rollup."""
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rolled-{uuid.uuid4().hex}"
+    rows = events_history(spark, sf).drop("id")
+    for late in (False, True):
+        append_history(rows.filter((F.col("timestamp") >= F.lit(RANGE_END).cast("timestamp_ntz")) == late), path)
+    return path
+
+
+def history_newest(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.query_history(read_history(spark, _appended(spark, sf)), limit=1000).select("timestamp", "param_name", "param_value")
+
+
+def statistics_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    found = rollup.statistics_rollup(spark, _appended(spark, sf), RANGE_START, RANGE_END)
+    return found.select("param_name", "count", "min", "max", F.round("avg", 4).alias("avg"), F.round("sum", 4).alias("sum"))
+
+
+def latest_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.latest_rollup(spark, _appended(spark, sf))
+
+
 def append_two_batches(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
@@ -919,8 +946,17 @@ ORACLE.update(
 )
 
 ORACLE["history_tag_filter"] = _with(f"SELECT {HISTORY_COLS_SQL} FROM history WHERE param_name = '{ONE_TAG}'")
+ORACLE["history_newest"] = _with("SELECT timestamp, param_name, param_value FROM history ORDER BY timestamp DESC, param_name DESC, cycle_count DESC LIMIT 1000")
+ORACLE["statistics_rollup"] = _with(
+    f"SELECT param_name, count(*) AS count, min(param_value) AS min, max(param_value) AS max, round(avg(param_value), 4) AS avg, round(sum(param_value), 4) AS sum "
+    f"FROM history WHERE timestamp >= TIMESTAMP '{RANGE_START}' AND timestamp <= TIMESTAMP '{RANGE_END}' GROUP BY param_name"
+)
+ORACLE["latest_rollup"] = _with(
+    "SELECT param_name, param_value, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY param_name ORDER BY timestamp DESC, cycle_count DESC) AS rn FROM history) WHERE rn = 1"
+)
 ORACLE["append_history"] = _with("SELECT row_number() OVER (ORDER BY timestamp, param_name, cycle_count) AS id, timestamp, param_name, param_value FROM history")
 
 QUERIES.update({"history_table_query": history_table_query, "tag_selection": tag_selection, "history_tag_filter": history_tag_filter, "append_history": append_two_batches})
+QUERIES.update({"history_newest": history_newest, "statistics_rollup": statistics_rollup, "latest_rollup": latest_rollup})
 
 FLAGSHIP = "sampled_query"

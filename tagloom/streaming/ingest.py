@@ -23,8 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tagloom.operators.ingest import assign_ids, snapshots_to_history
 from tagloom.operators.query import time_id_key
-from tagloom.schema import HISTORY_COLUMNS
 from tagloom.sources.envelope import notification
+from tagloom.sources.history import storage_columns
 from tagloom.streaming.keyed import close, keyed_state, rocksdb, with_closing  # noqa: F401  (T5 is part of this module's interface)
 
 
@@ -69,8 +69,7 @@ def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_
             return
         start = _next_id(spark, sink, epoch)
         with_ids = assign_ids(long, list(order), start=start)
-        hist = with_ids.select(*HISTORY_COLUMNS)
-        out = hist.withColumn("date", F.to_date("timestamp")).withColumn("epoch", F.lit(int(epoch)))
+        out = storage_columns(with_ids).withColumn("epoch", F.lit(int(epoch)))
         (
             out.repartitionByRange("date", "param_name", "timestamp")
             .sortWithinPartitions("date", "param_name", "timestamp")
