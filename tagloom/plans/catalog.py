@@ -636,6 +636,26 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("time", *[F.col(f"`{c}`") for c in back.columns if c not in ("time", "time_text")])
 
 
+#: time texts that no list of formats foresees, with the unit they are cut to
+CSV_TIME_TEXTS = {"MMM d yyyy HH:mm": "minute", "yyyyMMdd HHmmss": "second", "MM/dd/yyyy h:mm a": "minute"}
+
+
+def csv_time_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """One CSV a style of time text, each read back by the formats induced from it."""
+    import uuid
+
+    from tagloom.session import ensure_checkpoint_dir
+
+    out = None
+    for i, style in enumerate(CSV_TIME_TEXTS):
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-times-{i}-{uuid.uuid4().hex}"
+        ev = table(spark, sf, "events").select(F.date_format("ts", style).alias("time"), F.col("event_id").alias("EVENT"), F.col("value").alias("VALUE"))
+        ev.coalesce(1).write.option("header", True).csv(path)
+        back = CSV.read_template_csv(spark, path).select(F.lit(i).alias("style"), F.col("EVENT").cast("long").alias("event_id"), "time", F.col("VALUE").alias("value"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 def _events_wide(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     k = J.decode_fields(ev, "k bigint", value="props", keep=["event_id", "ts", "value"])
@@ -684,6 +704,9 @@ ORACLE.update(
         "csv_roundtrip": "SELECT make_timestamp(CAST(floor(" + _SIM + ") * 1000000 AS BIGINT)) AS time, "
         + ", ".join(f"CAST({src} AS DOUBLE) AS \"{tag.upper()}\"" for tag, src in LINEITEM_TAGS)
         + ", CAST(NULL AS DOUBLE) AS \"PUMP.FLAG\" FROM lineitem",
+        "csv_time_formats": " UNION ALL ".join(
+            f"SELECT CAST({i} AS INTEGER) AS style, event_id, CAST(date_trunc('{unit}', ts) AS TIMESTAMP) AS time, value FROM events" for i, unit in enumerate(CSV_TIME_TEXTS.values())
+        ),
         "json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "json_roundtrip": "SELECT cycle_count, sim_time, datetime, param_name, param_value, 'pump' AS instance_name, 'variable' AS param_type FROM ("
         "SELECT CAST(event_id + 1 AS INTEGER) AS cycle_count, CAST((event_id + 1) * 0.5 AS DOUBLE) AS sim_time, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, "
@@ -702,6 +725,7 @@ QUERIES.update(
     {
         "export_projection": export_projection,
         "csv_roundtrip": csv_roundtrip,
+        "csv_time_formats": csv_time_formats,
         "json_decode": json_decode,
         "json_roundtrip": json_roundtrip,
         "envelope_tags": envelope_tags,

@@ -10,6 +10,7 @@ task for small exports.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from tagloom.operators.clock import seconds_to_ntz, strftime_to_java, time_text
 from tagloom.schema import METADATA_KEYS
+from tagloom.sources import timeparse
 
 # The second header row texts.
 DEFAULT_TIME_DESCRIPTION = "时间戳"
@@ -224,9 +226,11 @@ def read_template_csv(spark: SparkSession, path: str, template: ExportTemplate |
     Works for one file or a folder of ordered part files (Spark's ``header``
     option would drop the first line of *every* part): columns are named from
     the first line of the first file; that line and, for a template with two
-    header rows, the second line of that file are left out whatever their text. The time column comes from the template if present
-    in the header, else the first column. Returns ``time`` (TIMESTAMP_NTZ,
-    NULL when unparseable), the time text as ``time_text``, then every tag as DOUBLE.
+    header rows, the second line of that file are left out, however often data
+    repeats their text. The time column comes from the template if present in the
+    header, else the first column; its formats are induced from its texts
+    (:mod:`tagloom.sources.timeparse`). Returns ``time`` (TIMESTAMP_NTZ, NULL when
+    unparseable), the time text as ``time_text``, then every tag as DOUBLE.
     """
     template = load_template(template) if isinstance(template, str) else template
     opts = {"header": False, "ignoreLeadingWhiteSpace": True, "encoding": "UTF-8", "inferSchema": False}
@@ -239,14 +243,23 @@ def read_template_csv(spark: SparkSession, path: str, template: ExportTemplate |
     top = raw.filter((F.col("_file") == first) & (F.col("_block") == 0)).head(2)
     names = [str(v).strip() if v is not None else f"_c{i}" for i, v in enumerate(top[0][:width])]
     heads = top[: 2 if template is not None and template.header_rows == 2 else 1]
-    same = [reduce(and_, [F.col(raw.columns[i]).eqNullSafe(F.lit(row[i])) for i in range(width)]) for row in heads]
-    raw = raw.filter(~((F.col("_file") == first) & (F.col("_block") == 0) & reduce(or_, same)))
-    raw = raw.drop("_file", "_block").toDF(*names)
+    # Rows of the first block that read like a header row: as many as there are header rows go. More of them are data;
+    # they all have the same text, so any of them can be put back.
+    wanted = Counter(tuple(row[:width]) for row in heads)
+    same = [reduce(and_, [F.col(raw.columns[i]).eqNullSafe(F.lit(row[i])) for i in range(width)]) for row in wanted]
+    opening = (F.col("_file") == first) & (F.col("_block") == 0)
+    found = raw.filter(opening).agg(*[F.count_if(x) for x in same]).first()
+    columns = raw.columns[:width]
+    raw = raw.filter(~(opening & reduce(or_, same))).select(*columns)
+    for (row, headers), there in zip(wanted.items(), found):
+        if there > headers:
+            raw = raw.unionByName(spark.range(there - headers).select(*[F.lit(v).cast("string").alias(c) for c, v in zip(columns, row)]))
+    raw = raw.toDF(*names)
     time_col = template.time_column_name if template and template.time_column_name in names else names[0]
     tc = F.col(f"`{time_col}`")
     tags = [c for c in names if c != time_col]
     return raw.select(
-        parse_time(tc).alias("time"),
+        timeparse.parse(tc, timeparse.induce(raw, time_col)).alias("time"),
         tc.alias("time_text"),
         *[to_number(F.col(f"`{t}`")).alias(t) for t in tags],
     )

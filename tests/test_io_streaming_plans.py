@@ -14,6 +14,7 @@ from tagloom.operators import series as S
 from tagloom.plans import catalog
 from tagloom.sources import csv_template as CSV
 from tagloom.sources import envelope as J
+from tagloom.sources import timeparse as TP
 from tagloom.sources.history import events_history
 from tagloom.streaming import ingest as ST
 
@@ -76,6 +77,48 @@ def test_time_parse_fallback(spark):
     assert got == [dt.datetime(2024, 5, 24, 10), dt.datetime(2024, 5, 24, 10, 0, 1), None]
 
 
+T = dt.datetime
+
+
+@pytest.mark.parametrize(
+    "texts, want",
+    [
+        (["May 24 2024 10:00", "Sep 3 2024 7:05"], [T(2024, 5, 24, 10), T(2024, 9, 3, 7, 5)]),
+        (["20240524 100000", "20240524 101530"], [T(2024, 5, 24, 10), T(2024, 5, 24, 10, 15, 30)]),
+        (["05/24/2024 1:02 PM", "05/03/2024 12:30 am"], [T(2024, 5, 24, 13, 2), T(2024, 5, 3, 0, 30)]),
+        (["24/05/2024 10:00:00", "03/05/2024 11:00:00"], [T(2024, 5, 24, 10), T(2024, 5, 3, 11)]),  # a day above 12 settles it
+        (["03/05/2024 10:00:00", "04/05/2024 10:00:00"], [T(2024, 3, 5, 10), T(2024, 4, 5, 10)]),  # nothing does: month first
+        (["24/05/2024", "05/25/2024", "04/05/2024"], [T(2024, 5, 24), T(2024, 5, 25), T(2024, 4, 5)]),  # both: by the row
+        (["2024-05-24T10:00:00.123", "2024-05-24T10:00:00.123456", "2024-05-24T10:00:00Z", "2024-05-24T10:00:00+08:00", "2024-05-24 10:00:00 UTC"], [T(2024, 5, 24, 10, 0, 0, 123000), T(2024, 5, 24, 10, 0, 0, 123456), T(2024, 5, 24, 10), T(2024, 5, 24, 2), T(2024, 5, 24, 10)]),
+        (["24 December 2024", "December 24, 2024 10:00", "24-Dec-2024 08:01:02", "Tuesday, December 24, 2024"], [T(2024, 12, 24), T(2024, 12, 24, 10), T(2024, 12, 24, 8, 1, 2), T(2024, 12, 24)]),
+        (["2024.05.24  10:00:00", "2024/5/4 9:08", "20240524101112", "2024-05-24"], [T(2024, 5, 24, 10), T(2024, 5, 4, 9, 8), T(2024, 5, 24, 10, 11, 12), T(2024, 5, 24)]),
+        ([None, "", "garbage", "2024-13-40 10:00:00", "12", "a 2024-05-24", "99:99"], [None] * 7),
+    ],
+)
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_time_formats_are_induced_from_the_column(spark, texts, want, zone):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [r.at for r in TP.parse_times(df, "t", "at").orderBy("i").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want
+
+
+def test_data_rows_that_repeat_the_header(spark, tmp_path):
+    for name, template, lines, values in [
+        ("one", None, ["t,X", "2024-05-24 10:00:00,1", "t,X", "2024-05-24 10:00:01,2"], [1.0, 2.0, None]),
+        ("two", "prediction", ["timeStamp,X", "d,e", "d,e", "2024-05-24 10:00:00,1", "timeStamp,X", "d,e"], [1.0, None, None, None]),
+        ("same", "prediction", ["timeStamp,X", "timeStamp,X", "2024-05-24 10:00:00,1", "timeStamp,X"], [1.0, None]),
+        ("rows", "prediction", ["timeStamp,X", "2024-05-24 10:00:00,1", "2024-05-24 10:00:01,2", "2024-05-24 10:00:00,1"], [1.0, 2.0]),  # the second row goes by its place
+    ]:
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        got = [r.X for r in CSV.read_template_csv(spark, str(path), template).collect()]
+        assert sorted(got, key=lambda v: (v is None, v)) == values, name
+
+
 def test_envelope_roundtrip_and_rejects(spark):
     wide = spark.createDataFrame([(1, 0.5, "t0", 50.5, 30.0)], "cycle_count int, sim_time double, time_str string, `tank1.level` double, `pid1.mv` double")
     texts = J.encode_envelope(wide)
