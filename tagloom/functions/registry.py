@@ -5,15 +5,17 @@ U1 ``register_function``: a scalar float -> float function. Column builders
 pandas UDF (Arrow batches), also registered for SQL formulas.
 
 U2 ``register_algorithm`` / ``register_model``: a keyed step function
-``step(state, row) -> (state, outputs)`` with defaults; run over a series by
-the chunked fold in :mod:`tagloom.operators.fold` (batch) or by
-``applyInPandasWithState`` (streams). Names are case-insensitive.
+``step(state, row) -> (state, outputs)`` with defaults; run over a series chunk
+after chunk by :mod:`tagloom.operators.program` (batch) or by
+``transformWithState`` (streams). A program that can say what a row does to the
+state as an element of an associative operation (``lift``, ``combine``, ``act``)
+runs on all chunks at once. Names are case-insensitive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -64,7 +66,14 @@ def functions() -> list[str]:
 
 @dataclass(frozen=True)
 class Program:
-    """A keyed step program: ``step(state, inputs, params) -> (state, outputs)``."""
+    """A keyed step program: ``step(state, inputs, params) -> (state, outputs)``.
+
+    Associative form (optional, all three or none): ``lift(inputs, params)`` is the
+    element of a row, ``combine(a, b)`` the element of ``a``'s rows followed by
+    ``b``'s, ``act(state, element)`` the state that the rows of ``element`` lead to.
+    Elements and states are JSON values; ``act(s, combine(a, b))`` must equal
+    ``act(act(s, a), b)``, and ``act`` of a row's element what ``step`` does.
+    """
 
     name: str
     kind: str  # "algorithm" | "model"
@@ -73,6 +82,13 @@ class Program:
     outputs: tuple[str, ...]
     defaults: Mapping[str, float] = field(default_factory=dict)
     stored_attributes: tuple[str, ...] = ()
+    lift: Callable | None = None
+    combine: Callable | None = None
+    act: Callable | None = None
+
+    def __post_init__(self):
+        if len({f is None for f in (self.lift, self.combine, self.act)}) > 1:
+            raise ValueError(f"{self.name}: an associative program needs lift, combine and act")
 
     def params(self, **overrides) -> dict[str, float]:
         p = dict(self.defaults)
@@ -82,7 +98,7 @@ class Program:
 
 def _register(kind: str, program: Program) -> Program:
     key = program.name.upper()
-    _PROGRAMS[key] = Program(program.name, kind, program.step, program.init, program.outputs, program.defaults, program.stored_attributes)
+    _PROGRAMS[key] = replace(program, kind=kind)
     return _PROGRAMS[key]
 
 
@@ -95,7 +111,7 @@ def register_model(program: Program) -> Program:
 
 
 def _load_builtins() -> None:
-    # built-in programs (VALVE, LAG, SAMPLER, PID) register on import; imported
+    # built-in programs (VALVE, LAG, SAMPLER, TOTAL) register on import; imported
     # lazily because that module itself imports this registry
     import tagloom.streaming.programs  # noqa: F401
 

@@ -767,9 +767,17 @@ def step_program(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "event_type", F.round("current_opening", 9).alias("opening"))
 
 
+def program_total(spark: SparkSession, sf: str) -> DataFrame:
+    """U2 in batch, associative form: the integral (W3) as a registered program, all chunks at once."""
+    ev = _recorded(spark, sf)
+    out = run_program(ev, _spec(ev), "total", {"value": "value"}, {"dt": 0.5})
+    return out.select("event_id", "event_type", F.round("total", 4).alias("integral"))
+
+
 ORACLE["step_program"] = ORACLE["slew_limit"]
+ORACLE["program_total"] = ORACLE["integral"]
 
-QUERIES.update({"slew_limit": slew_limit, "slew_limit_slow": slew_limit_slow, "step_program": step_program})
+QUERIES.update({"slew_limit": slew_limit, "slew_limit_slow": slew_limit_slow, "step_program": step_program, "program_total": program_total})
 
 
 # --- Structured Streaming (T1-T5): availableNow runs over the events table ------

@@ -67,3 +67,20 @@ def _sampler_step(s, row, p):
 
 
 SAMPLER = register_algorithm(Program("SAMPLER", "algorithm", _sampler_step, _sampler_init, ("kept",), {"interval_us": 1_000_000}))
+
+
+def _total_lift(row, p):
+    return (row["value"] or 0.0) * p["dt"]
+
+
+def _total_step(state, row, p):
+    state += _total_lift(row, p)
+    return state, {"total": state}
+
+
+def _add(a, b):
+    return a + b
+
+
+# the integral of a value over the cycles (a null adds nothing)
+TOTAL = register_algorithm(Program("TOTAL", "algorithm", _total_step, lambda p: 0.0, ("total",), {"dt": 0.5}, lift=_total_lift, combine=_add, act=_add))

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions.registry import Program, register_algorithm
 from tagloom.operators import fold as R
+from tagloom.operators import program as PR
 from tagloom.operators import series as S
 from tagloom.operators import splits
 from tagloom.operators.ingest import assign_ids
@@ -210,6 +212,55 @@ def test_step_program_carries_its_state_over_chunks(spark, monkeypatch):
     assert run_program(df.limit(0), spec, "lag", {"value": "c"}).collect() == []
 
 
+def _smooth(a):
+    """Exponential smoothing: a row's element is the affine map s -> (1 - a) s + a x."""
+
+    def lift(row, p):
+        return [1.0, 0.0] if row["x"] is None else [1 - a, a * row["x"]]
+
+    def step(state, row, p):
+        m, b = lift(row, p)
+        return m * state + b, {"smooth": m * state + b}
+
+    return Program("SMOOTH", "algorithm", step, lambda p: p["s0"], ("smooth",), {"s0": 0.0}, lift=lift, combine=lambda f, g: [f[0] * g[0], g[0] * f[1] + g[1]], act=lambda s, f: f[0] * s + f[1])
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_associative_programs_run_on_all_chunks_at_once(spark, monkeypatch, fan):
+    monkeypatch.setattr(splits, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(PR, "FAN", fan)
+    register_algorithm(_smooth(0.1))
+    rng = random.Random(4)
+    rows = [("hot" if i % 10 else f"k{i % 7}", i, None if i % 11 == 0 else rng.uniform(-5, 5)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, c long, v double")
+    spec = S.series_spec(df, ["k"], ["c"])
+    written = []
+    real = PR.materialize
+    monkeypatch.setattr(PR, "materialize", lambda d, name: written.append(name) or real(d, name))
+    got = {(r.k, r.c): r.smooth for r in run_program(df, spec, "smooth", {"x": "v"}, {"s0": 7.0}).collect()}
+    levels = written.count("program-block") + 1
+    chunks = -(-1500 // 50)
+    assert levels <= math.ceil(math.log(2 * chunks, fan)) and written.count("program-before") == levels  # two rounds a level
+    state = {}
+    for k, c, v in rows:
+        s = state.get(k, 7.0)
+        state[k] = s if v is None else 0.9 * s + 0.1 * v
+        assert got[(k, c)] == pytest.approx(state[k], abs=1e-9)
+    assert len(got) == 1500
+
+
+def test_the_integral_as_a_program(spark, monkeypatch):
+    monkeypatch.setattr(splits, "CHUNK_ROWS", 100)
+    df = _frame(spark, gaps=True)
+    spec = S.series_spec(df, ["k"], ["c"])
+    total = {(r.k, r.c): r.total for r in run_program(df, spec, "total", {"value": "v"}, {"dt": 0.25}).collect()}
+    want = {(r.k, r.c): r.acc for r in S.running_sum(df, spec, F.coalesce("v", F.lit(0.0)) * 0.25, "acc").collect()}
+    assert total == pytest.approx(want, abs=1e-9)
+    assert run_program(df.limit(0), spec, "total", {"value": "v"}).collect() == []
+    with pytest.raises(ValueError):
+        Program("HALF", "algorithm", lambda *a: a, lambda p: 0, ("x",), lift=lambda r, p: 0)
+
+
 def test_fold_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string, c long, v double")
     assert R.slew_limit(df, S.series_spec(df, ["k"], ["c"]), "v", out="o").collect() == []
