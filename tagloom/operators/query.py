@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.functions.exact import exact_sums
 from tagloom.schema import HISTORY_COLUMNS
 
 _DATE_FOLDER = re.compile(r"/date=(\d{4}-\d\d-\d\d)/[^/]*$")
@@ -161,6 +162,14 @@ def statistics_by_tag(history: DataFrame, start_time=None, end_time=None) -> Dat
     return rows.groupBy("param_name").agg(*_stat_aggs())
 
 
+def statistics_exact(history: DataFrame, start_time=None, end_time=None) -> DataFrame:
+    """A1 for every tag with sums and means that are rounded once: the same to the last bit on any partitioning."""
+    rows = history_filter(history, start_time=start_time, end_time=end_time)
+    v = F.col("param_value")
+    found = exact_sums(rows, ["param_name"], v, F.count(F.lit(1)).alias("count"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return found.select("param_name", F.col("count.sum").alias("count"), F.col("least.min").alias("min"), F.col("most.max").alias("max"), "avg", "sum")
+
+
 def records_per_tag(history: DataFrame) -> DataFrame:
     """A2: number of records per tag."""
     return history.groupBy("param_name").agg(F.count(F.lit(1)).alias("records"))

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.functions import exact
 from tagloom.operators.splits import CHUNK_ROWS, split_points  # noqa: F401  (the chunk size is part of this module's interface)
 
 _MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"
@@ -151,6 +152,37 @@ def running_sum(df: DataFrame, spec: SeriesSpec, value: Column, out: str) -> Dat
     return _without_layout(res.drop("_v", "_in", "_carry"), df)
 
 
+def running_sum_exact(df: DataFrame, spec: SeriesSpec, value: Column, out: str) -> DataFrame:
+    """Inclusive running sum per series, rounded once a row: the same to the last bit on any layout.
+
+    The limbs of :mod:`tagloom.functions.exact` are summed per bin, a column each for
+    the bins that occur (one aggregate finds them, a few unless values span hundreds
+    of orders of magnitude). Nulls add nothing; from the first NaN or infinity on,
+    the sum is what these add up to.
+    """
+    v = value.cast("double")
+    d, w = _chunked(df.withColumn("_v", v), spec)
+    d = d.withColumn("_b", F.when(exact.is_finite(F.col("_v")), exact.bin_of(F.col("_v"))))
+    bins = sorted(r[0] for r in d.select("_b").distinct().collect() if r[0] is not None)
+    high, low = exact.limbs(F.col("_v"), F.col("_b"))
+    zero = F.lit(0).cast("decimal(20,0)")
+    terms = {"_odd": F.when(exact.is_finite(F.col("_v")) | F.col("_v").isNull(), F.lit(0.0)).otherwise(F.col("_v"))}
+    for i, b in enumerate(bins):
+        mine = F.coalesce(F.col("_b") == b, F.lit(False))
+        terms |= {f"_h{i}": F.when(mine, high.cast("decimal(20,0)")).otherwise(zero), f"_l{i}": F.when(mine, low.cast("decimal(20,0)")).otherwise(zero)}
+    d = d.withColumns(terms)
+    totals = d.groupBy(*spec.by, "_chunk").agg(*[F.sum(t).alias(t) for t in terms])
+    before = _chunk_window(spec).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*spec.by, "_chunk", *[F.sum(t).over(before).alias(f"_c{t}") for t in terms])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    res = d.withColumns({t: F.sum(t).over(upto) for t in terms}).join(carry, [*spec.by, "_chunk"])
+    so_far = {t: F.col(t) + F.coalesce(F.col(f"_c{t}"), F.lit(0)) for t in terms}
+    parts = F.array(*[F.struct(F.lit(b).alias("bin"), so_far[f"_h{i}"].cast("string").alias("high"), so_far[f"_l{i}"].cast("string").alias("low")) for i, b in enumerate(bins)])
+    parts = parts if bins else F.array().cast("array<struct<bin:int,high:string,low:string>>")
+    res = res.withColumns({"_p": parts, "_s": so_far["_odd"]}).withColumn(out, exact.rounded_sum(F.col("_p"), F.col("_s")))
+    return _without_layout(res.drop("_v", "_b", "_p", "_s", *terms, *[f"_c{t}" for t in terms]), df)
+
+
 def hold_last(df: DataFrame, spec: SeriesSpec, col: str, initial: float | None = 0.0, out: str | None = None) -> DataFrame:
     """NULL input keeps the previous non-NULL value of the series; before any, ``initial``."""
     out = out or col

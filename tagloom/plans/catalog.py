@@ -111,6 +111,10 @@ def statistics_all(spark: SparkSession, sf: str) -> DataFrame:
     return _round_stats(Q.statistics_by_tag(h))
 
 
+def statistics_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return _round_stats(Q.statistics_exact(events_history(spark, sf)))
+
+
 def records_per_tag(spark: SparkSession, sf: str) -> DataFrame:
     return Q.records_per_tag(events_history(spark, sf))
 
@@ -173,6 +177,7 @@ ORACLE: dict[str, str] = {
         f"AND timestamp >= TIMESTAMP '{RANGE_START}' AND timestamp <= TIMESTAMP '{RANGE_END}'"
     ),
     "statistics_empty": _with(f"SELECT 'no.such_tag' AS param_name, {STAT_COLS_SQL} FROM history WHERE param_name = 'no.such_tag'"),
+    "statistics_exact": _with(f"SELECT param_name, {STAT_COLS_SQL} FROM history GROUP BY param_name"),
     "statistics_all": _with(f"SELECT param_name, {STAT_COLS_SQL} FROM history GROUP BY param_name"),
     "records_per_tag": _with("SELECT param_name, count(*) AS records FROM history GROUP BY param_name"),
     "latest_values": _with(
@@ -216,6 +221,7 @@ QUERIES: dict[str, QueryFn] = {
     "statistics_one": statistics_one,
     "statistics_empty": statistics_empty,
     "statistics_all": statistics_all,
+    "statistics_exact": statistics_exact,
     "records_per_tag": records_per_tag,
     "latest_values": latest_values,
     "latest_by_instance": latest_by_instance,
@@ -288,6 +294,12 @@ def integral(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "event_type", F.round("integral", 4).alias("integral"))
 
 
+def integral_exact(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _recorded(spark, sf)
+    out = S.running_sum_exact(ev, _spec(ev), F.col("value") * F.lit(0.5), "integral")
+    return out.select("event_id", "event_type", F.round("integral", 6).alias("integral"))
+
+
 def pid_response(spark: SparkSession, sf: str) -> DataFrame:
     ev = _recorded(spark, sf)
     out = S.pid_response(ev, _spec(ev), pv="value", sv=50.0, cycle_time=0.5)
@@ -337,6 +349,7 @@ ORACLE.update(
         "hold_last": "SELECT event_id, event_type, value, coalesce(last_value(value IGNORE NULLS) OVER "
         f"{_WR}, 0.0) AS held FROM (SELECT event_id, ts, event_type, CASE WHEN value > 50 THEN NULL ELSE value END AS value FROM events)",
         "integral": f"SELECT event_id, event_type, round(sum(value * 0.5) OVER {_WR}, 4) AS integral FROM events",
+        "integral_exact": f"SELECT event_id, event_type, round(sum(value * 0.5) OVER {_WR}, 6) AS integral FROM events",
         "pid_response": "SELECT event_id, event_type, round(e, 6) AS error, round(integral, 4) AS integral, "
         "round(greatest(0.0, least(100.0, 12.0 * e + 12.0 / 30.0 * integral + 12.0 * 0.15 * (e - e_prev) / 0.5)), 6) AS mv FROM ("
         f"SELECT event_id, event_type, e, sum(e * 0.5) OVER {_WR} AS integral, lag(e, 1, 0.0) OVER {_W} AS e_prev "
@@ -354,6 +367,7 @@ QUERIES.update(
         "lag_seeded": lag_seeded,
         "hold_last": hold_last,
         "integral": integral,
+        "integral_exact": integral_exact,
         "pid_response": pid_response,
     }
 )
