@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import contextlib
+import datetime as _dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tagloom.operators.ingest import assign_ids, snapshots_to_history
 from tagloom.operators.query import time_id_key
 from tagloom.sources.envelope import notification
-from tagloom.sources.history import storage_columns
+from tagloom.sources.history import path_exists, storage_columns
 from tagloom.streaming.keyed import close, keyed_state, rocksdb, with_closing  # noqa: F401  (T5 is part of this module's interface)
 
 
@@ -45,31 +46,51 @@ def _ledger_path(sink: str) -> str:
     return sink.rstrip("/") + "/_id_ledger"
 
 
+_LEDGER = "first_id long, rows long, stamp string, epoch long"
+
+
+def _ledger(spark: SparkSession, sink: str) -> DataFrame | None:
+    if not path_exists(spark, _ledger_path(sink)):
+        return None  # no ledger yet; any other failure to read it is an error
+    return spark.read.schema(_LEDGER).parquet(_ledger_path(sink))
+
+
 def _next_id(spark: SparkSession, sink: str, epoch: int) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(_ledger_path(sink))
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return 1  # no ledger yet; any other failure to read it is an error
-    led = spark.read.schema("first_id long, rows long, epoch long").parquet(_ledger_path(sink))
-    row = led.filter(F.col("epoch") < epoch).agg(F.max(F.col("first_id") + F.col("rows")).alias("n")).first()
+    led = _ledger(spark, sink)
+    row = led.filter(F.col("epoch") < epoch).agg(F.max(F.col("first_id") + F.col("rows")).alias("n")).first() if led is not None else None
     return int(row["n"]) if row and row["n"] is not None else 1
 
 
+def _stamp(spark: SparkSession, sink: str, epoch: int) -> str:
+    """Wall clock (UTC) of an epoch's first try: what its ledger row says, now if it has none."""
+    led = _ledger(spark, sink)
+    row = led.filter((F.col("epoch") == epoch) & F.col("stamp").isNotNull()).select("stamp").first() if led is not None else None
+    return row["stamp"] if row else _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
+
+
 def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_name", "cycle_count", "sim_time", "param_value"), stored_variables=None, timestamp: str | None = "timestamp"):
     """``foreachBatch`` body for T1 (usable on its own for replay tests).
 
-    The default order is unique but for equal rows, so a replay gives the same rows the same ids.
+    The default order is unique but for equal rows, so a replay gives the same rows
+    the same ids. Snapshots without a time column get the wall clock of the epoch's
+    first try: it goes into the ledger before the rows are written, and a replay,
+    on another day or in another zone, reads it back.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ts = timestamp if timestamp and timestamp in batch.columns else F.localtimestamp()
+        timed = bool(timestamp) and timestamp in batch.columns
+        stamp = None if timed else _stamp(spark, sink, epoch)
+        ts = timestamp if timed else F.lit(stamp).cast("timestamp_ntz")
         long = snapshots_to_history(batch, ts, stored_variables=stored_variables)
         n = long.count()
         if n == 0:
             return
         start = _next_id(spark, sink, epoch)
-        with_ids = assign_ids(long, list(order), start=start)
-        out = storage_columns(with_ids).withColumn("epoch", F.lit(int(epoch)))
+        # one tiny row an epoch, before its rows: a replay finds the same first id and time
+        ledger = spark.createDataFrame([(int(start), int(n), stamp)], "first_id long, rows long, stamp string")
+        ledger.write.mode("overwrite").parquet(f"{_ledger_path(sink)}/epoch={int(epoch)}")
+        out = storage_columns(assign_ids(long, list(order), start=start)).withColumn("epoch", F.lit(int(epoch)))
         (
             out.repartitionByRange("date", "param_name", "timestamp")
             .sortWithinPartitions("date", "param_name", "timestamp")
@@ -78,9 +99,6 @@ def history_batch_writer(sink: str, order: Sequence[str] = ("timestamp", "param_
             .partitionBy("date", "epoch")
             .parquet(sink)
         )
-        # one tiny ledger row per epoch: replays find the same first id
-        ledger = spark.createDataFrame([(int(start), int(n))], "first_id long, rows long")
-        ledger.write.mode("overwrite").parquet(f"{_ledger_path(sink)}/epoch={int(epoch)}")
 
     return write
 

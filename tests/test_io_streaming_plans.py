@@ -245,6 +245,36 @@ def test_ingest_epoch_replay_is_idempotent(spark):
     assert ids == list(range(1, len(ids) + 1)) and len(ids) == 2 * 2 * 25
 
 
+def test_replay_without_a_time_column_keeps_the_first_time(spark, monkeypatch):
+    """The epoch is written again two days later and in other zones: the same rows, under the same date."""
+    out, _ = _paths(spark, "stamp")
+    wide = catalog._stream_wide(spark.read.parquet(f"{SF}/events.parquet").limit(20)).drop("timestamp")
+    writer = ST.history_batch_writer(out)
+    clock = [dt.datetime(2024, 5, 1, 23, 59, 59, 5), dt.datetime(2024, 5, 3, 0, 0, 1)]
+
+    class Clock(dt.datetime):
+        @classmethod
+        def now(cls, tz=None):
+            return clock[0].replace(tzinfo=tz)
+
+    monkeypatch.setattr(ST._dt, "datetime", Clock)
+    writer(wide, 0)
+    first = sorted(map(tuple, spark.read.parquet(out).collect()))
+    clock.pop(0)
+    for zone in ("Asia/Kolkata", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            writer(wide, 0)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    again = spark.read.parquet(out)
+    assert sorted(map(tuple, again.collect())) == first and len(first) == 20
+    assert [r[0] for r in again.select("timestamp").distinct().collect()] == [dt.datetime(2024, 5, 1, 23, 59, 59, 5)]
+    writer(wide, 1)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(1, 41))
+    assert {r[0] for r in spark.read.parquet(out).where("epoch = 1").select("timestamp").distinct().collect()} == {dt.datetime(2024, 5, 3, 0, 0, 1)}
+
+
 def test_plans_stay_jvm_and_push_filters(spark):
     h = events_history(spark, SF)
     plan = Q.query_history(h, param_name="pid0.click", limit=5)._jdf.queryExecution().executedPlan().toString()
@@ -287,8 +317,8 @@ def test_results_do_not_depend_on_session_zone(spark, name, zone):
     assert base == other
 
 
-# Python runs only in P1 (numpy passes), R1/R2 chunk folds and T5 programs.
-_PYTHON_KEYS = {"sampled_query", "sampled_instance", "sampled_global", "slew_limit", "user_function"}
+# Python runs only in P1 (numpy passes), R1/R2 chunk folds, step programs and the final rounding of exact sums.
+_PYTHON_KEYS = {"sampled_query", "sampled_instance", "sampled_global", "slew_limit", "slew_limit_slow", "program_total", "statistics_exact", "integral_exact", "user_function"}
 _SIDE_EFFECT_KEYS = {"csv_roundtrip", "history_table_query"}
 
 
