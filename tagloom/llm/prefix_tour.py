@@ -259,7 +259,9 @@ def trie(df: DataFrame) -> DataFrame:
         F.sum(F.when(leaving, leaves).otherwise(F.col("leaf") - leaves)).alias("n_leaves"),
         F.sum(F.when(leaving, saved).otherwise(F.col("saving") - saved)).alias("saved_tokens"),
     )
-    out = family.join(subtree, ["owner", "depth"]).join(_end_digests(ends), ["owner", "depth"], "left")
+    # written apart: in one stage the windows, joins and digests would hold all their sort buffers at once
+    subtree, digests = materialize(subtree, "tour-subtrees"), materialize(_end_digests(ends), "tour-digests")
+    out = family.join(subtree, ["owner", "depth"]).join(digests, ["owner", "depth"], "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select("owner", "depth", "parent", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", empty).alias("ends_sha256"))
 
