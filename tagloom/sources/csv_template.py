@@ -10,6 +10,7 @@ task for small exports.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
@@ -54,6 +55,31 @@ def template_from_mapping(name: str, data: dict) -> ExportTemplate:
     return ExportTemplate(name, **{k: v for k, v in data.items() if k in known})
 
 
+def _scalar(text: str) -> object:
+    if text[:1] in ("'", '"') and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1]
+    text = text.split(" #")[0].rstrip()
+    known = {"true": True, "false": False, "null": None, "~": None, "": None}
+    return known[text.lower()] if text.lower() in known else int(text) if text.lstrip("-").isdigit() else text
+
+
+def template_from_file(path: str) -> ExportTemplate:
+    """Template of a settings file on the driver: one ``key: value`` a line, ``#`` comments; deeper or other lines are not settings.
+
+    The name is the file's, unless a ``name`` setting says otherwise.
+    """
+    with open(path, encoding="utf-8") as lines:
+        pairs = [line.rstrip("\n").partition(":") for line in lines if line[:1].strip() and line[0] not in "#-"]
+    data = {key.strip(): _scalar(value.strip()) for key, colon, value in pairs if colon}
+    return template_from_mapping(data.get("name") or os.path.splitext(os.path.basename(path))[0], {k: v for k, v in data.items() if v is not None})
+
+
+def register_template(template: ExportTemplate) -> ExportTemplate:
+    """Make a template known by its name; replaces one of the same name."""
+    TEMPLATES[template.name] = template
+    return template
+
+
 def load_template(name: str) -> ExportTemplate:
     if name not in TEMPLATES:
         raise FileNotFoundError(f"no export template named {name!r}")

@@ -71,6 +71,20 @@ def test_template_rules():
     assert t.header_rows == 2 and t.time_format == "%Y/%m/%d %H:%M:%S"
 
 
+def test_template_from_a_file(tmp_path):
+    path = tmp_path / "plant.yaml"
+    path.write_text('# two header rows\ntime_column_name: "时间"\ntime_format: "%Y-%m-%d %H:%M:%S"  \nheader_rows: 2 # fixed\nuppercase_column_names: false\ncolumns:\n  - ignored\n', encoding="utf-8")
+    t = CSV.template_from_file(str(path))
+    assert t == CSV.ExportTemplate("plant", "时间", "%Y-%m-%d %H:%M:%S", 2, False)
+    path.write_text("name: other\nheader_rows: 3\n")
+    with pytest.raises(ValueError):
+        CSV.template_from_file(str(path))
+    try:
+        assert CSV.load_template(CSV.register_template(t).name) == t
+    finally:
+        CSV.TEMPLATES.pop("plant")
+
+
 def test_time_parse_fallback(spark):
     df = spark.createDataFrame([("2024-05-24 10:00:00",), ("2024/05/24 10:00:01",), ("garbage",)], "t string")
     got = [r.p for r in df.select(CSV.parse_time(F.col("t")).alias("p")).collect()]
