@@ -2,7 +2,8 @@
 
 Documents with equal texts are a group. A group that holds more than a
 ``1 / (shards x FINE)`` part of the bytes, tokens or rows is dealt into pieces by
-the hash of the id; all other groups are gathered whole, by hash, into ``ATOMS``
+the hash of the id, and rows of the group that share an id, or have none, by a
+number of their own, so that no id gathers rows; all other groups are gathered whole, by hash, into ``ATOMS``
 atoms. The pieces of a group are placed together, unless it holds more than a
 ``1 / (shards x WHOLE)`` part, half a shard: only then each goes its own way.
 Groups, pieces and atoms, a number bounded by these parameters, are placed one
@@ -11,7 +12,8 @@ largest dot product with the item's (bytes, tokens, rows) vector. Rows then look
 up their piece or atom; ranks within these and their offsets give gapless slots,
 so neither a shard nor a large group is sorted in one task.
 
-Defined results: a null text has no bytes beside the one that every row counts,
+Defined results: which of several rows equal in id and text goes to which shard is
+not defined, only how they spread; a null text has no bytes beside the one that every row counts,
 no tokens and CRC 0; repeated rows are rows of their own and get slots of their
 own; an empty table gives an empty result.
 """
@@ -59,7 +61,7 @@ def pack(df: DataFrame, *, shards: int = SHARDS, atoms: int = ATOMS, fine: int =
         word_count(text).alias("tokens"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("g"),
     )
-    rows = materialize(rows, "packing")
+    rows = materialize(rows.withColumn("own", F.monotonically_increasing_id()), "packing")  # written: the numbers stay
     groups = rows.groupBy("g", "size", "crc").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("size").alias("b"))
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     most = [max(1.0, (x or 0) / (shards * fine)) for x in total]
@@ -67,7 +69,12 @@ def pack(df: DataFrame, *, shards: int = SHARDS, atoms: int = ATOMS, fine: int =
     # at most 3 x shards x fine groups can be this large, whatever the input
     large = groups.where(worst > 1).select("g", "size", "crc", F.least(F.col("n"), F.ceil(worst)).cast("long").alias("pieces"))
     rows = rows.join(F.broadcast(large), ["g", "size", "crc"], "left")
-    piece = F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces"))
+    # ids that several rows of a large group have, or lack
+    shared = rows.where("pieces is not null").groupBy("g", "size", "crc", "id").count().where("count > 1")
+    shared = shared.select(F.col("g").alias("sg"), F.col("size").alias("ss"), F.col("crc").alias("sc"), F.col("id").alias("sid"), F.lit(True).alias("shared"))
+    same = (F.col("g") == F.col("sg")) & (F.col("size") == F.col("ss")) & (F.col("crc") == F.col("sc")) & F.col("id").eqNullSafe(F.col("sid"))
+    rows = rows.join(shared, same & F.col("pieces").isNotNull(), "left").drop("sg", "ss", "sc", "sid")
+    piece = F.pmod(F.xxhash64("id", F.lit(5), F.when(F.col("shared"), F.col("own"))), F.col("pieces"))
     rows = rows.withColumn("k1", F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("g"), F.lit(atoms))).otherwise(F.col("g"))).withColumn("k2", F.coalesce(piece, F.lit(-1).cast("long")))
     sums = sorted(tuple(r) for r in rows.groupBy("k1", "k2").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect())
     loads = np.array([s[2:] for s in sums], np.float64).reshape(-1, 3)
@@ -79,6 +86,6 @@ def pack(df: DataFrame, *, shards: int = SHARDS, atoms: int = ATOMS, fine: int =
         placed.append((k1, k2, s, filled[s]))
         filled[s] += n
     table = spark.createDataFrame(placed, "k1 long, k2 long, shard int, base long")
-    rank = F.row_number().over(W.partitionBy("k1", "k2").orderBy("id")) - 1
+    rank = F.row_number().over(W.partitionBy("k1", "k2").orderBy("id", "own")) - 1
     rows = rows.withColumn("rank", rank).join(F.broadcast(table), ["k1", "k2"])
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "tokens", "shard", (F.col("base") + F.col("rank")).alias("slot"))
