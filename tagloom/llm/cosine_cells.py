@@ -17,7 +17,8 @@ forest, never the pairs. A pair is linked if either side visits the other.
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component, and rows without an id, link with nothing; vectors of different
 length are never compared; copies count as other vectors, so n copies alone have
-n - 1 links each.
+n - 1 links each; rows of one id with different vectors are different vectors, and
+each row has the links of its own.
 """
 
 from __future__ import annotations
@@ -173,8 +174,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     """One row a vector: id, n_links, component_id (smallest id reachable) and kept (id = component_id)."""
     rows = materialize(_parsed(df, id_col, vector_col), "cells-vectors")
     usable = rows.where("key is not null")
-    nodes = usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
-    nodes = materialize(nodes, "cells-nodes")
+    nodes = usable.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
+    # a number a vector, not an id: one id may have several vectors. Written, so the numbers stay
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "cells-nodes")
     centroids = _fit(nodes, nodes.count(), cell_rows, sample_rows)
     assigned = materialize(_assigned(nodes, centroids, threshold, spread), "cells-assigned")
     # one number a cell, and cells are bounded: at most MAX_CELLS for each length of vectors
@@ -191,7 +193,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "cells")
     classes = nodes.join(counts, "node", "left").join(roots, "node", "left")
-    classes = classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    classes = materialize(classes.select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "cells-rooted")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = classes.join(smallest, "root").select("key", "n_links", "component_id")
     out = rows.select("id", "key").join(materialize(classes, "cells-classes"), "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
