@@ -10,16 +10,17 @@ code-switched text. How well a text fits the learned languages, however it mixes
 them, is another mean over its words: the largest marginal times the share of the
 word's features that training saw.
 
-Training is bounded: about ``SAMPLE_DOCS`` labelled documents a language, chosen
-by the hash of the id, one segment of ``SEGMENT_WORDS`` words from each; the
-lexicon is that of the sample. Prediction reads every text whole, in slices of
+Training is bounded: about ``SAMPLE_DOCS`` distinct labelled texts a language (all,
+if there are no more), chosen by their hash, one segment of ``SEGMENT_WORDS`` words
+from each, without words of more than ``LONGEST_LEARNED`` letters; the lexicon is
+that of the sample. Prediction reads every text whole, in slices of
 bounded size. Within a slice the chain is cut into blocks of ``BLOCK`` words
 whose transfer matrices are composed, so a very long text is as quick as many
 short ones and exact.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing is labelled. Ties go to the label that sorts first.
-Repeated rows are treated alike.
+Repeated rows are treated alike, and ids play no part in learning.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from pyspark.sql import types as T
 from tagloom.llm.common import kept_columns, ref, schema_of, text_slices, with_arrays
 
 UNKNOWN = "und"
-SAMPLE_DOCS, SEGMENT_WORDS = 500, 64
+SAMPLE_DOCS, SEGMENT_WORDS, LONGEST_LEARNED = 500, 64, 64
+_DRAWS = 1 << 40
 SEQUENCE_WORDS, BUCKETS, STEPS, BLOCK = 48, 1 << 17, 50, 64
 MAX_WORDS_CACHED = 300_000
 
@@ -253,16 +255,17 @@ class _Predictor:
         return marginals(self.table[rows, :-1], bounds, self.matrix), self.table[rows, -1], bounds
 
 
-def learn(df: DataFrame, trusted: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, segment_words: int = SEGMENT_WORDS) -> LanguageModel:
+def learn(df: DataFrame, trusted: Column | None = None, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, segment_words: int = SEGMENT_WORDS) -> LanguageModel:
     """Fit on labelled rows (``trusted`` narrows them). One row a language and one bounded segment a sampled document reach the driver."""
     rows = df.where(ref(lang_col).isNotNull() & ref(text_col).isNotNull())
     rows = rows.where(trusted) if trusted is not None else rows
-    counts = {r[0]: r[1] for r in rows.groupBy(ref(lang_col)).count().collect()}
+    # Texts are drawn, not rows: whatever the ids, a text counts once a language, and a language with few texts has them all drawn.
+    dice = F.xxhash64(ref(text_col), F.lit(11))
+    counts = {r[0]: r[1] for r in rows.groupBy(ref(lang_col)).agg(F.count_distinct(dice)).collect()}
     if not counts:
         return LanguageModel.fit([])
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(min(1.0, sample_docs / n) * (1 << 20)) + 1)) for k, n in sorted(counts.items())))
-    dice = F.xxhash64(ref(id_col), F.lit(11))
-    sample = rows.where(F.pmod(dice, F.lit(1 << 20)) < share[ref(lang_col)]).select(ref(lang_col).alias("lang"), F.pmod(F.shiftright(dice, 21), F.lit(1 << 20)).alias("dice"), ref(text_col).alias("_tl_text"))
+    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(min(1.0, sample_docs / n) * _DRAWS) + 1)) for k, n in sorted(counts.items())))
+    sample = rows.where(F.pmod(dice, F.lit(_DRAWS)) < share[ref(lang_col)]).select(ref(lang_col).alias("lang"), dice.alias("dice"), ref(text_col).alias("_tl_text")).dropDuplicates(["lang", "dice"])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def segments(batches):
@@ -270,8 +273,8 @@ def learn(df: DataFrame, trusted: Column | None = None, *, id_col: str = "doc_id
             out = []
             for text, dice in zip(texts, batch.column(1).to_pylist()):
                 words = words_of(text)
-                at = dice % max(1, len(words) - segment_words + 1)
-                out.append([w[:64] for w in words[at : at + segment_words]])
+                at = (dice >> 40) % max(1, len(words) - segment_words + 1)
+                out.append([w for w in words[at : at + segment_words] if len(w) <= LONGEST_LEARNED])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
     found = sorted((r["lang"], r["words"]) for r in sample.mapInArrow(segments, schema).collect())
