@@ -1,28 +1,37 @@
 """Secret scans: rule spans, and formats learned by grammar inference.
 
 Three fixed rules find base spans. The values they find in a bounded sample of
-documents are labelled credentials. For every kind a prefix-tree acceptor of its
-values is built and statistically compatible states are merged (red-blue order,
-Hoeffding test), which gives a probabilistic automaton of the format. Every other
-candidate of the whole texts, a run of ``CANDIDATE_MIN`` or more value characters
-with a digit, is scored by its log likelihood under the automata against a
-character model of ordinary candidates; one that reaches the level of the
-weakest tenth of held-out credentials becomes a span of kind ``format``.
+documents are labelled credentials. For every kind a prefix tree of its values is
+built and states are merged to a probabilistic automaton of the format:
+
+* states that fewer than ``EVIDENCE`` values pass cannot be told apart by what
+  follows them; those of one depth whose paths used the same classes of characters
+  are one state, so position, length, alphabet and separators are kept;
+* the other states are merged in red-blue order if a Hoeffding test finds no
+  difference between them and between all that follows them (Alergia). States
+  without that evidence are never taken for equal.
+
+Every other candidate of the whole texts, a run of ``CANDIDATE_MIN`` or more value
+characters or what base spans leave of one, is scored by its log likelihood under
+the automata, its end included, against a character model of ordinary candidates;
+one that reaches the level of the weakest twentieth of held-out credentials of its kind becomes a
+span of kind ``format``.
 
 Learning is bounded: about ``SAMPLE_DOCS`` documents, chosen by the hash of the
-id, and ``SAMPLE_VALUES`` values a kind, chosen by their own hash, of at most
-``LEARN_CHARS`` characters. Scanning covers every text whole.
+text, of these ``SAMPLE_VALUES`` values a kind and ``SAMPLE_ORDINARY`` ordinary
+ones, chosen by their own hash, none of more than ``LONGEST_LEARNED`` characters.
+Scanning covers every text whole.
 
 Defined results: a null or empty text has no spans; repeated rows get equal
-spans; positions count code points, ends are exclusive. Without labelled
-credentials there are no automata and only base spans come out.
+spans; positions count code points, ends are exclusive; ids play no part. Without
+labelled credentials there are no automata and only base spans come out.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +46,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN, CANDIDATE_MIN = 12, 18, 16, 12
 
-SAMPLE_DOCS, SAMPLE_VALUES, LEARN_CHARS = 20_000, 400, 128
-#: Merge test: states count as equal unless they differ at this level of significance.
-MERGE_ALPHA = 0.05
+SAMPLE_DOCS, SAMPLE_VALUES, SAMPLE_ORDINARY, LONGEST_LEARNED = 20_000, 1000, 4000, 256
+#: Merge test: states count as equal unless they differ at this level of significance; it takes so many values to tell.
+MERGE_ALPHA, EVIDENCE = 0.05, 20
+_DRAWS = 1 << 40
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
 
-_VALUE, _HEX, _DIGIT = 1, 2, 4
+_VALUE, _HEX = 1, 2
 _CLASS = np.zeros(129, np.uint8)
 for _c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-":
     _CLASS[ord(_c)] |= _VALUE
 for _c in "0123456789abcdef":
     _CLASS[ord(_c)] |= _HEX
-for _c in "0123456789":
-    _CLASS[ord(_c)] |= _DIGIT
 
 
 def _runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,157 +77,207 @@ def _scan(joined: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(joined) if m.end() - m.start() >= ACCESS_MIN]
     spans += [(a, 2, b) for a, b in zip(*(x.tolist() for x in _runs(classes & _HEX > 0, HEX_MIN)))]
     spans.sort()
-    starts, ends = _runs(classes & _VALUE > 0, CANDIDATE_MIN)
-    digits = np.concatenate([[0], np.cumsum(classes & _DIGIT > 0)])
-    taken = np.zeros(len(codes) + 1, np.int32)
+    # what base spans leave of the runs of value characters
+    left = classes & _VALUE > 0
     for a, _, b in spans:
-        taken[a] += 1
-        taken[b] -= 1
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(taken)[:-1] > 0)])
-    free = (digits[ends] > digits[starts]) & (covered[ends] == covered[starts])
-    return spans, list(zip(starts[free].tolist(), ends[free].tolist()))
+        left[a:b] = False
+    starts, ends = _runs(left, CANDIDATE_MIN)
+    return spans, list(zip(starts.tolist(), ends.tolist()))
 
 
 # --- grammar inference ------------------------------------------------------
 
+_CLASSES = ("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ", *"+/_.=-")
+#: bit of a character's class; separators are classes of their own
+CLASS_BIT = {c: 1 << i for i, cs in enumerate(_CLASSES) for c in cs}
+
 
 class Automaton:
-    """Probabilistic automaton: per state the transitions, their counts and the count of ends."""
+    """Probabilistic automaton: per state the transitions, their counts, the count of ends and of values that pass."""
 
-    def __init__(self, values: list[str]):
+    def __init__(self, values: list[str], evidence: int = EVIDENCE):
+        self.evidence = evidence
         self.next: list[dict[str, int]] = [{}]
-        self.counts: list[dict[str, int]] = [defaultdict(int)]
-        self.ends = [0]
-        self.seen = [0]
+        self.counts: list[dict[str, int]] = [{}]
+        self.ends, self.seen = [0], [0]
+        passing = Counter(v[:i] for v in values for i in range(1, len(v) + 1))
+        names: dict[object, int] = {}
         for value in values:
-            state = 0
-            for c in value:
-                self.seen[state] += 1
-                self.counts[state][c] += 1
-                if c not in self.next[state]:
-                    self.next[state][c] = len(self.next)
+            at, used = 0, 0
+            for i, c in enumerate(value):
+                used |= CLASS_BIT.get(c, 0)
+                # the prefix's own state, or that of its depth and classes where too few values pass
+                name = value[: i + 1] if passing[value[: i + 1]] >= evidence else (i + 1, used)
+                if name not in names:
+                    names[name] = len(self.next)
                     self.next.append({})
-                    self.counts.append(defaultdict(int))
+                    self.counts.append({})
                     self.ends.append(0)
                     self.seen.append(0)
-                state = self.next[state][c]
-            self.seen[state] += 1
-            self.ends[state] += 1
+                self.seen[at] += 1
+                self.counts[at][c] = self.counts[at].get(c, 0) + 1
+                self.next[at][c] = names[name]
+                at = names[name]
+            self.seen[at] += 1
+            self.ends[at] += 1
+        # a character that no value had here leads where its class does
+        for name, at in [("", 0), *names.items()]:
+            depth, used = (len(name), sum({CLASS_BIT.get(c, 0) for c in name})) if isinstance(name, str) else name
+            for c, bit in CLASS_BIT.items():
+                to = names.get((depth + 1, used | bit))
+                if to is not None and (used & bit or not depth):
+                    self.next[at].setdefault(c, to)
+                    self.counts[at].setdefault(c, 0)
+        self.same = list(range(len(self.next)))
         self._merge_compatible()
-        self.alphabet = len({c for s in self.counts for c in s}) + 1
+        self.next = [{c: self._of(t) for c, t in row.items()} for row in self.next]
+        self.alphabet = len({c for s in self.reachable() for c in self.counts[s]}) + 1
 
-    def _alike(self, a: int, b: int) -> bool:
-        """Hoeffding test of two states and of all that follows them."""
-        todo = [(a, b)]
+    def reachable(self) -> list[int]:
+        found, todo = {0}, [0]
+        while todo:
+            for t in self.next[todo.pop()].values():
+                if t not in found:
+                    found.add(t)
+                    todo.append(t)
+        return sorted(found)
+
+    def _of(self, state: int) -> int:
+        """The state that a merged one has become."""
+        while self.same[state] != state:
+            self.same[state] = self.same[self.same[state]]
+            state = self.same[state]
+        return state
+
+    def _alike(self, a: int, b: int, apart: set[tuple[int, int]], path: set[tuple[int, int]]) -> bool:
+        """Hoeffding test of two states and of all that follows them; ``apart`` keeps pairs that failed."""
+        a, b = self._of(a), self._of(b)
+        pair = (min(a, b), max(a, b))
+        if a == b or pair in path:
+            return True
+        if pair in apart:
+            return False
+        na, nb = self.seen[a], self.seen[b]
+        if min(na, nb) < self.evidence:
+            return True  # nothing speaks against it; whether that is enough is asked of the first pair only
+        bound = math.sqrt(0.5 * math.log(2 / MERGE_ALPHA)) * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
+        shares = [(self.ends[a] / na, self.ends[b] / nb)] + [(self.counts[a].get(c, 0) / na, self.counts[b].get(c, 0) / nb) for c in self.counts[a].keys() | self.counts[b].keys()]
+        path.add(pair)
+        good = all(abs(x - y) <= bound for x, y in shares) and all(self._alike(self.next[a][c], self.next[b][c], apart, path) for c in sorted(self.next[a].keys() & self.next[b].keys()))
+        if not good:
+            apart.add(pair)
+        return good
+
+    def _merge(self, into: int, other: int) -> None:
+        """Make two states one, and with them their successors by equal characters."""
+        todo = [(into, other)]
         while todo:
-            a, b = todo.pop()
-            if not self.seen[a] or not self.seen[b]:
+            a, b = map(self._of, todo.pop())
+            if a == b:
                 continue
-            bound = math.sqrt(0.5 * math.log(2 / MERGE_ALPHA)) * (1 / math.sqrt(self.seen[a]) + 1 / math.sqrt(self.seen[b]))
-            if abs(self.ends[a] / self.seen[a] - self.ends[b] / self.seen[b]) > bound:
-                return False
-            for c in self.counts[a].keys() | self.counts[b].keys():
-                if abs(self.counts[a].get(c, 0) / self.seen[a] - self.counts[b].get(c, 0) / self.seen[b]) > bound:
-                    return False
-                if c in self.next[a] and c in self.next[b]:
+            self.same[b] = a
+            self.seen[a] += self.seen[b]
+            self.ends[a] += self.ends[b]
+            for c, n in self.counts[b].items():
+                self.counts[a][c] = self.counts[a].get(c, 0) + n
+                if c in self.next[a]:
                     todo.append((self.next[a][c], self.next[b][c]))
-        return True
-
-    def _fold(self, into: int, tree: int) -> None:
-        """Add the counts of a still tree-shaped part to a state and its successors."""
-        todo = [(into, tree)]
-        while todo:
-            into, tree = todo.pop()
-            self.seen[into] += self.seen[tree]
-            self.ends[into] += self.ends[tree]
-            for c, n in self.counts[tree].items():
-                self.counts[into][c] += n
-                child = self.next[tree][c]
-                if c in self.next[into]:
-                    todo.append((self.next[into][c], child))
                 else:
-                    self.next[into][c] = child
+                    self.next[a][c] = self.next[b][c]
 
     def _merge_compatible(self) -> None:
-        red = [0]
+        red, apart = [0], set()
         while True:
-            known = set(red)
-            border = [(r, c, t) for r in red for c, t in self.next[r].items() if t not in known]
+            red = list(dict.fromkeys(map(self._of, red)))
+            border = {self._of(t) for r in red for t in self.next[r].values()} - set(red)
             if not border:
                 return
-            r, c, blue = max(border, key=lambda x: (self.seen[x[2]], -x[2]))
-            for state in red:
-                if self._alike(state, blue):
-                    self.next[r][c] = state
-                    self._fold(state, blue)
-                    break
-            else:
+            blue = max(border, key=lambda t: (self.seen[t], -t))
+            known = self.seen[blue] >= self.evidence
+            twin = next((r for r in red if known and self.seen[r] >= self.evidence and self._alike(r, blue, apart, set())), None)
+            if twin is None:
                 red.append(blue)
+            else:
+                self._merge(twin, blue)
+                apart = set()  # counts have changed
 
     def log_likelihood(self, value: str) -> float:
+        """Of the value as a whole: its characters and its end."""
         state, total = 0, 0.0
         for c in value:
-            seen = self.seen[state] + self.alphabet if state >= 0 else 0
-            total += math.log((self.counts[state].get(c, 0) + 0.1) / seen) if seen else -math.log(10 * self.alphabet)
-            state = self.next[state].get(c, -1) if state >= 0 else -1
-        return total
+            if state is None:
+                return total - (math.log(10 * self.alphabet)) * 2 * len(value)  # left the format: no such value
+            total += math.log((self.counts[state].get(c, 0) + 0.5) / (self.seen[state] + 0.5 * self.alphabet))
+            state = self.next[state].get(c)
+        if state is None:
+            return total - math.log(10 * self.alphabet) * len(value)
+        return total + math.log((self.ends[state] + 0.5) / (self.seen[state] + 0.5 * self.alphabet))
 
 
 class Background:
-    """Order-1 character model of ordinary candidates."""
+    """Character model of ordinary candidates: pairs, mixed with single characters, as many words hold a pair never seen."""
 
     def __init__(self, values: list[str]):
         self.pairs: dict[str, int] = defaultdict(int)
         self.firsts: dict[str, int] = defaultdict(int)
+        self.single: dict[str, int] = defaultdict(int)
         for value in values:
             for a, b in zip("\n" + value, value):
                 self.pairs[a + b] += 1
                 self.firsts[a] += 1
+                self.single[b] += 1
+        self.total = sum(self.single.values())
+
+    def _share(self, a: str, b: str) -> float:
+        alone = (self.single.get(b, 0) + 0.5) / (self.total + 0.5 * len(CLASS_BIT))
+        return 0.8 * self.pairs.get(a + b, 0) / max(1, self.firsts.get(a, 0)) + 0.2 * alone
 
     def log_likelihood(self, value: str) -> float:
-        return sum(math.log((self.pairs.get(a + b, 0) + 0.5) / (self.firsts.get(a, 0) + 35)) for a, b in zip("\n" + value, value))
+        return sum(math.log(self._share(a, b)) for a, b in zip("\n" + value, value))
 
 
 class SecretModel:
-    """Automata by kind, the background, and the score from which a candidate counts as a secret."""
+    """Automata by kind, the background, and for each kind the score from which a candidate counts as a secret."""
 
     def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
         fit = {k: v[: max(1, len(v) * 4 // 5)] for k, v in credentials.items() if v}
         self.automata = {k: Automaton(v) for k, v in sorted(fit.items())}
         self.background = Background(ordinary)
-        held = sorted(self.score(v) for k, v in credentials.items() for v in credentials[k][len(fit.get(k, [])) :])
-        self.least = max(0.5, held[len(held) // 10]) if held else 0.5
+        self.least = {}
+        for k in self.automata:
+            held = sorted(self.ratios(v)[k] for v in credentials[k][len(fit[k]) :])
+            self.least[k] = max(0.5, held[len(held) // 20]) if held else 0.5
+
+    def ratios(self, value: str) -> dict[str, float]:
+        """Log likelihood ratio a character by kind."""
+        ordinary = self.background.log_likelihood(value)
+        return {k: (a.log_likelihood(value) - ordinary) / len(value) for k, a in self.automata.items()}
 
-    def score(self, value: str) -> float:
-        """Log likelihood ratio a character of the best format."""
-        if not self.automata or not value:
-            return -math.inf
-        return (max(a.log_likelihood(value) for a in self.automata.values()) - self.background.log_likelihood(value)) / len(value)
+    def score(self, value: str) -> float | None:
+        """Ratio of the best format among those whose level the value reaches; None if it reaches none."""
+        return max((r for k, r in self.ratios(value).items() if r >= self.least[k]), default=None) if value else None
 
 
-def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> SecretModel:
-    """Fit the automata on the base values of a bounded sample of documents (one scan, at most 4 x ``sample_values`` rows to the driver)."""
+def learn(df: DataFrame, *, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES, sample_ordinary: int = SAMPLE_ORDINARY) -> SecretModel:
+    """Fit the automata on the base values of a bounded sample of documents (a count and one scan; only the chosen values reach the driver)."""
     fraction = min(1.0, sample_docs / max(1, df.count()))
-    sample = df.where(F.pmod(F.xxhash64(ref(id_col)), F.lit(1 << 20)) < int(fraction * (1 << 20)) + 1).select(ref(text_col).alias("_tl_text"))
+    sample = df.where(F.pmod(F.xxhash64(ref(text_col)), F.lit(_DRAWS)) < int(fraction * _DRAWS) + 1).select(ref(text_col).alias("_tl_text"))
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
 
     def values(batches):
         for _, texts in text_slices(batches, "_tl_text"):
             joined = "\n".join(t or "" for t in texts)
             spans, free = _scan(joined)
-            rows = []
-            for a, k, b in spans:
-                value = joined[a:b]
-                rows.append((KINDS[k], ASSIGN.match(value)[2] if k == 0 else value))
-            rows += [("ordinary", joined[a:b]) for a, b in free]
-            rows = sorted({(k, v[:LEARN_CHARS]) for k, v in rows})
+            rows = {(KINDS[k], ASSIGN.match(joined, a, b)[2] if k == 0 else joined[a:b]) for a, k, b in spans}
+            rows |= {("ordinary", joined[a:b]) for a, b in free}
+            rows = sorted(r for r in rows if len(r[1]) <= LONGEST_LEARNED)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["kind", "value"])
 
     found = materialize(sample.mapInArrow(values, schema).distinct(), "secrets-sample")
     picked: dict[str, list[str]] = {}
     rows = None
-    for kind in (*KINDS[:3], "ordinary"):
-        part = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample_values)
+    for kind, most in [*((k, sample_values) for k in KINDS[:3]), ("ordinary", sample_ordinary)]:
+        part = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(most)
         rows = part if rows is None else rows.unionByName(part)
     for r in rows.collect():
         picked.setdefault(r["kind"], []).append(r["value"])
@@ -241,9 +299,14 @@ def _spans_of(texts: list[str | None], model: SecretModel) -> list[list[tuple[in
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
     spans, free = _scan(joined)
     scored = [(a, k, b, 1.0) for a, k, b in spans]
-    for a, b in free:
-        if (s := model.score(joined[a:b])) >= model.least:
-            scored.append((a, 3, b, round(s, 6)))
+    if model.automata:
+        known: dict[str, float | None] = {}  # ordinary words come again and again
+        for a, b in free:
+            value = joined[a:b]
+            if value not in known:
+                known[value] = model.score(value)
+            if known[value] is not None:
+                scored.append((a, 3, b, round(known[value], 6)))
     scored.sort()
     out: list[list] = [[] for _ in texts]
     owners = np.searchsorted(begins, [s[0] for s in scored], "right") - 1
