@@ -18,7 +18,6 @@ lead to.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Mapping
 from functools import reduce
 
@@ -30,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tagloom.functions.registry import program
 from tagloom.operators.series import SeriesSpec, _as_long, lay_out
-from tagloom.session import ensure_checkpoint_dir, materialize
+from tagloom.session import materialize, scratch_path
 
 #: elements combined in one group of the parallel prefix
 FAN = 64
@@ -54,7 +53,7 @@ def run_program(
     checkpoint folder.
     """
     spark = df.sparkSession
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/program-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "program")
     prog = program(name)
     settings, types = prog.params(**(params or {})), dict(output_types or {})
     by, order = list(spec.by), list(spec.order)

@@ -21,6 +21,7 @@ from tagloom.operators import series as S
 from tagloom.operators.program import run_program
 from tagloom.functions import math as M
 from tagloom.functions.formula import formula_columns as _formulas
+from tagloom.session import scratch_path
 from tagloom.sources import csv_template as CSV
 from tagloom.sources import envelope as J
 from tagloom.sources import generate as G
@@ -640,11 +641,7 @@ def export_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-export-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv-export")
     CSV.export_csv(_wide_export(spark, sf), path, "prediction", exclude=["l_orderkey", "l_linenumber"])
     back = CSV.read_template_csv(spark, path, "prediction")
     return back.select("time", *[F.col(f"`{c}`") for c in back.columns if c not in ("time", "time_text")])
@@ -656,13 +653,9 @@ CSV_TIME_TEXTS = {"MMM d yyyy HH:mm": "minute", "yyyyMMdd HHmmss": "second", "MM
 
 def csv_time_formats(spark: SparkSession, sf: str) -> DataFrame:
     """One CSV a style of time text, each read back by the formats induced from it."""
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
     out = None
     for i, style in enumerate(CSV_TIME_TEXTS):
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-times-{i}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"csv-times-{i}")
         ev = table(spark, sf, "events").select(F.date_format("ts", style).alias("time"), F.col("event_id").alias("EVENT"), F.col("value").alias("VALUE"))
         ev.coalesce(1).write.option("header", True).csv(path)
         back = CSV.read_template_csv(spark, path).select(F.lit(i).alias("style"), F.col("EVENT").cast("long").alias("event_id"), "time", F.col("VALUE").alias("value"))
@@ -797,11 +790,7 @@ QUERIES.update({"slew_limit": slew_limit, "slew_limit_slow": slew_limit_slow, "s
 # --- Structured Streaming (T1-T5): availableNow runs over the events table ------
 
 def _stream_paths(spark: SparkSession, tag: str) -> tuple[str, str]:
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, f"stream-{tag}")
     return f"{base}/out", f"{base}/ckpt"
 
 
@@ -918,33 +907,21 @@ QUERIES.update(
 # --- history table sink/scan (S1, S10) and tag selection (F7) ----------------------
 
 def history_table_query(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "history")
     write_history(events_history(spark, sf), path, mode="append")
     h = read_history(spark, path)
     return Q.query_history(h, instance_name=ONE_INSTANCE, start_time=RANGE_START, end_time=RANGE_END, limit=1000)
 
 
 def history_tag_filter(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "history")
     write_history(events_history(spark, sf), path, cluster="curve")
     return Q.query_history(read_history(spark, path), param_name=ONE_TAG, limit=None)
 
 
 def _appended(spark: SparkSession, sf: str) -> str:
     """History written by two appends, which keep the rollup."""
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rolled-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "rolled")
     rows = events_history(spark, sf).drop("id")
     for late in (False, True):
         append_history(rows.filter((F.col("timestamp") >= F.lit(RANGE_END).cast("timestamp_ntz")) == late), path)
@@ -965,11 +942,7 @@ def latest_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def append_two_batches(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    from tagloom.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/append-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "append")
     rows = events_history(spark, sf).drop("id")
     for late in (False, True):  # the second append goes on with the ids of the first
         append_history(rows.filter((F.col("timestamp") >= F.lit(RANGE_END).cast("timestamp_ntz")) == late), path)

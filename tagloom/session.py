@@ -7,6 +7,7 @@ created for ``local[...]`` masters (tests, laptops) when the setting is unset.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -64,13 +65,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder shared by all executors")
 
 
+_folders: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder of the checkpoint folder, inside that of the current :func:`scratch`."""
+    base = _folders[-1] if _folders else ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What operators write on their way inside goes to a folder of its own, which is deleted at the end.
+
+    Results that are still to be read must be written elsewhere, or collected, inside.
+    """
+    folder = scratch_path(spark, "scratch")
+    _folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the checkpoint folder as Parquet and read it back: a short lineage that outlives executors.
 
     Later reads take only the columns they need. Columns of the type ``void``
     are written as null strings, which Parquet can hold.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     void = [f.name for f in df.schema if f.dataType == NullType()]
     df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void}) if void else df
     df.write.parquet(path)

@@ -121,3 +121,18 @@ def test_a_noted_batch_whose_rows_never_came(spark, tmp_path):
     assert {tuple(r) for r in RU.statistics_rollup(spark, path).collect()} == _plain(h)
     h = _stored(spark, path, batches=1)  # takes the same ids
     assert h.count() == 1800 and {tuple(r) for r in RU.statistics_rollup(spark, path).collect()} == _plain(h)
+
+
+def test_scratch_folders_are_dropped(spark):
+    import os
+
+    from tagloom.plans import catalog
+    from tagloom.session import scratch
+
+    with scratch(spark) as folder:
+        rows = catalog.sampled_query(spark, "/root/testdata/sf0.001").count()
+        assert rows and os.listdir(folder.removeprefix("file:"))
+        with scratch(spark) as inner:
+            assert catalog.program_total(spark, "/root/testdata/sf0.001").count() == 1000 and inner.startswith(folder)
+        assert not os.path.exists(inner.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
