@@ -12,7 +12,8 @@ for the groups themselves):
 1. one aggregate carries the last target over chunk borders;
 2. each chunk walks the paths from both ends of the range. Maps are monotone, so
    these bound its exits, and with that the entries of the next chunk. Where the
-   paths meet, the usual case, the map is a constant;
+   paths meet, the usual case, the map is a constant, and the next entry is known;
+   if they do in all chunks, step 6 follows;
 3. the other chunks build their exit map, on the entries that can reach them only;
 4. maps of up to ``FAN`` consecutive chunks compose to the map of a block, blocks to
    larger blocks, until one block covers a series; fewer, but two at least, where
@@ -200,10 +201,11 @@ def chunked_fold(df: DataFrame, spec: SeriesSpec, target: Column, lo: float, hi:
     chunks = laid.groupBy(*by, "_at").agg(F.max_by("_T", F.when(F.col("_T").isNotNull(), spec.order_key())).alias("_last"), F.min("_init").alias("_init"))
     before = Window.partitionBy(*by).orderBy("_at")
     carry = F.last("_last", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    chunks = materialize(chunks.select(*by, "_at", "_init", F.coalesce(carry, F.col("_init")).alias("_held")), "fold-chunks")
+    chunks = chunks.select(*by, "_at", "_init", F.coalesce(carry, F.col("_init")).alias("_held"))
     knots = T.ArrayType(T.DoubleType())
     key_schema = [laid.schema[c] for c in (*by, "_at", "_init")]
-    end_schema = T.StructType([*key_schema, T.StructField("_low", T.DoubleType()), T.StructField("_high", T.DoubleType())])
+    held_field = T.StructField("_held", T.DoubleType())
+    end_schema = T.StructType([*key_schema, held_field, T.StructField("_low", T.DoubleType()), T.StructField("_high", T.DoubleType())])
     map_schema = T.StructType([*key_schema, T.StructField("_x", knots), T.StructField("_y", knots)])
     out_schema = T.StructType([*(laid.schema[c] for c in keep if c != out), T.StructField(out, T.DoubleType())])
 
@@ -220,7 +222,7 @@ def chunked_fold(df: DataFrame, spec: SeriesSpec, target: Column, lo: float, hi:
         table, targets = held(table)
         init = table["_init"][0].as_py()
         low, high = ends_of(targets, lo, hi, dist, min(lo, init), max(hi, init))
-        return pa.table(_head(table, [*by, "_at", "_init"]) | {"_low": pa.array([low]), "_high": pa.array([high])})
+        return pa.table(_head(table, [*by, "_at", "_init", "_held"]) | {"_low": pa.array([low]), "_high": pa.array([high])})
 
     def to_map(table: pa.Table) -> pa.Table:
         table, targets = held(table)
@@ -232,22 +234,25 @@ def chunked_fold(df: DataFrame, spec: SeriesSpec, target: Column, lo: float, hi:
         return table.select(out_schema.names[:-1]).append_column(out, pa.array(path[1:], pa.float64()))
 
     key = [*by, "_at"]
-    narrow = laid.select(*list(dict.fromkeys([*key, *order, "_T"]))).join(chunks, key)
-    ends = materialize(narrow.groupBy(*key).applyInArrow(lambda _, t: to_ends(t), end_schema), "fold-ends")
+    columns = laid.select(*list(dict.fromkeys([*key, *order, "_T"])))
+    ends = materialize(columns.join(chunks, key).groupBy(*key).applyInArrow(lambda _, t: to_ends(t), end_schema), "fold-ends")
     # a chunk is entered between the exits of the one before, the first one at the initial value
     entered = {f"_e{c}": F.coalesce(F.lag(f"_{c}").over(before), F.col("_init")) for c in ("low", "high")}
     ends = ends.withColumns(entered)
     met = F.col("_low") == F.col("_high")
+    if ends.where(~met).isEmpty():  # then every entry is known already
+        info = ends.select(*key, "_held", F.col("_elow").alias("_entry"))
+        return laid.join(info, key).groupBy(*key).applyInArrow(lambda _, t: to_rows(t), out_schema)
     known = ends.where(met).select(*key, "_init", F.array("_elow", "_ehigh").alias("_x"), F.array("_low", "_low").alias("_y"))
-    wanted = ends.where(~met).select(*key, "_elow", "_ehigh")
-    built = narrow.join(wanted, key).groupBy(*key).applyInArrow(lambda _, t: to_map(t), map_schema)
+    wanted = ends.where(~met).select(*key, "_init", "_held", "_elow", "_ehigh")
+    built = columns.join(wanted, key).groupBy(*key).applyInArrow(lambda _, t: to_map(t), map_schema)
     maps = materialize(known.unionByName(built), "fold-maps")
     # places without gaps a series, so that blocks are full
     places = maps.select(*key, (F.row_number().over(before) - 1).cast("long").alias("_place"))
     maps = maps.join(places, key).drop("_at").withColumnRenamed("_place", "_at").select(*map_schema.names)
     most = places.agg(F.max("_place")).first()[0]
     entries = _entries(maps, by, (most or 0) + 1).withColumnRenamed("_at", "_place").join(places, [*by, "_place"]).drop("_place")
-    info = entries.join(chunks.drop("_init"), key)
+    info = entries.join(ends.select(*key, "_held"), key)
     return laid.join(info, key).groupBy(*key).applyInArrow(lambda _, t: to_rows(t), out_schema)
 
 
