@@ -163,7 +163,11 @@ def _sampled_rows(wide: DataFrame, template: ExportTemplate, exclude: Sequence[s
         raise ValueError("export column names collide after upper-casing")
     sim = F.coalesce(F.col("sim_time").cast("double"), F.lit(0.0)) if "sim_time" in wide.columns else F.lit(0.0)
     cycle = F.col("cycle_count").cast("long") if "cycle_count" in wide.columns else F.lit(0).cast("long")
-    return rows.select(*[F.col(f"`{t}`") for t in tags], sim.alias("_order"), cycle.alias("_tie")), tags, names
+    return rows.select(*[F.expr(_quoted(t)) for t in tags], sim.alias("_order"), cycle.alias("_tie")), tags, names
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _text_rows(rows: DataFrame, types: dict, tags: list[str], names: list[str], template: ExportTemplate) -> DataFrame:
@@ -177,14 +181,15 @@ def _text_rows(rows: DataFrame, types: dict, tags: list[str], names: list[str],
     pos = {t: i for i, t in enumerate(doubles)}
     staged = rows
     if doubles:
-        java_text = F.array(*[F.col(f"`{t}`").cast("double") for t in doubles]).cast("array<string>")  # compiled
+        # as SQL text: a call to the JVM each for hundreds of columns would cost more than a small export
+        java_text = F.expr("array(" + ", ".join(f"cast({_quoted(t)} AS double)" for t in doubles) + ")").cast("array<string>")  # compiled
         staged = rows.withColumn("_dtxt", F.transform(java_text, py_text_from_java))
     for t, n in zip(tags, names):
         if t in pos:
-            cols.append(F.element_at(F.col("_dtxt"), pos[t] + 1).alias(n))
+            cols.append(F.expr(f"_dtxt[{pos[t]}] AS {_quoted(n)}"))
         else:
             cols.append(value_text(F.col(f"`{t}`"), types[t]).alias(n))
-    return staged.select(*cols, "_order")
+    return staged.select(*cols, "_order", *(["_tie"] if "_tie" in rows.columns else []))
 
 
 def export_projection(wide: DataFrame, template: ExportTemplate, exclude: Sequence[str] = ()) -> DataFrame:
@@ -200,8 +205,8 @@ def export_csv(wide: DataFrame, path: str, template: ExportTemplate | str, singl
     range sampling job only evaluates the cheap raw rows); text is built after
     the exchange, once. The header rows are a one-partition frame unioned in
     front: a union keeps its children's partition order, so part files in
-    name order concatenate into the CSV (header first). ``single_file`` merges
-    the ordered partitions into one writer task.
+    name order concatenate into the CSV (header first). ``single_file`` builds the
+    text in all tasks and sorts and writes it in one.
     """
     template = load_template(template) if isinstance(template, str) else template
     rows, tags, names = _sampled_rows(wide, template, exclude)
@@ -209,26 +214,23 @@ def export_csv(wide: DataFrame, path: str, template: ExportTemplate | str, singl
         return 0
     spark = wide.sparkSession
     n = 1 if single_file else (num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartition(1) if n == 1 else rows.repartitionByRange(n, "_order", "_tie")
-    text = _text_rows(ordered.sortWithinPartitions("_order", "_tie"), {t: wide.schema[t].dataType for t in tags}, tags, names, template).drop("_order")
-    # literals over a range: a frame made of Python rows costs a third of a small export
-    titles = [template.time_column_name, *names]
-    described = [DEFAULT_TIME_DESCRIPTION] + [DEFAULT_PARAM_DESCRIPTION] * len(names)
-    header = spark.range(0, template.header_rows, 1, 1)
-    hdr = header.select(*[F.when(F.col("id") == 0, F.lit(t)).otherwise(F.lit(d)).alias(t) for t, d in zip(titles, described)])
-    allrows = hdr.union(text)
-    if single_file:
-        allrows = allrows.coalesce(1)
-    (
-        allrows.write.mode("overwrite")
-        .option("header", False)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .option("lineSep", "\r\n")
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
+    types = {f.name: f.dataType for f in wide.schema.fields}
+    if n == 1:  # the text is made by all tasks, before the rows meet in one
+        text = _text_rows(rows, types, tags, names, template).repartition(1).sortWithinPartitions("_order", "_tie")
+    else:
+        text = _text_rows(rows.repartitionByRange(n, "_order", "_tie").sortWithinPartitions("_order", "_tie"), types, tags, names, template)
+    text = text.drop("_order", "_tie")
+    if single_file and template.header_rows == 1:
+        out = text.toDF(template.time_column_name, *names).write.option("header", True)  # one file has one header: the writer's
+    else:
+        # literals over a range: a frame made of Python rows costs a third of a small export
+        titles = [template.time_column_name, *names]
+        described = [DEFAULT_TIME_DESCRIPTION] + [DEFAULT_PARAM_DESCRIPTION] * len(names)
+        header = spark.range(0, template.header_rows, 1, 1)
+        hdr = header.select(*[F.when(F.col("id") == 0, F.lit(t)).otherwise(F.lit(d)).alias(t) for t, d in zip(titles, described)])
+        allrows = hdr.union(text)
+        out = (allrows.coalesce(1) if single_file else allrows).write.option("header", False)
+    out.mode("overwrite").options(escape='"', emptyValue="", nullValue="", lineSep="\r\n", encoding="UTF-8").csv(path)
     return 1
 
 
