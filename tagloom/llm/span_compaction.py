@@ -266,7 +266,8 @@ def verify(spans: DataFrame, df: DataFrame, *, id_col: str = "doc_id", text_col:
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """Per row: id, n_words, n_removed, spans (start, end; merged) and kept_text, the other words joined by one space."""
     spans = repeated_spans(df, id_col=id_col, text_col=text_col, window=window, **options)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # equal rows find equal spans: a set keeps one of each, on the map side already
+    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     docs = df.select(ref(id_col).alias("id"), F.hash(ref(text_col)).alias("_tl_tag"), ref(text_col).cast("binary").alias("_tl_text"))
     docs = docs.join(spans, (docs.id == spans.doc) & (docs._tl_tag == spans.tag), "left").select("id", "_tl_text", F.array_sort("spans").alias("spans"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

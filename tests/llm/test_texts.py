@@ -375,6 +375,14 @@ def test_words_at_the_sources_coordinates_are_equal(spark):
     assert span_compaction.verify(wrong, docs).where("equal").count() < 50
 
 
+def test_many_equal_rows_carry_each_span_once(spark):
+    text = " ".join(f"w{i * i % 101}x{i}" for i in range(120))
+    docs = [(1, text)] + [(7, text)] * 40 + [(8, "new " + text)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in span_compaction.remove_repeats(df).collect()]
+    assert Counter(got) == Counter([(1, 120, 0)] + [(7, 120, 120)] * 40 + [(8, 121, 120)])
+
+
 def test_repeats_on_odd_rows(odd_docs, no_docs):
     want = Counter(brute_repeats([(r.doc_id, r.text) for r in odd_docs.collect()]))
     out = rows_of(span_compaction.remove_repeats(odd_docs))
