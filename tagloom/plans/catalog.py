@@ -851,7 +851,9 @@ def _keyed(spark: SparkSession, sf: str, tag: str, prog: str, inputs: dict, para
     out, ckpt = _stream_paths(spark, tag)
     ev = with_closing(_events_stream(spark, sf).withColumn("us", micros("ts")), "us", f"{out}-closing")
     res = keyed_state(ev, prog, ["event_type"], "us", inputs, params, passthrough=["event_id"], output_types=outputs, tie_break=["event_id"])
-    return run_available(res, out, ckpt, closing=("us", f"{out}-closing"))
+    # a store for each core: a store a shuffle partition costs more to open than the rows to step
+    cores = spark.sparkContext.defaultParallelism
+    return run_available(res, out, ckpt, closing=("us", f"{out}-closing"), state_partitions=min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def stream_slew(spark: SparkSession, sf: str) -> DataFrame:

@@ -146,18 +146,19 @@ def new_tags(history: DataFrame) -> DataFrame:
     )
 
 
-def run_available(df: DataFrame, path: str, checkpoint_location: str, mode: str = "append", closing: tuple[str, str] | None = None) -> DataFrame:
+def run_available(df: DataFrame, path: str, checkpoint_location: str, mode: str = "append", closing: tuple[str, str] | None = None, state_partitions: int | None = None) -> DataFrame:
     """Drive a streaming frame to completion (availableNow) into parquet at ``path``; return it as a table.
 
     Append mode uses the file sink (exactly-once via its commit log); complete /
     update modes overwrite ``path`` with each epoch's result in ``foreachBatch``.
     ``closing`` = (time column, folder) of :func:`with_closing`: the query runs a
-    second time after the closing row, which releases the rows that still wait.
+    second time after the closing row, which releases the rows that still wait;
+    ``state_partitions`` are those of its state, by default the session's.
     """
     spark = df.sparkSession
     w = df.writeStream.option("checkpointLocation", checkpoint_location).trigger(availableNow=True).outputMode(mode)
     w = w.format("parquet").option("path", path) if mode == "append" else w.foreachBatch(lambda b, _e: b.write.mode("overwrite").parquet(path))
-    with rocksdb(spark) if closing else contextlib.nullcontext():
+    with rocksdb(spark, state_partitions) if closing else contextlib.nullcontext():
         w.start().awaitTermination()
         if closing:
             close(spark, *closing)

@@ -143,14 +143,21 @@ def keyed_state(
 
 
 @contextlib.contextmanager
-def rocksdb(spark: SparkSession):
-    """State of queries that start inside goes to RocksDB, as ``transformWithState`` needs."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+def rocksdb(spark: SparkSession, partitions: int | None = None):
+    """State of queries that start inside goes to RocksDB, as ``transformWithState`` needs.
+
+    ``partitions`` of the state (of the session's shuffles, if not given) are fixed
+    by a query's first start; one for each core is enough.
+    """
+    wanted = {_STORE: _ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def with_closing(stream: DataFrame, order_col: str, folder: str) -> DataFrame:
