@@ -6,19 +6,20 @@
 1. A pass over the texts cuts them into words (matches of the split pattern) and
    writes one row a document, with its words as numbers into the table of its
    *slice*, and one row a slice with that table. A slice is what one task met
-   until its table held ``slice_words`` words or ``slice_chars`` characters, so
+   until its table held ``SLICE_WORDS`` words or ``SLICE_CHARS`` characters, so
    neither a task's memory nor a later group grows with the corpus. The rows are
    bucketed by slice, so they are not moved again.
 2. The words of all slices meet by word. Each distinct word is encoded once: its
    bytes start as pieces, and a fold (``aggregate`` over as many steps as the word
    has bytes) merges the neighbouring pair of least rank until none is left. The
-   ranks are a literal: an array of small maps, addressed by the hash of the piece.
+   ranks are a literal map: two arrays by slot, a piece in one of the two slots that
+   its hash names.
 3. (slice, number, ids) goes back to its slice and the documents look their ids up
    by number. Decoding concatenates the binary pieces of a literal table.
 
 Bytes are handled as Latin-1 characters inside the fold, one character a byte.
-One step merges every occurrence of the least pair, left to right, where that
-equals one merge at a time: merging makes pairs that hold the new piece only, so
+In long words one step merges every occurrence of the least pair, left to right,
+where that equals one merge at a time: merging makes pairs that hold the new piece only, so
 the order can differ only if the piece followed or preceded by another makes a
 piece of lower rank. Pieces with such a neighbour in the vocabulary are found
 beforehand, and of those one occurrence is merged a step.
