@@ -70,8 +70,7 @@ def rounded_sum(parts: Column, special: Column) -> Column:
 
 def special_of(value: Column) -> Column:
     """0 for finite sums; what NaN and infinities add up to otherwise (an aggregate: the sum of them alone)."""
-    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
-    return F.coalesce(F.sum(F.when(~finite, value)), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(~is_finite(value), value)), F.lit(0.0))
 
 
 def is_finite(value: Column) -> Column:
