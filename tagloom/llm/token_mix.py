@@ -10,9 +10,10 @@ digest of its id, so small keys are a weighted sample without replacement. Where
 the id is null or repeated, u is from the id, the digest of the row and a rank
 among equal rows, so these rows are drawn independently too. A
 source first takes its complete epochs; the rest of its target is filled in key
-order. Keys are cut into ``KEY_BUCKETS`` ranges whose word sums are prefix-summed
-per source; only the range in which the target is reached is sorted by key, so no
-source's documents meet in one task. The outcome is one cut (range, key, id,
+order. Literal split points cut (source, key) into ranges of equal size, whatever
+the scale of the weights; their word sums are prefix-summed per source, and only the
+range in which the target is reached is sorted by key, so no source's documents meet
+in one task. The outcome is one cut (range, key, id,
 row, rank) a source, which every document is compared with.
 
 Defined results: a null text has no words; a null source is a source, last in
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tagloom.llm.common import WORD, materialize, ref, row_digest
+from tagloom.operators.splits import split_points
 
-CYCLE, BUDGET, CAP, KEY_BUCKETS, SEED = (3, 1, 2), 1.5, 2.0, 1024, "mix"
+CYCLE, BUDGET, CAP, SEED = (3, 1, 2), 1.5, 2.0, "mix"
 #: equal rows are ranked in parts of at most 2 ** PART_BITS rows
 PART_BITS = 16
 
@@ -84,9 +86,10 @@ def plan(df: DataFrame, *, weights: DataFrame | None = None, id_col: str = "doc_
         rows, weight = rows.join(best, "id", "left"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
     own = F.concat_ws(":", F.col("id").cast("string"), "row", "rank")
     key = -F.log(uniform(F.when(F.col("id").isNull() | F.col("repeated"), own).otherwise(F.col("id").cast("string")), seed)) / weight
-    rows = rows.withColumn("key", key).withColumn("bucket", F.least(F.lit(KEY_BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * KEY_BUCKETS)).cast("long"))
-    rows = materialize(rows.select("id", "row", "rank", "no_source", "source", "size", "key", "bucket"), "mix")
+    rows = materialize(rows.withColumn("key", key).select("id", "row", "rank", "no_source", "source", "size", "key"), "mix")
     by = ["no_source", "source"]
+    # ranges of equal size along the keys of each source, whatever the scale of the weights; none grows with the table
+    rows = rows.withColumn("bucket", split_points(rows, [*by, "key"]).index())
     buckets = rows.groupBy(*by, "bucket").agg(F.sum("size").alias("words"))
     goal = targets(buckets.groupBy(*by).agg(F.sum("words").alias("source_size")), cycle=cycle, budget=budget, cap=cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

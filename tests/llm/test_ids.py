@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import cosine_cells, language_crf, vector_packing
+from tagloom.llm import cosine_cells, language_crf, token_mix, vector_packing
 from tests.conftest import SF01
 
 
@@ -66,3 +66,16 @@ def test_languages_are_learned_whatever_the_ids(spark, ids):
     assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
     few = docs.where("lang = 'en'").limit(1).select("text", "lang").join(spark.range(300)).unionByName(docs.where("lang <> 'en'").select("text", "lang"), allowMissingColumns=True)
     assert "en" in language_crf.learn(few, sample_docs=20).labels  # a language of one text, often repeated
+
+
+def test_the_mix_does_not_depend_on_the_scale_of_the_weights(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    weights = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 2.0).otherwise(1.0).alias("weight"))
+    taken = []
+    for scale in (1.0, 1e-6, 1e4):
+        scaled = weights.withColumn("weight", F.col("weight") * scale)
+        taken.append({r.doc_id: r.taken for r in token_mix.mix(docs, weights=scaled).collect()})
+        rows, _ = token_mix.plan(docs, weights=scaled)
+        ranges = [r["count"] for r in rows.groupBy("bucket").count().collect()]
+        assert len(ranges) >= 6 and max(ranges) <= 3 * 1000 / 8  # of equal size, about
+    assert taken[0] == taken[1] == taken[2]
