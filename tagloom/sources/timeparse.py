@@ -111,9 +111,11 @@ def parse(text: Column, formats: dict[str, list[str]]) -> Column:
     plain = _plain(text.cast("string"))
     shape = shape_of(plain)
     out = F.lit(None).cast("timestamp_ntz")
+    # read as UTC and taken back to a wall clock by its microseconds: the session's zone, with its gaps, plays no part
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     for s, patterns in formats.items():
-        parsed = F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)).cast("timestamp_ntz") for p in patterns])
-        out = F.when(shape == s, parsed).otherwise(out)
+        instants = [F.try_to_timestamp(F.concat(plain, F.lit(" UTC")), F.lit(p + " VV")) for p in patterns]
+        out = F.when(shape == s, F.timestamp_add("MICROSECOND", F.unix_micros(F.coalesce(*instants)), epoch)).otherwise(out)
     return F.timestamp_add("MINUTE", -_offset_minutes(text.cast("string")), out)
 
 

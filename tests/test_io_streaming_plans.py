@@ -106,6 +106,7 @@ T = dt.datetime
         (["2024-05-24T10:00:00.123", "2024-05-24T10:00:00.123456", "2024-05-24T10:00:00Z", "2024-05-24T10:00:00+08:00", "2024-05-24 10:00:00 UTC"], [T(2024, 5, 24, 10, 0, 0, 123000), T(2024, 5, 24, 10, 0, 0, 123456), T(2024, 5, 24, 10), T(2024, 5, 24, 2), T(2024, 5, 24, 10)]),
         (["24 December 2024", "December 24, 2024 10:00", "24-Dec-2024 08:01:02", "Tuesday, December 24, 2024"], [T(2024, 12, 24), T(2024, 12, 24, 10), T(2024, 12, 24, 8, 1, 2), T(2024, 12, 24)]),
         (["2024.05.24  10:00:00", "2024/5/4 9:08", "20240524101112", "2024-05-24"], [T(2024, 5, 24, 10), T(2024, 5, 4, 9, 8), T(2024, 5, 24, 10, 11, 12), T(2024, 5, 24)]),
+        (["2024-03-10 02:30:00", "2024-11-03 01:30:00"], [T(2024, 3, 10, 2, 30), T(2024, 11, 3, 1, 30)]),  # skipped and repeated hours of a zone
         ([None, "", "garbage", "2024-13-40 10:00:00", "12", "a 2024-05-24", "99:99"], [None] * 7),
     ],
 )
