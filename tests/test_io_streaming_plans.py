@@ -375,3 +375,43 @@ def test_export_keeps_case_and_scan_falls_back_to_first_column(spark, tmp_path):
     back = CSV.read_template_csv(spark, out, other)
     assert back.columns == ["time", "time_text", "tank1.level", "pid1.mv", "s.txt"]
     assert back.count() == 2 and back.filter("time IS NULL").count() == 2  # HH:mm:ss alone is not a full timestamp
+
+
+def test_keyed_state_merges_sorted_runs_by_blocks():
+    """Rows in any order come out in order, whole or up to a time, by few calls to the store and in small tables."""
+    import random
+
+    import pyarrow as pa
+
+    from tagloom.streaming import keyed as K
+
+    class Store(dict):
+        calls = 0
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def getValue(self, key):
+            self.calls += 1
+            return self[key]
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    rows = [(at // 3 * 7, i) for i, at in enumerate(random.Random(5).sample(range(60_000), 60_000))]
+    store, largest = Store(), 0
+    runs = K.Runs(store, [], 1)
+    for n in range(0, len(rows), 300):  # 200 runs: more than are merged at once
+        part = rows[n : n + 300]
+        runs.add(K._sorted(pa.table({"at": [r[0] for r in part], "t0": [r[1] for r in part]}), 1))
+    got = []
+    for until in (1, 50_000, 50_001, None):
+        for table in runs.take(until):
+            largest = max(largest, table.num_rows)
+            got += zip(table.column("at").to_pylist(), table.column("t0").to_pylist())
+        assert got == [r for r in sorted(rows) if until is None or r[0] < until]
+        assert runs.first() == min((at for at, _ in rows if until is not None and at >= until), default=None)
+    assert not store and not runs.open
+    assert store.calls < len(rows) / 20 and largest < len(rows) / 4
