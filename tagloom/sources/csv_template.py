@@ -265,10 +265,13 @@ def read_template_csv(spark: SparkSession, path: str, template: ExportTemplate |
     raw = spark.read.options(**opts).csv(path)
     width = len(raw.columns)
     raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    first = raw.agg(F.min("_file")).first()[0]
+    # the first file that is not empty, by the files' sizes; by their rows only if it holds none
+    listed = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).agg(F.min("_metadata.file_path")).first()[0]
+    top = raw.filter((F.col("_file") == listed) & (F.col("_block") == 0)).head(2)
+    first = listed if top else raw.agg(F.min("_file")).first()[0]
     if first is None:
         raise FileNotFoundError(path)
-    top = raw.filter((F.col("_file") == first) & (F.col("_block") == 0)).head(2)
+    top = top or raw.filter((F.col("_file") == first) & (F.col("_block") == 0)).head(2)
     names = [str(v).strip() if v is not None else f"_c{i}" for i, v in enumerate(top[0][:width])]
     heads = top[: 2 if template is not None and template.header_rows == 2 else 1]
     # Rows of the first block that read like a header row: as many as there are header rows go. More of them are data;

@@ -1,7 +1,8 @@
 """Times as text, read by formats that are induced from the column itself.
 
 A text is reduced to its *shape*: what kind of run stands where (a year, one or two
-digits, a month's name, ...). One aggregate finds the distinct shapes of the column
+digits, a month's name, ...). One aggregate by the texts' *masks* (every digit as 0; a
+shape follows from the mask) finds the distinct shapes of the column
 and the greatest first and second number of each; every shape gets one format, day
 against month settled by those numbers, and a row is parsed once, by the format of
 its shape. Text of no known shape is NULL, as is a date that does not exist.
@@ -29,6 +30,8 @@ WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
 _ZONE = r"(?i) ?(?:z|utc|gmt|([+-])(\d\d):?(\d\d))$"
 #: runs of digits by length: one or two, a year, HHmmss, yyyyMMdd, yyyyMMddHHmmss
 _RUNS = ((r"\d{14}", "F"), (r"\d{8}", "E"), (r"\d{6}", "H"), (r"\d{4}", "Y"), (r"\d{1,2}", "D"))
+#: masks of texts whose shape is known by the mask alone, the most frequent ones; others go by their own shape
+USUAL = 256
 _TIME = r"(?:(?P<gap>T| |, ?)(?:(?P<clock>D:D(?P<sec>:D(?P<frac>[.,]#+)?)?)(?P<half> ?P)?|(?P<packed>H|Y)))?"
 _DATES = (
     (r"Y(?P<s>[-/. ])D(?P=s)D", "yyyy{s}M{s}d"),
@@ -92,31 +95,60 @@ def format_of(shape: str, day_first: bool = False) -> str | None:
     return None
 
 
-def induce(df: DataFrame, column: str) -> dict[str, list[str]]:
-    """Formats of every time's shape in the column; two where only a row itself tells day from month. One aggregate."""
-    plain = _plain(F.col(f"`{column}`").cast("string"))
-    shaped = df.select(shape_of(plain).alias("shape"), plain.alias("plain")).where(F.col("shape").rlike(r"^[-DEFHYMNPT#:/., ]+$"))
+class Formats(dict):
+    """Formats by shape; ``usual`` maps the most frequent masks of texts that are plain already to their shapes."""
+
+    usual: dict[str, str] = {}
+
+
+def _mask(text: Column) -> Column:
+    """The text with every digit as 0: it tells all but the numbers, and a column has few of them."""
+    return F.translate(text, "123456789", "0" * 9)
+
+
+def induce(df: DataFrame, column: str) -> Formats:
+    """Formats of every time's shape in the column; two where only a row itself tells day from month. One aggregate, by mask."""
+    text = F.col(f"`{column}`").cast("string")
     number = lambda i: F.max(F.regexp_extract("plain", r"^(\d{1,2})\D+(\d{1,2})", i).try_cast("int"))
-    out: dict[str, list[str]] = {}
-    for r in shaped.groupBy("shape").agg(number(1).alias("one"), number(2).alias("two")).collect():
-        first, second = (r["one"] or 0) > 12, (r["two"] or 0) > 12
-        orders = [False, True] if first and second else [first]
-        if formats := list(dict.fromkeys(f for f in (format_of(r["shape"], o) for o in orders) if f)):
-            out[r["shape"]] = formats
+    masks = df.select(_mask(text).alias("mask"), _plain(text).alias("plain")).groupBy("mask").agg(F.count("*").alias("rows"), number(1).alias("one"), number(2).alias("two"))
+    plain = _plain(F.col("mask"))
+    masks = masks.withColumn("shape", shape_of(plain)).withColumn("is_plain", plain == F.col("mask")).persist()
+    try:
+        shaped = masks.where(F.col("shape").rlike(r"^[-DEFHYMNPT#:/., ]+$"))
+        out = Formats()
+        for r in shaped.groupBy("shape").agg(F.max("one").alias("one"), F.max("two").alias("two")).collect():
+            first, second = (r["one"] or 0) > 12, (r["two"] or 0) > 12
+            orders = [False, True] if first and second else [first]
+            if formats := list(dict.fromkeys(f for f in (format_of(r["shape"], o) for o in orders) if f)):
+                out[r["shape"]] = formats
+        usual = shaped.where(F.col("is_plain") & F.col("shape").isin(list(out))).orderBy(F.desc("rows"), "mask").limit(USUAL)
+        out.usual = {r["mask"]: r["shape"] for r in usual.select("mask", "shape").collect()}
+    finally:
+        masks.unpersist()
     return out
 
 
 def parse(text: Column, formats: dict[str, list[str]]) -> Column:
     """Zone-less time of a text by the formats of its shape."""
-    plain = _plain(text.cast("string"))
-    shape = shape_of(plain)
-    out = F.lit(None).cast("timestamp_ntz")
     # read as UTC and taken back to a wall clock by its microseconds: the session's zone, with its gaps, plays no part
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    for s, patterns in formats.items():
-        instants = [F.try_to_timestamp(F.concat(plain, F.lit(" UTC")), F.lit(p + " VV")) for p in patterns]
-        out = F.when(shape == s, F.timestamp_add("MICROSECOND", F.unix_micros(F.coalesce(*instants)), epoch)).otherwise(out)
-    return F.timestamp_add("MINUTE", -_offset_minutes(text.cast("string")), out)
+
+    def read(plain: Column, conditions: dict[str, Column], otherwise: Column) -> Column:
+        for s, known in conditions.items():
+            instants = [F.try_to_timestamp(F.concat(plain, F.lit(" UTC")), F.lit(p + " VV")) for p in formats[s]]
+            otherwise = F.when(known, F.timestamp_add("MICROSECOND", F.unix_micros(F.coalesce(*instants)), epoch)).otherwise(otherwise)
+        return otherwise
+
+    text = text.cast("string")
+    plain = _plain(text)
+    shape = shape_of(plain)
+    out = read(plain, {s: shape == s for s in formats}, F.lit(None).cast("timestamp_ntz"))
+    out = F.timestamp_add("MINUTE", -_offset_minutes(text), out)
+    # a text with a usual mask needs no look at its shape: it is plain, without a zone, and the mask names the shape
+    usual: dict[str, list[str]] = {}
+    for mask, s in getattr(formats, "usual", {}).items():
+        usual.setdefault(s, []).append(mask)
+    return read(text, {s: _mask(text).isin(masks) for s, masks in usual.items()}, out)
 
 
 def parse_times(df: DataFrame, column: str, out: str) -> DataFrame:

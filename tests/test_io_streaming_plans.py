@@ -415,3 +415,17 @@ def test_keyed_state_merges_sorted_runs_by_blocks():
         assert runs.first() == min((at for at, _ in rows if until is not None and at >= until), default=None)
     assert not store and not runs.open
     assert store.calls < len(rows) / 20 and largest < len(rows) / 4
+
+
+def test_times_of_usual_masks_are_read_without_a_look_at_their_shape(spark):
+    """Texts go by their mask (digits as 0) where it is plain; others, such as those with a zone, still go by their shape."""
+    from tagloom.sources import timeparse
+
+    texts = ["May 4 2024 10:00", "Jun 14 2024 09:30", "2024-05-04 10:00:00", "2024-05-04T10:00:00+02:00", " 2024-05-04  11:00:00 ", "Sat, 2024-05-04 12:00:00", "13/05/2024 01:02:03", "2024-02-30 00:00:00", "no time", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = timeparse.induce(df, "t")
+    assert set(found.usual) == {"May 0 0000 00:00", "Jun 00 0000 00:00", "0000-00-00 00:00:00", "00/00/0000 00:00:00"}
+    plain = timeparse.Formats(found)  # nothing is usual: all go by their shape
+    got = df.select(timeparse.parse(F.col("t"), found).cast("string").alias("a"), timeparse.parse(F.col("t"), plain).cast("string").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert [r.a for r in got] == ["2024-05-04 10:00:00", "2024-06-14 09:30:00", "2024-05-04 10:00:00", "2024-05-04 08:00:00", "2024-05-04 11:00:00", "2024-05-04 12:00:00", "2024-05-13 01:02:03", None, None, None]
