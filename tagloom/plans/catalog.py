@@ -657,7 +657,9 @@ def csv_time_formats(spark: SparkSession, sf: str) -> DataFrame:
     for i, style in enumerate(CSV_TIME_TEXTS):
         path = scratch_path(spark, f"csv-times-{i}")
         ev = table(spark, sf, "events").select(F.date_format("ts", style).alias("time"), F.col("event_id").alias("EVENT"), F.col("value").alias("VALUE"))
-        ev.coalesce(1).write.option("header", True).csv(path)
+        # the header is the first part file, the rows are written by all tasks
+        header = spark.range(0, 1, 1, 1).select(*[F.lit(c).alias(c) for c in ev.columns])
+        header.union(ev.select(*[F.col(c).cast("string") for c in ev.columns])).write.option("header", False).csv(path)
         back = CSV.read_template_csv(spark, path).select(F.lit(i).alias("style"), F.col("EVENT").cast("long").alias("event_id"), "time", F.col("VALUE").alias("value"))
         out = back if out is None else out.unionByName(back)
     return out
